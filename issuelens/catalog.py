@@ -52,3 +52,157 @@ def f9_test_flag(spark, d):
 @query("j1_match_tests")
 def j1_match_tests(spark, d):
     return R.match_tests(R.mentions(T.v_issues(spark, d)), inventory(spark, d))
+
+
+# -- check outcomes ----------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from .operators import outcomes as O  # noqa: E402
+from .operators import runs as W  # noqa: E402
+from .sources import logs as L  # noqa: E402
+
+
+@query("f23_check_outputs")
+def f23_check_outputs(spark, d):
+    parsed = O.parse_outputs(O.format_outputs(T.v_checks(spark, d)))
+    return parsed.select("run_id", "seq", "output", "parsed_exit_code", "parsed_stdout", "parsed_stderr",
+                         "n_failed", "n_passed", "test_seconds")
+
+
+@query("w5_latest_per_file")
+def w5_latest_per_file(spark, d):
+    return O.latest_per_file(T.v_checks(spark, d)).select("run_id", "kind", "file", "seq", "exit_code")
+
+
+@query("a3_outputs_by_run")
+def a3_outputs_by_run(spark, d):
+    m = O.outputs_by_run(T.v_checks(spark, d))
+    t = m.select("run_id", F.lit("test").alias("kind"), F.explode("test_outputs").alias("file", "output"))
+    li = m.select("run_id", F.lit("lint").alias("kind"), F.explode("lint_outputs").alias("file", "output"))
+    return t.unionByName(li)
+
+
+@query("a4_run_verdict")
+def a4_run_verdict(spark, d):
+    return O.run_verdict(T.v_checks(spark, d))
+
+
+@query("a6_error_digest")
+def a6_error_digest(spark, d):
+    return O.error_digest(T.v_checks(spark, d))
+
+
+def change_events(spark, d):
+    e = T.table(spark, d, "events")
+    return e.select(F.col("user_id").alias("run_id"), "ts", "event_id",
+                    F.concat(F.lit("mod_"), (F.floor("value").cast("bigint") % 12).cast("string"),
+                             F.lit(".py")).alias("file"))
+
+
+@query("a7_updated_files")
+def a7_updated_files(spark, d):
+    u = O.updated_files(change_events(spark, d))
+    return u.select("run_id", F.array_join("updated_files", ",").alias("files"))
+
+
+@query("a8_changed_files")
+def a8_changed_files(spark, d):
+    u = O.updated_files(change_events(spark, d))
+    created = F.when(F.col("run_id") % 2 == 0,
+                     F.concat(F.lit("new_"), (F.col("run_id") % 3).cast("string"), F.lit(".py")))
+    c = O.changed_files(u.withColumn("created_file", created))
+    return c.select("run_id", F.array_join("changed_files", ",").alias("files"))
+
+
+# -- decisions over attempts -------------------------------------------------
+@query("w1_retry_ledger")
+def w1_retry_ledger(spark, d):
+    return W.retry_ledger(T.v_attempts(spark, d)).select("run_id", "event_id", "attempt", "decision")
+
+
+@query("w2_shared_budget")
+def w2_shared_budget(spark, d):
+    return W.retry_ledger(T.v_attempts(spark, d), budget_scope="agent").select(
+        "run_id", "agent_id", "event_id", "attempt", "decision")
+
+
+@query("w3_carry_errors")
+def w3_carry_errors(spark, d):
+    return W.carry_errors(W.retry_ledger(T.v_attempts(spark, d))).select("run_id", "event_id", "carried_errors")
+
+
+def event_records(spark, d):
+    return T.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts")
+
+
+@query("w4_step_durations")
+def w4_step_durations(spark, d):
+    return W.step_durations(event_records(spark, d)).select("run_id", "event_id", "step_seconds")
+
+
+@query("w4_run_spans")
+def w4_run_spans(spark, d):
+    return W.run_spans(event_records(spark, d))
+
+
+# -- run logs ----------------------------------------------------------------
+@query("s5_run_logs")
+def s5_run_logs(spark, d):
+    r = L.parse_log_lines(T.v_log_lines(spark, d))
+    return r.select("source_file", "line_no", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+                    "level", "message")
+
+
+@query("a10_trace_profile")
+def a10_trace_profile(spark, d):
+    return W.trace_profile(L.parse_log_lines(T.v_log_lines(spark, d)), key="source_file")
+
+
+def state_rows(spark, d):
+    """Run states built from ``labels``: quality → tests, toxic → lint."""
+    lb = T.table(spark, d, "labels")
+    doc = F.col("doc_id")
+    src = F.concat(F.lit("src/d"), doc.cast("string"), F.lit(".py"))
+    tst = F.concat(F.lit("tests/test_d"), doc.cast("string"), F.lit(".py"))
+    tests_ok = F.col("quality") == 1
+    lint_ok = F.col("toxic") == 0
+    return lb.select(
+        doc.alias("doc_id"),
+        F.concat(F.lit("doc "), doc.cast("string")).alias("github_issue"),
+        F.lit(None).cast("string").alias("project_context"),
+        F.struct(F.array(src, tst).alias("relevant_files"), F.array(src).alias("source_files"),
+                 F.array(tst).alias("test_files"),
+                 (doc % 2 == 0).alias("is_test_generation_issue")).alias("plan"),
+        F.struct(F.array(src).alias("updated_files"), F.lit(None).cast("string").alias("commit_message"))
+         .alias("code_changes"),
+        F.struct(F.create_map(tst, F.when(tests_ok, "[Exit code: 0]").otherwise("[Exit code: 1]"))
+                 .alias("test_outputs"), tests_ok.alias("tests_passed")).alias("test_results"),
+        F.when(doc % 5 != 0, F.struct(F.create_map().cast("map<string,string>").alias("lint_outputs"),
+                                      lint_ok.alias("lint_passed"))).alias("lint_results"),
+        (tests_ok & lint_ok).alias("passed"),
+        F.when(~tests_ok, F.concat(F.lit("Test failure in "), tst)).alias("last_errors"),
+        (doc % 4).alias("retry_count"))
+
+
+@query("s6_final_states")
+def s6_final_states(spark, d):
+    s = state_rows(spark, d)
+    doc = F.col("doc_id")
+    good = F.concat(F.lit(L.FINAL_STATE_PREFIX + "\n"),
+                    F.to_json(F.struct(*[c for c in s.columns if c != "doc_id"])))
+    literal = F.concat(F.lit(L.FINAL_STATE_PREFIX + " {'github_issue': 'doc "), doc.cast("string"),
+                       F.lit("', 'passed': True}"))
+    recs = s.select("doc_id", F.when(doc % 9 == 0, literal).otherwise(good).alias("message"))
+    st = L.final_states(recs)
+    return st.select("doc_id", F.col("state.github_issue").alias("github_issue"),
+                     F.col("state.test_results.tests_passed").alias("tests_passed"),
+                     F.col("state.lint_results.lint_passed").alias("lint_passed"),
+                     F.col("state.passed").alias("passed"),
+                     F.size("state.plan.relevant_files").cast("bigint").alias("n_relevant"),
+                     F.col("corrupt_state").isNotNull().alias("is_corrupt"))
+
+
+@query("s7_state_report")
+def s7_state_report(spark, d):
+    s = state_rows(spark, d).drop("retry_count", "test_results", "lint_results")
+    return s.select("doc_id", L.state_json(s, [c for c in s.columns if c != "doc_id"]).alias("state_json"))

@@ -145,10 +145,13 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    body = body.strip()
     if not order:
-        return body.strip()
+        return body
     parts = [f"{n} AS ({CTES[n][0].strip()})" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    if body[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 ORACLE: dict[str, str] = {}
@@ -165,3 +168,171 @@ oracle("f9_test_flag", f"""
 SELECT repo, path, contains(lower({name_of('path')}), 'test') OR contains(lower({name_of('path')}), 'spec') AS is_test
 FROM inventory""", "inventory")
 oracle("j1_match_tests", "SELECT issue_id, repo, mention, path FROM matches", "matches")
+
+# -- check outcomes ----------------------------------------------------------
+OUTPUT_SQL = """CASE WHEN error IS NOT NULL
+     THEN (CASE WHEN kind = 'test' THEN 'Test error: ' ELSE 'Lint error: ' END) || error
+     ELSE '[Exit code: ' || CAST(exit_code AS VARCHAR) || ']' || chr(10) || 'STDOUT:' || chr(10) ||
+          coalesce(stdout, '') || chr(10) || 'STDERR:' || chr(10) || coalesce(stderr, '') END"""
+
+cte("checks_out", f"SELECT *, {OUTPUT_SQL} AS output FROM v_checks", "v_checks")
+cte("checks_last", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, kind, file ORDER BY seq DESC) AS rn
+               FROM checks_out) WHERE rn = 1""", "checks_out")
+
+oracle("f23_check_outputs", """
+SELECT run_id, seq, output,
+       CASE WHEN error IS NULL THEN CAST(exit_code AS BIGINT) END AS parsed_exit_code,
+       CASE WHEN error IS NULL THEN stdout END AS parsed_stdout,
+       CASE WHEN error IS NULL THEN stderr END AS parsed_stderr,
+       CAST(nullif(regexp_extract(output, '([0-9]+) failed', 1), '') AS BIGINT) AS n_failed,
+       CAST(nullif(regexp_extract(output, '([0-9]+) passed', 1), '') AS BIGINT) AS n_passed,
+       CAST(nullif(regexp_extract(output, ' in ([0-9]+(\\.[0-9]+)?)s', 1), '') AS DOUBLE) AS test_seconds
+FROM checks_out""", "checks_out")
+
+oracle("w5_latest_per_file", "SELECT run_id, kind, file, seq, exit_code FROM checks_last", "checks_last")
+oracle("a3_outputs_by_run", "SELECT run_id, kind, file, output FROM checks_last", "checks_last")
+
+FAILED_SQL = "(error IS NOT NULL OR coalesce(exit_code, 0) <> 0)"
+FAILURE_TEXT_SQL = """CASE WHEN kind = 'test' AND error IS NOT NULL THEN 'Test error in ' || file || ': ' || error
+     WHEN kind = 'test' THEN 'Test failure in ' || file || ':' || chr(10) || coalesce(stdout, '') || chr(10) ||
+                             coalesce(stderr, '')
+     WHEN error IS NOT NULL THEN 'Lint error in ' || file || ': ' || error
+     ELSE 'Lint failure in ' || file || ': Exit code ' || CAST(exit_code AS VARCHAR) END"""
+
+cte("digest", f"""
+SELECT run_id,
+       string_agg({FAILURE_TEXT_SQL}, chr(10) || chr(10)
+                  ORDER BY CASE WHEN kind = 'test' THEN 0 ELSE 1 END, seq) FILTER (WHERE {FAILED_SQL})
+         AS last_errors
+FROM v_checks GROUP BY run_id""", "v_checks")
+
+oracle("a6_error_digest", "SELECT run_id, last_errors FROM digest", "digest")
+
+oracle("a4_run_verdict", f"""
+WITH per_run AS (
+  SELECT run_id,
+         count(*) FILTER (WHERE kind = 'test') AS n_test,
+         coalesce(bool_and(NOT {FAILED_SQL}) FILTER (WHERE kind = 'test'), true) AS tests_ok,
+         coalesce(bool_and(NOT {FAILED_SQL}) FILTER (WHERE kind = 'lint'), true) AS lint_ok
+  FROM v_checks GROUP BY run_id),
+ntr AS (SELECT run_id, bool_or(contains(lower(output), 'no tests ran')) AS no_tests_ran
+        FROM checks_last WHERE kind = 'test' GROUP BY run_id),
+j AS (SELECT p.*, coalesce(n.no_tests_ran, false) AS ntr, d.last_errors,
+             CASE WHEN p.n_test = 0 THEN 2 WHEN coalesce(n.no_tests_ran, false) THEN 3 ELSE 4 END AS rule
+      FROM per_run p LEFT JOIN ntr n USING (run_id) LEFT JOIN digest d USING (run_id))
+SELECT run_id, rule,
+       CASE WHEN rule IN (2, 3) THEN true ELSE tests_ok END AS tests_passed,
+       CASE WHEN rule = 2 THEN true ELSE lint_ok END AS lint_passed,
+       CASE WHEN rule = 2 THEN NULL WHEN rule = 3 THEN true ELSE tests_ok AND lint_ok END AS passed,
+       CASE WHEN rule = 4 THEN last_errors END AS last_errors
+FROM j""", "v_checks", "checks_last", "digest")
+
+cte("change_events", """
+SELECT user_id AS run_id, ts, event_id, 'mod_' || CAST(CAST(floor(value) AS BIGINT) % 12 AS VARCHAR) || '.py' AS file
+FROM events""")
+cte("updated", """
+SELECT run_id, string_agg(file, ',' ORDER BY ts, event_id) AS files
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id, file ORDER BY ts, event_id) AS rn FROM change_events)
+WHERE rn = 1 GROUP BY run_id""", "change_events")
+oracle("a7_updated_files", "SELECT run_id, files FROM updated", "updated")
+oracle("a8_changed_files", """
+SELECT run_id, string_agg(DISTINCT f, ',' ORDER BY f) AS files FROM (
+  SELECT run_id, file AS f FROM change_events
+  UNION ALL
+  SELECT DISTINCT run_id, 'new_' || CAST(run_id % 3 AS VARCHAR) || '.py' FROM change_events WHERE run_id % 2 = 0)
+GROUP BY run_id""", "change_events")
+
+# -- decisions ---------------------------------------------------------------
+# Straight from the rule: attempt k of a run has retry counter k (every
+# earlier kept attempt was a retry); rows after the first terminal go.
+cte("ledger", """
+SELECT run_id, agent_id, event_id, ts, errors, attempt, decision FROM (
+  SELECT *, coalesce(sum(CASE WHEN decision <> 'retry' THEN 1 ELSE 0 END) OVER (
+              PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
+  FROM (SELECT *, CASE WHEN tests_passed = false AND attempt < 3 THEN 'retry'
+                       WHEN tests_passed = false THEN 'end'
+                       WHEN tests_passed THEN 'commit' ELSE 'end' END AS decision
+        FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) - 1 AS attempt
+              FROM v_attempts)))
+WHERE done = 0""", "v_attempts")
+oracle("w1_retry_ledger", "SELECT run_id, event_id, attempt, decision FROM ledger", "ledger")
+oracle("w3_carry_errors", """
+SELECT run_id, event_id, lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors
+FROM ledger""", "ledger")
+
+# Shared budget: a run's leading failures L; runs of an agent in order of
+# their first attempt; budget = 3 - min(3, sum of L of earlier runs).
+oracle("w2_shared_budget", """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) - 1 AS attempt
+           FROM v_attempts),
+r AS (SELECT run_id, agent_id, min(ts) AS t0, min(event_id) AS e0,
+             coalesce(min(attempt) FILTER (WHERE tests_passed IS NULL OR tests_passed), count(*)) AS lead_fail
+      FROM a GROUP BY run_id, agent_id),
+b AS (SELECT *, 3 - least(3, coalesce(sum(lead_fail) OVER (PARTITION BY agent_id ORDER BY t0, e0, run_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS budget FROM r)
+SELECT a.run_id, a.agent_id, a.event_id, a.attempt,
+       CASE WHEN a.attempt < least(b.lead_fail, b.budget) THEN 'retry'
+            WHEN a.tests_passed = false THEN 'end'
+            WHEN a.tests_passed THEN 'commit' ELSE 'end' END AS decision
+FROM a JOIN b USING (run_id) WHERE a.attempt <= least(b.lead_fail, b.budget)""", "v_attempts")
+
+oracle("w4_step_durations", """
+SELECT user_id AS run_id, event_id,
+       (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000.0
+         AS step_seconds
+FROM events""")
+oracle("w4_run_spans", """
+SELECT user_id AS run_id, count(*) AS n_records, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS span_seconds
+FROM events GROUP BY user_id""")
+
+# -- run logs ----------------------------------------------------------------
+LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"
+MESSAGE_SQL = """CASE event_type
+  WHEN 'signup' THEN '==================== starting planning phase ===================='
+  WHEN 'view' THEN 'agent_respond() – Using structured output with Pydantic object.'
+  WHEN 'purchase' THEN 'Workflow completed successfully!'
+  WHEN 'click' THEN 'LLM did not return a unified diff for patch task.'
+  ELSE 'test_and_lint() – Test failed for f' || CAST(event_id % 7 AS VARCHAR) || '.py:' || chr(10) ||
+       'STDOUT:' || chr(10) || props END"""
+cte("log_records", f"""
+SELECT 'run_' || CAST(user_id AS VARCHAR) || '.log' AS source_file, user_id AS run_id, event_id, ts,
+       {LEVEL_SQL} AS level, {MESSAGE_SQL} AS message
+FROM events""")
+oracle("s5_run_logs", """
+SELECT source_file, event_id * 16 AS line_no, epoch_ms(date_trunc('millisecond', ts)) AS ts_ms, level, message
+FROM log_records""", "log_records")
+oracle("a10_trace_profile", """
+SELECT source_file, count(*) AS n_records,
+       count(*) FILTER (WHERE level = 'INFO') AS n_info,
+       count(*) FILTER (WHERE level = 'WARNING') AS n_warning,
+       count(*) FILTER (WHERE level = 'ERROR') AS n_error,
+       count(*) FILTER (WHERE level = 'DEBUG') AS n_debug,
+       count(*) FILTER (WHERE level = 'CRITICAL') AS n_critical,
+       count(*) FILTER (WHERE message LIKE '=% starting % phase =%') AS n_phases,
+       count(*) FILTER (WHERE contains(message, 'agent_respond()')) AS n_calls
+FROM log_records GROUP BY source_file""", "log_records")
+
+oracle("s6_final_states", """
+SELECT doc_id,
+       CASE WHEN doc_id % 9 <> 0 THEN 'doc ' || CAST(doc_id AS VARCHAR) END AS github_issue,
+       CASE WHEN doc_id % 9 <> 0 THEN quality = 1 END AS tests_passed,
+       CASE WHEN doc_id % 9 <> 0 AND doc_id % 5 <> 0 THEN toxic = 0 END AS lint_passed,
+       CASE WHEN doc_id % 9 <> 0 THEN quality = 1 AND toxic = 0 END AS passed,
+       CASE WHEN doc_id % 9 <> 0 THEN CAST(2 AS BIGINT) END AS n_relevant,
+       doc_id % 9 = 0 AS is_corrupt
+FROM labels""")
+oracle("s7_state_report", """
+SELECT doc_id, to_json({
+  'github_issue': 'doc ' || CAST(doc_id AS VARCHAR),
+  'project_context': CAST(NULL AS VARCHAR),
+  'plan': {'relevant_files': ['src/d' || CAST(doc_id AS VARCHAR) || '.py',
+                              'tests/test_d' || CAST(doc_id AS VARCHAR) || '.py'],
+           'source_files': ['src/d' || CAST(doc_id AS VARCHAR) || '.py'],
+           'test_files': ['tests/test_d' || CAST(doc_id AS VARCHAR) || '.py'],
+           'is_test_generation_issue': doc_id % 2 = 0},
+  'code_changes': {'updated_files': ['src/d' || CAST(doc_id AS VARCHAR) || '.py'],
+                   'commit_message': CAST(NULL AS VARCHAR)},
+  'passed': quality = 1 AND toxic = 0,
+  'last_errors': CASE WHEN quality <> 1 THEN 'Test failure in tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' END
+}) AS state_json FROM labels""")

@@ -104,3 +104,36 @@ def v_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select((F.col("u.conv_id") * 1000 + F.col("u.turn")).alias("call_id"),
                 F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"),
                 F.col("u.text").alias("prompt"), F.col("a.text").alias("response"))
+
+
+def _event_level():
+    et = F.col("event_type")
+    return F.when(et == "error", "ERROR").when(et == "click", "WARNING").otherwise("INFO")
+
+
+def _event_message():
+    et = F.col("event_type")
+    return (F.when(et == "signup", F.lit("==================== starting planning phase ===================="))
+            .when(et == "view", F.lit("agent_respond() – Using structured output with Pydantic object."))
+            .when(et == "purchase", F.lit("Workflow completed successfully!"))
+            .when(et == "click", F.lit("LLM did not return a unified diff for patch task."))
+            .otherwise(F.concat(F.lit("test_and_lint() – Test failed for f"), (F.col("event_id") % 7).cast("string"),
+                                F.lit(".py:\nSTDOUT:\n"), F.col("props"))))
+
+
+def v_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log record per event: run = user, level and message by type."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit(".log")).alias("source_file"),
+                    F.col("user_id").alias("run_id"), "event_id", "ts",
+                    _event_level().alias("level"), _event_message().alias("message"))
+
+
+def v_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of :func:`v_log_records` printed as log text lines
+    (``line_no`` = event_id·16 + line within the record)."""
+    r = v_log_records(spark, sf_dir)
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ["), F.col("level"), F.lit("] "),
+                    F.col("message"))
+    return r.select("source_file", "event_id", F.posexplode(F.split(text, "\n")).alias("pos", "line")) \
+        .select("source_file", (F.col("event_id") * 16 + F.col("pos")).alias("line_no"), "line")
