@@ -206,3 +206,108 @@ def s6_final_states(spark, d):
 def s7_state_report(spark, d):
     s = state_rows(spark, d).drop("retry_count", "test_results", "lint_results")
     return s.select("doc_id", L.state_json(s, [c for c in s.columns if c != "doc_id"]).alias("state_json"))
+
+
+# -- benchmark ---------------------------------------------------------------
+from .operators import benchmark as B  # noqa: E402
+from .operators import repos as RP  # noqa: E402
+
+
+@query("f1_validate_instances")
+def f1_validate_instances(spark, d):
+    ok, bad = B.validate_instances(T.v_instances(spark, d))
+    return ok.select("pos", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("pos", "reason"))
+
+
+@query("f2_instance_states")
+def f2_instance_states(spark, d):
+    s = B.instances_to_states(T.v_instances(spark, d))
+    return s.select("pos", "instance_id", "repo_link", "project_description", "language",
+                    F.array_join("dependencies", ",").alias("dependencies"), "github_issue",
+                    F.array_join("relevant_files", "|").alias("relevant_files"))
+
+
+@query("f3_test_ids")
+def f3_test_ids(spark, d):
+    return B.explode_tests(T.v_instances(spark, d)).select("pos", "test_pos", "test_id")
+
+
+def url_variants(spark, d):
+    p = T.table(spark, d, "pages")
+    pid, url = F.col("page_id"), F.col("url")
+    host = F.regexp_extract(url, "://([^/]+)", 1)
+    u = (F.when(pid % 8 == 4, F.concat(url, F.lit("/")))
+         .when(pid % 4 == 1, F.concat(url, F.lit(".git")))
+         .when(pid % 4 == 2, F.concat(F.lit("git@"), host, F.lit(":org/"), pid.cast("string"), F.lit(".git")))
+         .when(pid % 4 == 3, F.concat(F.lit("org/"), pid.cast("string")))
+         .otherwise(url))
+    return p.select("page_id", u.alias("url"))
+
+
+@query("f4_repo_key")
+def f4_repo_key(spark, d):
+    v = url_variants(spark, d)
+    return v.select("page_id", "url", RP.repo_key(F.col("url")).alias("repo_key"),
+                    RP.repo_dir_name(F.col("url")).alias("dir_name"))
+
+
+@query("f5_repo_urls")
+def f5_repo_urls(spark, d):
+    return B.with_repo_urls(T.v_issues(spark, d).select("issue_id", "repo")).select(
+        "issue_id", "clone_url", "issue_url")
+
+
+@query("s4_first_instances")
+def s4_first_instances(spark, d):
+    return B.first_instances(T.v_instances(spark, d), 3).select("pos", "instance_id", "repo")
+
+
+def label_runs(spark, d):
+    lb = T.table(spark, d, "labels")
+    tests_ok, lint_ok = F.col("quality") == 1, F.col("toxic") == 0
+    return lb.select(
+        F.concat(F.lit("inst-"), F.col("doc_id").cast("string")).alias("instance_id"),
+        (tests_ok & lint_ok).alias("passed"),
+        F.struct(F.array(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".py")))
+                 .alias("updated_files")).alias("code_changes"),
+        F.struct(tests_ok.alias("tests_passed")).alias("test_results"),
+        F.struct(lint_ok.alias("lint_passed")).alias("lint_results"))
+
+
+def flat_results(r):
+    return r.select("repo", "instance_id", "tests_passed",
+                    F.array_join("code_changes.updated_files", ",").alias("updated_files"),
+                    F.col("test_results.tests_passed").alias("tests_ok"),
+                    F.col("lint_results.lint_passed").alias("lint_ok"))
+
+
+@query("j7_join_results")
+def j7_join_results(spark, d):
+    return flat_results(B.join_results(T.v_instances(spark, d), label_runs(spark, d)))
+
+
+@query("s8_collect_results")
+def s8_collect_results(spark, d):
+    res, _ = B.collect_results(T.v_instances(spark, d), label_runs(spark, d))
+    return flat_results(res)
+
+
+@query("s8_quarantine")
+def s8_quarantine(spark, d):
+    _, bad = B.collect_results(T.v_instances(spark, d), label_runs(spark, d))
+    return bad
+
+
+def ledger_results(spark, d):
+    led = W.retry_ledger(T.v_attempts(spark, d))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    per = led.groupBy("run_id").agg(
+        F.bool_or(F.col("decision") == "commit").alias("passed"),
+        F.count_if(F.col("decision") == "retry").alias("retries"),
+        ((F.max(micros) - F.min(micros)) / F.lit(1_000_000.0)).alias("duration_seconds"))
+    return per.withColumn("repo", T._repo_of(F.col("run_id")))
+
+
+@query("a9_benchmark_summary")
+def a9_benchmark_summary(spark, d):
+    return B.benchmark_summary(ledger_results(spark, d))

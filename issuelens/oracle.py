@@ -336,3 +336,111 @@ SELECT doc_id, to_json({
   'passed': quality = 1 AND toxic = 0,
   'last_errors': CASE WHEN quality <> 1 THEN 'Test failure in tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' END
 }) AS state_json FROM labels""")
+
+# -- benchmark ---------------------------------------------------------------
+cte("instances", """
+SELECT b.item_id AS pos,
+       CASE WHEN b.item_id % 11 <> 0 THEN 'inst-' || CAST(b.item_id AS VARCHAR) END AS instance_id,
+       CASE WHEN b.item_id % 13 = 0 THEN NULL
+            WHEN b.item_id % 3 = 1 THEN 'https://github.com/' || concat('org', b.item_id % 5, '/repo', b.item_id % 25)
+            WHEN b.item_id % 3 = 2 THEN concat('org', b.item_id % 5, '/repo', b.item_id % 25) || '.git'
+            ELSE concat('org', b.item_id % 5, '/repo', b.item_id % 25) END AS repo,
+       CASE WHEN b.item_id % 17 <> 0 THEN b.text END AS problem_statement,
+       CASE WHEN b.item_id % 19 <> 0 THEN substr(sha256(b.text), 1, 12) END AS base_commit,
+       CASE WHEN b.item_id % 7 IN (3, 5) THEN [] ELSE coalesce(l.f2p, []) END AS f2p_list,
+       coalesce(l.p2p, []) AS p2p_list
+FROM benchmark b LEFT JOIN (
+  SELECT l_orderkey,
+         list('tests/test_f' || CAST(l_linenumber AS VARCHAR) || '.py::test_' || CAST(l_partkey AS VARCHAR)
+              ORDER BY 'tests/test_f' || CAST(l_linenumber AS VARCHAR) || '.py::test_' || CAST(l_partkey AS VARCHAR))
+           FILTER (WHERE l_returnflag = 'R') AS f2p,
+         list('tests/test_f' || CAST(l_linenumber AS VARCHAR) || '.py::test_' || CAST(l_partkey AS VARCHAR)
+              ORDER BY 'tests/test_f' || CAST(l_linenumber AS VARCHAR) || '.py::test_' || CAST(l_partkey AS VARCHAR))
+           FILTER (WHERE l_returnflag <> 'R') AS p2p
+  FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = b.item_id""")
+
+oracle("f1_validate_instances", """
+SELECT pos, CASE WHEN instance_id IS NULL THEN 'missing instance_id'
+                 WHEN repo IS NULL THEN 'missing repo'
+                 WHEN problem_statement IS NULL OR base_commit IS NULL THEN 'missing required fields' END AS reason
+FROM instances""", "instances")
+
+CLONE_SQL = """CASE WHEN starts_with(repo, 'http') THEN repo
+     WHEN ends_with(repo, '.git') THEN 'https://github.com/' || repo
+     ELSE 'https://github.com/' || repo || '.git' END"""
+
+oracle("f2_instance_states", f"""
+SELECT pos, instance_id, {CLONE_SQL} AS repo_link,
+       'SWE-bench instance ' || coalesce(instance_id, '') AS project_description,
+       'Python' AS language, 'pytest,ruff,black' AS dependencies,
+       coalesce(problem_statement, '') AS github_issue,
+       array_to_string(list_concat(f2p_list, p2p_list), '|') AS relevant_files
+FROM instances""", "instances")
+
+oracle("f3_test_ids", """
+SELECT pos, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS test_pos, unnest(l) AS test_id
+FROM (SELECT pos, list_concat(f2p_list, p2p_list) AS l FROM instances)""", "instances")
+
+oracle("f4_repo_key", """
+WITH v AS (
+  SELECT page_id,
+         CASE WHEN page_id % 8 = 4 THEN url || '/'
+              WHEN page_id % 4 = 1 THEN url || '.git'
+              WHEN page_id % 4 = 2 THEN 'git@' || regexp_extract(url, '://([^/]+)', 1) || ':org/' ||
+                                        CAST(page_id AS VARCHAR) || '.git'
+              WHEN page_id % 4 = 3 THEN 'org/' || CAST(page_id AS VARCHAR)
+              ELSE url END AS url
+  FROM pages),
+b AS (SELECT *, CASE WHEN ends_with(url, '.git') THEN url[1:length(url) - 4] ELSE url END AS base,
+             rtrim(url, '/') AS stripped FROM v)
+SELECT page_id, url,
+       CASE WHEN starts_with(base, 'git@') THEN
+              CASE WHEN contains(base, ':') THEN substr(base, strpos(base, ':') + 1) ELSE base END
+            WHEN starts_with(base, 'https://') OR starts_with(base, 'http://') THEN
+              string_split(base, '/')[-2] || '/' || string_split(base, '/')[-1] END AS repo_key,
+       CASE WHEN ends_with(string_split(stripped, '/')[-1], '.git')
+            THEN string_split(stripped, '/')[-1][1:length(string_split(stripped, '/')[-1]) - 4]
+            ELSE string_split(stripped, '/')[-1] END AS dir_name
+FROM b""")
+
+oracle("f5_repo_urls", f"""
+SELECT issue_id, clone_url,
+       CASE WHEN issue_id IS NOT NULL AND issue_id <> 0
+            THEN 'https://github.com/' || replace(replace(clone_url, 'https://github.com/', ''), '.git', '') ||
+                 '/issues/' || CAST(issue_id AS VARCHAR)
+            ELSE 'N/A' END AS issue_url
+FROM (SELECT issue_id, {CLONE_SQL} AS clone_url FROM v_issues)""", "v_issues")
+
+oracle("s4_first_instances", "SELECT pos, instance_id, repo FROM instances ORDER BY pos LIMIT 3", "instances")
+
+cte("label_runs", """
+SELECT 'inst-' || CAST(doc_id AS VARCHAR) AS instance_id, quality = 1 AND toxic = 0 AS passed,
+       'src/d' || CAST(doc_id AS VARCHAR) || '.py' AS updated_files, quality = 1 AS tests_ok, toxic = 0 AS lint_ok
+FROM labels""")
+RESULT_COLS = "i.repo, i.instance_id, r.passed AS tests_passed, r.updated_files, r.tests_ok, r.lint_ok"
+oracle("j7_join_results", f"SELECT {RESULT_COLS} FROM instances i JOIN label_runs r USING (instance_id)",
+       "instances", "label_runs")
+VALID_SQL = "instance_id IS NOT NULL AND repo IS NOT NULL AND problem_statement IS NOT NULL AND base_commit IS NOT NULL"
+oracle("s8_collect_results", f"""
+SELECT {RESULT_COLS} FROM instances i JOIN label_runs r USING (instance_id) WHERE {VALID_SQL}""",
+       "instances", "label_runs")
+oracle("s8_quarantine", f"""
+SELECT pos, instance_id, repo, CASE WHEN instance_id IS NULL THEN 'missing instance_id'
+                 WHEN repo IS NULL THEN 'missing repo'
+                 ELSE 'missing required fields' END AS reason
+FROM instances WHERE NOT ({VALID_SQL})
+UNION ALL
+SELECT pos, instance_id, repo, 'no run result' FROM instances i
+WHERE {VALID_SQL} AND NOT EXISTS (SELECT 1 FROM label_runs r WHERE r.instance_id = i.instance_id)""",
+       "instances", "label_runs")
+
+oracle("a9_benchmark_summary", f"""
+WITH per AS (
+  SELECT run_id, {repo_of('run_id')} AS repo, bool_or(decision = 'commit') AS passed,
+         count(*) FILTER (WHERE decision = 'retry') AS retries,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS dur
+  FROM ledger GROUP BY run_id)
+SELECT coalesce(repo, 'ALL') AS repo, count(*) AS instances, count(*) FILTER (WHERE passed) AS passed,
+       round(count(*) FILTER (WHERE passed) / count(*), 6) AS success_share,
+       round(avg(retries), 6) AS mean_retries, round(avg(dur), 6) AS mean_duration_seconds
+FROM per GROUP BY ROLLUP (repo)""", "ledger")

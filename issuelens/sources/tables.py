@@ -137,3 +137,31 @@ def v_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("message"))
     return r.select("source_file", "event_id", F.posexplode(F.split(text, "\n")).alias("pos", "line")) \
         .select("source_file", (F.col("event_id") * 16 + F.col("pos")).alias("line_no"), "line")
+
+
+def v_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark instances from ``benchmark``: test-id lists as JSON text
+    built from the line items of the order with the same key; some fields
+    missing, some lists malformed."""
+    b = table(spark, sf_dir, "benchmark")
+    li = table(spark, sf_dir, "lineitem")
+    tid = F.concat(F.lit("tests/test_f"), F.col("l_linenumber").cast("string"), F.lit(".py::test_"),
+                   F.col("l_partkey").cast("string"))
+    lists = li.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "R", tid))).alias("f2p"),
+        F.sort_array(F.collect_list(F.when(F.col("l_returnflag") != "R", tid))).alias("p2p"))
+    i = F.col("item_id")
+    short = F.concat(F.lit("org"), (i % 5).cast("string"), F.lit("/repo"), (i % 25).cast("string"))
+    repo = (F.when(i % 13 == 0, F.lit(None).cast("string"))
+            .when(i % 3 == 1, F.concat(F.lit("https://github.com/"), short))
+            .when(i % 3 == 2, F.concat(short, F.lit(".git"))).otherwise(short))
+    f2p = (F.when(i % 7 == 3, F.lit("[broken")).when(i % 7 == 5, F.lit('"tests/x.py"'))
+           .otherwise(F.to_json(F.coalesce("f2p", F.array().cast("array<string>")))))
+    return b.join(lists, F.col("l_orderkey") == i, "left").select(
+        i.alias("pos"),
+        F.when(i % 11 != 0, F.concat(F.lit("inst-"), i.cast("string"))).alias("instance_id"),
+        repo.alias("repo"),
+        F.when(i % 17 != 0, F.col("text")).alias("problem_statement"),
+        F.when(i % 19 != 0, F.substring(F.sha2("text", 256), 1, 12)).alias("base_commit"),
+        f2p.alias("FAIL_TO_PASS"),
+        F.to_json(F.coalesce("p2p", F.array().cast("array<string>"))).alias("PASS_TO_PASS"))
