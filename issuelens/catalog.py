@@ -311,3 +311,106 @@ def ledger_results(spark, d):
 @query("a9_benchmark_summary")
 def a9_benchmark_summary(spark, d):
     return B.benchmark_summary(ledger_results(spark, d))
+
+
+# -- text jobs ---------------------------------------------------------------
+from .operators import quality as Q  # noqa: E402
+from .operators import textops as X  # noqa: E402
+
+
+@query("f6_open_issues")
+def f6_open_issues(spark, d):
+    ok, bad = X.open_issues(T.v_issues(spark, d))
+    return ok.select("issue_id", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("issue_id", "reason"))
+
+
+@query("f7_strip_markdown")
+def f7_strip_markdown(spark, d):
+    return T.v_issues(spark, d).select("issue_id", X.strip_markdown("body").alias("text"))
+
+
+def fenced_responses(spark, d):
+    c = T.table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    t = F.col("text")
+    wrapped = (F.when(F.col("turn") % 4 == 1, F.concat(F.lit("```python\n"), t, F.lit("\n```")))
+               .when(F.col("turn") % 4 == 3, F.concat(F.lit("  ```\n"), t, F.lit("\n```  \n")))
+               .otherwise(t))
+    return c.select("conv_id", "turn", wrapped.alias("response"))
+
+
+@query("f14_clean_responses")
+def f14_clean_responses(spark, d):
+    return fenced_responses(spark, d).select("conv_id", "turn", X.clean_response("response").alias("cleaned"))
+
+
+@query("f15_diff_gate")
+def f15_diff_gate(spark, d):
+    c = T.table(spark, d, "conversations")
+    resp = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  diff --git a/x b/x\n"), F.col("text"))) \
+        .otherwise(F.col("text"))
+    return c.select("conv_id", "turn", X.diff_only(resp).alias("patch"))
+
+
+@query("f16_token_count")
+def f16_token_count(spark, d):
+    return X.with_token_count(T.table(spark, d, "documents"), "text").select("doc_id", "n_tokens")
+
+
+def issue_texts(spark, d):
+    doc = F.col("doc_id")
+    extra = (F.when(doc % 10 == 0, F.lit(" Please add Unit Tests for this."))
+             .when(doc % 10 == 5, F.lit(" Covered by PyTest?")).otherwise(F.lit("")))
+    return T.table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("text"))
+
+
+@query("f17_test_issue_flag")
+def f17_test_issue_flag(spark, d):
+    return issue_texts(spark, d).select("doc_id", X.test_issue_flag("text").alias("is_test_issue"))
+
+
+def check_stderr(spark, d):
+    e = T.table(spark, d, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    eid = F.col("event_id")
+    mod = lambda x: F.concat(F.lit("\nModuleNotFoundError: No module named 'mod"),
+                             (x % 5).cast("string"), F.lit("'"))
+    err = F.concat(F.lit("Traceback (most recent call last):"), mod(k),
+                   F.when(eid % 3 == 0, mod(k + 1)).otherwise(F.lit("")),
+                   F.when(eid % 4 == 0, F.lit("\nImportError: build it with pip install -e . first"))
+                   .otherwise(F.lit("")))
+    return e.select("event_id",
+                    F.when(eid % 5 == 0, "web/app.js").otherwise("tests/test_x.py").alias("file"),
+                    F.when(F.col("event_type") == "error", err).otherwise(F.lit("")).alias("stderr"))
+
+
+@query("f21_classify_failures")
+def f21_classify_failures(spark, d):
+    c = X.classify_failures(check_stderr(spark, d))
+    return c.select("event_id", F.array_join("missing_modules", ",").alias("missing_modules"), "needs_build")
+
+
+@query("f24_previews")
+def f24_previews(spark, d):
+    return T.table(spark, d, "documents").select("doc_id", X.preview("text", 300).alias("preview_300"),
+                                                 X.preview("text", 500).alias("preview_500"))
+
+
+@query("d1_reprice")
+def d1_reprice(spark, d):
+    li = T.table(spark, d, "lineitem")
+    pct = F.col("l_discount").cast(Q.DEC) * 100
+    return li.groupBy("l_orderkey").agg(
+        F.sum(Q.reprice("l_extendedprice", pct)).cast("double").alias("total"))
+
+
+@query("d2_convert_units")
+def d2_convert_units(spark, d):
+    e = T.table(spark, d, "events")
+    return e.select("event_id", Q.c_to_f("value").cast("double").alias("value_f"),
+                    Q.f_to_c("value").cast("double").alias("value_c"))
+
+
+@query("d3_email_profile")
+def d3_email_profile(spark, d):
+    return Q.email_profile(T.table(spark, d, "documents"), "text", "source")

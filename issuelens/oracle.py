@@ -444,3 +444,98 @@ SELECT coalesce(repo, 'ALL') AS repo, count(*) AS instances, count(*) FILTER (WH
        round(count(*) FILTER (WHERE passed) / count(*), 6) AS success_share,
        round(avg(retries), 6) AS mean_retries, round(avg(dur), 6) AS mean_duration_seconds
 FROM per GROUP BY ROLLUP (repo)""", "ledger")
+
+# -- text jobs ---------------------------------------------------------------
+WS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
+
+def py_strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')"
+
+
+oracle("f6_open_issues", """
+SELECT issue_id, CASE WHEN coalesce(body, '') = '' THEN 'Issue #' || CAST(number AS VARCHAR) || ' has no body.'
+                      WHEN lower(state) <> 'open' THEN 'Issue #' || CAST(number AS VARCHAR) || ' is not open.'
+                 END AS reason
+FROM v_issues""", "v_issues")
+
+MD = "body"
+for pat, rep in [(r"(?m)^#{1,6}[ \t]+", ""), (r"\*\*([^*\n]+)\*\*", r"\1"), (r"__([^_\n]+)__", r"\1"),
+                 (r"(^|[^`])`([^`\n]+)`", r"\1\2"), (r"<[a-zA-Z/][^<>\n]*>", ""), (r"(?m)[ \t]+$", ""),
+                 (r"\n{2,}", None)]:
+    MD = f"regexp_replace({MD}, '{pat}', " + (f"'{rep}'" if rep is not None else "chr(10)") + ", 'g')"
+oracle("f7_strip_markdown", f"SELECT issue_id, {py_strip_sql(MD)} AS text FROM v_issues", "v_issues")
+
+oracle("f14_clean_responses", f"""
+WITH r AS (SELECT conv_id, turn,
+                  CASE WHEN turn % 4 = 1 THEN '```python' || chr(10) || text || chr(10) || '```'
+                       WHEN turn % 4 = 3 THEN '  ```' || chr(10) || text || chr(10) || '```  ' || chr(10)
+                       ELSE text END AS response
+           FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn,
+       {py_strip_sql("regexp_replace(" + py_strip_sql("response") + ", '(?m)^```[a-zA-Z]*[" + WS + "]*|```$', '', 'g')")}
+         AS cleaned
+FROM r""")
+
+oracle("f15_diff_gate", f"""
+WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '  diff --git a/x b/x' || chr(10) || text
+                                      ELSE text END AS response FROM conversations)
+SELECT conv_id, turn,
+       CASE WHEN starts_with(regexp_replace(response, '\\A[{WS}]+', ''), 'diff ') THEN response ELSE '' END AS patch
+FROM r""")
+
+oracle("f16_token_count", f"SELECT doc_id, len(regexp_extract_all(text, '[^{WS}]+')) AS n_tokens FROM documents")
+
+PHRASES = "test case|test file|add test|write test|unit test|unit tests|integration test|pytest|jest|mocha|" \
+          "add coverage|missing test|missing tests"
+oracle("f17_test_issue_flag", f"""
+SELECT doc_id, regexp_matches(lower(text || CASE WHEN doc_id % 10 = 0 THEN ' Please add Unit Tests for this.'
+                                                 WHEN doc_id % 10 = 5 THEN ' Covered by PyTest?' ELSE '' END),
+                              '{PHRASES}') AS is_test_issue
+FROM documents""")
+
+oracle("f21_classify_failures", """
+WITH e AS (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_type FROM events),
+s AS (SELECT event_id,
+             CASE WHEN event_id % 5 = 0 THEN 'web/app.js' ELSE 'tests/test_x.py' END AS file,
+             CASE WHEN event_type = 'error' THEN
+               'Traceback (most recent call last):' || chr(10) || 'ModuleNotFoundError: No module named ''mod' ||
+               CAST(k % 5 AS VARCHAR) || '''' ||
+               CASE WHEN event_id % 3 = 0 THEN chr(10) || 'ModuleNotFoundError: No module named ''mod' ||
+                                               CAST((k + 1) % 5 AS VARCHAR) || '''' ELSE '' END ||
+               CASE WHEN event_id % 4 = 0 THEN chr(10) || 'ImportError: build it with pip install -e . first'
+                    ELSE '' END
+             ELSE '' END AS stderr
+      FROM e)
+SELECT event_id,
+       CASE WHEN ends_with(file, '.py') AND contains(stderr, 'ModuleNotFoundError') AND contains(stderr, 'No module named')
+            THEN array_to_string(list_sort(list_distinct(
+                   regexp_extract_all(stderr, 'ModuleNotFoundError: No module named ''([^'']+)''', 1))), ',')
+            ELSE '' END AS missing_modules,
+       ends_with(file, '.py') AND contains(stderr, 'ImportError') AND
+         (contains(stderr, 'pip install -e .') OR contains(stderr, 'python setup.py build_ext --inplace')) AS needs_build
+FROM s""")
+
+oracle("f24_previews", "SELECT doc_id, substring(text, 1, 300) AS preview_300, substring(text, 1, 500) AS preview_500 "
+                       "FROM documents")
+
+oracle("d1_reprice", """
+SELECT l_orderkey, CAST(sum(CASE WHEN p <= 0 THEN CAST(0 AS DECIMAL(18,6))
+                                 ELSE round(p * (1 - greatest(d, CAST(0 AS DECIMAL(18,6))) * CAST(0.01 AS DECIMAL(18,6))), 2) END) AS DOUBLE)
+                     AS total
+FROM (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,6)) AS p,
+             CAST(CAST(l_discount AS DECIMAL(18,6)) * 100 AS DECIMAL(18,6)) AS d FROM lineitem)
+GROUP BY l_orderkey""")
+
+oracle("d2_convert_units", """
+SELECT event_id, CAST(round(CAST(value AS DECIMAL(18,6)) * 9 / 5 + 32, 2) AS DOUBLE) AS value_f,
+       CAST(round(CAST((CAST(value AS DECIMAL(18,6)) - 32) * 5 / 9 AS DECIMAL(18,6)), 2) AS DOUBLE) AS value_c
+FROM events""")
+
+oracle("d3_email_profile", f"""
+WITH t AS (SELECT source, unnest(regexp_extract_all(text, '[^{WS}]*@[^{WS}]*')) AS token FROM documents)
+SELECT source, coalesce(token <> '' AND contains(token, '@') AND contains(string_split(token, '@')[-1], '.'), false)
+         AS valid,
+       count(*) AS n_tokens
+FROM t GROUP BY ALL""")
