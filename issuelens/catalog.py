@@ -414,3 +414,227 @@ def d2_convert_units(spark, d):
 @query("d3_email_profile")
 def d3_email_profile(spark, d):
     return Q.email_profile(T.table(spark, d, "documents"), "text", "source")
+
+
+# -- plans -------------------------------------------------------------------
+from .operators import planning as P  # noqa: E402
+from .operators import prompts as PR  # noqa: E402
+from .sources import issues as IS  # noqa: E402
+from .sources import repo_files as RF  # noqa: E402
+
+
+def plans(spark, d):
+    cands = R.candidate_files(T.v_issues(spark, d), inventory(spark, d), fallback_all=False)
+    rid = F.col("run_id")
+    ctx = (F.when(rid % 5 == 0, "Python").when(rid % 5 == 1, "TypeScript").when(rid % 5 == 2, "JavaScript/React")
+           .when(rid % 5 == 3, F.lit(None).cast("string")).otherwise("Go"))
+    return P.plans_from_candidates(cands).withColumn("language_ctx", ctx)
+
+
+def snapshot(spark, d):
+    return P.repo_snapshot(T.v_repo_files(spark, d))
+
+
+def normalized_plans(spark, d):
+    p = P.infer_test_files(P.with_language(plans(spark, d)))
+    return P.normalize_test_paths(p, snapshot(spark, d))
+
+
+@query("f10_lint_targets")
+def f10_lint_targets(spark, d):
+    return P.lint_targets(plans(spark, d))
+
+
+@query("f12_language")
+def f12_language(spark, d):
+    return P.with_language(plans(spark, d)).select("run_id", "language")
+
+
+@query("f13_infer_test_files")
+def f13_infer_test_files(spark, d):
+    p = P.infer_test_files(P.with_language(plans(spark, d)))
+    return p.select("run_id", F.array_join("test_files", "|").alias("test_files"))
+
+
+@query("f11_normalize_test_paths")
+def f11_normalize_test_paths(spark, d):
+    return normalized_plans(spark, d).select("run_id", F.array_join("test_files", "|").alias("test_files"))
+
+
+def planned_tests(spark, d):
+    return normalized_plans(spark, d).select("run_id", "repo", F.explode("test_files").alias("path"))
+
+
+@query("j2_existing_tests")
+def j2_existing_tests(spark, d):
+    return P.existing_tests(planned_tests(spark, d), snapshot(spark, d)).select("run_id", "path")
+
+
+@query("j2_missing_tests")
+def j2_missing_tests(spark, d):
+    return P.missing_tests(planned_tests(spark, d), snapshot(spark, d)).select("run_id", "path")
+
+
+@query("j3_effective_tests")
+def j3_effective_tests(spark, d):
+    return P.effective_tests(normalized_plans(spark, d), snapshot(spark, d)).select(
+        "run_id", "pos", "path", "stage")
+
+
+@query("f22_check_worklist")
+def f22_check_worklist(spark, d):
+    t = P.effective_tests(normalized_plans(spark, d), snapshot(spark, d))
+    return P.check_worklist(t, T.v_repo_config(spark, d)).select("run_id", "path", "command")
+
+
+@query("j4_attach_content")
+def j4_attach_content(spark, d):
+    t = plans(spark, d).select("run_id", "repo", F.explode("source_files").alias("path"))
+    return P.attach_content(t, snapshot(spark, d)).select("run_id", "path", "content")
+
+
+def changes(spark, d):
+    p = normalized_plans(spark, d)
+    return p.select("run_id", "repo", F.sort_array(F.array_distinct(F.concat("source_files", "test_files")))
+                    .alias("changed_files"))
+
+
+@query("j5_change_summaries")
+def j5_change_summaries(spark, d):
+    return P.change_summaries(changes(spark, d), snapshot(spark, d))
+
+
+def plan_responses(spark, d):
+    lb = T.table(spark, d, "labels")
+    doc = F.col("doc_id")
+    s = F.concat(F.lit("src/d"), doc.cast("string"), F.lit(".py"))
+    t = F.concat(F.lit("tests/test_d"), doc.cast("string"), F.lit(".py"))
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    full = F.concat(F.lit('{"relevant_files": ['), q(s), F.lit(", "), q(t), F.lit('], "source_files": ['), q(s),
+                    F.lit('], "test_files": ["test_d'), doc.cast("string"),
+                    F.lit('.py"], "is_test_generation_issue": true}'))
+    resp = (F.when(doc % 6 == 0, full)
+            .when(doc % 6 == 1, F.concat(F.lit('{"source_files": ['), q(s), F.lit("]}")))
+            .when(doc % 6 == 2, F.lit(""))
+            .when(doc % 6 == 3, F.lit("not json at all"))
+            .when(doc % 6 == 4, F.concat(F.lit('{"relevant_files": '), q(s), F.lit("}")))
+            .otherwise(F.lit('{"relevant_files": ["a.py"], "extra": 1, "is_test_generation_issue": false}')))
+    return lb.select("doc_id", resp.alias("response"), F.array(s, t).alias("candidates"))
+
+
+def parsed_plans(spark, d):
+    return P.parse_plans(plan_responses(spark, d))
+
+
+@query("f18_parse_plans")
+def f18_parse_plans(spark, d):
+    return parsed_plans(spark, d).select(
+        "doc_id", "parsed_ok", F.array_join("relevant_files", ",").alias("relevant_files"),
+        F.array_join("source_files", ",").alias("source_files"),
+        F.array_join("test_files", ",").alias("test_files"), "is_test_generation_issue")
+
+
+@query("f25_route")
+def f25_route(spark, d):
+    return P.route(parsed_plans(spark, d)).select("doc_id", "branch")
+
+
+@query("f19_dependencies")
+def f19_dependencies(spark, d):
+    raw = F.concat(F.lit(" "), F.regexp_replace("p_type", " ", " , "), F.lit(",,"))
+    deps = P.dependency_list(raw)
+    return T.table(spark, d, "part").select("p_partkey", F.array_join(deps, "|").alias("deps"),
+                                            F.size(deps).cast("bigint").alias("n_deps"))
+
+
+# -- prompts and responses ---------------------------------------------------
+def run_errors(rid):
+    return F.when(rid % 3 == 0, F.lit("  Test failure in tests/test_x.py:\nassert 1 == 2  "))
+
+
+def issue_bodies(spark, d):
+    return T.v_issues(spark, d).select(F.col("issue_id").alias("run_id"), F.col("body").alias("issue"))
+
+
+@query("f20_planning_prompts")
+def f20_planning_prompts(spark, d):
+    lists = R.candidate_lists(R.candidate_files(T.v_issues(spark, d), inventory(spark, d)))
+    j = T.v_issues(spark, d).select("issue_id", "body").join(lists, "issue_id")
+    return PR.build_prompts(j, "planning", issue="body", candidates="candidates").select("issue_id", "prompt")
+
+
+def _file_prompts(spark, d, template, files_col, p):
+    t = p.select("run_id", "repo", "relevant_files", "language", F.explode(files_col).alias("path"))
+    t = P.attach_content(t, snapshot(spark, d)).join(issue_bodies(spark, d), "run_id") \
+        .withColumn("errors", run_errors(F.col("run_id")))
+    return PR.build_prompts(t, template, issue="issue", path="path", content="content", relevant="relevant_files",
+                            errors="errors", language="language").select("run_id", "path", "prompt")
+
+
+@query("f20_code_prompts")
+def f20_code_prompts(spark, d):
+    return _file_prompts(spark, d, "code", "source_files", P.with_language(plans(spark, d)))
+
+
+@query("f20_test_prompts")
+def f20_test_prompts(spark, d):
+    return _file_prompts(spark, d, "test", "test_files", normalized_plans(spark, d))
+
+
+@query("f20_commit_prompts")
+def f20_commit_prompts(spark, d):
+    s = P.change_summaries(changes(spark, d), snapshot(spark, d))
+    j = issue_bodies(spark, d).join(s, "run_id", "left")
+    return PR.build_prompts(j, "commit", issue="issue", summary="summary").select("run_id", "prompt")
+
+
+@query("f20_patch_prompts")
+def f20_patch_prompts(spark, d):
+    return PR.build_prompts(T.v_instances(spark, d), "patch", problem="problem_statement").select("pos", "prompt")
+
+
+@query("j8_replay_responses")
+def j8_replay_responses(spark, d):
+    prompts = T.table(spark, d, "conversations").filter(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+    return PR.replay_responses(prompts, T.v_calls(spark, d)).select("conv_id", "turn", "response")
+
+
+@query("e1_respond")
+def e1_respond(spark, d):
+    calls = T.v_calls(spark, d).select("call_id", "prompt")
+    return PR.respond(calls, PR.diff_echo, mode="patch").select("call_id", "response")
+
+
+# -- sources -----------------------------------------------------------------
+@query("s1_read_issues")
+def s1_read_issues(spark, d):
+    from .session import scratch_path
+    out = scratch_path(spark, "issue-files")
+    T.v_issues(spark, d).select("issue_id", "body").write.partitionBy("issue_id").text(out)
+    r = IS.read_issues(spark, out)
+    return r.select(F.regexp_extract("issue_file", "issue_id=([0-9]+)", 1).cast("bigint").alias("issue_id"), "body")
+
+
+def issue_refs(spark, d):
+    i = T.v_issues(spark, d)
+    n = F.col("number").cast("string")
+    k = F.col("issue_id") % 8
+    ref = (F.when(k == 0, n).when(k == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(k == 2, F.concat(F.lit("+"), n))
+           .when(k == 3, F.concat(F.lit("-"), n)).when(k == 4, F.concat(n, F.lit("_0")))
+           .when(k == 5, F.concat(F.lit("see issue "), n)).when(k == 6, F.lit("   "))
+           .otherwise(F.concat(F.lit("0x"), n)))
+    return i.select(F.col("issue_id").alias("ref_id"), "repo", ref.alias("ref"))
+
+
+@query("s2_resolve_refs")
+def s2_resolve_refs(spark, d):
+    return IS.resolve_issue_refs(issue_refs(spark, d), T.v_issues(spark, d))
+
+
+@query("s9_apply_updates")
+def s9_apply_updates(spark, d):
+    f = T.v_repo_files(spark, d).select("file_id", "repo", "path")
+    u = fenced_responses(spark, d).join(f, F.col("conv_id") == F.col("file_id")).select(
+        "repo", "path", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "response")
+    return RF.apply_updates(snapshot(spark, d), u)

@@ -21,7 +21,8 @@ REASON_NO_ID = "missing instance_id"
 REASON_NO_REPO = "missing repo"
 REASON_NO_FIELDS = "missing required fields"
 
-EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def validate_instances(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +59,7 @@ def with_repo_urls(df: DataFrame, repo_col: str = "repo", id_col: str = "issue_i
 def test_ids(df: DataFrame) -> Column:
     """FAIL_TO_PASS then PASS_TO_PASS parsed as JSON string lists; bad
     JSON or a non-list contributes nothing; duplicates kept."""
-    parse = lambda c: F.coalesce(F.from_json(F.col(c), "array<string>"), EMPTY)
+    parse = lambda c: F.coalesce(F.from_json(F.col(c), "array<string>"), _empty())
     return F.concat(parse("FAIL_TO_PASS"), parse("PASS_TO_PASS"))
 
 

@@ -539,3 +539,252 @@ SELECT source, coalesce(token <> '' AND contains(token, '@') AND contains(string
          AS valid,
        count(*) AS n_tokens
 FROM t GROUP BY ALL""")
+
+# -- plans -------------------------------------------------------------------
+IS_TEST_SQL = "(contains(lower({n}), 'test') OR contains(lower({n}), 'spec'))"
+cte("plans", f"""
+SELECT issue_id AS run_id, repo,
+       list(path ORDER BY path) AS relevant_files,
+       coalesce(list(path ORDER BY path) FILTER (WHERE NOT is_t), []) AS source_files,
+       coalesce(list(path ORDER BY path) FILTER (WHERE is_t), []) AS test_files,
+       issue_id % 4 = 0 AS is_test_generation_issue,
+       CASE issue_id % 5 WHEN 0 THEN 'Python' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'JavaScript/React'
+                         WHEN 3 THEN NULL ELSE 'Go' END AS language_ctx
+FROM (SELECT *, {IS_TEST_SQL.format(n=name_of('path'))} AS is_t FROM candidates)
+GROUP BY issue_id, repo""", "candidates")
+
+SUFFIX_LANG = ("CASE lower({s}) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' "
+               "WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' END")
+FIRST_KNOWN = ("list_filter(relevant_files, lambda f: lower(" + suffix_of("f") +
+               ") IN ('.py', '.ts', '.tsx', '.js', '.jsx'))[1]")
+LANG_SQL = f"""CASE WHEN contains(lower(language_ctx), 'python') THEN 'python'
+     WHEN contains(lower(language_ctx), 'typescript') OR contains(lower(language_ctx), 'ts') THEN 'typescript'
+     WHEN contains(lower(language_ctx), 'javascript') OR contains(lower(language_ctx), 'js') THEN 'javascript'
+     ELSE coalesce({SUFFIX_LANG.format(s=suffix_of(FIRST_KNOWN))}, 'python') END"""
+cte("plans_lang", f"SELECT *, {LANG_SQL} AS language FROM plans", "plans")
+
+BASE_SQL = "regexp_replace(" + stem_of("source_files[1]") + ", '^test_', '')"
+cte("plans13", f"""
+SELECT * REPLACE (CASE WHEN len(test_files) > 0 THEN test_files ELSE [
+  CASE WHEN len(source_files) > 0 THEN
+         CASE language WHEN 'python' THEN 'test_' || {BASE_SQL} || '.py'
+                       WHEN 'typescript' THEN {BASE_SQL} || '.test.ts'
+                       ELSE {BASE_SQL} || '.test.js' END
+       WHEN language = 'python' THEN 'test_generated.py' ELSE 'generated.test.ts' END] END AS test_files)
+FROM plans_lang""", "plans_lang")
+
+cte("snapshot", "SELECT repo, path, min(content) AS content FROM v_repo_files GROUP BY repo, path", "v_repo_files")
+cte("test_dirs", """
+SELECT repo, CASE WHEN bool_or(starts_with(path, 'tests/')) THEN 'tests'
+                  WHEN bool_or(starts_with(path, 'test/')) THEN 'test' ELSE 'tests' END AS test_dir
+FROM v_repo_files GROUP BY repo""", "v_repo_files")
+cte("plans11", """
+SELECT p.* REPLACE (list_transform(p.test_files,
+         lambda x: CASE WHEN contains(x, '/') THEN x ELSE coalesce(d.test_dir, 'tests') || '/' || x END) AS test_files)
+FROM plans13 p LEFT JOIN test_dirs d USING (repo)""", "plans13", "test_dirs")
+
+oracle("f10_lint_targets", f"""
+SELECT run_id, pos, path FROM (
+  SELECT run_id, CAST(generate_subscripts(relevant_files, 1) - 1 AS INTEGER) AS pos, unnest(relevant_files) AS path
+  FROM plans)
+WHERE ends_with(path, '.py') AND NOT contains(lower({stem_of('path')}), 'test')""", "plans")
+oracle("f12_language", "SELECT run_id, language FROM plans_lang", "plans_lang")
+oracle("f13_infer_test_files", "SELECT run_id, array_to_string(test_files, '|') AS test_files FROM plans13", "plans13")
+oracle("f11_normalize_test_paths", "SELECT run_id, array_to_string(test_files, '|') AS test_files FROM plans11",
+       "plans11")
+cte("planned_tests", "SELECT run_id, repo, unnest(test_files) AS path FROM plans11", "plans11")
+oracle("j2_existing_tests", """
+SELECT run_id, path FROM planned_tests t WHERE EXISTS (SELECT 1 FROM snapshot s WHERE s.repo = t.repo AND s.path = t.path)""",
+       "planned_tests", "snapshot")
+oracle("j2_missing_tests", """
+SELECT run_id, path FROM planned_tests t
+WHERE NOT EXISTS (SELECT 1 FROM snapshot s WHERE s.repo = t.repo AND s.path = t.path)""", "planned_tests", "snapshot")
+
+cte("effective", f"""
+WITH pt AS (SELECT run_id, repo, CAST(generate_subscripts(test_files, 1) - 1 AS INTEGER) AS pos,
+                   unnest(test_files) AS path FROM plans11),
+s1 AS (SELECT run_id, repo, pos, path, 'planned' AS stage FROM pt
+       WHERE EXISTS (SELECT 1 FROM snapshot s WHERE s.repo = pt.repo AND s.path = pt.path)),
+rt AS (SELECT run_id, repo, CAST(generate_subscripts(relevant_files, 1) - 1 AS INTEGER) AS pos,
+              unnest(relevant_files) AS path FROM plans11
+       WHERE run_id NOT IN (SELECT run_id FROM s1))
+SELECT * FROM s1
+UNION ALL
+SELECT run_id, repo, pos, path, 'relevant' FROM rt
+WHERE {IS_TEST_SQL.format(n=name_of('path'))}
+  AND EXISTS (SELECT 1 FROM snapshot s WHERE s.repo = rt.repo AND s.path = rt.path)""", "plans11", "snapshot")
+oracle("j3_effective_tests", "SELECT run_id, pos, path, stage FROM effective", "effective")
+oracle("f22_check_worklist", f"""
+WITH cfg AS (SELECT repo, bool_or(contains(content, 'addopts') AND contains(content, '--doctest-rst')) AS doctest
+             FROM v_repo_config WHERE path = 'pyproject.toml' GROUP BY repo),
+c AS (SELECT e.run_id, e.path,
+             CASE WHEN lower({suffix_of('e.path')}) = '.py'
+                    THEN CASE WHEN coalesce(cfg.doctest, false) THEN 'pytest' ELSE 'pytest ' || e.path END
+                  WHEN lower({suffix_of('e.path')}) IN ('.js', '.jsx', '.ts', '.tsx') THEN 'npm run test' END AS command
+      FROM effective e LEFT JOIN cfg USING (repo))
+SELECT run_id, path, command FROM c WHERE command IS NOT NULL""", "effective", "v_repo_config")
+
+oracle("j4_attach_content", """
+SELECT t.run_id, t.path, coalesce(s.content, '') AS content
+FROM (SELECT run_id, repo, unnest(source_files) AS path FROM plans) t
+LEFT JOIN snapshot s ON s.repo = t.repo AND s.path = t.path""", "plans", "snapshot")
+
+cte("summaries", """
+SELECT c.run_id, string_agg(c.path || ':' || chr(10) || substring(s.content, 1, 500), chr(10) || chr(10)
+                            ORDER BY c.path) AS summary
+FROM (SELECT DISTINCT run_id, repo, unnest(list_concat(source_files, test_files)) AS path FROM plans11) c
+JOIN snapshot s ON s.repo = c.repo AND s.path = c.path
+GROUP BY c.run_id""", "plans11", "snapshot")
+oracle("j5_change_summaries", "SELECT run_id, summary FROM summaries", "summaries")
+
+cte("plan_responses", """
+SELECT doc_id,
+       CASE doc_id % 6
+         WHEN 0 THEN '{"relevant_files": ["src/d' || CAST(doc_id AS VARCHAR) || '.py", "tests/test_d' ||
+                     CAST(doc_id AS VARCHAR) || '.py"], "source_files": ["src/d' || CAST(doc_id AS VARCHAR) ||
+                     '.py"], "test_files": ["test_d' || CAST(doc_id AS VARCHAR) ||
+                     '.py"], "is_test_generation_issue": true}'
+         WHEN 1 THEN '{"source_files": ["src/d' || CAST(doc_id AS VARCHAR) || '.py"]}'
+         WHEN 2 THEN ''
+         WHEN 3 THEN 'not json at all'
+         WHEN 4 THEN '{"relevant_files": "src/d' || CAST(doc_id AS VARCHAR) || '.py"}'
+         ELSE '{"relevant_files": ["a.py"], "extra": 1, "is_test_generation_issue": false}' END AS response,
+       ['src/d' || CAST(doc_id AS VARCHAR) || '.py', 'tests/test_d' || CAST(doc_id AS VARCHAR) || '.py'] AS candidates
+FROM labels""")
+ARR_OK = "coalesce(json_type(response, '$.{k}'), 'ARRAY') IN ('ARRAY', 'NULL')"
+cte("parsed", f"""
+WITH v AS (
+  SELECT *, CASE WHEN json_valid(response) THEN json_type(response) = 'OBJECT'
+              AND {ARR_OK.format(k='relevant_files')} AND {ARR_OK.format(k='source_files')}
+              AND {ARR_OK.format(k='test_files')}
+              AND coalesce(json_type(response, '$.is_test_generation_issue'), 'BOOLEAN') IN ('BOOLEAN', 'NULL')
+              ELSE false END AS ok
+  FROM plan_responses)
+SELECT doc_id, coalesce(ok, false) AS parsed_ok,
+       CASE WHEN ok THEN coalesce(from_json(json_extract(response, '$.relevant_files'), '["VARCHAR"]'), [])
+            ELSE candidates END AS relevant_files,
+       CASE WHEN ok THEN coalesce(from_json(json_extract(response, '$.source_files'), '["VARCHAR"]'), [])
+            ELSE candidates END AS source_files,
+       CASE WHEN ok THEN coalesce(from_json(json_extract(response, '$.test_files'), '["VARCHAR"]'), [])
+            ELSE [] END AS test_files,
+       CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.is_test_generation_issue') AS BOOLEAN), false)
+            ELSE false END AS is_test_generation_issue
+FROM v""", "plan_responses")
+oracle("f18_parse_plans", """
+SELECT doc_id, parsed_ok, array_to_string(relevant_files, ',') AS relevant_files,
+       array_to_string(source_files, ',') AS source_files, array_to_string(test_files, ',') AS test_files,
+       is_test_generation_issue
+FROM parsed""", "parsed")
+oracle("f25_route", """
+SELECT doc_id, CASE WHEN is_test_generation_issue AND len(test_files) > 0 THEN 'test_generation'
+                    WHEN NOT is_test_generation_issue AND len(source_files) > 0 THEN 'code_generation'
+                    ELSE 'none' END AS branch
+FROM parsed""", "parsed")
+oracle("f19_dependencies", f"""
+SELECT p_partkey, array_to_string(l, '|') AS deps, len(l) AS n_deps
+FROM (SELECT p_partkey, list_filter(list_transform(string_split(' ' || replace(p_type, ' ', ' , ') || ',,', ','),
+                                                   lambda x: {py_strip_sql('x')}), lambda x: x <> '') AS l
+      FROM part)""")
+
+# -- prompts -----------------------------------------------------------------
+PLANNING_TASK = ("Choose the files needed to resolve the issue. Answer with one JSON object with the keys "
+                 "relevant_files, source_files, test_files and is_test_generation_issue.")
+oracle("f20_planning_prompts", f"""
+SELECT i.issue_id, '{PLANNING_TASK}' || chr(10) || chr(10) || 'Issue:' || chr(10) || i.body || chr(10) || chr(10) ||
+       'Candidate files:' || chr(10) || array_to_string(c.l, ', ') AS prompt
+FROM v_issues i JOIN (SELECT issue_id, list(path ORDER BY path) AS l FROM cand_all GROUP BY issue_id) c
+  USING (issue_id)""", "v_issues", "cand_all")
+
+LANG_WORD = ("CASE WHEN coalesce(language, '') = '' THEN '' "
+             "ELSE upper(substr(language, 1, 1)) || lower(substr(language, 2)) || ' ' END")
+ERR = "CASE WHEN run_id % 3 = 0 THEN '  Test failure in tests/test_x.py:' || chr(10) || 'assert 1 == 2  ' END"
+OTHERS = ("'[' || array_to_string(list_transform(list_filter(relevant_files, lambda f: f <> path), "
+          "lambda f: '''' || f || ''''), ', ') || ']'")
+FILE_PROMPT_BASE = """
+WITH t AS (SELECT run_id, repo, relevant_files, language, unnest({files}) AS path FROM {src}),
+c AS (SELECT t.*, coalesce(s.content, '') AS content, i.body AS issue, {err} AS errors
+      FROM t LEFT JOIN snapshot s ON s.repo = t.repo AND s.path = t.path
+      JOIN v_issues i ON i.issue_id = t.run_id)
+SELECT run_id, path, {prompt} AS prompt FROM c"""
+CODE_PROMPT = ("'Rewrite the ' || " + LANG_WORD + " || 'source file below so that it resolves the issue. "
+               "Return the whole file, no fences.' || chr(10) || chr(10) || "
+               "CASE WHEN coalesce(errors, '') <> '' THEN 'Errors of the last run (fix them first):' || chr(10) || "
+               "chr(10) || " + py_strip_sql("errors") + " || chr(10) ELSE '' END || "
+               "'Issue:' || chr(10) || issue || chr(10) || chr(10) || 'Source file: ' || path || chr(10) || "
+               "'Current content:' || chr(10) || content || chr(10) || chr(10) || "
+               "'Other relevant files (read only):' || chr(10) || " + OTHERS + " || chr(10)")
+TEST_PROMPT = ("'Rewrite the ' || " + LANG_WORD + " || 'test file below with a few focused tests for the issue. "
+               "Return the whole file, no fences.' || chr(10) || chr(10) || "
+               "'Issue:' || chr(10) || issue || chr(10) || chr(10) || 'Test file: ' || path || chr(10) || "
+               "'Current content:' || chr(10) || content || chr(10) || chr(10) || "
+               "'Other relevant files (read only):' || chr(10) || " + OTHERS + " || chr(10) || "
+               "CASE WHEN coalesce(errors, '') <> '' THEN chr(10) || chr(10) || '[Errors of the last run:]' || "
+               "chr(10) || " + py_strip_sql("errors") + " || chr(10) || 'Keep passing tests only.' ELSE '' END")
+oracle("f20_code_prompts", FILE_PROMPT_BASE.format(files="source_files", src="plans_lang", err=ERR,
+                                                   prompt=CODE_PROMPT), "plans_lang", "snapshot", "v_issues")
+oracle("f20_test_prompts", FILE_PROMPT_BASE.format(files="test_files", src="plans11", err=ERR,
+                                                   prompt=TEST_PROMPT), "plans11", "snapshot", "v_issues")
+oracle("f20_commit_prompts", """
+SELECT i.issue_id AS run_id,
+       'Write a short conventional commit message for these changes.' || chr(10) || 'Issue:' || chr(10) || i.body ||
+       chr(10) || chr(10) || 'Changed files (truncated):' || chr(10) || coalesce(s.summary, '') AS prompt
+FROM v_issues i LEFT JOIN summaries s ON s.run_id = i.issue_id""", "v_issues", "summaries")
+oracle("f20_patch_prompts", """
+SELECT pos, 'Return a unified diff (starting with ''diff --git'') that resolves the problem, or nothing.' ||
+            chr(10) || chr(10) || 'Fix the following issue in the codebase:' || chr(10) ||
+            coalesce(problem_statement, '') AS prompt
+FROM instances""", "instances")
+
+oracle("j8_replay_responses", """
+WITH rec AS (SELECT sha256(prompt) AS h, arg_min(response, call_id) AS response FROM v_calls GROUP BY 1)
+SELECT c.conv_id, c.turn, coalesce(r.response, '') AS response
+FROM conversations c LEFT JOIN rec r ON r.h = sha256(c.text)
+WHERE c.role = 'user'""", "v_calls")
+oracle("e1_respond", """
+SELECT call_id, CASE WHEN length(prompt) % 2 = 0 THEN 'diff --git a/p b/p' || chr(10) || prompt ELSE '' END AS response
+FROM v_calls""", "v_calls")
+
+# -- sources -----------------------------------------------------------------
+oracle("s1_read_issues", "SELECT issue_id, body || chr(10) AS body FROM v_issues", "v_issues")
+PY_INT_SQL = f"^[{WS}]*[+-]?[0-9]+(_[0-9]+)*[{WS}]*$"
+oracle("s2_resolve_refs", f"""
+WITH refs AS (
+  SELECT issue_id AS ref_id, repo,
+         CASE issue_id % 8 WHEN 0 THEN CAST(number AS VARCHAR) WHEN 1 THEN ' ' || CAST(number AS VARCHAR) || ' '
+              WHEN 2 THEN '+' || CAST(number AS VARCHAR) WHEN 3 THEN '-' || CAST(number AS VARCHAR)
+              WHEN 4 THEN CAST(number AS VARCHAR) || '_0' WHEN 5 THEN 'see issue ' || CAST(number AS VARCHAR)
+              WHEN 6 THEN '   ' ELSE '0x' || CAST(number AS VARCHAR) END AS ref
+  FROM v_issues),
+p AS (SELECT *, CASE WHEN regexp_matches(ref, '{PY_INT_SQL}')
+                     THEN TRY_CAST(regexp_replace(ref, '[{WS}]|_', '', 'g') AS BIGINT) END AS n,
+             {py_strip_sql('ref')} = '' AS blank FROM refs),
+k AS (SELECT *, CASE WHEN blank OR n <= 0 THEN 'rejected' WHEN n IS NOT NULL THEN 'number' ELSE 'text' END AS k0,
+             CASE WHEN blank THEN 'empty reference' WHEN n <= 0 THEN 'issue number must be > 0' END AS r0 FROM p),
+j AS (SELECT k.*, i.body AS ibody, i.state AS istate, i.number AS inum
+      FROM k LEFT JOIN v_issues i ON i.repo = k.repo AND i.number = (CASE WHEN k.k0 = 'number' THEN k.n END)),
+r AS (SELECT *, CASE WHEN k0 = 'number' THEN
+                  CASE WHEN inum IS NULL THEN 'Issue #' || CAST(n AS VARCHAR) || ' not found.'
+                       WHEN coalesce(ibody, '') = '' THEN 'Issue #' || CAST(n AS VARCHAR) || ' has no body.'
+                       WHEN lower(istate) <> 'open' THEN 'Issue #' || CAST(n AS VARCHAR) || ' is not open.' END
+                  ELSE r0 END AS reason FROM j)
+SELECT ref_id, repo, ref, CASE WHEN reason IS NOT NULL THEN 'rejected' ELSE k0 END AS kind,
+       CASE WHEN k0 = 'number' THEN n END AS number,
+       CASE WHEN k0 = 'number' AND reason IS NULL THEN {py_strip_sql(MD.replace('body', 'ibody'))}
+            WHEN k0 = 'text' THEN ref END AS body,
+       reason
+FROM r""", "v_issues")
+
+FENCED = """CASE WHEN c.turn % 4 = 1 THEN '```python' || chr(10) || c.text || chr(10) || '```'
+                 WHEN c.turn % 4 = 3 THEN '  ```' || chr(10) || c.text || chr(10) || '```  ' || chr(10)
+                 ELSE c.text END"""
+CLEAN = py_strip_sql("regexp_replace(" + py_strip_sql("response") + ", '(?m)^```[a-zA-Z]*[" + WS +
+                     "]*|```$', '', 'g')")
+oracle("s9_apply_updates", f"""
+WITH upd AS (SELECT f.repo, f.path, c.conv_id * 1000 + c.turn AS seq, {FENCED} AS response
+             FROM conversations c JOIN v_repo_files f ON f.file_id = c.conv_id WHERE c.role = 'assistant'),
+cl AS (SELECT repo, path, seq, {CLEAN} AS new FROM upd),
+lst AS (SELECT repo, path, arg_max(new, seq) AS new FROM cl WHERE new <> '' GROUP BY repo, path)
+SELECT coalesce(s.repo, l.repo) AS repo, coalesce(s.path, l.path) AS path,
+       coalesce(regexp_replace(l.new, '[{WS}]+\\z', '', 'g') || chr(10), s.content) AS content,
+       CASE WHEN l.new IS NULL THEN 'unchanged' WHEN s.content IS NULL THEN 'created' ELSE 'updated' END AS status
+FROM snapshot s FULL OUTER JOIN lst l ON s.repo = l.repo AND s.path = l.path""", "snapshot", "v_repo_files")
