@@ -638,3 +638,41 @@ def s9_apply_updates(spark, d):
     u = fenced_responses(spark, d).join(f, F.col("conv_id") == F.col("file_id")).select(
         "repo", "path", (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "response")
     return RF.apply_updates(snapshot(spark, d), u)
+
+
+# -- streams -----------------------------------------------------------------
+from .streaming import log_tail as XT  # noqa: E402
+from .streaming import retry_state as XS  # noqa: E402
+
+
+@query("x1_stream_run_log")
+def x1_stream_run_log(spark, d):
+    """Log lines written as text files per run, tailed by a stream."""
+    from .session import scratch_path
+    src, out, ckpt = (scratch_path(spark, n) for n in ("logs-in", "logs-out", "logs-ckpt"))
+    T.v_log_lines(spark, d).select("source_file", "line").write.partitionBy("source_file").text(src)
+    q = XT.run_to_parquet(XT.stream_run_log(spark, src), out, ckpt)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.regexp_extract("source_path", "source_file=([^/]+)/", 1).alias("source_file"),
+                    F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "level",
+                    F.split("message", "\n")[0].alias("message"))
+
+
+@query("x2_stream_retry_ledger")
+def x2_stream_retry_ledger(spark, d):
+    """Attempts written as four time-ordered files and streamed one file
+    per micro-batch through the stateful ledger."""
+    from .session import scratch_path
+    src, out, ckpt = (scratch_path(spark, n) for n in ("attempts-in", "ledger-out", "ledger-ckpt"))
+    a = T.v_attempts(spark, d)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = a.agg(F.min(us), F.max(us)).first()
+    step = (hi - lo) // 4 + 1
+    for i in range(4):
+        a.filter((us >= lo + i * step) & (us < lo + (i + 1) * step)).coalesce(1) \
+            .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    q = XT.run_to_parquet(XS.stream_retry_ledger(stream), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -788,3 +788,9 @@ SELECT coalesce(s.repo, l.repo) AS repo, coalesce(s.path, l.path) AS path,
        coalesce(regexp_replace(l.new, '[{WS}]+\\z', '', 'g') || chr(10), s.content) AS content,
        CASE WHEN l.new IS NULL THEN 'unchanged' WHEN s.content IS NULL THEN 'created' ELSE 'updated' END AS status
 FROM snapshot s FULL OUTER JOIN lst l ON s.repo = l.repo AND s.path = l.path""", "snapshot", "v_repo_files")
+
+# -- streams -----------------------------------------------------------------
+oracle("x1_stream_run_log", """
+SELECT source_file, epoch_ms(date_trunc('millisecond', ts)) AS ts_ms, level, split_part(message, chr(10), 1) AS message
+FROM log_records""", "log_records")
+oracle("x2_stream_retry_ledger", "SELECT run_id, event_id, attempt, decision FROM ledger", "ledger")
