@@ -7,11 +7,14 @@ Shuffle plan of the flagship (``candidate_files``):
   name is indexed by its distinct substrings, so "name contains stem" is an
   exact equality lookup.  No pair of (mention, file) is ever enumerated, and
   a repository holding a third of all files spreads over as many join keys
-  as its file names have substrings instead of landing in one task.
-* union + distinct  – one shuffle on ``(issue_id, repo, path)`` with
+  as its file names have substrings instead of landing in one task.  The
+  join is left outer, so each mention row carries its own matches and the
+  regex pass over the issue bodies happens once.
+* distinct          – one shuffle on ``(issue_id, repo, path)`` with
   map-side partial distinct.
-* fallback          – anti join on ``issue_id`` then equi-join on ``repo``
-  for issues with no candidate; it emits exactly the result rows.
+* fallback          – issues without any mention (a short-circuiting
+  ``rlike``) equi-joined on ``repo`` with the inventory; it emits exactly
+  the result rows.
 """
 
 from __future__ import annotations
@@ -69,37 +72,61 @@ def _all_substrings(s) -> "F.Column":
         lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
 
 
+# A stem comes from the mention pattern, so once lower-cased it only holds
+# these characters; substrings of a name that hold any other can never equal
+# a stem.
+STEM_CHARS_RUN = "[a-z0-9_-]+"
+
+
+def test_index(inventory: DataFrame) -> DataFrame:
+    """Test-like files keyed by every distinct substring of their lower-case
+    name that could equal a stem: ``(repo, key, path)``.  Names are one path
+    segment, so the fan-out per file is bounded (quadratic in the length of
+    its longest run of stem characters)."""
+    tests = (inventory.select("repo", "path").filter(is_test_name("path"))
+             .withColumn("name_lc", F.lower(file_name("path"))))
+    runs = F.regexp_extract_all(F.col("name_lc"), F.lit(STEM_CHARS_RUN), 0)
+    keys = F.array_distinct(F.flatten(F.transform(runs, _all_substrings)))
+    return tests.select("repo", F.explode(keys).alias("key"), "path")
+
+
+def _keyed(mention_rows: DataFrame) -> DataFrame:
+    return mention_rows.withColumn("key", F.lower(file_stem("path")))
+
+
 def match_tests(mention_rows: DataFrame, inventory: DataFrame) -> DataFrame:
     """Test-like files of the same repo whose lower-case name contains
-    the lower-case stem of a mention.  Empty stems are dropped.
+    the lower-case stem of a mention.  Empty stems match nothing (the index
+    holds no empty key).
 
     Returns ``(issue_id, repo, mention, path)``.
     """
-    tests = (inventory.select("repo", "path")
-             .filter(is_test_name("path"))
-             .withColumn("name_lc", F.lower(file_name("path"))))
-    index = tests.select("repo", "path", F.explode(_all_substrings(F.col("name_lc"))).alias("key"))
-    m = (mention_rows.select("issue_id", "repo", F.col("path").alias("mention"),
-                             F.lower(file_stem("path")).alias("key"))
-         .filter(F.col("key") != ""))
-    return m.join(index, ["repo", "key"]).select("issue_id", "repo", "mention", "path")
+    m = _keyed(mention_rows).withColumnRenamed("path", "mention")
+    return m.join(test_index(inventory), ["repo", "key"]).select("issue_id", "repo", "mention", "path")
 
 
-def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool = True) -> DataFrame:
+def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool = True,
+                    body_col: str = "body") -> DataFrame:
     """A1 (+U1): per issue, distinct mentions ∪ matched test files.
 
     Mentions need not exist in the repository.  With ``fallback_all`` (the
     modular behaviour) an issue with no candidate gets every inventory file
     of its repository.  Long form ``(issue_id, repo, path)``; use
     :func:`candidate_lists` for the sorted array per issue.
+
+    The mention regex runs once: each mention row is left-joined to the
+    test index and both the mention and its matched test are emitted from
+    that one row.  Candidates are empty exactly when an issue has no
+    mention, which the fallback finds with a short-circuiting ``rlike``.
     """
-    m = mentions(issues)
     inv = inventory.select("repo", "path")
-    t = match_tests(m, inv).select("issue_id", "repo", "path")
-    cands = m.unionByName(t).distinct()
+    m = _keyed(mentions(issues, body_col))
+    j = m.join(test_index(inv).withColumnRenamed("path", "test_path"), ["repo", "key"], "left")
+    cands = j.select("issue_id", "repo", F.explode(F.array_compact(F.array("path", "test_path"))).alias("path")) \
+        .distinct()
     if not fallback_all:
         return cands
-    empty = issues.select("issue_id", "repo").join(cands.select("issue_id"), "issue_id", "left_anti")
+    empty = issues.filter(~F.col(body_col).rlike(MENTION_PATTERN)).select("issue_id", "repo")
     return cands.unionByName(empty.join(inv, "repo").select("issue_id", "repo", "path"))
 
 

@@ -18,8 +18,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 NL = "\n"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Balance a scan that yields fewer partitions than the session's
+    parallelism (e.g. a file written as one row group), so per-row work
+    after it uses every core.  Asking for the partition count only plans
+    the scan.  On a cluster reading many files the scan already has enough
+    splits and this adds nothing to the plan."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _repo_of(key) -> "F.Column":
