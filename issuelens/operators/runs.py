@@ -17,8 +17,11 @@ DECISIONS = ("retry", "end", "commit")
 
 def _first_attempts(attempts: DataFrame, key: str, order, limit: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    return (attempts.withColumn("attempt", (F.row_number().over(w) - 1).cast("bigint"))
-            .filter(F.col("attempt") < limit))
+    # The filter must sit directly on the row_number() column for Spark to
+    # plan the per-group limit before the shuffle.
+    return (attempts.withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= limit)
+            .withColumn("attempt", (F.col("_rn") - 1).cast("bigint")).drop("_rn"))
 
 
 def retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True,
@@ -39,26 +42,29 @@ def retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True,
     ``max_retries`` rows per agent.
     """
     limit = max_retries + 1
-    first = _first_attempts(attempts, key, order, limit)
     failed = F.coalesce(F.col("tests_passed") == F.lit(False), F.lit(False))
-    group = [key] + ([agent_key] if budget_scope == "agent" else [])
-    per_run = first.groupBy(*group).agg(
-        F.coalesce(F.min(F.when(~failed, F.col("attempt"))), F.count(F.lit(1))).alias("lead_fail"),
-        F.min(F.struct(*order)).alias("start"))
+    # Per-run values as window aggregates over the same partitioning: the
+    # limited rows (at most ``limit`` per run) are not shuffled again.
+    wk = Window.partitionBy(key)
+    first = _first_attempts(attempts, key, order, limit).withColumn(
+        "lead_fail", F.coalesce(F.min(F.when(~failed, F.col("attempt"))).over(wk), F.count(F.lit(1)).over(wk)))
     if budget_scope == "run":
-        per_run = per_run.withColumn("budget", F.lit(max_retries).cast("bigint"))
+        first = first.withColumn("budget", F.lit(max_retries).cast("bigint"))
     elif budget_scope == "agent":
-        per_run = per_run.withColumn("run_order", F.struct("start", F.col(key)))
-        wa = Window.partitionBy(agent_key).orderBy("run_order")
-        consumers = (per_run.filter(F.col("lead_fail") > 0)
+        per_run = first.groupBy(key).agg(
+            F.first(agent_key).alias("_agent_of_run"), F.first("lead_fail").alias("_lf"),
+            F.struct(F.min(F.struct(*order)), F.col(key)).alias("run_order"))
+        wa = Window.partitionBy("_agent_of_run").orderBy("run_order")
+        consumers = (per_run.filter(F.col("_lf") > 0)
                      .withColumn("_rk", F.row_number().over(wa)).filter(F.col("_rk") <= max_retries)
-                     .select(F.col(agent_key).alias("_agent"), F.col("run_order").alias("_c_order"),
-                             F.col("lead_fail").alias("_c_fail")))
-        used = (per_run.join(consumers, (F.col(agent_key) == F.col("_agent"))
+                     .select(F.col("_agent_of_run").alias("_agent"), F.col("run_order").alias("_c_order"),
+                             F.col("_lf").alias("_c_fail")))
+        used = (per_run.join(consumers, (F.col("_agent_of_run") == F.col("_agent"))
                              & (F.col("_c_order") < F.col("run_order")), "left")
                 .groupBy(key).agg(F.coalesce(F.sum("_c_fail"), F.lit(0)).alias("_used")))
-        per_run = per_run.join(used, key).withColumn(
-            "budget", (F.lit(max_retries) - F.least(F.lit(max_retries), F.col("_used"))).cast("bigint"))
+        first = first.join(used, key).withColumn(
+            "budget", (F.lit(max_retries) - F.least(F.lit(max_retries), F.col("_used"))).cast("bigint")) \
+            .drop("_used")
     else:
         raise ValueError(f"budget_scope must be 'run' or 'agent', not {budget_scope!r}")
     n_retry = F.least(F.col("lead_fail"), F.col("budget"))
@@ -67,8 +73,7 @@ def retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True,
                 .when(failed, "end")
                 .when(passed & F.lit(commit), "commit")
                 .otherwise("end"))
-    return (first.join(per_run.select(key, "lead_fail", "budget"), key)
-            .filter(F.col("attempt") <= n_retry)
+    return (first.filter(F.col("attempt") <= n_retry)
             .withColumn("decision", decision)
             .drop("lead_fail", "budget"))
 
