@@ -676,3 +676,22 @@ def x2_stream_retry_ledger(spark, d):
     q = XT.run_to_parquet(XS.stream_retry_ledger(stream), out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+# -- remaining inventory items -----------------------------------------------
+@query("a2_plan_sizes")
+def a2_plan_sizes(spark, d):
+    return R.plan_sizes(plans(spark, d))
+
+
+@query("j6_lookup_issues")
+def j6_lookup_issues(spark, d):
+    refs = issue_refs(spark, d).withColumn("number", F.col("ref_id") * 2)
+    j = IS.lookup_issues(refs, T.v_issues(spark, d))
+    return j.select("ref_id", "number", F.col("_num").isNotNull().alias("found"), F.col("_state").alias("state"))
+
+
+@query("w5_first_seen")
+def w5_first_seen(spark, d):
+    fs = O.first_seen(change_events(spark, d), "run_id", "file")
+    return fs.select("run_id", "file", F.col("first.event_id").alias("first_event_id"))

@@ -90,13 +90,39 @@ def _micros(ts_col: str):
     return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
+def next_in_run(records: DataFrame, value, key: str = "run_id", order=("ts", "event_id"),
+                partitions: int | None = None) -> DataFrame:
+    """Add ``_next``: ``value`` of the next record of the same run.
+
+    Skew-safe form of ``lead(value) over (partition by key order by ...)``:
+    rows are range-partitioned on ``(key, order)``, so one run may span many
+    tasks; ``lead`` runs inside each (partition, run) slice, and the last row
+    of a slice takes the first row of the next non-empty partition when that
+    row belongs to the same run.  The table of first rows has one row per
+    partition (a proven bound), so it is broadcast.
+    """
+    n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = (records.withColumn("_v", value).repartitionByRange(n, key, *order)
+         .withColumn("_pid", F.spark_partition_id()))
+    x = x.withColumn("_next", F.lead("_v").over(Window.partitionBy("_pid", key).orderBy(*order)))
+    firsts = x.groupBy("_pid").agg(F.min(F.struct(key, *order, "_v")).alias("_f"))
+    heads = firsts.select(F.lag("_pid").over(Window.orderBy("_pid")).alias("_prev_pid"),
+                          F.col("_f")[key].alias("_fkey"), F.col("_f")["_v"].alias("_fv"))
+    j = x.join(F.broadcast(heads), (F.col("_pid") == F.col("_prev_pid")) & (F.col(key) == F.col("_fkey"))
+               & F.col("_next").isNull(), "left")
+    return j.withColumn("_next", F.coalesce("_next", "_fv")).drop("_v", "_pid", "_prev_pid", "_fkey", "_fv")
+
+
 def step_durations(records: DataFrame, key: str = "run_id", ts: str = "ts",
-                   order=("ts", "event_id")) -> DataFrame:
+                   order=("ts", "event_id"), skew_safe: bool = True) -> DataFrame:
     """Seconds from each record to the next record of the same run
-    (NULL for the last)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    nxt = F.lead(_micros(ts)).over(w)
-    return records.withColumn("step_seconds", (nxt - _micros(ts)) / F.lit(1_000_000.0))
+    (NULL for the last).  ``skew_safe`` (default) uses :func:`next_in_run`;
+    ``False`` is the plain window, one run per task."""
+    if skew_safe:
+        out = next_in_run(records, _micros(ts), key, order)
+    else:
+        out = records.withColumn("_next", F.lead(_micros(ts)).over(Window.partitionBy(key).orderBy(*order)))
+    return out.withColumn("step_seconds", (F.col("_next") - _micros(ts)) / F.lit(1_000_000.0)).drop("_next")
 
 
 def run_spans(records: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFrame:

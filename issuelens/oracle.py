@@ -794,3 +794,15 @@ oracle("x1_stream_run_log", """
 SELECT source_file, epoch_ms(date_trunc('millisecond', ts)) AS ts_ms, level, split_part(message, chr(10), 1) AS message
 FROM log_records""", "log_records")
 oracle("x2_stream_retry_ledger", "SELECT run_id, event_id, attempt, decision FROM ledger", "ledger")
+
+# -- remaining inventory items -----------------------------------------------
+oracle("a2_plan_sizes", """
+SELECT run_id, len(source_files) AS n_source, len(test_files) AS n_test, is_test_generation_issue FROM plans""",
+       "plans")
+oracle("j6_lookup_issues", """
+SELECT r.issue_id AS ref_id, r.issue_id * 2 AS number, i.number IS NOT NULL AS found, i.state
+FROM v_issues r LEFT JOIN v_issues i ON i.repo = r.repo AND i.number = r.issue_id * 2""", "v_issues")
+oracle("w5_first_seen", """
+SELECT run_id, file, event_id AS first_event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, file ORDER BY ts, event_id) AS rn FROM change_events)
+WHERE rn = 1""", "change_events")

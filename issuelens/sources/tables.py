@@ -24,10 +24,12 @@ def spread(df: DataFrame) -> DataFrame:
     after it uses every core.  Asking for the partition count only plans
     the scan.  On a cluster reading many files the scan already has enough
     splits and this adds nothing to the plan."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -254,3 +254,28 @@ def test_normalize_test_paths(spark):
                                   "repo string, path string")
     got = {r.run_id: r.test_files for r in P.normalize_test_paths(plans, files).collect()}
     assert got == {1: ["tests/test_a.py", "tests/b.py"], 2: ["test/x.test.ts"], 3: ["tests/y.py"]}
+
+
+def test_next_in_run_spans_partitions(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    eid = 0
+    for run, n in [(1, 500), (2, 3), (3, 1), (4, 200)]:      # run 1 is hot
+        t = 0
+        for _ in range(n):
+            t += rnd.randint(0, 3)
+            rows.append((run, eid, t))
+            eid += 1
+    df = spark.createDataFrame(rows, "run_id long, event_id long, t long")
+    got = {r.event_id: r._next for r in W.next_in_run(df, F.col("t"), order=("t", "event_id"),
+                                                       partitions=13).collect()}
+    want = {}
+    by_run = {}
+    for r in rows:
+        by_run.setdefault(r[0], []).append(r)
+    for run, rs in by_run.items():
+        rs = sorted(rs, key=lambda r: (r[2], r[1]))
+        for a, b in zip(rs, rs[1:] + [None]):
+            want[a[1]] = None if b is None else b[2]
+    assert got == want
