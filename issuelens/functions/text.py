@@ -18,8 +18,11 @@ PY_WS = f"[{PY_WS_CLASS}]"
 PY_NON_WS_RUN = f"[^{PY_WS_CLASS}]+"
 
 # ``int(s)`` accepts surrounding whitespace, one sign and single underscores
-# between digit groups.
-PY_INT_PATTERN = rf"^{PY_WS}*[+-]?[0-9]+(_[0-9]+)*{PY_WS}*$"
+# between digit groups.  Its whitespace is narrower than ``str.split``'s:
+# the ASCII separators \x1C-\x1F do not count.
+PY_INT_WS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+PY_INT_PATTERN = rf"^{PY_INT_WS}*[+-]?[0-9]+(_[0-9]+)*{PY_INT_WS}*$"
 
 
 def _c(col) -> Column:
@@ -42,13 +45,22 @@ def py_lstrip(col) -> Column:
 def py_int(col) -> Column:
     """``int(s)`` for strings it accepts, else NULL (ASCII digits)."""
     c = _c(col)
-    digits = F.regexp_replace(c, rf"{PY_WS}|_", "")
+    digits = F.regexp_replace(c, rf"{PY_INT_WS}|_", "")
     return F.when(c.rlike(PY_INT_PATTERN), digits.try_cast("bigint"))
 
 
 def py_split_count(col) -> Column:
-    """``len(s.split())`` – number of whitespace-separated tokens."""
-    return F.regexp_count(_c(col), F.lit(PY_NON_WS_RUN)).cast("bigint")
+    """``len(s.split())`` – number of whitespace-separated tokens.
+
+    Computed as the pieces of a split on whitespace runs, minus the empty
+    piece a leading or trailing run leaves; a positive character class is
+    several times faster in Java's regex engine than the negated one.
+    """
+    c = _c(col)
+    pieces = F.size(F.split(c, f"{PY_WS}+"))
+    lead = F.substring(c, 1, 1).rlike(f"^{PY_WS}$").cast("int")
+    trail = F.substring(c, -1, 1).rlike(f"^{PY_WS}$").cast("int")
+    return F.when(c == "", F.lit(0)).otherwise(pieces - lead - trail).cast("bigint")
 
 
 def py_list_repr(arr) -> Column:

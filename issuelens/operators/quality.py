@@ -55,6 +55,7 @@ EMAIL_TOKEN_RE = f"[^{PY_WS_CLASS}]*@[^{PY_WS_CLASS}]*"
 
 def email_profile(df: DataFrame, col: str, by: str) -> DataFrame:
     """D3 profile: whitespace-delimited tokens holding ``@``, counted by
-    validity and ``by``."""
-    tok = df.select(by, F.explode(F.regexp_extract_all(F.col(col), F.lit(EMAIL_TOKEN_RE), 0)).alias("token"))
+    validity and ``by``.  Texts without ``@`` hold no such token, so they
+    are dropped by a plain ``contains`` before the regex runs."""
+    tok = df.filter(F.col(col).contains("@")).select(by, F.explode(F.regexp_extract_all(F.col(col), F.lit(EMAIL_TOKEN_RE), 0)).alias("token"))
     return tok.groupBy(by, email_valid("token").alias("valid")).agg(F.count(F.lit(1)).alias("n_tokens"))

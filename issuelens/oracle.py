@@ -746,7 +746,8 @@ FROM v_calls""", "v_calls")
 
 # -- sources -----------------------------------------------------------------
 oracle("s1_read_issues", "SELECT issue_id, body || chr(10) AS body FROM v_issues", "v_issues")
-PY_INT_SQL = f"^[{WS}]*[+-]?[0-9]+(_[0-9]+)*[{WS}]*$"
+INT_WS = WS.replace(r"\x1C-\x1F", "")
+PY_INT_SQL = f"^[{INT_WS}]*[+-]?[0-9]+(_[0-9]+)*[{INT_WS}]*$"
 oracle("s2_resolve_refs", f"""
 WITH refs AS (
   SELECT issue_id AS ref_id, repo,
@@ -756,7 +757,7 @@ WITH refs AS (
               WHEN 6 THEN '   ' ELSE '0x' || CAST(number AS VARCHAR) END AS ref
   FROM v_issues),
 p AS (SELECT *, CASE WHEN regexp_matches(ref, '{PY_INT_SQL}')
-                     THEN TRY_CAST(regexp_replace(ref, '[{WS}]|_', '', 'g') AS BIGINT) END AS n,
+                     THEN TRY_CAST(regexp_replace(ref, '[{INT_WS}]|_', '', 'g') AS BIGINT) END AS n,
              {py_strip_sql('ref')} = '' AS blank FROM refs),
 k AS (SELECT *, CASE WHEN blank OR n <= 0 THEN 'rejected' WHEN n IS NOT NULL THEN 'number' ELSE 'text' END AS k0,
              CASE WHEN blank THEN 'empty reference' WHEN n <= 0 THEN 'issue number must be > 0' END AS r0 FROM p),

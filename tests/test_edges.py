@@ -279,3 +279,24 @@ def test_next_in_run_spans_partitions(spark):
         for a, b in zip(rs, rs[1:] + [None]):
             want[a[1]] = None if b is None else b[2]
     assert got == want
+
+
+def test_python_string_semantics_randomized(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = ["a", "b", "_", "1", "+", "-", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　",
+                "é", "0"]
+    vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v string")
+    rows = df.select("i", py_split_count("v").alias("n"), py_strip("v").alias("s"), py_int("v").alias("k")) \
+        .orderBy("i").collect()
+
+    def pyint(s):
+        try:
+            return int(s) if s.strip().isascii() else None   # ours parses ASCII digits only
+        except ValueError:
+            return None
+    for v, r in zip(vals, rows):
+        assert r.n == len(v.split()), repr(v)
+        assert r.s == v.strip(), repr(v)
+        assert r.k == pyint(v), repr(v)
