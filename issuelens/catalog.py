@@ -84,7 +84,8 @@ def a3_outputs_by_run(spark, d):
 
 @query("a4_run_verdict")
 def a4_run_verdict(spark, d):
-    return O.run_verdict(T.v_checks(spark, d))
+    from .plans.jobs import check_outcome
+    return check_outcome(T.v_checks(spark, d)).verdicts
 
 
 @query("a6_error_digest")
@@ -288,8 +289,8 @@ def j7_join_results(spark, d):
 
 @query("s8_collect_results")
 def s8_collect_results(spark, d):
-    res, _ = B.collect_results(T.v_instances(spark, d), label_runs(spark, d))
-    return flat_results(res)
+    from .plans.jobs import benchmark_run
+    return flat_results(benchmark_run(T.v_instances(spark, d), label_runs(spark, d)).results)
 
 
 @query("s8_quarantine")
@@ -421,14 +422,15 @@ from .operators import planning as P  # noqa: E402
 from .operators import prompts as PR  # noqa: E402
 from .sources import issues as IS  # noqa: E402
 from .sources import repo_files as RF  # noqa: E402
+from .plans import jobs as J  # noqa: E402
 
 
 def plans(spark, d):
-    cands = R.candidate_files(T.v_issues(spark, d), inventory(spark, d), fallback_all=False)
     rid = F.col("run_id")
     ctx = (F.when(rid % 5 == 0, "Python").when(rid % 5 == 1, "TypeScript").when(rid % 5 == 2, "JavaScript/React")
            .when(rid % 5 == 3, F.lit(None).cast("string")).otherwise("Go"))
-    return P.plans_from_candidates(cands).withColumn("language_ctx", ctx)
+    return J.heuristic_plans(T.v_issues(spark, d), inventory(spark, d), ctx) \
+        .withColumn("is_test_generation_issue", rid % 4 == 0)
 
 
 def snapshot(spark, d):
@@ -436,8 +438,7 @@ def snapshot(spark, d):
 
 
 def normalized_plans(spark, d):
-    p = P.infer_test_files(P.with_language(plans(spark, d)))
-    return P.normalize_test_paths(p, snapshot(spark, d))
+    return J.prepared_plans(plans(spark, d), snapshot(spark, d))
 
 
 @query("f10_lint_targets")
@@ -483,8 +484,8 @@ def j3_effective_tests(spark, d):
 
 @query("f22_check_worklist")
 def f22_check_worklist(spark, d):
-    t = P.effective_tests(normalized_plans(spark, d), snapshot(spark, d))
-    return P.check_worklist(t, T.v_repo_config(spark, d)).select("run_id", "path", "command")
+    cp = J.check_plan(normalized_plans(spark, d), snapshot(spark, d), T.v_repo_config(spark, d))
+    return cp.worklist.select("run_id", "path", "command")
 
 
 @query("j4_attach_content")

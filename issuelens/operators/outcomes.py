@@ -109,26 +109,32 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     4. otherwise: every exit code 0 and no exception, per kind; ``passed`` =
        both; ``last_errors`` = digest
 
-    ``rule`` names the row that applied.
+    ``rule`` names the row that applied.  One scan of ``checks`` and a
+    two-level aggregate: per (run, kind, file) — last output, count, all
+    passed, failure texts — then per run; both levels combine map-side.
     """
     is_test = F.col("kind") == "test"
-    ok = ~_failed()
-    per_run = checks.groupBy("run_id").agg(
-        F.count_if(is_test).cast("bigint").alias("n_test"),
-        F.count_if(~is_test).cast("bigint").alias("n_lint"),
-        F.coalesce(F.bool_and(F.when(is_test, ok)), F.lit(True)).alias("_tests_ok"),
-        F.coalesce(F.bool_and(F.when(~is_test, ok)), F.lit(True)).alias("_lint_ok"))
-    last = format_outputs(latest_per_file(checks.filter(is_test)))
-    no_tests = last.groupBy("run_id").agg(
-        F.bool_or(F.lower("output").contains(NO_TESTS_RAN)).alias("_no_tests_ran"))
-    v = (per_run.join(no_tests, "run_id", "left").join(error_digest(checks), "run_id", "left"))
+    item = F.struct(F.when(is_test, 0).otherwise(1).alias("k"), F.col("seq"), _failure_text().alias("t"))
+    per_file = format_outputs(checks).groupBy("run_id", "kind", "file").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_and(~_failed()).alias("_ok"),
+        F.max_by("output", "seq").alias("_last"),
+        F.collect_list(F.when(_failed(), item)).alias("_fails"))
+    is_test = F.col("kind") == "test"
+    texts = F.sort_array(F.flatten(F.collect_list("_fails")))
+    v = per_file.groupBy("run_id").agg(
+        F.coalesce(F.sum(F.when(is_test, F.col("_n"))), F.lit(0)).cast("bigint").alias("n_test"),
+        F.coalesce(F.bool_and(F.when(is_test, F.col("_ok"))), F.lit(True)).alias("_tests_ok"),
+        F.coalesce(F.bool_and(F.when(~is_test, F.col("_ok"))), F.lit(True)).alias("_lint_ok"),
+        F.coalesce(F.bool_or(F.when(is_test, F.lower("_last").contains(NO_TESTS_RAN))), F.lit(False))
+        .alias("_no_tests_ran"),
+        F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n")).alias("last_errors"))
     if plans is not None:
         rel = plans.select("run_id", (F.coalesce(F.size("relevant_files"), F.lit(0)) > 0).alias("_has_rel"))
         v = rel.join(v, "run_id", "left")
     else:
         v = v.withColumn("_has_rel", F.lit(True))
-    n_test = F.coalesce(F.col("n_test"), F.lit(0))
-    rule = (F.when(~F.col("_has_rel"), 1).when(n_test == 0, 2)
+    rule = (F.when(~F.col("_has_rel"), 1).when(F.coalesce(F.col("n_test"), F.lit(0)) == 0, 2)
             .when(F.coalesce("_no_tests_ran", F.lit(False)), 3).otherwise(4))
     v = v.withColumn("rule", rule)
     r = F.col("rule")

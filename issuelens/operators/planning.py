@@ -152,14 +152,22 @@ def missing_tests(tests: DataFrame, repo_files: DataFrame, col: str = "path") ->
 def effective_tests(plans: DataFrame, repo_files: DataFrame) -> DataFrame:
     """The tests a run executes: its planned tests that exist; if none,
     its test-like relevant files that exist; if none, none.  Long form
-    ``(run_id, repo, pos, path, stage)``."""
-    planned = plans.select("run_id", "repo", F.posexplode(_arr("test_files")).alias("pos", "path"))
-    s1 = existing_tests(planned, repo_files).withColumn("stage", F.lit("planned"))
-    rest = plans.join(s1.select("run_id").distinct(), "run_id", "left_anti")
-    rel = rest.select("run_id", "repo", F.posexplode(_arr("relevant_files")).alias("pos", "path")) \
-        .filter(is_test_name("path"))
-    s2 = existing_tests(rel, repo_files).withColumn("stage", F.lit("relevant"))
-    return s1.unionByName(s2)
+    ``(run_id, repo, pos, path, stage)``.
+
+    One pass over ``plans``: planned tests and test-like relevant files are
+    exploded together, one semi join keeps those that exist, and each run
+    keeps the rows of its best stage (a per-run aggregate over at most the
+    files of one plan).
+    """
+    item = lambda rank: (lambda p, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), p.alias("path")))
+    rel = F.filter(F.transform(_arr("relevant_files"), item(1)), lambda x: is_test_name(x["path"]))
+    x = plans.select("run_id", "repo", F.explode(F.concat(F.transform(_arr("test_files"), item(0)), rel)).alias("_it")) \
+        .select("run_id", "repo", "_it.rank", "_it.pos", "_it.path")
+    ex = existing_tests(x, repo_files)
+    best = ex.groupBy("run_id").agg(F.min("rank").alias("rank"))
+    return ex.join(best, ["run_id", "rank"]).select(
+        "run_id", "repo", F.col("pos").cast("int").alias("pos"), "path",
+        F.when(F.col("rank") == 0, "planned").otherwise("relevant").alias("stage"))
 
 
 # Test commands and the pytest settings that make a bare
@@ -219,11 +227,12 @@ def repo_snapshot(files: DataFrame) -> DataFrame:
 
 def plans_from_candidates(cands: DataFrame) -> DataFrame:
     """Heuristic plans: relevant = candidates, source = non-test candidates,
-    tests = test-like candidates (each sorted)."""
+    tests = test-like candidates (each sorted); not flagged as a
+    test-generation issue."""
     t = is_test_name("path")
     g = cands.groupBy(F.col("issue_id").alias("run_id"), "repo").agg(
         F.sort_array(F.collect_list("path")).alias("relevant_files"),
         F.sort_array(F.collect_list(F.when(~t, F.col("path")))).alias("source_files"),
         F.sort_array(F.collect_list(F.when(t, F.col("path")))).alias("test_files"))
-    return g.withColumn("is_test_generation_issue", F.col("run_id") % 4 == 0)
+    return g.withColumn("is_test_generation_issue", F.lit(False))
 

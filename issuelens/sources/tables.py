@@ -32,8 +32,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if n < target else df
 
 
+# Tables whose rows carry long texts that the jobs run regular expressions
+# over: per-row CPU dominates there, so an under-split scan is worth
+# spreading.  Narrow numeric tables are left as scanned (a round-robin
+# exchange costs them more than it saves).
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _repo_of(key) -> "F.Column":
