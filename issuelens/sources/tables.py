@@ -18,30 +18,36 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 NL = "\n"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Balance a scan that yields fewer partitions than the session's
-    parallelism (e.g. a file written as one row group), so per-row work
-    after it uses every core.  Asking for the partition count only plans
-    the scan.  On a cluster reading many files the scan already has enough
-    splits and this adds nothing to the plan."""
+    parallelism (e.g. a file written as one row group), so the work after it
+    uses every core.  Rows are hash-partitioned on ``key`` (no sort, unlike a
+    round-robin split), and later windows or aggregates keyed on that column
+    reuse the partitioning.  Asking for the partition count only plans the
+    scan; on a cluster reading many files the scan already has enough splits
+    and this adds nothing to the plan."""
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as it is
         return df
-    return df.repartition(target) if n < target else df
+    if n >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
 
 
-# Tables whose rows carry long texts that the jobs run regular expressions
-# over: per-row CPU dominates there, so an under-split scan is worth
-# spreading.  Narrow numeric tables are left as scanned (a round-robin
-# exchange costs them more than it saves).
-TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+# Tables whose per-row work is heavy enough (regular expressions over long
+# texts, exact decimal arithmetic over many rows) to be worth spreading when
+# under-split, with the column their jobs group or join on first.  Small
+# lookup-like tables are read as they are: an exchange costs them more than
+# it saves.
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id",
+               "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def _repo_of(key) -> "F.Column":
