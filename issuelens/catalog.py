@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.time import epoch_micros, epoch_millis
 from .operators import retrieval as R
 from .sources import tables as T
 
@@ -150,7 +151,7 @@ def w4_run_spans(spark, d):
 @query("s5_run_logs")
 def s5_run_logs(spark, d):
     r = L.parse_log_lines(T.v_log_lines(spark, d))
-    return r.select("source_file", "line_no", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+    return r.select("source_file", "line_no", epoch_millis(r, "ts").alias("ts_ms"),
                     "level", "message")
 
 
@@ -301,7 +302,7 @@ def s8_quarantine(spark, d):
 
 def ledger_results(spark, d):
     led = W.retry_ledger(T.v_attempts(spark, d))
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = epoch_micros(led, "ts")
     per = led.groupBy("run_id").agg(
         F.bool_or(F.col("decision") == "commit").alias("passed"),
         F.count_if(F.col("decision") == "retry").alias("retries"),
@@ -372,7 +373,7 @@ def f17_test_issue_flag(spark, d):
 
 def check_stderr(spark, d):
     e = T.table(spark, d, "events")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("bigint")
     eid = F.col("event_id")
     mod = lambda x: F.concat(F.lit("\nModuleNotFoundError: No module named 'mod"),
                              (x % 5).cast("string"), F.lit("'"))
@@ -614,7 +615,7 @@ def s1_read_issues(spark, d):
     out = scratch_path(spark, "issue-files")
     T.v_issues(spark, d).select("issue_id", "body").write.partitionBy("issue_id").text(out)
     r = IS.read_issues(spark, out)
-    return r.select(F.regexp_extract("issue_file", "issue_id=([0-9]+)", 1).cast("bigint").alias("issue_id"), "body")
+    return r.select(F.regexp_extract("issue_file", "issue_id=([0-9]+)", 1).try_cast("bigint").alias("issue_id"), "body")
 
 
 def issue_refs(spark, d):
@@ -656,7 +657,7 @@ def x1_stream_run_log(spark, d):
     q.awaitTermination()
     r = spark.read.parquet(out)
     return r.select(F.regexp_extract("source_path", "source_file=([^/]+)/", 1).alias("source_file"),
-                    F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "level",
+                    epoch_millis(r, "ts").alias("ts_ms"), "level",
                     F.split("message", "\n")[0].alias("message"))
 
 
@@ -667,7 +668,7 @@ def x2_stream_retry_ledger(spark, d):
     from .session import scratch_path
     src, out, ckpt = (scratch_path(spark, n) for n in ("attempts-in", "ledger-out", "ledger-ckpt"))
     a = T.v_attempts(spark, d)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros(a, "ts")
     lo, hi = a.agg(F.min(us), F.max(us)).first()
     step = (hi - lo) // 4 + 1
     for i in range(4):

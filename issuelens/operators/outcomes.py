@@ -39,7 +39,7 @@ def parse_outputs(outputs: DataFrame, col: str = "output") -> DataFrame:
     t = F.col(col)
     has_body = t.contains("\nSTDOUT:\n")
     num = lambda p: F.regexp_extract(t, p, 1)
-    as_long = lambda p: F.when(num(p) != "", num(p).cast("bigint"))
+    as_long = lambda p: F.when(num(p) != "", num(p).try_cast("bigint"))
     return outputs.select(
         "*",
         as_long(r"^\[Exit code: (-?[0-9]+)\]").alias("parsed_exit_code"),
@@ -48,7 +48,7 @@ def parse_outputs(outputs: DataFrame, col: str = "output") -> DataFrame:
         as_long(r"([0-9]+) failed").alias("n_failed"),
         as_long(r"([0-9]+) passed").alias("n_passed"),
         F.when(num(r" in ([0-9]+(\.[0-9]+)?)s") != "",
-               num(r" in ([0-9]+(\.[0-9]+)?)s").cast("double")).alias("test_seconds"))
+               num(r" in ([0-9]+(\.[0-9]+)?)s").try_cast("double")).alias("test_seconds"))
 
 
 def latest_per_file(checks: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import epoch_micros
+
 DECISIONS = ("retry", "end", "commit")
 
 
@@ -86,8 +88,8 @@ def carry_errors(ledger: DataFrame, key: str = "run_id", order=("ts", "event_id"
     return ledger.withColumn("carried_errors", F.lag("errors").over(w))
 
 
-def _micros(ts_col: str):
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+def _micros(df: DataFrame, ts_col: str):
+    return epoch_micros(df, ts_col)
 
 
 def next_in_run(records: DataFrame, value, key: str = "run_id", order=("ts", "event_id"),
@@ -119,10 +121,11 @@ def step_durations(records: DataFrame, key: str = "run_id", ts: str = "ts",
     (NULL for the last).  ``skew_safe`` (default) uses :func:`next_in_run`;
     ``False`` is the plain window, one run per task."""
     if skew_safe:
-        out = next_in_run(records, _micros(ts), key, order)
+        out = next_in_run(records, _micros(records, ts), key, order)
     else:
-        out = records.withColumn("_next", F.lead(_micros(ts)).over(Window.partitionBy(key).orderBy(*order)))
-    return out.withColumn("step_seconds", (F.col("_next") - _micros(ts)) / F.lit(1_000_000.0)).drop("_next")
+        out = records.withColumn("_next", F.lead(_micros(records, ts)).over(Window.partitionBy(key).orderBy(*order)))
+    return out.withColumn("step_seconds", (F.col("_next") - _micros(records, ts)) / F.lit(1_000_000.0)) \
+        .drop("_next")
 
 
 def run_spans(records: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFrame:
@@ -130,7 +133,7 @@ def run_spans(records: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFr
     final aggregate, no sort)."""
     return records.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_records"),
-        ((F.max(_micros(ts)) - F.min(_micros(ts))) / F.lit(1_000_000.0)).alias("span_seconds"))
+        ((F.max(_micros(records, ts)) - F.min(_micros(records, ts))) / F.lit(1_000_000.0)).alias("span_seconds"))
 
 
 # Levels printed by the log format, and the markers of a phase

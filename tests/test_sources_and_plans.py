@@ -153,3 +153,15 @@ def test_stream_equals_batch(spark):
     assert s == b
     assert QUERIES["x1_stream_run_log"](spark, SF_SMALL).count() == spark.read.parquet(
         f"{SF_SMALL}/events.parquet").count()
+
+
+def test_time_queries_do_not_depend_on_session_zone(spark):
+    keys = ["s5_run_logs", "w4_run_spans", "a9_benchmark_summary"]
+    base = {k: sorted(map(tuple, QUERIES[k](spark, SF_SMALL).collect())) for k in keys}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for k in keys:
+            assert sorted(map(tuple, QUERIES[k](spark, SF_SMALL).collect())) == base[k], k
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
