@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.text import array_size
 from .functions.time import epoch_micros, epoch_millis
 from .operators import retrieval as R
 from .sources import tables as T
@@ -200,7 +201,7 @@ def s6_final_states(spark, d):
                      F.col("state.test_results.tests_passed").alias("tests_passed"),
                      F.col("state.lint_results.lint_passed").alias("lint_passed"),
                      F.col("state.passed").alias("passed"),
-                     F.size("state.plan.relevant_files").cast("bigint").alias("n_relevant"),
+                     array_size("state.plan.relevant_files").cast("bigint").alias("n_relevant"),
                      F.col("corrupt_state").isNotNull().alias("is_corrupt"))
 
 
@@ -546,7 +547,7 @@ def f19_dependencies(spark, d):
     raw = F.concat(F.lit(" "), F.regexp_replace("p_type", " ", " , "), F.lit(",,"))
     deps = P.dependency_list(raw)
     return T.table(spark, d, "part").select("p_partkey", F.array_join(deps, "|").alias("deps"),
-                                            F.size(deps).cast("bigint").alias("n_deps"))
+                                            array_size(deps).cast("bigint").alias("n_deps"))
 
 
 # -- prompts and responses ---------------------------------------------------

@@ -68,3 +68,10 @@ def py_list_repr(arr) -> Column:
     return F.concat(F.lit("["),
                     F.array_join(F.transform(_c(arr), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
                     F.lit("]"))
+
+
+def array_size(arr) -> Column:
+    """Number of elements; NULL for a NULL array whatever
+    ``spark.sql.ansi.enabled`` says (without it ``size(NULL)`` is -1)."""
+    c = _c(arr)
+    return F.when(c.isNotNull(), F.size(c))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import array_size
+
 NO_TESTS_RAN = "no tests ran"
 
 
@@ -130,7 +132,7 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None) -> DataFrame:
         .alias("_no_tests_ran"),
         F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n")).alias("last_errors"))
     if plans is not None:
-        rel = plans.select("run_id", (F.coalesce(F.size("relevant_files"), F.lit(0)) > 0).alias("_has_rel"))
+        rel = plans.select("run_id", (F.coalesce(array_size("relevant_files"), F.lit(0)) > 0).alias("_has_rel"))
         v = rel.join(v, "run_id", "left")
     else:
         v = v.withColumn("_has_rel", F.lit(True))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, file_stem, file_suffix
+from ..functions.text import array_size
 
 # The mention pattern (lazy, alternation order and missing end
 # boundary kept, so ``x.json`` is read as ``x.js``) and the suffixes of the
@@ -139,6 +140,6 @@ def plan_sizes(plans: DataFrame) -> DataFrame:
     """A2: number of source and test files of each plan, and its flag."""
     return plans.select(
         "run_id",
-        F.coalesce(F.size("source_files"), F.lit(0)).cast("bigint").alias("n_source"),
-        F.coalesce(F.size("test_files"), F.lit(0)).cast("bigint").alias("n_test"),
+        F.coalesce(array_size("source_files"), F.lit(0)).cast("bigint").alias("n_source"),
+        F.coalesce(array_size("test_files"), F.lit(0)).cast("bigint").alias("n_test"),
         F.coalesce("is_test_generation_issue", F.lit(False)).alias("is_test_generation_issue"))
