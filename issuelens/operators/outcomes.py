@@ -100,7 +100,7 @@ def error_digest(checks: DataFrame) -> DataFrame:
         F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n")).alias("last_errors"))
 
 
-def run_verdict(checks: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str = "modular") -> DataFrame:
     """A4 + A5 + A6: the verdict table, rows checked in this order.
 
     1. the plan has no relevant files → no results, ``passed`` NULL
@@ -111,7 +111,8 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     4. otherwise: every exit code 0 and no exception, per kind; ``passed`` =
        both; ``last_errors`` = digest
 
-    ``rule`` names the row that applied.  One scan of ``checks`` and a
+    ``variant="class"`` (the single-class implementation) has rows 1 and 4
+    only.  ``rule`` names the row that applied.  One scan of ``checks`` and a
     two-level aggregate: per (run, kind, file) — last output, count, all
     passed, failure texts — then per run; both levels combine map-side.
     """
@@ -136,8 +137,13 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None) -> DataFrame:
         v = rel.join(v, "run_id", "left")
     else:
         v = v.withColumn("_has_rel", F.lit(True))
-    rule = (F.when(~F.col("_has_rel"), 1).when(F.coalesce(F.col("n_test"), F.lit(0)) == 0, 2)
-            .when(F.coalesce("_no_tests_ran", F.lit(False)), 3).otherwise(4))
+    if variant == "class":
+        rule = F.when(~F.col("_has_rel"), 1).otherwise(4)
+    elif variant == "modular":
+        rule = (F.when(~F.col("_has_rel"), 1).when(F.coalesce(F.col("n_test"), F.lit(0)) == 0, 2)
+                .when(F.coalesce("_no_tests_ran", F.lit(False)), 3).otherwise(4))
+    else:
+        raise ValueError(f"variant must be 'modular' or 'class', not {variant!r}")
     v = v.withColumn("rule", rule)
     r = F.col("rule")
     return v.select(

@@ -177,15 +177,17 @@ NPM_TEST = "npm run test"
 JS_SUFFIXES = [".js", ".jsx", ".ts", ".tsx"]
 
 
-def check_worklist(tests: DataFrame, repo_config: DataFrame) -> DataFrame:
+def check_worklist(tests: DataFrame, repo_config: DataFrame, variant: str = "modular") -> DataFrame:
     """the command per test file: ``.py`` → ``pytest <path>``, or bare
     ``pytest`` when the repository's ``pyproject.toml`` has both ``addopts``
-    and ``--doctest-rst``; JS/TS → ``npm run test``; others skipped."""
+    and ``--doctest-rst``; JS/TS → ``npm run test``; others skipped.  The
+    ``class`` variant has no doctest rule."""
     cfg = repo_config.filter(F.col("path") == "pyproject.toml").groupBy("repo").agg(
         F.bool_or(F.col("content").contains("addopts") & F.col("content").contains("--doctest-rst"))
         .alias("_doctest"))
     sfx = F.lower(file_suffix("path"))
-    cmd = (F.when(sfx == ".py", F.when(F.coalesce("_doctest", F.lit(False)), F.lit(PYTEST))
+    doctest = F.coalesce("_doctest", F.lit(False)) & F.lit(variant != "class")
+    cmd = (F.when(sfx == ".py", F.when(doctest, F.lit(PYTEST))
                   .otherwise(F.concat(F.lit(PYTEST + " "), F.col("path"))))
            .when(sfx.isin(JS_SUFFIXES), F.lit(NPM_TEST)))
     return tests.join(cfg, "repo", "left").withColumn("command", cmd).filter(F.col("command").isNotNull()) \

@@ -300,3 +300,24 @@ def test_python_string_semantics_randomized(spark):
         assert r.n == len(v.split()), repr(v)
         assert r.s == v.strip(), repr(v)
         assert r.k == pyint(v), repr(v)
+
+
+def test_class_variants(spark):
+    rows = [(1, 1, "lint", "a.py", 1, "", "E1", None),
+            (2, 1, "test", "t_test.py", 1, "no tests ran in 0.1s", "", None)]
+    v = {r.run_id: (r.rule, r.tests_passed, r.passed) for r in
+         O.run_verdict(checks_df(spark, rows), variant="class").collect()}
+    assert v == {1: (4, True, False), 2: (4, False, False)}
+    tests = spark.createDataFrame([(1, "r", "tests/test_a.py"), (1, "r", "web/a.test.ts"), (1, "r", "x.json")],
+                                  "run_id long, repo string, path string")
+    cfg = spark.createDataFrame([("r", "pyproject.toml", "[tool]\naddopts = --doctest-rst")],
+                                "repo string, path string, content string")
+    mod = sorted(r.command for r in P.check_worklist(tests, cfg).collect())
+    cls = sorted(r.command for r in P.check_worklist(tests, cfg, variant="class").collect())
+    assert mod == ["npm run test", "pytest"] and cls == ["npm run test", "pytest tests/test_a.py"]
+
+
+def test_commit_paths(spark):
+    vals = ["\\src\\a.py", "/b.py", "c/d.py", "//e\\\\f.py"]
+    df = spark.createDataFrame([(v,) for v in vals], "p string")
+    assert col_values(df.select(P.commit_path("p").alias("c")), "c") == [v.replace("\\", "/").lstrip("/") for v in vals]
