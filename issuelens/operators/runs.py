@@ -136,19 +136,31 @@ def run_spans(records: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFr
         ((F.max(_micros(records, ts)) - F.min(_micros(records, ts))) / F.lit(1_000_000.0)).alias("span_seconds"))
 
 
-# Levels printed by the log format, and the markers of a phase
-# start and of a model call in the message text.
+# Levels printed by the log format, the markers of a phase
+# start, of a model call and of a granted retry in the message text, and the
+# phase names counted on their own.
 LEVELS = ["INFO", "WARNING", "ERROR", "DEBUG", "CRITICAL"]
 PHASE_RE = r"^=+ starting ([A-Za-z_]+) phase =+$"
 CALL_MARK = "agent_respond()"
+RETRY_PREFIX = "Tests did not pass. Retrying"
+CHECK_PHASE = "test_and_lint"
+CODE_PHASE = "code_generation"
+TEST_GEN_PHASE = "test_generation"
 
 
 def trace_profile(records: DataFrame, key: str = "run_id", level: str = "level",
                   message: str = "message", levels=LEVELS) -> DataFrame:
     """A10: records per run × level (a pivot with fixed values, so no extra
-    pass to discover them), phases entered and model calls."""
+    pass to discover them), phases entered (all, checks, code generation,
+    test generation), model calls and granted retries."""
     counts = [F.count_if(F.col(level) == lv).cast("bigint").alias(f"n_{lv.lower()}") for lv in levels]
+    phase = F.regexp_extract(F.col(message), PHASE_RE, 1)
+    n = lambda cond, name: F.count_if(cond).cast("bigint").alias(name)
     return records.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_records"), *counts,
-        F.count_if(F.col(message).rlike(PHASE_RE)).cast("bigint").alias("n_phases"),
-        F.count_if(F.col(message).contains(CALL_MARK)).cast("bigint").alias("n_calls"))
+        n(F.col(message).rlike(PHASE_RE), "n_phases"),
+        n(phase == CHECK_PHASE, "n_check_phases"),
+        n(phase == CODE_PHASE, "n_code_phases"),
+        n(phase == TEST_GEN_PHASE, "n_test_gen_phases"),
+        n(F.col(message).contains(CALL_MARK), "n_calls"),
+        n(F.col(message).startswith(RETRY_PREFIX), "n_retries"))

@@ -289,10 +289,10 @@ FROM events GROUP BY user_id""")
 # -- run logs ----------------------------------------------------------------
 LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"
 MESSAGE_SQL = """CASE event_type
-  WHEN 'signup' THEN '==================== starting planning phase ===================='
+  WHEN 'signup' THEN '==================== starting test_and_lint phase ===================='
   WHEN 'view' THEN 'agent_respond() – Using structured output with Pydantic object.'
   WHEN 'purchase' THEN 'Workflow completed successfully!'
-  WHEN 'click' THEN 'LLM did not return a unified diff for patch task.'
+  WHEN 'click' THEN 'Tests did not pass. Retrying code_generation (attempt 1/3).'
   ELSE 'test_and_lint() – Test failed for f' || CAST(event_id % 7 AS VARCHAR) || '.py:' || chr(10) ||
        'STDOUT:' || chr(10) || props END"""
 cte("log_records", f"""
@@ -310,7 +310,11 @@ SELECT source_file, count(*) AS n_records,
        count(*) FILTER (WHERE level = 'DEBUG') AS n_debug,
        count(*) FILTER (WHERE level = 'CRITICAL') AS n_critical,
        count(*) FILTER (WHERE message LIKE '=% starting % phase =%') AS n_phases,
-       count(*) FILTER (WHERE contains(message, 'agent_respond()')) AS n_calls
+       count(*) FILTER (WHERE message LIKE '=% starting test_and_lint phase =%') AS n_check_phases,
+       count(*) FILTER (WHERE message LIKE '=% starting code_generation phase =%') AS n_code_phases,
+       count(*) FILTER (WHERE message LIKE '=% starting test_generation phase =%') AS n_test_gen_phases,
+       count(*) FILTER (WHERE contains(message, 'agent_respond()')) AS n_calls,
+       count(*) FILTER (WHERE starts_with(message, 'Tests did not pass. Retrying')) AS n_retries
 FROM log_records GROUP BY source_file""", "log_records")
 
 oracle("s6_final_states", """

@@ -165,3 +165,28 @@ def test_time_queries_do_not_depend_on_session_zone(spark):
             assert sorted(map(tuple, QUERIES[k](spark, SF_SMALL).collect())) == base[k], k
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def _phase(name):
+    return "=" * 20 + f" starting {name} phase " + "=" * 20
+
+
+def test_trace_profile_golden_shape(spark, tmp_path):
+    """A run shaped like the failed bug-fix run of BASELINE (98 records:
+    94 INFO / 0 WARNING / 4 ERROR, 4 check phases, 4 code-generation
+    phases, 3 retries) written as our own log text."""
+    recs = [("INFO", _phase(p)) for p in ("run_workflow", "initialize_issue_repo", "retrieve_issue_details",
+                                         "planning")]
+    for attempt in range(4):
+        recs += [("INFO", _phase("code_generation")), ("INFO", "agent_respond() – call"),
+                 ("INFO", _phase("test_and_lint")),
+                 ("ERROR", "test_and_lint() – Test failed for tests/test_x.py:\nSTDOUT:\nF\n1 failed in 0.1s\nSTDERR:\n")]
+        recs.append(("INFO", f"Tests did not pass. Retrying code_generation (attempt {attempt + 1}/3)."
+                     if attempt < 3 else "Tests did not pass and retry limit reached. Not retrying. :("))
+    while len(recs) < 98:
+        recs.insert(5, ("INFO", f"detail {len(recs)}"))
+    text = "".join(f"2025-01-02 03:04:{i % 60:02d},{i:03d} [{lv}] {msg}\n" for i, (lv, msg) in enumerate(recs))
+    (tmp_path / "run.log").write_text(text, encoding="utf-8")
+    p = W.trace_profile(L.read_run_logs(spark, str(tmp_path)), key="source_file").first()
+    assert (p.n_records, p.n_info, p.n_warning, p.n_error) == (98, 94, 0, 4)
+    assert (p.n_check_phases, p.n_code_phases, p.n_test_gen_phases, p.n_retries) == (4, 4, 0, 3)
