@@ -9,7 +9,7 @@ join on ``(repo, path)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,16 +156,16 @@ def effective_tests(plans: DataFrame, repo_files: DataFrame) -> DataFrame:
 
     One pass over ``plans``: planned tests and test-like relevant files are
     exploded together, one semi join keeps those that exist, and each run
-    keeps the rows of its best stage (a per-run aggregate over at most the
-    files of one plan).
+    keeps the rows of its best stage (a window over at most the files of
+    one plan).
     """
     item = lambda rank: (lambda p, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), p.alias("path")))
     rel = F.filter(F.transform(_arr("relevant_files"), item(1)), lambda x: is_test_name(x["path"]))
     x = plans.select("run_id", "repo", F.explode(F.concat(F.transform(_arr("test_files"), item(0)), rel)).alias("_it")) \
         .select("run_id", "repo", "_it.rank", "_it.pos", "_it.path")
     ex = existing_tests(x, repo_files)
-    best = ex.groupBy("run_id").agg(F.min("rank").alias("rank"))
-    return ex.join(best, ["run_id", "rank"]).select(
+    best = F.min("rank").over(Window.partitionBy("run_id"))
+    return ex.withColumn("_best", best).filter(F.col("rank") == F.col("_best")).select(
         "run_id", "repo", F.col("pos").cast("int").alias("pos"), "path",
         F.when(F.col("rank") == 0, "planned").otherwise("relevant").alias("stage"))
 
@@ -229,12 +229,12 @@ def repo_snapshot(files: DataFrame) -> DataFrame:
 
 def plans_from_candidates(cands: DataFrame) -> DataFrame:
     """Heuristic plans: relevant = candidates, source = non-test candidates,
-    tests = test-like candidates (each sorted); not flagged as a
-    test-generation issue."""
+    tests = test-like candidates (each a sorted set, so candidates may hold
+    duplicates); not flagged as a test-generation issue."""
     t = is_test_name("path")
     g = cands.groupBy(F.col("issue_id").alias("run_id"), "repo").agg(
-        F.sort_array(F.collect_list("path")).alias("relevant_files"),
-        F.sort_array(F.collect_list(F.when(~t, F.col("path")))).alias("source_files"),
-        F.sort_array(F.collect_list(F.when(t, F.col("path")))).alias("test_files"))
+        F.sort_array(F.collect_set("path")).alias("relevant_files"),
+        F.sort_array(F.collect_set(F.when(~t, F.col("path")))).alias("source_files"),
+        F.sort_array(F.collect_set(F.when(t, F.col("path")))).alias("test_files"))
     return g.withColumn("is_test_generation_issue", F.lit(False))
 

@@ -107,7 +107,7 @@ def match_tests(mention_rows: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool = True,
-                    body_col: str = "body") -> DataFrame:
+                    body_col: str = "body", dedupe: bool = True) -> DataFrame:
     """A1 (+U1): per issue, distinct mentions ∪ matched test files.
 
     Mentions need not exist in the repository.  With ``fallback_all`` (the
@@ -119,12 +119,15 @@ def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool
     test index and both the mention and its matched test are emitted from
     that one row.  Candidates are empty exactly when an issue has no
     mention, which the fallback finds with a short-circuiting ``rlike``.
+    ``dedupe=False`` leaves duplicate rows for a caller that aggregates per
+    issue anyway (saves one shuffle).
     """
     inv = inventory.select("repo", "path")
     m = _keyed(mentions(issues, body_col))
     j = m.join(test_index(inv).withColumnRenamed("path", "test_path"), ["repo", "key"], "left")
-    cands = j.select("issue_id", "repo", F.explode(F.array_compact(F.array("path", "test_path"))).alias("path")) \
-        .distinct()
+    cands = j.select("issue_id", "repo", F.explode(F.array_compact(F.array("path", "test_path"))).alias("path"))
+    if dedupe:
+        cands = cands.distinct()
     if not fallback_all:
         return cands
     empty = issues.filter(~F.col(body_col).rlike(MENTION_PATTERN)).select("issue_id", "repo")

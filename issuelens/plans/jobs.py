@@ -23,7 +23,7 @@ from ..operators import retrieval as R
 def heuristic_plans(issues: DataFrame, inventory: DataFrame, language_ctx: Column | None = None) -> DataFrame:
     """Issues → candidates (no all-files fallback) → plan lists per issue,
     with the project's language text in ``language_ctx``."""
-    cands = R.candidate_files(issues, inventory, fallback_all=False)
+    cands = R.candidate_files(issues, inventory, fallback_all=False, dedupe=False)
     p = P.plans_from_candidates(cands)
     return p.withColumn("language_ctx", language_ctx if language_ctx is not None else F.lit(None).cast("string"))
 
