@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import file_name  # noqa: F401
 
 # The code host prefix, the state literals given to every
 # benchmark instance, and the skip reasons in the order they are checked.

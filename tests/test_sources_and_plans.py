@@ -4,7 +4,6 @@ the physical plans the optimizer picks."""
 import json
 import re
 
-from pyspark.sql import functions as F
 
 from issuelens.catalog import QUERIES
 from issuelens.operators import runs as W
