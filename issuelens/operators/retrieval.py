@@ -98,7 +98,9 @@ def _keyed(mention_rows: DataFrame) -> DataFrame:
 def match_tests(mention_rows: DataFrame, inventory: DataFrame) -> DataFrame:
     """Test-like files of the same repo whose lower-case name contains
     the lower-case stem of a mention.  Empty stems match nothing (the index
-    holds no empty key).
+    holds no empty key).  Mentions are those of :func:`mentions` (F8), so
+    a stem holds only ASCII letters, digits, ``_`` and ``-``; file names may
+    hold anything.
 
     Returns ``(issue_id, repo, mention, path)``.
     """

@@ -321,3 +321,63 @@ def test_commit_paths(spark):
     vals = ["\\src\\a.py", "/b.py", "c/d.py", "//e\\\\f.py"]
     df = spark.createDataFrame([(v,) for v in vals], "p string")
     assert col_values(df.select(P.commit_path("p").alias("c")), "c") == [v.replace("\\", "/").lstrip("/") for v in vals]
+
+
+def test_match_tests_randomized_against_nested_loop(spark):
+    import random
+    from pathlib import PurePosixPath
+    rnd = random.Random(5)
+    chars = "abcXY_-1.é"
+    def word(n):
+        return "".join(rnd.choice(chars) for _ in range(n))
+    files = []
+    for i in range(300):
+        repo = "hot" if i % 3 else f"r{i % 4}"          # one repo holds two thirds of the files
+        name = rnd.choice(["test_", "", "Spec", "x"]) + word(rnd.randint(1, 8)) + rnd.choice([".py", ".js", ".tsx"])
+        files.append((repo, rnd.choice(["", "tests/", "a/b/"]) + name))
+    files = sorted(set(files))
+    stem_chars = "abcXY_-1"                              # what the mention pattern can capture
+    mentions = sorted({(j, rnd.choice(["hot", "r0", "r1"]), rnd.choice(["", "src/"]) +
+                        "".join(rnd.choice(stem_chars) for _ in range(rnd.randint(1, 5))) +
+                        rnd.choice([".py", ".js"])) for j in range(200)})
+    inv = spark.createDataFrame(files, "repo string, path string")
+    m = spark.createDataFrame(mentions, "issue_id long, repo string, path string")
+    got = sorted((r.issue_id, r.path) for r in R.match_tests(m, inv).collect())
+    want = []
+    for iid, repo, mp in mentions:
+        base = PurePosixPath(mp).stem.lower()
+        if not base:
+            continue
+        for frepo, fp in files:
+            name = PurePosixPath(fp).name.lower()
+            if frepo == repo and ("test" in name or "spec" in name) and base in name:
+                want.append((iid, fp))
+    assert got == sorted(want)
+
+
+def test_candidate_files_randomized_against_python(spark):
+    import random
+    from pathlib import PurePosixPath
+    rnd = random.Random(9)
+    pieces = ["x.json", "a/b.tsx", "src\\m.py", "pandas.pydata.org", "Util-2.jsx", "word", "the", ".", " ",
+              "\n", "`", "test_a.py", "z.pyc", "é.py", "a..js", "-_.ts"]
+    files = sorted({(f"r{i % 3}", rnd.choice(["tests/test_", "spec/", "src/", ""]) +
+                     rnd.choice(["m", "util-2", "b", "a", "x", "pandas", "q"]) + rnd.choice([".py", ".ts", ".js"]))
+                    for i in range(60)})
+    issues = [(i, f"r{i % 3}", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    inv = spark.createDataFrame(files, "repo string, path string")
+    df = spark.createDataFrame(issues, "issue_id long, repo string, body string")
+    got = {r.issue_id: r.candidates for r in R.candidate_lists(R.candidate_files(df, inv)).collect()}
+    pattern = re.compile(R.MENTION_PATTERN)
+    for iid, repo, body in issues:
+        mentioned = {m.replace("\\", "/") for m in pattern.findall(body)}
+        repo_files = {p for r, p in files if r == repo}
+        tests = set()
+        for mf in mentioned:
+            base = PurePosixPath(mf).stem.lower()
+            for rf in repo_files:
+                name = PurePosixPath(rf).name.lower()
+                if ("test" in name or "spec" in name) and base and base in name:
+                    tests.add(rf)
+        want = sorted(mentioned | tests) or sorted(repo_files)
+        assert got.get(iid, []) == want, (body, got.get(iid), want)
