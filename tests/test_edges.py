@@ -381,3 +381,15 @@ def test_candidate_files_randomized_against_python(spark):
                     tests.add(rf)
         want = sorted(mentioned | tests) or sorted(repo_files)
         assert got.get(iid, []) == want, (body, got.get(iid), want)
+
+
+def test_strip_markdown_issue_shape(spark):
+    md = ("### Fix rounding in the tax helper\n\n**File:** `tax_utils.py`  \n**Error Conditions:**\n"
+          "1. Fails when rate is 0 (`ZeroDivisionError`)\n2. Wrong totals for negative rates\n\n"
+          "**Expected Behavior:**\n- Return 0 for a zero rate\n- Treat negative rates as 0%\n\n"
+          "```python\nx = 1\n```\n")
+    want = ("Fix rounding in the tax helper\nFile: tax_utils.py\nError Conditions:\n"
+            "1. Fails when rate is 0 (ZeroDivisionError)\n2. Wrong totals for negative rates\n"
+            "Expected Behavior:\n- Return 0 for a zero rate\n- Treat negative rates as 0%\n```python\nx = 1\n```")
+    df = spark.createDataFrame([(md,)], "t string")
+    assert df.select(X.strip_markdown("t").alias("s")).first().s == want

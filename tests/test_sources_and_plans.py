@@ -99,10 +99,15 @@ def test_final_states_and_report(spark, tmp_path):
     assert st[0].state.passed is True and st[0].state.lint_results is None and st[0].corrupt_state is None
     assert st[0].state.test_results.test_outputs == {"t.py": "[Exit code: 0]"}
     assert st[1].state is None and "github_issue" in st[1].corrupt_state
-    out = str(tmp_path / "report")
-    L.write_state_report(L.final_states(df).filter("state is not null").select("id", "state.*"), out)
-    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "report").glob("part-*"))
+    states = L.final_states(df).filter("state is not null").select("state.*")
+    L.write_state_report(states, str(tmp_path / "spark"), layout="spark")
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "spark").glob("part-*"))
     assert '"last_errors" : null' in text and '"passed" : true' in text
+    L.write_state_report(states, str(tmp_path / "py"))
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "py").glob("part-*"))
+    want = {k: state.get(k) for k in [f.name for f in L.STATE_SCHEMA.fields]}
+    want["lint_results"] = want["code_changes"] = None
+    assert text == json.dumps(want, indent=2, ensure_ascii=False) + "\n"
 
 
 def test_apply_updates_and_snapshot(spark, tmp_path):
