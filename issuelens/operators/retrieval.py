@@ -32,6 +32,14 @@ MENTION_PATTERN = r"[a-zA-Z0-9_\-/\\]+?\.(?:py|js|ts|tsx|jsx|json)"
 SOURCE_SUFFIXES = [".py", ".js", ".ts", ".jsx", ".tsx", ".json"]
 TEST_MARKERS = ["test", "spec"]
 
+# The same matches, found faster.  Every start inside one run of pattern
+# characters reaches the same run end, so it matches exactly when the run's
+# first character does; a reported match therefore starts either at a run
+# start or where the previous match ended.  Saying so up front lets the
+# engine reject every other start position in O(1).  (The SQL oracle and the
+# randomized test use the plain pattern, which checks the equivalence.)
+MENTION_SCAN_PATTERN = r"(?:(?<![a-zA-Z0-9_\-/\\])|\G)" + MENTION_PATTERN
+
 
 def _slash(c):
     return F.translate(c, "\\", "/")
@@ -61,7 +69,7 @@ def with_test_flag(files: DataFrame, path_col: str = "path") -> DataFrame:
 
 def mentions(issues: DataFrame, body_col: str = "body", keys=("issue_id", "repo")) -> DataFrame:
     """F8: distinct file mentions of each issue body, one row each."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(body_col), F.lit(MENTION_PATTERN), 0),
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(body_col), F.lit(MENTION_SCAN_PATTERN), 0),
                                          _slash))
     return issues.select(*keys, F.explode(found).alias("path"))
 

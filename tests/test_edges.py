@@ -360,11 +360,12 @@ def test_candidate_files_randomized_against_python(spark):
     from pathlib import PurePosixPath
     rnd = random.Random(9)
     pieces = ["x.json", "a/b.tsx", "src\\m.py", "pandas.pydata.org", "Util-2.jsx", "word", "the", ".", " ",
-              "\n", "`", "test_a.py", "z.pyc", "é.py", "a..js", "-_.ts"]
+              "\n", "`", "test_a.py", "z.pyc", "é.py", "a..js", "-_.ts", "x.json.py", "a.jsb.py", "ab.tsx.jsx",
+              "../q.py", "m\\b.js.ts", ".py", "ts", "json"]
     files = sorted({(f"r{i % 3}", rnd.choice(["tests/test_", "spec/", "src/", ""]) +
                      rnd.choice(["m", "util-2", "b", "a", "x", "pandas", "q"]) + rnd.choice([".py", ".ts", ".js"]))
                     for i in range(60)})
-    issues = [(i, f"r{i % 3}", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    issues = [(i, f"r{i % 3}", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12)))) for i in range(400)]
     inv = spark.createDataFrame(files, "repo string, path string")
     df = spark.createDataFrame(issues, "issue_id long, repo string, body string")
     got = {r.issue_id: r.candidates for r in R.candidate_lists(R.candidate_files(df, inv)).collect()}
