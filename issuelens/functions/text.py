@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 PY_WS_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 PY_WS = f"[{PY_WS_CLASS}]"
+# The same characters as a plain string (for trim functions).
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 PY_NON_WS_RUN = f"[^{PY_WS_CLASS}]+"
 
 # ``int(s)`` accepts surrounding whitespace, one sign and single underscores
@@ -30,16 +33,18 @@ def _c(col) -> Column:
 
 
 def py_strip(col) -> Column:
-    """``str.strip()`` (all Python whitespace, both ends)."""
-    return F.regexp_replace(_c(col), rf"\A{PY_WS}+|{PY_WS}+\z", "")
+    """``str.strip()`` (all Python whitespace, both ends).  ``trim`` with a
+    character set only looks at the ends, unlike a regex that is tried at
+    every whitespace position."""
+    return F.trim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def py_rstrip(col) -> Column:
-    return F.regexp_replace(_c(col), rf"{PY_WS}+\z", "")
+    return F.rtrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def py_lstrip(col) -> Column:
-    return F.regexp_replace(_c(col), rf"\A{PY_WS}+", "")
+    return F.ltrim(_c(col), F.lit(PY_WS_CHARS))
 
 
 def py_int(col) -> Column:
