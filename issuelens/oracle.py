@@ -327,7 +327,7 @@ SELECT doc_id,
        doc_id % 9 = 0 AS is_corrupt
 FROM labels""")
 oracle("s7_state_report", """
-SELECT doc_id, to_json({
+SELECT doc_id, CAST(to_json({
   'github_issue': 'doc ' || CAST(doc_id AS VARCHAR),
   'project_context': CAST(NULL AS VARCHAR),
   'plan': {'relevant_files': ['src/d' || CAST(doc_id AS VARCHAR) || '.py',
@@ -339,7 +339,7 @@ SELECT doc_id, to_json({
                    'commit_message': CAST(NULL AS VARCHAR)},
   'passed': quality = 1 AND toxic = 0,
   'last_errors': CASE WHEN quality <> 1 THEN 'Test failure in tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' END
-}) AS state_json FROM labels""")
+}) AS VARCHAR) AS state_json FROM labels""")
 
 # -- benchmark ---------------------------------------------------------------
 cte("instances", """

@@ -3,7 +3,7 @@
 
 import pytest
 
-from tools.check_oracle import duck, rows_of
+from tools.check_oracle import duck, rows_of, type_diffs
 
 import __spark_entry__ as E
 
@@ -35,5 +35,6 @@ def test_query_matches_oracle(spark, con, key):
     res = con.execute(ORACLE[key])
     d_cols, d_rows = [c[0] for c in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert type_diffs(df.dtypes, res.description) == []
     assert len(s_rows) == len(d_rows)
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
