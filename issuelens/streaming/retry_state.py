@@ -5,8 +5,7 @@ State per run: ``retry_count``, ``attempt`` (attempts seen) and ``closed``
 order across micro-batches (within a batch they are sorted here).  Memory
 per group is bounded: at most ``max_retries + 1`` attempts of a run can
 ever be decided, so each Arrow chunk of a group is cut to its earliest
-``remaining`` rows before they are merged.  An optional processing-time
-timeout drops the state of runs that went quiet.
+``remaining`` rows before they are merged.
 """
 
 from __future__ import annotations
@@ -23,9 +22,6 @@ def _decide(max_retries: int, commit: bool):
     limit = max_retries + 1
 
     def fn(key, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         retry_count, attempt, closed = state.get if state.exists else (0, 0, False)
         if closed:
             return
@@ -57,21 +53,12 @@ def _decide(max_retries: int, commit: bool):
     return fn
 
 
-def stream_retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True,
-                        timeout: str | None = None) -> DataFrame:
+def stream_retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True) -> DataFrame:
     """Streaming decisions ``(run_id, event_id, attempt, decision)``.
 
     ``attempts`` is a streaming DataFrame with ``run_id, event_id, ts,
-    tests_passed``; ``timeout`` (e.g. ``"1 hour"``) closes abandoned runs.
+    tests_passed``.
     """
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    fn = _decide(max_retries, commit)
-    if timeout:
-        inner = fn
-
-        def fn(key, chunks, state):  # noqa: F811
-            state.setTimeoutDuration(timeout)
-            yield from inner(key, chunks, state)
-
     return attempts.select("run_id", "event_id", "ts", "tests_passed").groupBy("run_id") \
-        .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", kind)
+        .applyInPandasWithState(_decide(max_retries, commit), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+                                GroupStateTimeout.NoTimeout)

@@ -194,3 +194,4 @@ def test_trace_profile_golden_shape(spark, tmp_path):
     p = W.trace_profile(L.read_run_logs(spark, str(tmp_path)), key="source_file").first()
     assert (p.n_records, p.n_info, p.n_warning, p.n_error) == (98, 94, 0, 4)
     assert (p.n_check_phases, p.n_code_phases, p.n_test_gen_phases, p.n_retries) == (4, 4, 0, 3)
+
