@@ -5,8 +5,10 @@ whole-stage code generation; none of them is a Python UDF.
 """
 
 from .paths import file_name, file_stem, file_suffix, parent_dir  # noqa: F401
+from .time import epoch_micros, epoch_millis  # noqa: F401
 from .text import (  # noqa: F401
     PY_INT_PATTERN,
+    array_size,
     py_int,
     py_list_repr,
     py_strip,
