@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .op02_toxicity import op2_toxicity
 from .op03_simhash import op3_fingerprints
 from .op04_mixing import op4_mixing
 from .op07_pii import op7_pii
+from .op09_language import op9_language_id
 from .op10_quality import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_mixing, op7_pii, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_fingerprints, op4_mixing, op7_pii, op9_language_id,
+                                   op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
