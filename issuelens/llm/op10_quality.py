@@ -96,4 +96,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def op10_quality_rules(spark, sf_dir):
     return judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "host", "host_rate")
+        "host", F.round("host_rate", 6).alias("host_rate"))
