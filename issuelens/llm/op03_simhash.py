@@ -49,13 +49,12 @@ def _votes(rows: DataFrame, keys: list[str], words_col: str) -> DataFrame:
     t = rows.select(*keys, F.posexplode_outer(pair).alias("_i", "_x")).select(
         *keys, F.coalesce(F.floor(F.col("_i") / CHUNK), F.lit(0)).alias("_chunk"),
         F.col("_x.h").alias("_a"), F.xxhash64("_x.h", F.lit(1)).alias("_b"),
-        F.when(F.col("_x.n") <= 6, 1).when(F.col("_x.n") <= 10, 2).when(F.col("_x.n") <= 14, 3)
+        F.when(F.col("_x.n").isNull(), 0).when(F.col("_x.n") <= 6, 1).when(F.col("_x.n") <= 10, 2).when(F.col("_x.n") <= 14, 3)
         .otherwise(4).cast("bigint").alias("_w"))
     lanes = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_MASK)) * F.col("_w")).alias(f"{h}{j}")
              for h in ("_a", "_b") for j in range(LANES)]
     top = [F.sum(F.shiftrightunsigned(h, 63) * F.col("_w")).alias(f"{h}63") for h in ("_a", "_b")]
-    votes = t.groupBy(*keys, "_chunk").agg(*lanes, *top, F.sum(F.when(F.col("_a").isNotNull(), F.col("_w"))
-                                                              .otherwise(0)).alias("_n"))
+    votes = t.groupBy(*keys, "_chunk").agg(*lanes, *top, F.sum("_w").alias("_n"))
     one = (1 << 21) - 1
     bits = [F.sum(F.shiftright(f"{h}{j}", 21 * k).bitwiseAND(F.lit(one))).alias(f"{h}_{j + 21 * k}")
             for h in ("_a", "_b") for j in range(LANES) for k in range(3)] \
