@@ -25,14 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: neighbours above a node point to the smallest near it.
         n = _both(e)
         m = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = n.filter("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        e = n.filter("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # Small star: a node and its neighbours below point to the smallest.
         m = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(e.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                .unionByName(m.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        e = cut(e.join(m, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+            .select("e.*").filter("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node")))

@@ -12,7 +12,7 @@
    ``miss``.  Survivors are verified on the full sets, most similar first,
    and pairs that are connected already are skipped.
 4. Groups above ``group_rows`` classes (or ``group_shingles``) are cut into
-   chunks.  Two passes with different chunks link what meets; then every class
+   chunks.  Two passes with different chunks join what meets; then every class
    outside the group's largest component so far is compared with all chunks of
    its group, block by block.  So each pair of a group is either connected or
    compared, no task holds more than two chunks, and no pairs are written.
@@ -212,24 +212,60 @@ def _members(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "comp bigint, chunks bigint, id bigint, sig binary, shingles binary")
 
 
-def _linked(rows: DataFrame, keys: list[str], percent: int, miss: float) -> DataFrame:
-    """Verified links (a, b) between rows (id, label, asked, sig, shingles) of a key."""
+def _grouped(rows: DataFrame, keys: list[str], percent: int, miss: float, links: bool) -> DataFrame:
+    """Rows (id, label, asked, sig, shingles) of each key compared.  ``links``:
+    the verified links between labels (a, b); else the new label of each id."""
     def run(t):
         t = t.sort_by("id")
-        ids = t.column("id").to_numpy()
+        ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
         sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
         asked = t.column("asked").to_numpy(zero_copy_only=False)
-        links = link_group(t.column("label").to_numpy(), sigs, sets, percent, miss, None if asked.all() else asked)
-        return pa.table({"a": pa.array([ids[p] for p, _ in links], pa.int64()),
-                         "b": pa.array([ids[q] for _, q in links], pa.int64())})
-    return rows.select(*keys, "id", "label", "asked", "sig", "shingles").groupBy(*keys).applyInArrow(run, "a bigint, b bigint")
-
-
-def _with_labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    c = components(links)
-    return members.drop("label").join(c.select(F.col("node").alias("id"), "component"), "id", "left") \
-        .withColumn("label", F.coalesce("component", "id")).drop("component")
+        found = link_group(labels, sigs, sets, percent, miss, None if asked.all() else asked)
+        if links:
+            return pa.table({"a": pa.array([labels[p] for p, _ in found], pa.int64()),
+                             "b": pa.array([labels[q] for _, q in found], pa.int64())})
+        state = Labels(labels)
+        for p, q in found:
+            state.join(p, q)
+        return pa.table({"id": t.column("id"), "label": pa.array([ids[state.find(i)] for i in range(len(ids))], pa.int64())})
+    rows = rows.select(*keys, "id", "label", "asked", "sig", "shingles").groupBy(*keys)
+    return rows.applyInArrow(run, "a bigint, b bigint" if links else "id bigint, label bigint")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) after joining the labels that the links (a, b) connect."""
+    c = components(links).withColumnRenamed("node", "label")
+    return labels.join(c, "label", "left").select("id", F.coalesce("component", "label").alias("label"))
+
+
+def _group_labels(members: DataFrame, percent: int, miss: float, group_rows: int) -> DataFrame:
+    """(id, label): the components inside the rough groups."""
+    def chunk(salt):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.col("chunks"))
+    members = members.withColumn("asked", F.lit(True))
+    labels = cut(_grouped(members.withColumn("chunk", chunk(0)).withColumn("label", F.col("id")), ["comp", "chunk"],
+                          percent, miss, links=False))
+    big = members.filter("chunks > 1")
+    if not big.select("id").take(1):
+        return labels
+    # Second chunking of the large groups, then whatever is outside the
+    # largest component of its group against all chunks of the group.
+    again = _grouped(big.join(labels, "id").withColumn("chunk", chunk(1)), ["comp", "chunk"], percent, miss, links=True)
+    labels = cut(_relabelled(labels, again))
+    now = big.join(labels, "id")
+    largest = now.groupBy("comp", "label").count().groupBy("comp").agg(
+        F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("main"))
+    now = now.join(largest, "comp").withColumn("stray", F.col("label") != F.col("main"))
+    strays = now.filter("stray").groupBy("comp").agg(F.ceil(F.count("*") / group_rows).alias("sides"))
+    sized = now.join(strays, "comp")  # groups without strays are done
+    ask = sized.filter("stray").withColumn("side", F.pmod(F.xxhash64("id", F.lit(2)), F.col("sides"))) \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    told = sized.withColumn("chunk", chunk(3)).withColumn("asked", F.lit(False)) \
+        .withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
+    cols = ["comp", "side", "chunk", "id", "label", "asked", "sig", "shingles"]
+    late = cut(_grouped(ask.select(*cols).unionByName(told.select(*cols)), ["comp", "side", "chunk"], percent, miss, links=True))
+    return _relabelled(labels, late) if late.take(1) else labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80,
@@ -246,33 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rough.groupBy("component").agg(F.greatest(
         F.ceil(F.count("*") / group_rows), F.ceil(F.sum("n_shingles") / group_shingles)).alias("chunks"))
     groups = rough.join(size, "component").select(F.col("component").alias("comp"), "chunks", F.col("node").alias("id"))
-    members = cut(_members(d, groups, k)).withColumn("label", F.col("id")).withColumn("asked", F.lit(True))
-
-    def chunk(salt):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.col("chunks"))
-    links = cut(_linked(members.withColumn("chunk", chunk(0)), ["comp", "chunk"], percent, miss))
-    big = members.filter("chunks > 1")
-    if big.select("id").take(1):
-        # Second chunking, then whatever is outside the largest component of
-        # its group against all chunks of the group.
-        again = _linked(_with_labels(big, links).withColumn("chunk", chunk(1)), ["comp", "chunk"], percent, miss)
-        links = cut(links.unionByName(again))
-        now = cut(_with_labels(big, links))
-        largest = now.groupBy("comp", "label").count().groupBy("comp").agg(
-            F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("main"))
-        now = now.join(largest, "comp").withColumn("stray", F.col("label") != F.col("main"))
-        strays = now.filter("stray").groupBy("comp").agg(F.ceil(F.count("*") / group_rows).alias("sides"))
-        sized = now.join(strays, "comp")  # groups without strays are done
-        ask = sized.filter("stray").withColumn("side", F.pmod(F.xxhash64("id", F.lit(2)), F.col("sides"))) \
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).withColumn("asked", F.lit(True))
-        told = sized.withColumn("chunk", chunk(3)) \
-            .withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1))).withColumn("asked", F.lit(False))
-        cols = ["comp", "side", "chunk", "id", "label", "asked", "sig", "shingles"]
-        blocks = ask.select(*cols).unionByName(told.select(*cols))
-        links = cut(links.unionByName(_linked(blocks, ["comp", "side", "chunk"], percent, miss)))
-    final = components(links).select(F.col("node").alias("rep"), "component")
+    final = _group_labels(cut(_members(d, groups, k)), percent, miss, group_rows).withColumnRenamed("id", "rep")
     ids = classes.select("set_id", F.col("doc_id").alias("rep")).join(final, "rep", "left") \
-        .select("set_id", F.coalesce("component", "rep").alias("component_id"))
+        .select("set_id", F.coalesce("label", "rep").alias("component_id"))
     # Empty sets get a key of their own, so they are no hot null key.
     own = F.coalesce("set_id", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     out = signed.select("doc_id", "n_shingles", own.alias("set_id")).join(ids, "set_id", "left")
