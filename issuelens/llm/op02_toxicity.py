@@ -204,7 +204,7 @@ def _scan(docs: DataFrame, text_col: str, terms: tuple, keep: list[str]) -> Data
 def learn_terms(rows: DataFrame, n_toxic: int, n_other: int, min_docs: int = 3, purity: float = 0.985,
                 max_terms: int = 500) -> tuple[tuple, tuple]:
     """(words, stems) from rows (text, toxic): forms in at least ``min_docs``
-    toxic rows and a hundredth of them whose rate there is ``purity`` of both
+    toxic rows and a fiftieth of them whose rate there is ``purity`` of both
     rates, and after as many different words (copies of one document repeat
     the word before it too); a stem under a shorter one adds nothing."""
     all_words = F.split(F.lower("text"), r"[^\p{L}]+")
@@ -212,7 +212,7 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_other: int, min_docs: int = 3,
     stems = [F.transform(_longer("w", k), _stem(k)) for k in STEMS]
     forms = rows.select("toxic", F.explode(F.array_distinct(F.concat(_longer("w", 2), *stems))).alias("form"))
     counts = forms.groupBy("form").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    least = max(min_docs, n_toxic // 100)
+    least = max(min_docs, n_toxic // 50)
     ra, rb = F.col("a") / max(1, n_toxic), (F.col("b") + 0.5) / max(1, n_other)
     got = counts.filter((F.col("a") >= least) & (ra / (ra + rb) >= purity)) \
         .orderBy(F.desc("a"), "form").limit(max_terms)
