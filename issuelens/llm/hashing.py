@@ -13,10 +13,11 @@ MASK = (1 << 64) - 1
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 @lru_cache(maxsize=4)
@@ -24,11 +25,18 @@ def _byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 0x632BE59BD9B4E019 & MASK))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    p = np.full(1 << bits, _U(base))
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_LOW = 12  # powers come from two small tables: low and high bits of the exponent
+
+
+@lru_cache(maxsize=16)
+def _powers(base: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i for i < 4096 and base^(4096 i) for i < high."""
+    out = []
+    for b, n in ((base, 1 << _LOW), (pow(base, 1 << _LOW, 1 << 64), high)):
+        p = np.full(n, _U(b))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
 class Prefix:
@@ -37,11 +45,24 @@ class Prefix:
 
     def __init__(self, buf: np.ndarray, seed: int = 1):
         base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & MASK
-        bits = max(16, int(len(buf) + 1).bit_length())
-        self.inverse = _powers(pow(base, -1, 1 << 64), bits)
+        high = 1 << max(4, int(len(buf) >> _LOW).bit_length())
+        self.inverse = _powers(pow(base, -1, 1 << 64), high)
+        low, top = _powers(base, high)
+        table = _byte_table(seed)
         self.sums = np.empty(len(buf) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(_byte_table(seed)[buf] * _powers(base, bits)[:len(buf)], out=self.sums[1:])
+        step = 1 << _LOW
+        for i in range(0, len(buf), step):
+            part = table[buf[i:i + step]]
+            part *= low[:len(part)]
+            part *= top[i >> _LOW]
+            np.cumsum(part, out=self.sums[i + 1:i + 1 + len(part)])
+            self.sums[i + 1:i + 1 + len(part)] += self.sums[i]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        x = self.sums[end]
+        x -= self.sums[start]
+        x *= self.inverse[0][start & ((1 << _LOW) - 1)]
+        x *= self.inverse[1][start >> _LOW]
+        x += (end - start).astype(np.uint64)
+        return mix(x)

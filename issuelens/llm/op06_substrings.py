@@ -6,7 +6,7 @@ the id).  A window is a 50-byte string; it goes if it also starts in a
 document with a smaller id.  Suffixes matter to depth 50 only, so:
 
 1. *Long ties.*  Content-defined chunks of windows (a chunk ends where the next
-   16 bytes hash to 0 modulo ``CHUNK``) with the 49 bytes after them are ranked
+   16 bytes hash into one of ``CHUNK`` equal ranges) with the 49 bytes after them are ranked
    by their 128-bit hash.  A chunk that a smaller document has as well goes as a
    whole; ties longer than a chunk are settled here and not sorted again.
 2. *Cover sample.*  Of what is left, the positions of a difference cover
@@ -43,8 +43,8 @@ from .common import read
 from .hashing import Prefix, mix
 
 WINDOW, GRAM = 50, 20
-CHUNK = 96
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 20_000_000
+CHUNK = 128
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 20_000_000
 #: Fixed value: a perfect difference set modulo 31 (each residue but 0 is a
 #: difference of two of its members).
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
@@ -84,97 +84,119 @@ class Block:
         self.texts = [r[2] for r in rows]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
-        self.buf = np.frombuffer(b"".join(self.texts), np.uint8)
-        # Documents without an id take no part: they have no windows.
-        counts = np.array([max(0, n - WINDOW + 1) if i is not None else 0 for i, n in zip(self.ids, self.lengths)], np.int64)
-        self.doc = np.repeat(np.arange(len(rows)), counts)  # of each window
-        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self.start = np.arange(counts.sum()) - np.repeat(first, counts) + self.offsets[self.doc] if len(rows) else np.empty(0, np.int64)
+        self.raw = b"".join(self.texts) + bytes(WINDOW)
+        self.buf = np.frombuffer(self.raw, np.uint8)[:self.offsets[-1]]
         self.key = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
-        self.hash = Prefix(self.buf)
+        self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), self.lengths)  # of each byte
+
+    def load(self, at) -> np.ndarray:
+        """Eight bytes from each position (or from all of a slice) as a number."""
+        every = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, 0, (1,))
+        return every[at].astype(np.uint64)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window of each chunk, number of windows, 128-bit hashes."""
-        if not len(self.start):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
-        cut = self.hash.of(self.start, self.start + 16) % np.uint64(CHUNK) == 0
-        cut[0] = True
-        cut[1:] |= self.doc[1:] != self.doc[:-1]
-        at = np.flatnonzero(cut)
-        size = np.diff(np.append(at, len(cut)))
-        a, e = self.start[at], self.start[at + size - 1] + WINDOW
-        return at, size, np.column_stack([self.hash.of(a, e), Prefix(self.buf, 2).of(a, e)])
-
-    def whole(self, found: dict[int, bytes], buckets: int) -> np.ndarray:
-        """Per window: does its chunk stand in a smaller document?"""
-        at, size, h = self.chunks()
-        gone = np.zeros(len(at), bool)
-        doc = self.key[self.doc[at]] if len(at) else np.empty(0, np.int64)
+        """Chunks of windows: first window, end of the windows, 128-bit hashes.
+
+        Documents without an id take no part: they have no windows."""
+        n = len(self.buf)
+        x = self.load(slice(0, n))
+        y = self.load(slice(8, n + 8))
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        y *= np.uint64(0xC2B2AE3D27D4EB4F)
+        x += y
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        cut = x < np.uint64((1 << 64) // CHUNK)
+        for i, a, b in zip(self.ids, self.offsets[:-1].tolist(), self.offsets[1:].tolist()):
+            last = b - WINDOW + 1  # end of the windows
+            if i is None or last <= a:
+                cut[a:b] = False
+            else:
+                cut[a] = True
+                cut[last:b] = False
+        a = np.flatnonzero(cut)
+        e = np.minimum(np.append(a[1:], n), self.offsets[self.doc[a].astype(np.int64) + 1] - WINDOW + 1)
+        to = e + WINDOW - 1
+        return a, e, np.column_stack([Prefix(self.buf, seed).of(a, to) for seed in (1, 2)])
+
+    def whole(self, found: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First window and end of each chunk, and if a smaller document has it."""
+        a, e, h = self.chunks()
+        gone = np.zeros(len(a), bool)
+        doc = self.key[self.doc[a]]
         for b, entries, where in _by_bucket(h, buckets):
             least = _first_ids(where, doc, len(entries))
             if b in found:
                 r = _unpacked(found[b], [("i", "<u4"), ("d", "<i8")])
                 least[r["i"]] = np.minimum(least[r["i"]], r["d"])
             gone[where[0]] = doc[where[0]] > least[where[1]]
-        return np.repeat(gone, size)
+        return a, e, gone
 
-    def sample(self, gone: np.ndarray) -> np.ndarray:
+    def sample(self, chunks: tuple) -> np.ndarray:
         """Sample positions (in the buffer) within reach of a window that is left."""
-        need = np.zeros(len(self.buf) + REACH + 2, np.int32)
-        left = self.start[~gone]
-        np.add.at(need, left, 1)
-        np.add.at(need, left + REACH + 1, -1)
-        inside = np.cumsum(need)[:len(self.buf)] > 0
-        inside &= _IN_COVER[(np.arange(len(self.buf)) - np.repeat(self.offsets[:-1], self.lengths)) % PERIOD]
-        at = np.flatnonzero(inside)
-        return at
+        a, e, gone = chunks
+        inside = _covered(a[~gone], e[~gone] + REACH, len(self.buf))
+        pattern = np.tile(_IN_COVER, int(self.lengths.max(initial=0)) // PERIOD + 1)
+        inside &= np.concatenate([pattern[:n] for n in self.lengths] or [pattern[:0]])
+        return np.flatnonzero(inside)
+
+
+def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Of n bytes: is it in one of the ranges [start, end)?"""
+    change = np.bincount(start, minlength=n + 1).astype(np.int32)
+    change -= np.bincount(end, minlength=n + 1).astype(np.int32)
+    return np.cumsum(change, out=change)[:n] > 0
 
-    def doc_at(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, at, side="right") - 1
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
 def _by_bucket(h: np.ndarray, buckets: int):
-    """Per bucket: its distinct hashes (sorted rows) and (rows, index of each)."""
-    flat = h[:, 0] if h.ndim == 2 else h
-    b = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((h[:, 1], h[:, 0], b)) if h.ndim == 2 else np.lexsort((flat, b))
-    cuts = np.flatnonzero(np.append(True, np.diff(b[order]) != 0)) if len(order) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-        rows = order[lo:hi]
-        x = h[rows]
-        new = np.append(True, (x[1:] != x[:-1]).any(axis=1) if h.ndim == 2 else x[1:] != x[:-1])
-        yield int(b[rows[0]]), x[new], (rows, np.cumsum(new) - 1)
+    """Per bucket of 128-bit hashes: the distinct ones in order, and (rows,
+    index of each row's entry)."""
+    b = _bucket_of(h[:, 0], buckets).astype(np.int64)
+    order = np.lexsort((h[:, 1], h[:, 0]))  # the bucket grows with the first half
+    for rows in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+        if len(rows):
+            x = h[rows]
+            new = np.append(True, (x[1:] != x[:-1]).any(axis=1))
+            yield int(b[rows[0]]), x[new], (rows, np.cumsum(new) - 1)
 
 
 def _first_ids(where, doc: np.ndarray, n: int) -> np.ndarray:
     rows, index = where
-    least = np.full(n, NO_ID, np.int64)
-    np.minimum.at(least, index, doc[rows])
-    return least
+    return np.minimum.reduceat(doc[rows], np.flatnonzero(np.append(True, np.diff(index) != 0)))
 
 
 def _grams(block: Block, at: np.ndarray, buckets: int):
-    """Per bucket: sorted distinct low hash halves of the sample's 20 bytes, a
-    flag for those of several documents here, and where each came from."""
-    h = block.hash.of(at, at + GRAM)
-    doc = block.key[block.doc_at(at)]
-    # 32 bits inside a bucket: a chance hit costs a look at its windows.
-    short = (h & np.uint64(0xFFFFFFFF00000000)) | (mix(h) >> np.uint64(32))
-    for b, entries, (rows, index) in _by_bucket(short, buckets):
-        # The bucket comes from the high half, the entry from the low one.
-        low = (entries & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        kinds, to = np.unique(low, return_inverse=True)
-        index = to[index]
-        least = np.full(len(kinds), NO_ID, np.int64)
-        most = np.full(len(kinds), -NO_ID, np.int64)
-        np.minimum.at(least, index, doc[rows])
-        np.maximum.at(most, index, doc[rows])
-        yield b, kinds, least != most, rows, index
+    """Per bucket: the sample's distinct 20-byte strings as sorted 32-bit hashes
+    (a chance hit only costs a look at its windows), a flag for those of several
+    documents here, and (rows, index of each row's entry)."""
+    h = block.load(at) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= block.load(at + 8) * np.uint64(0xC2B2AE3D27D4EB4F) + (h >> np.uint64(31))
+    h = mix(h * np.uint64(0x165667B19E3779F9) + block.load(at + GRAM - 8))
+    key = _bucket_of(h, buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    order = np.argsort(key)
+    key = key[order]
+    doc = block.key[block.doc[at]][order]
+    new = np.append(True, key[1:] != key[:-1])[:len(key)]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    index = np.cumsum(new) - 1
+    kinds = key[first]
+    cuts = np.flatnonzero(np.diff(kinds >> np.uint64(32))) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(kinds)]):
+        a, b = first[lo], first[hi] if hi < len(kinds) else len(key)
+        yield (int(kinds[lo] >> np.uint64(32)), kinds[lo:hi].astype(np.uint32), several[lo:hi],
+               order[a:b], index[a:b] - lo)
 
 
 def _emit_chunks(block: Block, buckets: int):
-    at, _, h = block.chunks()
-    doc = block.key[block.doc[at]] if len(at) else np.empty(0, np.int64)
+    a, _, h = block.chunks()
+    doc = block.key[block.doc[a]]
     for b, entries, where in _by_bucket(h, buckets):
         yield b, _packed(np.column_stack([entries, _first_ids(where, doc, len(entries)).view(np.uint64)]))
 
@@ -199,8 +221,8 @@ def _rank_chunks(blobs: list[bytes]) -> list[bytes]:
     return out
 
 
-def _emit_grams(block: Block, gone: np.ndarray, buckets: int):
-    for b, kinds, several, _, _ in _grams(block, block.sample(gone), buckets):
+def _emit_grams(block: Block, chunks: tuple, buckets: int):
+    for b, kinds, several, _, _ in _grams(block, block.sample(chunks), buckets):
         k = _sorted_packed(kinds)
         yield b, struct.pack("<q", len(k)) + k + np.packbits(several).tobytes()
 
@@ -224,17 +246,17 @@ def _sort_grams(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(p).tobytes() for p in np.split(bits, np.cumsum([len(k) for k in kinds])[:-1])]
 
 
-def _contexts(block: Block, gone: np.ndarray, flags: dict[int, bytes], buckets: int):
+def _contexts(block: Block, chunks: tuple, flags: dict[int, bytes], buckets: int):
     """Per bucket: distinct contexts of the repeated sample positions as rows
     (left, right, 80 bytes), smallest id of each, positions, index."""
-    at = block.sample(gone)
+    at = block.sample(chunks)
     padded = np.concatenate([np.zeros(REACH, np.uint8), block.buf, np.zeros(WINDOW, np.uint8)])
     for b, kinds, _, rows, index in _grams(block, at, buckets):
         hit = np.unpackbits(np.frombuffer(flags[b], np.uint8))[:len(kinds)].astype(bool)[index]
         pos = at[rows[hit]]
         if not len(pos):
             continue
-        doc = block.doc_at(pos)
+        doc = block.doc[pos].astype(np.int64)
         left = np.minimum(pos - block.offsets[doc], REACH)
         right = np.minimum(block.offsets[doc + 1] - pos, WINDOW)
         c = np.zeros((len(pos), 2 + CONTEXT), np.uint8)
@@ -248,8 +270,8 @@ def _contexts(block: Block, gone: np.ndarray, flags: dict[int, bytes], buckets:
         yield b, whole, least, pos, inverse
 
 
-def _emit_contexts(block: Block, gone: np.ndarray, flags: dict[int, bytes], buckets: int):
-    for b, whole, least, _, _ in _contexts(block, gone, flags, buckets):
+def _emit_contexts(block: Block, chunks: tuple, flags: dict[int, bytes], buckets: int):
+    for b, whole, least, _, _ in _contexts(block, chunks, flags, buckets):
         c = _packed(np.frombuffer(whole.tobytes(), np.uint8))
         yield b, struct.pack("<q", len(c)) + c + _packed(least)
 
@@ -264,15 +286,20 @@ def _rank_windows(blobs: list[bytes]) -> list[bytes]:
         docs.append(_unpacked(b[8 + n:], np.int64))
     x, doc = np.concatenate(contexts), np.concatenate(docs)
     left, right = x[:, 0].astype(int), x[:, 1].astype(int)
-    h = Prefix(np.ascontiguousarray(x[:, 2:]).ravel())
-    base = np.arange(len(x), dtype=np.int64) * CONTEXT
+    # Hashes of all windows, some contexts at a time (31 x 8 bytes each).
+    hashes = np.empty((REACH + 1, len(x)), np.uint64)
+    for i in range(0, len(x), 4096):
+        part = np.ascontiguousarray(x[i:i + 4096, 2:])
+        h = Prefix(part.ravel())
+        base = np.arange(len(part), dtype=np.int64) * CONTEXT
+        for k in range(REACH + 1):
+            hashes[k, i:i + 4096] = h.of(base + REACH - k, base + REACH - k + WINDOW)
     marks = np.zeros(len(x), np.uint32)
     for k in range(REACH + 1):  # the window that starts k bytes before the position
         ok = np.flatnonzero((left >= k) & (right >= WINDOW - k))
         if len(ok) < 2:
             continue
-        a = base[ok] + REACH - k
-        w = h.of(a, a + WINDOW)
+        w = hashes[k, ok]
         order = np.argsort(w, kind="stable")
         first = np.flatnonzero(np.append(True, w[order][1:] != w[order][:-1]))
         least = np.empty(len(ok), np.int64)
@@ -281,24 +308,21 @@ def _rank_windows(blobs: list[bytes]) -> list[bytes]:
     return [_packed(p) for p in np.split(marks, np.cumsum([len(d) for d in docs])[:-1])]
 
 
-def _removed(block: Block, gone: np.ndarray, flags: dict[int, bytes], marks: dict[int, bytes], buckets: int) -> np.ndarray:
+def _removed(block: Block, chunks: tuple, flags: dict[int, bytes], marks: dict[int, bytes], buckets: int) -> np.ndarray:
     """Per byte of the buffer: is it removed?"""
-    cover = np.zeros(len(block.buf) + 1, np.int32)
-    np.add.at(cover, block.start[gone], 1)
-    np.add.at(cover, block.start[gone] + WINDOW, -1)
-    for b, _, least, pos, inverse in _contexts(block, gone, flags, buckets):
+    a, e, gone = chunks
+    starts, ends = [a[gone]], [e[gone] + WINDOW - 1]
+    for b, _, least, pos, inverse in _contexts(block, chunks, flags, buckets):
         m = _unpacked(marks[b], np.uint32)[inverse]
         # In a larger document of this block every window of the context goes.
-        doc = block.doc_at(pos)
+        doc = block.doc[pos].astype(np.int64)
         m = np.where(block.key[doc] > least[inverse], np.uint32(0xFFFFFFFF), m)
+        first, last = block.offsets[doc], block.offsets[doc + 1]
         for k in range(REACH + 1):
-            a = pos[(m >> np.uint32(k)) & np.uint32(1) == 1] - k
-            d = block.doc_at(np.maximum(a, 0))
-            own = doc[(m >> np.uint32(k)) & np.uint32(1) == 1]
-            a = a[(a >= 0) & (d == own) & (a + WINDOW <= block.offsets[own + 1])]
-            np.add.at(cover, a, 1)
-            np.add.at(cover, a + WINDOW, -1)
-    return np.cumsum(cover)[:-1] > 0
+            a = pos - k
+            starts.append(a[((m >> np.uint32(k)) & np.uint32(1) == 1) & (a >= first) & (a + WINDOW <= last)])
+            ends.append(starts[-1] + WINDOW)
+    return _covered(np.concatenate(starts), np.concatenate(ends), len(block.buf))
 
 
 # Kinds of the messages to a block.
@@ -370,13 +394,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pass3(key, t, told):
         block = _opened(t)
-        gone = block.whole(_told(told, CHUNKS), buckets)
-        return _as_table(key[0].as_py(), WINDOWS, _emit_contexts(block, gone, _told(told, GRAMS), buckets))
+        chunks = block.whole(_told(told, CHUNKS), buckets)
+        return _as_table(key[0].as_py(), WINDOWS, _emit_contexts(block, chunks, _told(told, GRAMS), buckets))
 
     def pass4(key, t, told):
         block = _opened(t)
-        gone = block.whole(_told(told, CHUNKS), buckets)
-        cut = _removed(block, gone, _told(told, GRAMS), _told(told, WINDOWS), buckets)
+        chunks = block.whole(_told(told, CHUNKS), buckets)
+        cut = _removed(block, chunks, _told(told, GRAMS), _told(told, WINDOWS), buckets)
         out = [(i, *_digest(cut[a:b], text)) for i, text, a, b in
                zip(block.ids, block.texts, block.offsets[:-1], block.offsets[1:])]
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
