@@ -75,6 +75,11 @@ def outputs_by_run(checks: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == "lint", entry))).alias("lint_outputs"))
 
 
+def output_rows(checks: DataFrame) -> DataFrame:
+    """A3 in long form: (run_id, kind, file, output), one pass over the checks."""
+    return format_outputs(latest_per_file(checks)).select("run_id", "kind", "file", "output")
+
+
 def _failure_text() -> "F.Column":
     k, f = F.col("kind"), F.col("file")
     return (F.when((k == "test") & F.col("error").isNotNull(),
@@ -104,8 +109,9 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str
     """A4 + A5 + A6: the verdict table, rows checked in this order.
 
     1. the plan has no relevant files → no results, ``passed`` NULL
-    2. no test file was run → tests and lint pass with no outputs, lint is
-       not run, ``passed`` and ``last_errors`` unchanged (NULL)
+    2. no check was run at all (no test file exists) → tests and lint pass
+       with no outputs, ``passed`` and ``last_errors`` unchanged (NULL).  A run
+       with lint checks only had test files that were all skipped: row 4
     3. some test output (last per file) contains "no tests ran" → tests
        pass, lint real, ``passed`` true, ``last_errors`` unchanged
     4. otherwise: every exit code 0 and no exception, per kind; ``passed`` =
@@ -126,7 +132,7 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str
     is_test = F.col("kind") == "test"
     texts = F.sort_array(F.flatten(F.collect_list("_fails")))
     v = per_file.groupBy("run_id").agg(
-        F.coalesce(F.sum(F.when(is_test, F.col("_n"))), F.lit(0)).cast("bigint").alias("n_test"),
+        F.sum("_n").alias("_n_checks"),
         F.coalesce(F.bool_and(F.when(is_test, F.col("_ok"))), F.lit(True)).alias("_tests_ok"),
         F.coalesce(F.bool_and(F.when(~is_test, F.col("_ok"))), F.lit(True)).alias("_lint_ok"),
         F.coalesce(F.bool_or(F.when(is_test, F.lower("_last").contains(NO_TESTS_RAN))), F.lit(False))
@@ -140,18 +146,20 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str
     if variant == "class":
         rule = F.when(~F.col("_has_rel"), 1).otherwise(4)
     elif variant == "modular":
-        rule = (F.when(~F.col("_has_rel"), 1).when(F.coalesce(F.col("n_test"), F.lit(0)) == 0, 2)
+        rule = (F.when(~F.col("_has_rel"), 1).when(F.coalesce(F.col("_n_checks"), F.lit(0)) == 0, 2)
                 .when(F.coalesce("_no_tests_ran", F.lit(False)), 3).otherwise(4))
     else:
         raise ValueError(f"variant must be 'modular' or 'class', not {variant!r}")
     v = v.withColumn("rule", rule)
     r = F.col("rule")
+    # A run without checks (class variant) has nothing that failed.
+    ok = {c: F.coalesce(c, F.lit(True)) for c in ("_tests_ok", "_lint_ok")}
     return v.select(
         "run_id", r.alias("rule"),
-        F.when(r == 1, F.lit(None)).when(r.isin(2, 3), True).otherwise(F.col("_tests_ok")).alias("tests_passed"),
-        F.when(r == 1, F.lit(None)).when(r == 2, True).otherwise(F.col("_lint_ok")).alias("lint_passed"),
+        F.when(r == 1, F.lit(None)).when(r.isin(2, 3), True).otherwise(ok["_tests_ok"]).alias("tests_passed"),
+        F.when(r == 1, F.lit(None)).when(r == 2, True).otherwise(ok["_lint_ok"]).alias("lint_passed"),
         F.when(r.isin(1, 2), F.lit(None)).when(r == 3, True)
-         .otherwise(F.col("_tests_ok") & F.col("_lint_ok")).alias("passed"),
+         .otherwise(ok["_tests_ok"] & ok["_lint_ok"]).alias("passed"),
         F.when(r == 4, F.col("last_errors")).alias("last_errors"))
 
 

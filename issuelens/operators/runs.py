@@ -92,27 +92,37 @@ def _micros(df: DataFrame, ts_col: str):
     return epoch_micros(df, ts_col)
 
 
+def _axis(df: DataFrame, col: str):
+    """A column as a number line: microseconds of times, numbers as they are."""
+    return epoch_micros(df, col) if dict(df.dtypes)[col].startswith("timestamp") else F.col(col).cast("bigint")
+
+
 def next_in_run(records: DataFrame, value, key: str = "run_id", order=("ts", "event_id"),
-                partitions: int | None = None) -> DataFrame:
+                buckets: int = 64) -> DataFrame:
     """Add ``_next``: ``value`` of the next record of the same run.
 
     Skew-safe form of ``lead(value) over (partition by key order by ...)``:
-    rows are range-partitioned on ``(key, order)``, so one run may span many
-    tasks; ``lead`` runs inside each (partition, run) slice, and the last row
-    of a slice takes the first row of the next non-empty partition when that
-    row belongs to the same run.  The table of first rows has one row per
-    partition (a proven bound), so it is broadcast.
+    a run is cut into time buckets of equal width (about ``buckets`` over the
+    whole time range, one aggregate), and ``lead`` runs inside each (run,
+    bucket).  The last row of a bucket finds the first row of the run's next
+    bucket as an extra row that is dropped afterwards.  The bucket is a plain
+    function of the record's own time, so every branch of the plan agrees on
+    it, and the result does not depend on the width.
     """
-    n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = (records.withColumn("_v", value).repartitionByRange(n, key, *order)
-         .withColumn("_pid", F.spark_partition_id()))
-    x = x.withColumn("_next", F.lead("_v").over(Window.partitionBy("_pid", key).orderBy(*order)))
-    firsts = x.groupBy("_pid").agg(F.min(F.struct(key, *order, "_v")).alias("_f"))
-    heads = firsts.select(F.lag("_pid").over(Window.orderBy("_pid")).alias("_prev_pid"),
-                          F.col("_f")[key].alias("_fkey"), F.col("_f")["_v"].alias("_fv"))
-    j = x.join(F.broadcast(heads), (F.col("_pid") == F.col("_prev_pid")) & (F.col(key) == F.col("_fkey"))
-               & F.col("_next").isNull(), "left")
-    return j.withColumn("_next", F.coalesce("_next", "_fv")).drop("_v", "_pid", "_prev_pid", "_fkey", "_fv")
+    us = _axis(records, order[0])
+    lo, hi = records.agg(F.min(us), F.max(us)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
+    before_all = F.lit(-(1 << 62)).cast("bigint")  # records without a time come first
+    x = records.withColumn("_v", value).withColumn(
+        "_b", F.coalesce(F.floor((us - F.lit(lo or 0)) / F.lit(width)).cast("bigint"), before_all))
+    firsts = x.groupBy(key, "_b").agg(F.min(F.struct(*order, "_v")).alias("_f"))
+    wk = Window.partitionBy(key).orderBy("_b")  # at most ``buckets`` + 2 rows of a run
+    heads = firsts.select(key, F.lag("_b").over(wk).alias("_b"), "_f").filter(F.col("_b").isNotNull())
+    extra = heads.select(F.col(key), *[F.col("_f")[c].alias(c) for c in order], F.col("_f")["_v"].alias("_v"), "_b",
+                         F.lit(True).alias("_extra"))
+    rows = x.withColumn("_extra", F.lit(False)).unionByName(extra, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_b").orderBy("_extra", *order)
+    return rows.withColumn("_next", F.lead("_v").over(w)).filter(~F.col("_extra")).drop("_v", "_b", "_extra")
 
 
 def step_durations(records: DataFrame, key: str = "run_id", ts: str = "ts",
