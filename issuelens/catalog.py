@@ -78,16 +78,31 @@ def w5_latest_per_file(spark, d):
 
 @query("a3_outputs_by_run")
 def a3_outputs_by_run(spark, d):
-    m = O.outputs_by_run(T.v_checks(spark, d))
-    t = m.select("run_id", F.lit("test").alias("kind"), F.explode("test_outputs").alias("file", "output"))
-    li = m.select("run_id", F.lit("lint").alias("kind"), F.explode("lint_outputs").alias("file", "output"))
-    return t.unionByName(li)
+    return O.output_rows(T.v_checks(spark, d))
+
+
+def run_plans(spark, d):
+    """Plans of the runs from ``orders``: one in seven has no relevant file;
+    runs whose checks were all skipped have no row in ``v_checks``."""
+    k = F.col("o_orderkey")
+    return T.table(spark, d, "orders").select(k.alias("run_id"), F.when(k % 7 != 0, F.array(F.lit("src/a.py"))).otherwise(
+        F.array().cast("array<string>")).alias("relevant_files"))
+
+
+def planned_checks(spark, d):
+    """The checks of the runs, without those of every eleventh run."""
+    return T.v_checks(spark, d).filter(F.col("run_id") % 11 != 0)
 
 
 @query("a4_run_verdict")
 def a4_run_verdict(spark, d):
     from .plans.jobs import check_outcome
-    return check_outcome(T.v_checks(spark, d)).verdicts
+    return check_outcome(planned_checks(spark, d), run_plans(spark, d)).verdicts
+
+
+@query("a4_run_verdict_class")
+def a4_run_verdict_class(spark, d):
+    return O.run_verdict(planned_checks(spark, d), run_plans(spark, d), variant="class")
 
 
 @query("a6_error_digest")
@@ -135,12 +150,12 @@ def w3_carry_errors(spark, d):
 
 
 def event_records(spark, d):
-    return T.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts")
+    return T.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts", "event_type", "props")
 
 
 @query("w4_step_durations")
 def w4_step_durations(spark, d):
-    return W.step_durations(event_records(spark, d)).select("run_id", "event_id", "step_seconds")
+    return W.step_durations(event_records(spark, d)).select("run_id", "event_id", "event_type", "step_seconds")
 
 
 @query("w4_run_spans")
@@ -195,7 +210,8 @@ def s6_final_states(spark, d):
                     F.to_json(F.struct(*[c for c in s.columns if c != "doc_id"])))
     literal = F.concat(F.lit(L.FINAL_STATE_PREFIX + " {'github_issue': 'doc "), doc.cast("string"),
                        F.lit("', 'passed': True}"))
-    recs = s.select("doc_id", F.when(doc % 9 == 0, literal).otherwise(good).alias("message"))
+    recs = s.select("doc_id", F.when(doc % 9 == 0, literal).when(doc % 9 == 4, F.concat(good, F.lit(" trailing")))
+                    .otherwise(good).alias("message"))
     st = L.final_states(recs)
     return st.select("doc_id", F.col("state.github_issue").alias("github_issue"),
                      F.col("state.test_results.tests_passed").alias("tests_passed"),
@@ -519,7 +535,9 @@ def plan_responses(spark, d):
     resp = (F.when(doc % 6 == 0, full)
             .when(doc % 6 == 1, F.concat(F.lit('{"source_files": ['), q(s), F.lit("]}")))
             .when(doc % 6 == 2, F.lit(""))
-            .when(doc % 6 == 3, F.lit("not json at all"))
+            .when(doc % 12 == 3, F.lit("not json at all"))
+            .when(doc % 24 == 9, F.lit("{'relevant_files': []}"))
+            .when(doc % 6 == 3, F.lit('{"relevant_files": ["a.py"]} and more'))
             .when(doc % 6 == 4, F.concat(F.lit('{"relevant_files": '), q(s), F.lit("}")))
             .otherwise(F.lit('{"relevant_files": ["a.py"], "extra": 1, "is_test_generation_issue": false}')))
     return lb.select("doc_id", resp.alias("response"), F.array(s, t).alias("candidates"))
@@ -653,29 +671,31 @@ def x1_stream_run_log(spark, d):
     """Log lines written as text files per run, tailed by a stream."""
     from .session import scratch_path
     src, out, ckpt = (scratch_path(spark, n) for n in ("logs-in", "logs-out", "logs-ckpt"))
-    T.v_log_lines(spark, d).select("source_file", "line").write.partitionBy("source_file").text(src)
+    # One folder per run; a run's lines are written in order by one task.
+    T.v_log_lines(spark, d).repartition("source_file").sortWithinPartitions("source_file", "line_no") \
+        .select("source_file", "line").write.partitionBy("source_file").text(src)
     q = XT.run_to_parquet(XT.stream_run_log(spark, src), out, ckpt)
     q.awaitTermination()
     r = spark.read.parquet(out)
     return r.select(F.regexp_extract("source_path", "source_file=([^/]+)/", 1).alias("source_file"),
                     epoch_millis(r, "ts").alias("ts_ms"), "level",
-                    F.split("message", "\n")[0].alias("message"))
+                    F.split("message", "\n")[0].alias("message"), "phase", "is_retry", "is_completion")
 
 
 @query("x2_stream_retry_ledger")
 def x2_stream_retry_ledger(spark, d):
-    """Attempts written as four time-ordered files and streamed one file
-    per micro-batch through the stateful ledger."""
+    """Attempts written in four time-ordered slices of some files each and
+    streamed a slice per micro-batch through the stateful ledger."""
     from .session import scratch_path
     src, out, ckpt = (scratch_path(spark, n) for n in ("attempts-in", "ledger-out", "ledger-ckpt"))
     a = T.v_attempts(spark, d)
     us = epoch_micros(a, "ts")
     lo, hi = a.agg(F.min(us), F.max(us)).first()
-    step = (hi - lo) // 4 + 1
+    step, files = (hi - lo) // 4 + 1, 8
     for i in range(4):
-        a.filter((us >= lo + i * step) & (us < lo + (i + 1) * step)).coalesce(1) \
+        a.filter((us >= lo + i * step) & (us < lo + (i + 1) * step)).repartition(files, "run_id") \
             .write.mode("append").parquet(src)
-    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", "1").parquet(src)
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", str(files)).parquet(src)
     q = XT.run_to_parquet(XS.stream_retry_ledger(stream), out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out)

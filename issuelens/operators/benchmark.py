@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import STRICT, strict_json
 
 # The code host prefix, the state literals given to every
 # benchmark instance, and the skip reasons in the order they are checked.
@@ -58,7 +59,7 @@ def with_repo_urls(df: DataFrame, repo_col: str = "repo", id_col: str = "issue_i
 def test_ids(df: DataFrame) -> Column:
     """FAIL_TO_PASS then PASS_TO_PASS parsed as JSON string lists; bad
     JSON or a non-list contributes nothing; duplicates kept."""
-    parse = lambda c: F.coalesce(F.from_json(F.col(c), "array<string>"), _empty())
+    parse = lambda c: F.coalesce(F.from_json(strict_json(c), "array<string>", STRICT), _empty())
     return F.concat(parse("FAIL_TO_PASS"), parse("PASS_TO_PASS"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import file_stem, file_suffix
+from ..functions.json import STRICT, strict_json
 from ..functions.text import py_strip
 from .retrieval import is_test_name
 
@@ -48,7 +49,10 @@ def normalize_test_paths(plans: DataFrame, repo_files: DataFrame, col: str = "te
     paths with a directory are kept."""
     j = plans.join(test_dirs(repo_files), "repo", "left")
     td = F.coalesce(F.col("test_dir"), F.lit("tests"))
-    fixed = F.transform(_arr(col), lambda p: F.when(p.contains("/"), p).otherwise(F.concat(td, F.lit("/"), p)))
+    # ``./x.py`` has no directory of its own either.
+    bare = F.regexp_replace
+    fixed = F.transform(_arr(col), lambda p: F.when(bare(p, r"^(\./+)+", "").contains("/"), p)
+                        .otherwise(F.concat(td, F.lit("/"), bare(p, r"^(\./+)+", ""))))
     return j.withColumn(col, fixed).drop("test_dir")
 
 
@@ -111,11 +115,11 @@ PLAN_SCHEMA = T.StructType([
 
 def parse_plans(responses: DataFrame, response_col: str = "response",
                 candidates_col: str = "candidates") -> DataFrame:
-    """valid JSON object → its fields, absent keys ``[]``/false; empty
+    """exactly one valid JSON object → its fields, absent keys ``[]``/false; empty
     text or a parse failure (incl. a wrong-typed field) → relevant = source =
     all candidates, tests ``[]``, flag false.  ``parsed_ok`` tells which."""
-    p = F.from_json(F.col(response_col), PLAN_SCHEMA,
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    p = F.from_json(strict_json(response_col), PLAN_SCHEMA,
+                    {**STRICT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     x = responses.withColumn("_p", p)
     ok = F.col("_p").isNotNull() & F.col("_p._corrupt").isNull()
     cand = _arr(candidates_col)

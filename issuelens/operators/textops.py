@@ -32,22 +32,34 @@ def open_issues(df: DataFrame, body: str = "body", state: str = "state",
     return t.filter(F.col("reason").isNull()).drop("reason"), t.filter(F.col("reason").isNotNull())
 
 
-def strip_markdown(col) -> Column:
-    """markdown → plain text (our own rule set; fenced blocks kept).
+# Fenced blocks (an open one reaches the end) and inline code.
+CODE_RE = r"(?s)```.*?(?:```|\z)|`[^`\n]+`"
+CUT = "\u0001"
+
 
-    Headings markers, bold/italic markers, inline-code ticks and HTML tags
-    are removed, trailing spaces of lines dropped, runs of blank lines
-    collapsed to one line break, ends trimmed.
+def strip_markdown(col) -> Column:
+    """markdown → plain text (our own rule set; code is kept).
+
+    The text is cut into code (fenced blocks, inline code) and the rest.
+    Fenced blocks stay as they are, inline code loses its ticks only.  In the
+    rest, heading markers, bold/italic markers and HTML tags are removed,
+    spaces before line ends dropped and runs of blank lines collapsed to one
+    line break.  Ends are trimmed.  (U+0001 separates the parts; a text's own
+    is dropped.)
     """
-    t = _c(col)
-    t = F.regexp_replace(t, r"(?md)^#{1,6}[ \t]+", "")
-    t = F.regexp_replace(t, r"\*\*([^*\n]+)\*\*", "$1")
-    t = F.regexp_replace(t, r"__([^_\n]+)__", "$1")
-    t = F.regexp_replace(t, r"(^|[^`])`([^`\n]+)`", "$1$2")
-    t = F.regexp_replace(t, r"<[a-zA-Z/][^<>\n]*>", "")
-    t = F.regexp_replace(t, r"(?md)[ \t]+$", "")
-    t = F.regexp_replace(t, r"\n{2,}", "\n")
-    return py_strip(t)
+    t = F.translate(_c(col), CUT, "")
+    parts = F.split(F.regexp_replace(t, CODE_RE, CUT + "$0" + CUT), CUT)
+
+    def part(x, i):
+        code = F.when(x.startswith("```"), x).otherwise(F.substring(x, F.lit(2), F.length(x) - 2))
+        heading = F.when(i == 0, F.regexp_replace(x, r"(?md)^#{1,6}[ \t]+", "")) \
+            .otherwise(F.regexp_replace(x, r"\n#{1,6}[ \t]+", "\n"))
+        prose = F.regexp_replace(heading, r"\*\*([^*\n]+)\*\*", "$1")
+        prose = F.regexp_replace(prose, r"__([^_\n]+)__", "$1")
+        prose = F.regexp_replace(prose, r"<[a-zA-Z/][^<>\n]*>", "")
+        prose = F.regexp_replace(prose, r"[ \t]+\n", "\n")
+        return F.when(i % 2 == 1, code).otherwise(F.regexp_replace(prose, r"\n{2,}", "\n"))
+    return py_strip(F.array_join(F.transform(parts, part), ""))
 
 
 # Python's re.sub(r"^```[a-zA-Z]*\s*|```$", "", s, flags=re.M): with (?d)

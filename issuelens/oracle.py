@@ -66,11 +66,18 @@ FROM part""")
 
 cte("v_issues", f"""
 SELECT d.doc_id AS issue_id, {repo_of('d.doc_id')} AS repo, d.doc_id AS number,
-       '### Fix' || chr(10) || chr(10) || '**File:** `' || replace(p.p_name, ' ', '_') ||
-       CASE d.doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' ELSE '.json' END ||
-       '`' || chr(10) || d.text AS body,
+       '### Fix' || chr(10) || chr(10) || '**File:** ' ||
+       CASE d.doc_id % 10 WHEN 3 THEN 'no file named'
+         WHEN 5 THEN '`' || name || ext || '`, `src/' || name || '.py` and again `' || name || ext ||
+                     '`; see `__init__.py` and <b>below</b>' || chr(10) ||
+                     array_to_string(['```python', '# a comment', 'f(**a, **b)  ', 'x = ' || chr(39) || '<div>' || chr(39),
+                                      '', '', 'y = __name__', '```'], chr(10))
+         WHEN 7 THEN '`test.py`' ELSE '`' || name || ext || '`' END ||
+       chr(10) || d.text AS body,
        CASE WHEN d.doc_id % 7 = 0 THEN 'closed' ELSE 'open' END AS state
-FROM documents d JOIN part p ON p.p_partkey = d.doc_id""")
+FROM (SELECT d.*, coalesce(replace(p.p_name, ' ', '_'), 'unnamed') AS name,
+             CASE d.doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' ELSE '.json' END AS ext
+      FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id) d""")
 
 cte("v_attempts", """
 SELECT user_id AS run_id, user_id % 10 AS agent_id, event_id, ts,
@@ -209,24 +216,32 @@ FROM v_checks GROUP BY run_id""", "v_checks")
 
 oracle("a6_error_digest", "SELECT run_id, last_errors FROM digest", "digest")
 
-oracle("a4_run_verdict", f"""
-WITH per_run AS (
-  SELECT run_id,
-         count(*) FILTER (WHERE kind = 'test') AS n_test,
+def verdict_sql(rule: str) -> str:
+    return f"""
+WITH plan AS (SELECT o_orderkey AS run_id, o_orderkey % 7 <> 0 AS has_rel FROM orders),
+c AS (SELECT * FROM v_checks WHERE run_id % 11 <> 0),
+per_run AS (
+  SELECT run_id, count(*) AS n_checks,
          coalesce(bool_and(NOT {FAILED_SQL}) FILTER (WHERE kind = 'test'), true) AS tests_ok,
          coalesce(bool_and(NOT {FAILED_SQL}) FILTER (WHERE kind = 'lint'), true) AS lint_ok
-  FROM v_checks GROUP BY run_id),
+  FROM c GROUP BY run_id),
 ntr AS (SELECT run_id, bool_or(contains(lower(output), 'no tests ran')) AS no_tests_ran
         FROM checks_last WHERE kind = 'test' GROUP BY run_id),
-j AS (SELECT p.*, coalesce(n.no_tests_ran, false) AS ntr, d.last_errors,
-             CASE WHEN p.n_test = 0 THEN 2 WHEN coalesce(n.no_tests_ran, false) THEN 3 ELSE 4 END AS rule
-      FROM per_run p LEFT JOIN ntr n USING (run_id) LEFT JOIN digest d USING (run_id))
+j AS (SELECT plan.run_id, coalesce(tests_ok, true) AS tests_ok, coalesce(lint_ok, true) AS lint_ok,
+             CASE WHEN n_checks IS NOT NULL THEN d.last_errors END AS last_errors, {rule} AS rule
+      FROM plan LEFT JOIN per_run p USING (run_id) LEFT JOIN ntr n USING (run_id) LEFT JOIN digest d USING (run_id))
 SELECT run_id, rule,
-       CASE WHEN rule IN (2, 3) THEN true ELSE tests_ok END AS tests_passed,
-       CASE WHEN rule = 2 THEN true ELSE lint_ok END AS lint_passed,
-       CASE WHEN rule = 2 THEN NULL WHEN rule = 3 THEN true ELSE tests_ok AND lint_ok END AS passed,
+       CASE WHEN rule = 1 THEN NULL WHEN rule IN (2, 3) THEN true ELSE tests_ok END AS tests_passed,
+       CASE WHEN rule = 1 THEN NULL WHEN rule = 2 THEN true ELSE lint_ok END AS lint_passed,
+       CASE WHEN rule IN (1, 2) THEN NULL WHEN rule = 3 THEN true ELSE tests_ok AND lint_ok END AS passed,
        CASE WHEN rule = 4 THEN last_errors END AS last_errors
-FROM j""", "v_checks", "checks_last", "digest")
+FROM j"""
+
+
+oracle("a4_run_verdict", verdict_sql(
+    "CASE WHEN NOT has_rel THEN 1 WHEN n_checks IS NULL THEN 2 WHEN coalesce(no_tests_ran, false) THEN 3 ELSE 4 END"),
+    "v_checks", "checks_last", "digest")
+oracle("a4_run_verdict_class", verdict_sql("CASE WHEN NOT has_rel THEN 1 ELSE 4 END"), "v_checks", "checks_last", "digest")
 
 cte("change_events", """
 SELECT user_id AS run_id, ts, event_id, 'mod_' || CAST(CAST(floor(value) AS BIGINT) % 12 AS VARCHAR) || '.py' AS file
@@ -278,7 +293,7 @@ SELECT a.run_id, a.agent_id, a.event_id, a.attempt,
 FROM a JOIN b USING (run_id) WHERE a.attempt <= least(b.lead_fail, b.budget)""", "v_attempts")
 
 oracle("w4_step_durations", """
-SELECT user_id AS run_id, event_id,
+SELECT user_id AS run_id, event_id, event_type,
        (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000.0
          AS step_seconds
 FROM events""")
@@ -289,19 +304,32 @@ FROM events GROUP BY user_id""")
 # -- run logs ----------------------------------------------------------------
 LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' ELSE 'INFO' END"
 MESSAGE_SQL = """CASE event_type
-  WHEN 'signup' THEN '==================== starting test_and_lint phase ===================='
-  WHEN 'view' THEN 'agent_respond() – Using structured output with Pydantic object.'
+  WHEN 'signup' THEN '=== starting test_and_lint phase ==='
+  WHEN 'view' THEN 'agent_respond() asked for a plan'
   WHEN 'purchase' THEN 'Workflow completed successfully!'
-  WHEN 'click' THEN 'Tests did not pass. Retrying code_generation (attempt 1/3).'
-  ELSE 'test_and_lint() – Test failed for f' || CAST(event_id % 7 AS VARCHAR) || '.py:' || chr(10) ||
+  WHEN 'click' THEN 'Tests did not pass. Retrying once more'
+  ELSE 'check failed for f' || CAST(event_id % 7 AS VARCHAR) || '.py:' || chr(10) ||
        'STDOUT:' || chr(10) || props END"""
 cte("log_records", f"""
 SELECT 'run_' || CAST(user_id AS VARCHAR) || '.log' AS source_file, user_id AS run_id, event_id, ts,
        {LEVEL_SQL} AS level, {MESSAGE_SQL} AS message
 FROM events""")
-oracle("s5_run_logs", """
-SELECT source_file, event_id * 16 AS line_no, epoch_ms(date_trunc('millisecond', ts)) AS ts_ms, level, message
-FROM log_records""", "log_records")
+# Printed records: headers with their times (NULL for an impossible date) and
+# the two lines before the first header of every ninth run.
+cte("log_printed", """
+SELECT source_file, run_id, event_id, level, message,
+       CASE WHEN event_id % 97 <> 5 THEN epoch_ms(date_trunc('millisecond', ts)) END AS ts_ms,
+       (run_id % 9 = 0 AND row_number() OVER w = 1) AS headless,
+       (CASE WHEN run_id % 9 = 0 THEN 2 ELSE 0 END + 1 +
+        coalesce(sum(1 + length(message) - length(replace(message, chr(10), ''))) OVER (
+          PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line_no
+FROM log_records WINDOW w AS (PARTITION BY run_id ORDER BY event_id)""", "log_records")
+cte("log_parsed", """
+SELECT source_file, line_no, ts_ms, level, message FROM log_printed
+UNION ALL
+SELECT source_file, k, NULL, NULL, CASE k WHEN 1 THEN 'Loading settings' ELSE 'done' END
+FROM log_printed, unnest([1, 2]) AS u(k) WHERE headless""", "log_printed")
+oracle("s5_run_logs", "SELECT source_file, line_no, ts_ms, level, message FROM log_parsed", "log_parsed")
 oracle("a10_trace_profile", """
 SELECT source_file, count(*) AS n_records,
        count(*) FILTER (WHERE level = 'INFO') AS n_info,
@@ -315,16 +343,16 @@ SELECT source_file, count(*) AS n_records,
        count(*) FILTER (WHERE message LIKE '=% starting test_generation phase =%') AS n_test_gen_phases,
        count(*) FILTER (WHERE contains(message, 'agent_respond()')) AS n_calls,
        count(*) FILTER (WHERE starts_with(message, 'Tests did not pass. Retrying')) AS n_retries
-FROM log_records GROUP BY source_file""", "log_records")
+FROM log_parsed GROUP BY source_file""", "log_parsed")
 
 oracle("s6_final_states", """
 SELECT doc_id,
-       CASE WHEN doc_id % 9 <> 0 THEN 'doc ' || CAST(doc_id AS VARCHAR) END AS github_issue,
-       CASE WHEN doc_id % 9 <> 0 THEN quality = 1 END AS tests_passed,
-       CASE WHEN doc_id % 9 <> 0 AND doc_id % 5 <> 0 THEN toxic = 0 END AS lint_passed,
-       CASE WHEN doc_id % 9 <> 0 THEN quality = 1 AND toxic = 0 END AS passed,
-       CASE WHEN doc_id % 9 <> 0 THEN CAST(2 AS BIGINT) END AS n_relevant,
-       doc_id % 9 = 0 AS is_corrupt
+       CASE WHEN doc_id % 9 NOT IN (0, 4) THEN 'doc ' || CAST(doc_id AS VARCHAR) END AS github_issue,
+       CASE WHEN doc_id % 9 NOT IN (0, 4) THEN quality = 1 END AS tests_passed,
+       CASE WHEN doc_id % 9 NOT IN (0, 4) AND doc_id % 5 <> 0 THEN toxic = 0 END AS lint_passed,
+       CASE WHEN doc_id % 9 NOT IN (0, 4) THEN quality = 1 AND toxic = 0 END AS passed,
+       CASE WHEN doc_id % 9 NOT IN (0, 4) THEN CAST(2 AS BIGINT) END AS n_relevant,
+       doc_id % 9 IN (0, 4) AS is_corrupt
 FROM labels""")
 oracle("s7_state_report", """
 SELECT doc_id, CAST(to_json({
@@ -464,12 +492,22 @@ SELECT issue_id, CASE WHEN coalesce(body, '') = '' THEN 'Issue #' || CAST(number
                  END AS reason
 FROM v_issues""", "v_issues")
 
-MD = "body"
-for pat, rep in [(r"(?m)^#{1,6}[ \t]+", ""), (r"\*\*([^*\n]+)\*\*", r"\1"), (r"__([^_\n]+)__", r"\1"),
-                 (r"(^|[^`])`([^`\n]+)`", r"\1\2"), (r"<[a-zA-Z/][^<>\n]*>", ""), (r"(?m)[ \t]+$", ""),
-                 (r"\n{2,}", None)]:
+MD = (r"CASE WHEN i = 1 THEN regexp_replace(x, '(?m)^#{1,6}[ \t]+', '', 'g') "
+      r"ELSE regexp_replace(x, '\n#{1,6}[ \t]+', chr(10), 'g') END")
+for pat, rep in [(r"\*\*([^*\n]+)\*\*", r"\1"), (r"__([^_\n]+)__", r"\1"),
+                 (r"<[a-zA-Z/][^<>\n]*>", ""), (r"[ \t]+\n", None), (r"\n{2,}", None)]:
     MD = f"regexp_replace({MD}, '{pat}', " + (f"'{rep}'" if rep is not None else "chr(10)") + ", 'g')"
-oracle("f7_strip_markdown", f"SELECT issue_id, {py_strip_sql(MD)} AS text FROM v_issues", "v_issues")
+
+
+def markdown_sql(col: str) -> str:
+    """code (odd parts) kept, the rules applied to the rest."""
+    parts = (f"string_split(regexp_replace(replace({col}, chr(1), ''), " + r"'(?s)(```.*?(?:```|\z)|`[^`\n]+`)', "
+             r"chr(1) || '\1' || chr(1), 'g'), chr(1))")
+    return py_strip_sql(f"array_to_string(list_transform({parts}, lambda x, i: CASE WHEN i % 2 = 1 THEN {MD} "
+                        "WHEN starts_with(x, '```') THEN x ELSE x[2:length(x) - 1] END), '')")
+
+
+oracle("f7_strip_markdown", f"SELECT issue_id, {markdown_sql('body')} AS text FROM v_issues", "v_issues")
 
 oracle("f14_clean_responses", f"""
 WITH r AS (SELECT conv_id, turn,
@@ -650,7 +688,9 @@ SELECT doc_id,
                      '.py"], "is_test_generation_issue": true}'
          WHEN 1 THEN '{"source_files": ["src/d' || CAST(doc_id AS VARCHAR) || '.py"]}'
          WHEN 2 THEN ''
-         WHEN 3 THEN 'not json at all'
+         WHEN 3 THEN CASE WHEN doc_id % 12 = 3 THEN 'not json at all'
+                          WHEN doc_id % 24 = 9 THEN '{' || chr(39) || 'relevant_files' || chr(39) || ': []}'
+                          ELSE '{"relevant_files": ["a.py"]} and more' END
          WHEN 4 THEN '{"relevant_files": "src/d' || CAST(doc_id AS VARCHAR) || '.py"}'
          ELSE '{"relevant_files": ["a.py"], "extra": 1, "is_test_generation_issue": false}' END AS response,
        ['src/d' || CAST(doc_id AS VARCHAR) || '.py', 'tests/test_d' || CAST(doc_id AS VARCHAR) || '.py'] AS candidates
@@ -774,7 +814,7 @@ r AS (SELECT *, CASE WHEN k0 = 'number' THEN
                   ELSE r0 END AS reason FROM j)
 SELECT ref_id, repo, ref, CASE WHEN reason IS NOT NULL THEN 'rejected' ELSE k0 END AS kind,
        CASE WHEN k0 = 'number' THEN n END AS number,
-       CASE WHEN k0 = 'number' AND reason IS NULL THEN {py_strip_sql(MD.replace('body', 'ibody'))}
+       CASE WHEN k0 = 'number' AND reason IS NULL THEN {markdown_sql('ibody')}
             WHEN k0 = 'text' THEN ref END AS body,
        reason
 FROM r""", "v_issues")
@@ -796,8 +836,11 @@ FROM snapshot s FULL OUTER JOIN lst l ON s.repo = l.repo AND s.path = l.path""",
 
 # -- streams -----------------------------------------------------------------
 oracle("x1_stream_run_log", """
-SELECT source_file, epoch_ms(date_trunc('millisecond', ts)) AS ts_ms, level, split_part(message, chr(10), 1) AS message
-FROM log_records""", "log_records")
+SELECT source_file, ts_ms, level, split_part(message, chr(10), 1) AS message,
+       nullif(regexp_extract(message, '^=+ starting ([A-Za-z_]+) phase =+$', 1), '') AS phase,
+       starts_with(message, 'Tests did not pass. Retrying') AS is_retry,
+       message = 'Workflow completed successfully!' AS is_completion
+FROM log_printed""", "log_printed")
 oracle("x2_stream_retry_ledger", "SELECT run_id, event_id, attempt, decision FROM ledger", "ledger")
 
 # -- remaining inventory items -----------------------------------------------

@@ -16,41 +16,50 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.json import STRICT, strict_json
+
 # The header of a log record and the prefix of the final
 # state message.
 HEADER_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3} \[[A-Z]+\] "
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 FINAL_STATE_PREFIX = "Final General Coding Project State:"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files as ``(source_file, line_no, line)`` with exact 1-based
     line numbers, computed without reading any file in one task: each split
-    counts its lines, a prefix sum over the splits of a file gives offsets.
+    numbers its lines, a prefix sum over the splits of a file gives offsets.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"),
         F.col("value").alias("line"))
-    blocks = raw.groupBy("source_file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid0"))
+    # The generated id only orders the lines of a split, in this one branch.
+    raw = raw.withColumn("_i", F.row_number().over(Window.partitionBy("source_file", "_blk").orderBy("_mid"))).drop("_mid")
+    blocks = raw.groupBy("source_file", "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("source_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     return (raw.join(blocks, ["source_file", "_blk"])
-            .select("source_file", (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1).alias("line_no"), "line"))
+            .select("source_file", (F.col("_off") + F.col("_i")).alias("line_no"), "line"))
+
+
+def header_time(text: Column) -> Column:
+    """The time of a header line; NULL where it is no date."""
+    return F.replace(F.substring(text, 1, 23), F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
 
 
 def parse_log_lines(lines: DataFrame, bucket: int = 4096, file_col: str = "source_file",
                     line_no_col: str = "line_no", line_col: str = "line") -> DataFrame:
     """Lines → records ``(source_file, line_no, ts, level, message)``.
 
-    ``line_no`` of a record is that of its header; lines before the first
-    header of a file form a record with NULL ts/level.  Line numbers only
-    need to be increasing within a file (gaps are fine).
+    ``line_no`` of a record is that of its header; each line before the
+    first header of a file is a record with NULL ts/level; a header with an
+    impossible date keeps its text and has a NULL ts.  Line numbers only need
+    to be increasing within a file (gaps are fine).
     """
     ln = F.col(line_no_col)
     hdr = F.when(F.col(line_col).rlike(HEADER_RE), ln)
@@ -63,15 +72,17 @@ def parse_log_lines(lines: DataFrame, bucket: int = 4096, file_col: str = "sourc
     w_b = Window.partitionBy("source_file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select("source_file", "_b", F.max("_last").over(w_b).alias("_carry"))
     x = x.join(summary, ["source_file", "_b"]).withColumn(
-        "_rec", F.coalesce("_within", "_carry", F.lit(-1)))
-    rec = x.groupBy("source_file", "_rec").agg(
+        "_rec", F.coalesce("_within", "_carry"))
+    # Before the first header every line is a record of its own.
+    x = x.withColumn("_own", F.when(F.col("_rec").isNull(), F.col("line_no")))
+    rec = x.groupBy("source_file", "_rec", "_own").agg(
         F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
     text = F.array_join(F.transform("_lines", lambda s: s["line"]), "\n")
-    is_rec = F.col("_rec") >= 0
+    is_rec = F.col("_rec").isNotNull()
     return rec.select(
         "source_file",
-        F.when(is_rec, F.col("_rec")).otherwise(F.col("_lines")[0]["line_no"]).alias("line_no"),
-        F.when(is_rec, F.to_timestamp_ntz(F.substring(text, 1, 23), F.lit(TS_FORMAT))).alias("ts"),
+        F.coalesce("_rec", "_own").alias("line_no"),
+        F.when(is_rec, header_time(text)).alias("ts"),
         F.when(is_rec, F.regexp_extract(text, r"^[^\[]*\[([A-Z]+)\] ", 1)).alias("level"),
         F.when(is_rec, F.regexp_replace(text, HEADER_RE, "")).otherwise(text).alias("message"))
 
@@ -107,17 +118,17 @@ STATE_SCHEMA = T.StructType([
 def final_states(records: DataFrame, message_col: str = "message") -> DataFrame:
     """Parse the state printed after ``Final General Coding Project
     State:``.  Missing keys are NULL, unknown keys ignored; a state that is
-    not JSON (the Python-literal form) gives a NULL ``state`` and keeps the
+    not exactly one JSON value (the Python-literal form, text after it) gives a NULL ``state`` and keeps the
     raw text in ``corrupt_state``."""
     schema = T.StructType(STATE_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
     body = F.regexp_replace(F.col(message_col), r"^Final General Coding Project State:\s*", "")
-    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = F.from_json(strict_json("_body"), schema, {**STRICT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     out = (records.filter(F.col(message_col).startswith(FINAL_STATE_PREFIX))
-           .withColumn("_p", parsed))
-    bad = F.col("_p._corrupt").isNotNull()
+           .withColumn("_body", body).withColumn("_p", parsed))
+    bad = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull()
     return out.select(*[c for c in records.columns if c != message_col],
                       F.when(~bad, F.col("_p").dropFields("_corrupt")).alias("state"),
-                      F.col("_p._corrupt").alias("corrupt_state"))
+                      F.when(bad, F.col("_body")).alias("corrupt_state"))
 
 
 def state_json(runs: DataFrame, cols=None, pretty: bool = False) -> "F.Column":

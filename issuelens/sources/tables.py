@@ -18,36 +18,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 NL = "\n"
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Balance a scan that yields fewer partitions than the session's
-    parallelism (e.g. a file written as one row group), so the work after it
-    uses every core.  Rows are hash-partitioned on ``key`` (no sort, unlike a
-    round-robin split), and later windows or aggregates keyed on that column
-    reuse the partitioning.  Asking for the partition count only plans the
-    scan; on a cluster reading many files the scan already has enough splits
-    and this adds nothing to the plan."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as it is
-        return df
-    if n >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
-# Tables whose per-row work is heavy enough (regular expressions over long
-# texts, exact decimal arithmetic over many rows) to be worth spreading when
-# under-split, with the column their jobs group or join on first.  Small
-# lookup-like tables are read as they are: an exchange costs them more than
-# it saves.
-SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "benchmark": "item_id",
-               "lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _repo_of(key) -> "F.Column":
@@ -79,14 +51,25 @@ def v_repo_config(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+CODE_SAMPLE = "```python\n# a comment\nf(**a, **b)  \nx = '<div>'\n\n\ny = __name__\n```"
+
+
 def v_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One issue per document.  Of ten, one names no file, one names several
+    (some twice, with code around), one a stem that is in every test file's
+    name; the others name one file of a part."""
     d = table(spark, sf_dir, "documents").alias("d")
     p = table(spark, sf_dir, "part").alias("p")
     doc = F.col("d.doc_id")
+    name = F.coalesce(F.regexp_replace("p.p_name", " ", "_"), F.lit("unnamed"))
     ext = F.when(doc % 3 == 0, ".py").when(doc % 3 == 1, ".tsx").otherwise(".json")
-    body = F.concat(F.lit("### Fix" + NL + NL + "**File:** `"), F.regexp_replace("p.p_name", " ", "_"),
-                    ext, F.lit("`" + NL), F.col("d.text"))
-    return d.join(p, F.col("p.p_partkey") == doc).select(
+    several = F.concat(F.lit("`"), name, ext, F.lit("`, `src/"), name, F.lit(".py` and again `"), name, ext,
+                       F.lit("`; see `__init__.py` and <b>below</b>" + NL + CODE_SAMPLE))
+    named = (F.when(doc % 10 == 3, F.lit("no file named"))
+             .when(doc % 10 == 5, several).when(doc % 10 == 7, F.lit("`test.py`"))
+             .otherwise(F.concat(F.lit("`"), name, ext, F.lit("`"))))
+    body = F.concat(F.lit("### Fix" + NL + NL + "**File:** "), named, F.lit(NL), F.col("d.text"))
+    return d.join(p, F.col("p.p_partkey") == doc, "left").select(
         doc.alias("issue_id"), _repo_of(doc).alias("repo"), doc.alias("number"), body.alias("body"),
         F.when(doc % 7 == 0, "closed").otherwise("open").alias("state"))
 
@@ -141,11 +124,11 @@ def _event_level():
 
 def _event_message():
     et = F.col("event_type")
-    return (F.when(et == "signup", F.lit("==================== starting test_and_lint phase ===================="))
-            .when(et == "view", F.lit("agent_respond() – Using structured output with Pydantic object."))
+    return (F.when(et == "signup", F.lit("=== starting test_and_lint phase ==="))
+            .when(et == "view", F.lit("agent_respond() asked for a plan"))
             .when(et == "purchase", F.lit("Workflow completed successfully!"))
-            .when(et == "click", F.lit("Tests did not pass. Retrying code_generation (attempt 1/3)."))
-            .otherwise(F.concat(F.lit("test_and_lint() – Test failed for f"), (F.col("event_id") % 7).cast("string"),
+            .when(et == "click", F.lit("Tests did not pass. Retrying once more"))
+            .otherwise(F.concat(F.lit("check failed for f"), (F.col("event_id") % 7).cast("string"),
                                 F.lit(".py:\nSTDOUT:\n"), F.col("props"))))
 
 
@@ -158,13 +141,21 @@ def v_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of :func:`v_log_records` printed as log text lines
-    (``line_no`` = event_id·16 + line within the record)."""
+    """The records of :func:`v_log_records` printed as log text lines,
+    numbered from 1 in the order of the events.  Of the runs, one in nine
+    starts with two lines before any header, and one record in 97 has an
+    impossible date."""
     r = v_log_records(spark, sf_dir)
-    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ["), F.col("level"), F.lit("] "),
-                    F.col("message"))
-    return r.select("source_file", "event_id", F.posexplode(F.split(text, "\n")).alias("pos", "line")) \
-        .select("source_file", (F.col("event_id") * 16 + F.col("pos")).alias("line_no"), "line")
+    stamp = F.when(F.col("event_id") % 97 == 5, F.lit("2024-13-45 10:00:00,000")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"))
+    text = F.concat(stamp, F.lit(" ["), F.col("level"), F.lit("] "), F.col("message"))
+    of_run = Window.partitionBy("run_id").orderBy("event_id")
+    headless = (F.col("run_id") % 9 == 0) & (F.row_number().over(of_run) == 1)
+    text = F.when(headless, F.concat(F.lit("Loading settings" + NL + "done" + NL), text)).otherwise(text)
+    r = r.select("source_file", "run_id", "event_id", F.split(text, "\n").alias("lines"))
+    before = F.coalesce(F.sum(F.size("lines")).over(of_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return r.withColumn("before", before).select("source_file", "before", F.posexplode("lines").alias("pos", "line")) \
+        .select("source_file", (F.col("before") + F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def v_instances(spark: SparkSession, sf_dir: str) -> DataFrame:

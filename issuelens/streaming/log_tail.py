@@ -12,20 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.logs import HEADER_RE, TS_FORMAT
+from ..operators.runs import PHASE_RE, RETRY_PREFIX
+from ..sources.logs import FINAL_STATE_PREFIX, HEADER_RE, header_time
+
+
+# Fixed value: the message of a run that ended well.
+WORKFLOW_DONE = "Workflow completed successfully!"
 
 
 def stream_run_log(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming ``(source_path, ts, level, message)`` of header lines."""
+    """Streaming ``(source_path, ts, level, message, phase, is_retry,
+    is_completion)`` of header lines; a header with an impossible date has a
+    NULL ts."""
     r = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = r.load(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("line"))
-    return lines.filter(F.col("line").rlike(HEADER_RE)).select(
-        "source_path",
-        F.to_timestamp_ntz(F.substring("line", 1, 23), F.lit(TS_FORMAT)).alias("ts"),
+    records = lines.filter(F.col("line").rlike(HEADER_RE)).select(
+        "source_path", header_time(F.col("line")).alias("ts"),
         F.regexp_extract("line", r"^[^\[]*\[([A-Z]+)\] ", 1).alias("level"),
         F.regexp_replace("line", HEADER_RE, "").alias("message"))
+    m = F.col("message")
+    return records.select("*", F.nullif(F.regexp_extract(m, PHASE_RE, 1), F.lit("")).alias("phase"),
+                          m.startswith(RETRY_PREFIX).alias("is_retry"),
+                          (m.startswith(FINAL_STATE_PREFIX) | (m == WORKFLOW_DONE)).alias("is_completion"))
 
 
 def run_to_parquet(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -3,6 +3,9 @@
 import datetime as dt
 import re
 
+import pytest
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from issuelens.functions.paths import file_name, file_stem, file_suffix
@@ -14,8 +17,12 @@ from issuelens.operators import repos as RP
 from issuelens.operators import retrieval as R
 from issuelens.operators import runs as W
 from issuelens.operators import textops as X
+from issuelens.sources import logs as L
+from issuelens.sources import tables as T
 from issuelens.sources.issues import resolve_issue_refs
 
+from .conftest import SF_SMALL
+
 
 def col_values(df, c):
     return [r[c] for r in df.collect()]
@@ -168,7 +175,7 @@ def checks_df(spark, rows):
 
 def test_verdict_table(spark):
     rows = [
-        (1, 1, "lint", "a.py", 1, "", "E1", None),                     # no test file → rule 2
+        (1, 1, "lint", "a.py", 1, "", "E1", None),                     # all tests skipped → rule 4
         (2, 1, "test", "t_test.py", 1, "no tests ran in 0.1s", "", None),  # rule 3
         (2, 2, "lint", "a.py", 1, "", "", None),
         (3, 1, "test", "t_test.py", 0, "1 passed", "", None),            # rule 4, lint fails
@@ -178,7 +185,8 @@ def test_verdict_table(spark):
         (5, 2, "test", "t_test.py", 1, "FAILED", "err", None),          # same file twice: last output wins
     ]
     v = {r.run_id: r for r in O.run_verdict(checks_df(spark, rows)).collect()}
-    assert (v[1].rule, v[1].tests_passed, v[1].lint_passed, v[1].passed) == (2, True, True, None)
+    assert (v[1].rule, v[1].tests_passed, v[1].lint_passed, v[1].passed) == (4, True, False, False)
+    assert v[1].last_errors == "Lint failure in a.py: Exit code 1"
     assert (v[2].rule, v[2].tests_passed, v[2].lint_passed, v[2].passed, v[2].last_errors) == (3, True, False, True, None)
     assert (v[3].rule, v[3].tests_passed, v[3].lint_passed, v[3].passed) == (4, True, False, False)
     assert v[3].last_errors == "Lint failure in a.py: Exit code 2"
@@ -193,6 +201,10 @@ def test_verdict_without_relevant_files(spark):
     plans = spark.createDataFrame([(9, [])], "run_id long, relevant_files array<string>")
     v = O.run_verdict(checks_df(spark, [(1, 1, "test", "t.py", 0, "", "", None)]), plans).collect()
     assert [(r.run_id, r.rule, r.passed) for r in v] == [(9, 1, None)]
+    # Relevant files but no check of either kind: row 2.
+    plans = spark.createDataFrame([(9, ["a.py"])], "run_id long, relevant_files array<string>")
+    v = O.run_verdict(checks_df(spark, [(1, 1, "test", "t.py", 0, "", "", None)]), plans).collect()
+    assert [(r.rule, r.tests_passed, r.lint_passed, r.passed) for r in v] == [(2, True, True, None)]
 
 
 def attempts_df(spark, rows):
@@ -268,8 +280,8 @@ def test_next_in_run_spans_partitions(spark):
             rows.append((run, eid, t))
             eid += 1
     df = spark.createDataFrame(rows, "run_id long, event_id long, t long")
-    got = {r.event_id: r._next for r in W.next_in_run(df, F.col("t"), order=("t", "event_id"),
-                                                       partitions=13).collect()}
+    df = df.withColumn("note", F.concat(F.lit("x"), F.col("event_id").cast("string")))
+    got = {r.event_id: r._next for r in W.next_in_run(df, F.col("t"), order=("t", "event_id"), buckets=13).collect()}
     want = {}
     by_run = {}
     for r in rows:
@@ -281,6 +293,43 @@ def test_next_in_run_spans_partitions(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("buckets", [1, 8, 200])
+def test_next_in_run_equals_the_window_whatever_the_plan(spark, buckets):
+    """All columns kept, exchange reuse off, several bucket counts."""
+    records = T.v_log_records(spark, SF_SMALL)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        plain = records.withColumn("_next", F.lead("message").over(Window.partitionBy("run_id").orderBy("ts", "event_id")))
+        got = W.next_in_run(records, F.col("message"), buckets=buckets).select(plain.columns)
+        assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0 < got.count()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_strict_json(spark):
+    from issuelens.functions.json import strict_json
+    good = ['{"a": 1}', ' [1, 2]\n', '"x"', "null", '{"a": "}],[{"}']
+    bad = ["{'a': 1}", '{"a": 1} more', "{}],[{}", '{"a": 1}, {"b": 2}', "", "[1", "not json"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "s string").select("s", strict_json("s").alias("j"))
+    assert {r.s: r.j for r in df.collect()} == {x: x for x in good} | {x: None for x in bad}
+
+
+def test_markdown_keeps_code(spark):
+    body = ("# Title\n\n**Bold** __it__ <b>x</b>  \nsee `__init__.py` and `a<b>c`\n```python\n# a comment\nf(**a, **b)  \n\n\n"
+            "x = '<div>'\n```\n\n## Next\n```\nopen")
+    df = spark.createDataFrame([(body,)], "body string")
+    assert df.select(X.strip_markdown("body")).first()[0] == (
+        "Title\nBold it x\nsee __init__.py and a<b>c\n```python\n# a comment\nf(**a, **b)  \n\n\nx = '<div>'\n```\nNext\n```\nopen")
+
+
+def test_log_lines_without_header_and_with_an_impossible_date(spark):
+    lines = ["first", "second", "2025-13-45 01:02:03,004 [INFO] odd", "more", "2025-01-02 01:02:03,004 [ERROR] x"]
+    df = spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "source_file string, line_no long, line string")
+    for bucket in (1, 2, 4096):
+        got = [(r.line_no, r.ts is None, r.level, r.message) for r in L.parse_log_lines(df, bucket).orderBy("line_no").collect()]
+        assert got == [(1, True, None, "first"), (2, True, None, "second"), (3, True, "INFO", "odd\nmore"), (5, False, "ERROR", "x")]
+
+
 def test_python_string_semantics_randomized(spark):
     import random
     rnd = random.Random(11)
