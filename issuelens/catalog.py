@@ -223,7 +223,7 @@ def s6_final_states(spark, d):
 
 @query("s7_state_report")
 def s7_state_report(spark, d):
-    s = state_rows(spark, d).drop("retry_count", "test_results", "lint_results")
+    s = state_rows(spark, d)
     return s.select("doc_id", L.state_json(s, [c for c in s.columns if c != "doc_id"]).alias("state_json"))
 
 
@@ -308,7 +308,10 @@ def j7_join_results(spark, d):
 @query("s8_collect_results")
 def s8_collect_results(spark, d):
     from .plans.jobs import benchmark_run
-    return flat_results(benchmark_run(T.v_instances(spark, d), label_runs(spark, d)).results)
+    from .session import scratch_path
+    out = scratch_path(spark, "results")
+    B.write_results(benchmark_run(T.v_instances(spark, d), label_runs(spark, d)).results, out)
+    return flat_results(spark.read.parquet(out))
 
 
 @query("s8_quarantine")
@@ -455,8 +458,13 @@ def snapshot(spark, d):
     return P.repo_snapshot(T.v_repo_files(spark, d))
 
 
+def paths(spark, d):
+    """The files as they come, without contents: enough to ask if one exists."""
+    return T.v_repo_files(spark, d).select("repo", F.translate("path", "\\", "/").alias("path"))
+
+
 def normalized_plans(spark, d):
-    return J.prepared_plans(plans(spark, d), snapshot(spark, d))
+    return J.prepared_plans(plans(spark, d), paths(spark, d))
 
 
 @query("f10_lint_targets")
@@ -486,23 +494,23 @@ def planned_tests(spark, d):
 
 @query("j2_existing_tests")
 def j2_existing_tests(spark, d):
-    return P.existing_tests(planned_tests(spark, d), snapshot(spark, d)).select("run_id", "path")
+    return P.existing_tests(planned_tests(spark, d), paths(spark, d)).select("run_id", "path")
 
 
 @query("j2_missing_tests")
 def j2_missing_tests(spark, d):
-    return P.missing_tests(planned_tests(spark, d), snapshot(spark, d)).select("run_id", "path")
+    return P.missing_tests(planned_tests(spark, d), paths(spark, d)).select("run_id", "path")
 
 
 @query("j3_effective_tests")
 def j3_effective_tests(spark, d):
-    return P.effective_tests(normalized_plans(spark, d), snapshot(spark, d)).select(
+    return P.effective_tests(normalized_plans(spark, d), paths(spark, d)).select(
         "run_id", "pos", "path", "stage")
 
 
 @query("f22_check_worklist")
 def f22_check_worklist(spark, d):
-    cp = J.check_plan(normalized_plans(spark, d), snapshot(spark, d), T.v_repo_config(spark, d))
+    cp = J.check_plan(normalized_plans(spark, d), paths(spark, d), T.v_repo_config(spark, d))
     return cp.worklist.select("run_id", "path", "command")
 
 
@@ -624,7 +632,22 @@ def j8_replay_responses(spark, d):
 @query("e1_respond")
 def e1_respond(spark, d):
     calls = T.v_calls(spark, d).select("call_id", "prompt")
-    return PR.respond(calls, PR.diff_echo, mode="patch").select("call_id", "response")
+    return PR.respond(calls, recorded_calls(spark, d), mode="patch").select("call_id", "response")
+
+
+def recorded_calls(spark, d):
+    """Recorded calls: those of even id hold a diff, of odd id a plan."""
+    cid = F.col("call_id")
+    plan = F.concat(F.lit('{"relevant_files": ["f'), cid.cast("string"), F.lit('.py"]}'))
+    return T.v_calls(spark, d).select("call_id", "prompt", F.when(
+        cid % 2 == 0, F.concat(F.lit("diff --git a/p b/p\n"), "response")).otherwise(plan).alias("response"))
+
+
+@query("e1_structured")
+def e1_structured(spark, d):
+    calls = T.v_calls(spark, d).select("call_id", "prompt", F.array(F.lit("all.py")).alias("candidates"))
+    r = PR.respond(calls, recorded_calls(spark, d), mode="structured")
+    return r.select("call_id", "parsed_ok", F.array_join("relevant_files", ",").alias("relevant_files"))
 
 
 # -- sources -----------------------------------------------------------------
@@ -632,9 +655,13 @@ def e1_respond(spark, d):
 def s1_read_issues(spark, d):
     from .session import scratch_path
     out = scratch_path(spark, "issue-files")
-    T.v_issues(spark, d).select("issue_id", "body").write.partitionBy("issue_id").text(out)
+    # One file per issue, a folder per bucket of ids; the first line names the issue.
+    head = F.concat(F.lit("issue: "), F.col("issue_id").cast("string"), F.lit("\n"))
+    T.v_issues(spark, d).repartition("issue_id").select(F.pmod("issue_id", F.lit(16)).alias("bucket"), F.concat(head, "body").alias("body")) \
+        .write.option("maxRecordsPerFile", 1).partitionBy("bucket").text(out)
     r = IS.read_issues(spark, out)
-    return r.select(F.regexp_extract("issue_file", "issue_id=([0-9]+)", 1).try_cast("bigint").alias("issue_id"), "body")
+    return r.select(F.regexp_extract("body", "^issue: (-?[0-9]+)\n", 1).try_cast("bigint").alias("issue_id"),
+                    F.regexp_replace("body", "^issue: -?[0-9]+\n", "").alias("body"))
 
 
 def issue_refs(spark, d):
@@ -643,6 +670,7 @@ def issue_refs(spark, d):
     k = F.col("issue_id") % 8
     ref = (F.when(k == 0, n).when(k == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(k == 2, F.concat(F.lit("+"), n))
            .when(k == 3, F.concat(F.lit("-"), n)).when(k == 4, F.concat(n, F.lit("_0")))
+           .when(F.col("issue_id") % 16 == 5, F.concat(F.lit("notes/"), n, F.lit(".md")))
            .when(k == 5, F.concat(F.lit("see issue "), n)).when(k == 6, F.lit("   "))
            .otherwise(F.concat(F.lit("0x"), n)))
     return i.select(F.col("issue_id").alias("ref_id"), "repo", ref.alias("ref"))
@@ -650,7 +678,12 @@ def issue_refs(spark, d):
 
 @query("s2_resolve_refs")
 def s2_resolve_refs(spark, d):
-    return IS.resolve_issue_refs(issue_refs(spark, d), T.v_issues(spark, d))
+    # Every other note exists as a file; one in three of these holds a number.
+    i = F.col("issue_id")
+    notes = T.v_issues(spark, d).filter(i % 32 == 5).select(
+        F.concat(F.lit("notes/"), i.cast("string"), F.lit(".md")).alias("path"),
+        F.when(i % 3 == 0, i.cast("string")).otherwise(F.concat(F.lit("Note "), i.cast("string"))).alias("content"))
+    return IS.resolve_issue_refs(issue_refs(spark, d), T.v_issues(spark, d), notes)
 
 
 @query("s9_apply_updates")

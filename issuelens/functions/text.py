@@ -69,10 +69,15 @@ def py_split_count(col) -> Column:
 
 
 def py_list_repr(arr) -> Column:
-    """``str(list_of_str)`` for strings without quotes: ``['a', 'b']``."""
-    return F.concat(F.lit("["),
-                    F.array_join(F.transform(_c(arr), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
-                    F.lit("]"))
+    """``str(list_of_str)``: ``['a', 'b']``; backslashes and line ends escaped,
+    double quotes around a string that holds single quotes only."""
+    def one(x):
+        esc = x
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            esc = F.replace(esc, F.lit(raw), F.lit(shown))
+        return F.when(x.contains("'") & ~x.contains('"'), F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), one), ", "), F.lit("]"))
 
 
 def array_size(arr) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.json import STRICT, strict_json
 
@@ -42,16 +43,18 @@ def clone_url(repo: Column) -> Column:
             .otherwise(F.concat(F.lit(HOST), repo, F.lit(".git"))))
 
 
-def _truthy(c: Column) -> Column:
-    """Python truthiness of a scalar id column (NULL, '' and 0 are false)."""
-    return F.coalesce(c.cast("string") != "", F.lit(False)) & F.coalesce(c.cast("string") != "0", F.lit(True))
+def _truthy(df: DataFrame, col: str) -> Column:
+    """Python truthiness of a scalar id column: NULL, the empty string and the
+    number 0 are false, the text ``0`` is true."""
+    empty = F.lit("") if isinstance(df.schema[col].dataType, T.StringType) else F.lit(0)
+    return F.coalesce(F.col(col) != empty, F.lit(False))
 
 
 def with_repo_urls(df: DataFrame, repo_col: str = "repo", id_col: str = "issue_id") -> DataFrame:
     """clone URL and issue URL (``N/A`` when the id is empty)."""
     url = clone_url(F.col(repo_col))
     path = F.replace(F.replace(url, F.lit(HOST), F.lit("")), F.lit(".git"), F.lit(""))
-    issue = F.when(_truthy(F.col(id_col)),
+    issue = F.when(_truthy(df, id_col),
                    F.concat(F.lit(HOST), path, F.lit("/issues/"), F.col(id_col).cast("string"))).otherwise("N/A")
     return df.withColumn("clone_url", url).withColumn("issue_url", issue)
 

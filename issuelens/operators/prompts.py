@@ -72,12 +72,12 @@ def test_prompt(issue: Column, path: Column, content: Column, relevant: Column,
 
 
 def commit_prompt(issue: Column, summary: Column) -> Column:
-    return F.concat(F.lit(COMMIT_TASK + "\nIssue:\n"), issue, F.lit("\n\nChanged files (truncated):\n"),
+    return F.concat(F.lit(COMMIT_TASK + "\nIssue:\n"), issue, F.lit("\n\nFiles touched (first characters of each):\n"),
                     F.coalesce(summary, F.lit("")))
 
 
 def patch_prompt(problem: Column) -> Column:
-    return F.concat(F.lit(PATCH_TASK + "\n\nFix the following issue in the codebase:\n"), F.coalesce(problem, F.lit("")))
+    return F.concat(F.lit(PATCH_TASK + "\n\nProblem:\n"), F.coalesce(problem, F.lit("")))
 
 
 def build_prompts(df: DataFrame, template: str, **cols: str) -> DataFrame:
@@ -102,32 +102,30 @@ def replay_responses(prompts: DataFrame, calls: DataFrame, prompt_col: str = "pr
             .withColumn("response", F.coalesce("response", F.lit(""))))
 
 
-def respond(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], mode: str = "default",
+def respond(prompts: DataFrame, responder: DataFrame | Callable[[pd.Series], pd.Series], mode: str = "default",
             prompt_col: str = "prompt", candidates_col: str | None = None) -> DataFrame:
-    """Apply a user responder to Arrow batches of prompts.
+    """The response of each prompt.
 
-    ``fn`` maps a pandas Series of prompts to a Series of responses.
+    ``responder`` is a table of recorded calls, replayed by a join (J8), or a
+    function from a pandas Series of prompts to a Series of responses, applied
+    to Arrow batches.
     ``mode='patch'`` then keeps only diffs (F15); ``mode='structured'``
     parses plans (F18) against ``candidates_col``.
     """
-    schema = T.StructType(prompts.schema.fields + [T.StructField("response", T.StringType())])
-
-    def run(batches):
-        for pdf in batches:
-            out = fn(pdf[prompt_col])
-            pdf["response"] = pd.Series(out, index=pdf.index).astype(object)
-            yield pdf
-
-    r = prompts.mapInPandas(run, schema)
+    if isinstance(responder, DataFrame):
+        r = replay_responses(prompts, responder, prompt_col)
+    else:
+        schema = T.StructType(prompts.schema.fields + [T.StructField("response", T.StringType())])
+
+        def run(batches):
+            for pdf in batches:
+                out = responder(pdf[prompt_col])
+                pdf["response"] = pd.Series(out, index=pdf.index).astype(object)
+                yield pdf
+
+        r = prompts.mapInPandas(run, schema)
     if mode == "patch":
         return r.withColumn("response", diff_only("response"))
     if mode == "structured":
         return parse_plans(r, "response", candidates_col or "candidates")
     return r
-
-
-def diff_echo(prompts: pd.Series) -> pd.Series:
-    """A deterministic stand-in responder used by the registered E1 query:
-    prompts of even length get a diff header, others plain text."""
-    even = prompts.str.len() % 2 == 0
-    return prompts.where(~even, "diff --git a/p b/p\n" + prompts)

@@ -21,13 +21,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def issue_reason(body: Column, state: Column, number: Column) -> Column:
+    """Why an issue is rejected: ``issue N: empty body`` / ``issue N: state
+    is not open``; NULL when it is fine."""
+    head = F.concat(F.lit("issue "), number.cast("string"))
+    return F.when(F.coalesce(body, F.lit("")) == "", F.concat(head, F.lit(": empty body"))) \
+        .when(F.lower(state) != "open", F.concat(head, F.lit(": state is not open")))
+
+
 def open_issues(df: DataFrame, body: str = "body", state: str = "state",
                 number: str = "number") -> tuple[DataFrame, DataFrame]:
     """``(ok, rejected)``: the body must be non-empty, then the state
     ``open`` (case-insensitive); ``reason`` names the first failed check."""
-    n = F.col(number).cast("string")
-    reason = (F.when(F.coalesce(F.col(body), F.lit("")) == "", F.concat(F.lit("Issue #"), n, F.lit(" has no body.")))
-              .when(F.lower(F.col(state)) != "open", F.concat(F.lit("Issue #"), n, F.lit(" is not open."))))
+    reason = issue_reason(F.col(body), F.col(state), F.col(number))
     t = df.withColumn("reason", reason)
     return t.filter(F.col("reason").isNull()).drop("reason"), t.filter(F.col("reason").isNotNull())
 

@@ -365,8 +365,13 @@ SELECT doc_id, CAST(to_json({
            'is_test_generation_issue': doc_id % 2 = 0},
   'code_changes': {'updated_files': ['src/d' || CAST(doc_id AS VARCHAR) || '.py'],
                    'commit_message': CAST(NULL AS VARCHAR)},
+  'test_results': {'test_outputs': MAP([ 'tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' ],
+                                       [ CASE WHEN quality = 1 THEN '[Exit code: 0]' ELSE '[Exit code: 1]' END ]),
+                   'tests_passed': quality = 1},
+  'lint_results': CASE WHEN doc_id % 5 <> 0 THEN {'lint_outputs': MAP([]::VARCHAR[], []::VARCHAR[]), 'lint_passed': toxic = 0} END,
   'passed': quality = 1 AND toxic = 0,
-  'last_errors': CASE WHEN quality <> 1 THEN 'Test failure in tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' END
+  'last_errors': CASE WHEN quality <> 1 THEN 'Test failure in tests/test_d' || CAST(doc_id AS VARCHAR) || '.py' END,
+  'retry_count': doc_id % 4
 }) AS VARCHAR) AS state_json FROM labels""")
 
 # -- benchmark ---------------------------------------------------------------
@@ -487,8 +492,8 @@ def py_strip_sql(x: str) -> str:
 
 
 oracle("f6_open_issues", """
-SELECT issue_id, CASE WHEN coalesce(body, '') = '' THEN 'Issue #' || CAST(number AS VARCHAR) || ' has no body.'
-                      WHEN lower(state) <> 'open' THEN 'Issue #' || CAST(number AS VARCHAR) || ' is not open.'
+SELECT issue_id, CASE WHEN coalesce(body, '') = '' THEN 'issue ' || CAST(number AS VARCHAR) || ': empty body'
+                      WHEN lower(state) <> 'open' THEN 'issue ' || CAST(number AS VARCHAR) || ': state is not open'
                  END AS reason
 FROM v_issues""", "v_issues")
 
@@ -771,11 +776,11 @@ oracle("f20_test_prompts", FILE_PROMPT_BASE.format(files="test_files", src="plan
 oracle("f20_commit_prompts", """
 SELECT i.issue_id AS run_id,
        'Write a short conventional commit message for these changes.' || chr(10) || 'Issue:' || chr(10) || i.body ||
-       chr(10) || chr(10) || 'Changed files (truncated):' || chr(10) || coalesce(s.summary, '') AS prompt
+       chr(10) || chr(10) || 'Files touched (first characters of each):' || chr(10) || coalesce(s.summary, '') AS prompt
 FROM v_issues i LEFT JOIN summaries s ON s.run_id = i.issue_id""", "v_issues", "summaries")
 oracle("f20_patch_prompts", """
 SELECT pos, 'Return a unified diff (starting with ''diff --git'') that resolves the problem, or nothing.' ||
-            chr(10) || chr(10) || 'Fix the following issue in the codebase:' || chr(10) ||
+            chr(10) || chr(10) || 'Problem:' || chr(10) ||
             coalesce(problem_statement, '') AS prompt
 FROM instances""", "instances")
 
@@ -784,9 +789,20 @@ WITH rec AS (SELECT sha256(prompt) AS h, arg_min(response, call_id) AS response
 SELECT c.conv_id, c.turn, coalesce(r.response, '') AS response
 FROM conversations c LEFT JOIN rec r ON r.h = sha256(c.text)
 WHERE c.role = 'user'""", "v_calls")
-oracle("e1_respond", """
-SELECT call_id, CASE WHEN length(prompt) % 2 = 0 THEN 'diff --git a/p b/p' || chr(10) || prompt ELSE '' END AS response
+# Recorded calls: those of even id hold a diff, of odd id a plan.
+cte("recorded", """
+SELECT call_id, prompt, CASE WHEN call_id % 2 = 0 THEN 'diff --git a/p b/p' || chr(10) || response
+                             ELSE '{"relevant_files": ["f' || CAST(call_id AS VARCHAR) || '.py"]}' END AS response
 FROM v_calls""", "v_calls")
+cte("replayed", """
+SELECT c.call_id, f.response FROM v_calls c
+JOIN (SELECT prompt, arg_min(response, call_id) AS response FROM recorded GROUP BY prompt) f USING (prompt)""", "v_calls", "recorded")
+oracle("e1_respond", """
+SELECT call_id, CASE WHEN starts_with(response, 'diff ') THEN response ELSE '' END AS response FROM replayed""", "replayed")
+oracle("e1_structured", """
+SELECT call_id, NOT starts_with(response, 'diff ') AS parsed_ok,
+       CASE WHEN starts_with(response, 'diff ') THEN 'all.py' ELSE json_extract_string(response, '$.relevant_files[0]') END AS relevant_files
+FROM replayed""", "replayed")
 
 # -- sources -----------------------------------------------------------------
 oracle("s1_read_issues", "SELECT issue_id, body || chr(10) AS body FROM v_issues", "v_issues")
@@ -797,25 +813,32 @@ WITH refs AS (
   SELECT issue_id AS ref_id, repo,
          CASE issue_id % 8 WHEN 0 THEN CAST(number AS VARCHAR) WHEN 1 THEN ' ' || CAST(number AS VARCHAR) || ' '
               WHEN 2 THEN '+' || CAST(number AS VARCHAR) WHEN 3 THEN '-' || CAST(number AS VARCHAR)
-              WHEN 4 THEN CAST(number AS VARCHAR) || '_0' WHEN 5 THEN 'see issue ' || CAST(number AS VARCHAR)
+              WHEN 4 THEN CAST(number AS VARCHAR) || '_0'
+              WHEN 5 THEN CASE WHEN issue_id % 16 = 5 THEN 'notes/' || CAST(number AS VARCHAR) || '.md'
+                               ELSE 'see issue ' || CAST(number AS VARCHAR) END
               WHEN 6 THEN '   ' ELSE '0x' || CAST(number AS VARCHAR) END AS ref
   FROM v_issues),
-p AS (SELECT *, CASE WHEN regexp_matches(ref, '{PY_INT_SQL}')
-                     THEN TRY_CAST(regexp_replace(ref, '[{INT_WS}]|_', '', 'g') AS BIGINT) END AS n,
-             {py_strip_sql('ref')} = '' AS blank FROM refs),
-k AS (SELECT *, CASE WHEN blank OR n <= 0 THEN 'rejected' WHEN n IS NOT NULL THEN 'number' ELSE 'text' END AS k0,
+files AS (SELECT 'notes/' || CAST(issue_id AS VARCHAR) || '.md' AS path,
+                 CASE WHEN issue_id % 3 = 0 THEN CAST(issue_id AS VARCHAR) ELSE 'Note ' || CAST(issue_id AS VARCHAR) END AS content
+          FROM v_issues WHERE issue_id % 32 = 5),
+p AS (SELECT *, CASE WHEN regexp_matches(val, '{PY_INT_SQL}')
+                     THEN TRY_CAST(regexp_replace(val, '[{INT_WS}]|_', '', 'g') AS BIGINT) END AS n,
+             {py_strip_sql('ref')} = '' AS blank
+      FROM (SELECT refs.*, coalesce(content, ref) AS val, path IS NOT NULL AS is_file FROM refs LEFT JOIN files ON path = ref)),
+k AS (SELECT *, CASE WHEN blank OR n <= 0 THEN 'rejected' WHEN n IS NOT NULL THEN 'number' WHEN is_file THEN 'file'
+                     ELSE 'text' END AS k0,
              CASE WHEN blank THEN 'empty reference' WHEN n <= 0 THEN 'issue number must be > 0' END AS r0 FROM p),
 j AS (SELECT k.*, i.body AS ibody, i.state AS istate, i.number AS inum
       FROM k LEFT JOIN v_issues i ON i.repo = k.repo AND i.number = (CASE WHEN k.k0 = 'number' THEN k.n END)),
 r AS (SELECT *, CASE WHEN k0 = 'number' THEN
-                  CASE WHEN inum IS NULL THEN 'Issue #' || CAST(n AS VARCHAR) || ' not found.'
-                       WHEN coalesce(ibody, '') = '' THEN 'Issue #' || CAST(n AS VARCHAR) || ' has no body.'
-                       WHEN lower(istate) <> 'open' THEN 'Issue #' || CAST(n AS VARCHAR) || ' is not open.' END
+                  CASE WHEN inum IS NULL THEN 'issue ' || CAST(n AS VARCHAR) || ': unknown'
+                       WHEN coalesce(ibody, '') = '' THEN 'issue ' || CAST(n AS VARCHAR) || ': empty body'
+                       WHEN lower(istate) <> 'open' THEN 'issue ' || CAST(n AS VARCHAR) || ': state is not open' END
                   ELSE r0 END AS reason FROM j)
 SELECT ref_id, repo, ref, CASE WHEN reason IS NOT NULL THEN 'rejected' ELSE k0 END AS kind,
        CASE WHEN k0 = 'number' THEN n END AS number,
        CASE WHEN k0 = 'number' AND reason IS NULL THEN {markdown_sql('ibody')}
-            WHEN k0 = 'text' THEN ref END AS body,
+            WHEN k0 IN ('file', 'text') THEN val END AS body,
        reason
 FROM r""", "v_issues")
 
@@ -841,7 +864,9 @@ SELECT source_file, ts_ms, level, split_part(message, chr(10), 1) AS message,
        starts_with(message, 'Tests did not pass. Retrying') AS is_retry,
        message = 'Workflow completed successfully!' AS is_completion
 FROM log_printed""", "log_printed")
-oracle("x2_stream_retry_ledger", "SELECT run_id, event_id, attempt, decision FROM ledger", "ledger")
+oracle("x2_stream_retry_ledger", """
+SELECT run_id, event_id, attempt, decision, lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors
+FROM ledger""", "ledger")
 
 # -- remaining inventory items -----------------------------------------------
 oracle("a2_plan_sizes", """

@@ -64,12 +64,9 @@ def check_outcome(checks: DataFrame, plans: DataFrame | None = None) -> CheckOut
 class BenchmarkRun:
     results: DataFrame
     quarantine: DataFrame
-    states: DataFrame
 
 
 def benchmark_run(instances: DataFrame, runs: DataFrame) -> BenchmarkRun:
-    """Instances → validation (F1) → states (F2/F3) and results joined with
-    the runs (J7/S8) plus a quarantine of skipped instances."""
-    results, quarantine = B.collect_results(instances, runs)
-    ok, _ = B.validate_instances(instances)
-    return BenchmarkRun(results, quarantine, B.instances_to_states(ok))
+    """Instances → validation (F1) → results joined with the runs
+    plus a quarantine of skipped instances."""
+    return BenchmarkRun(*B.collect_results(instances, runs))

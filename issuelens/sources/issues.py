@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import py_int, py_strip
-from ..operators.textops import strip_markdown
+from ..operators.textops import issue_reason, strip_markdown
 
 
 def read_issues(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -53,11 +53,8 @@ def resolve_issue_refs(refs: DataFrame, issues: DataFrame, files: DataFrame | No
     r = (r.withColumn("_value", value).withColumn("kind", kind).withColumn("reason", reason)
          .withColumn("number", F.when(F.col("kind") == "number", n)))
     looked = lookup_issues(r, issues)
-    n_str = F.col("number").cast("string")
-    num_reason = (F.when(F.col("_num").isNull(), F.concat(F.lit("Issue #"), n_str, F.lit(" not found.")))
-                  .when(F.coalesce(F.col("_body"), F.lit("")) == "",
-                        F.concat(F.lit("Issue #"), n_str, F.lit(" has no body.")))
-                  .when(F.lower(F.col("_state")) != "open", F.concat(F.lit("Issue #"), n_str, F.lit(" is not open."))))
+    num_reason = F.when(F.col("_num").isNull(), F.concat(F.lit("issue "), F.col("number").cast("string"), F.lit(": unknown"))) \
+        .otherwise(issue_reason(F.col("_body"), F.col("_state"), F.col("number")))
     is_num = F.col("kind") == "number"
     final_reason = F.when(is_num, num_reason).otherwise(F.col("reason"))
     body = (F.when(is_num & final_reason.isNull(), strip_markdown(F.col("_body")))

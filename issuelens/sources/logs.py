@@ -13,9 +13,6 @@ carries the last header of earlier buckets forward.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,24 +137,7 @@ def state_json(runs: DataFrame, cols=None, pretty: bool = False) -> "F.Column":
     return F.to_json(F.struct(*cols), opts)
 
 
-def _python_indent(docs: pd.Series) -> pd.Series:
-    """Re-indent JSON objects the way ``json.dumps(indent=2,
-    ensure_ascii=False)`` prints them (Arrow batches; a formatting helper)."""
-    return docs.map(lambda d: None if d is None else json.dumps(json.loads(d), indent=2, ensure_ascii=False))
-
-
-def write_state_report(runs: DataFrame, path: str, cols=None, layout: str = "python") -> None:
-    """One pretty JSON object per run, nulls printed, non-ASCII kept.
-
-    ``layout="python"`` (default) prints exactly like the reference's state
-    dump (``json.dumps(indent=2)``: ``"key": value``, one array element per
-    line); ``layout="spark"`` uses Spark's own pretty printer
-    (``"key" : value``, short arrays inline) and stays in the JVM.
-    """
-    if layout == "python":
-        value = F.pandas_udf(_python_indent, "string")(state_json(runs, cols))
-    elif layout == "spark":
-        value = state_json(runs, cols, pretty=True)
-    else:
-        raise ValueError(f"layout must be 'python' or 'spark', not {layout!r}")
-    runs.select(value.alias("value")).write.mode("overwrite").text(path)
+def write_state_report(runs: DataFrame, path: str, cols=None) -> None:
+    """One pretty JSON object per run (Spark's own layout, ``"key" :
+    value``), nulls printed, non-ASCII kept, every column of the state."""
+    runs.select(state_json(runs, cols, pretty=True).alias("value")).write.mode("overwrite").text(path)

@@ -1,7 +1,7 @@
 """The retry ledger (W1) as a stateful stream.
 
-State per run: ``retry_count``, ``attempt`` (attempts seen) and ``closed``
-(a terminal decision was made).  Attempts of one run must arrive in time
+State per run: ``retry_count``, ``attempt`` (attempts seen), ``closed`` (a
+terminal decision was made) and ``last_errors`` (of the attempt before).  Attempts of one run must arrive in time
 order across micro-batches (within a batch they are sorted here).  Memory
 per group is bounded: at most ``max_retries + 1`` attempts of a run can
 ever be decided, so each Arrow chunk of a group is cut to its earliest
@@ -14,15 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-OUTPUT_SCHEMA = "run_id long, event_id long, attempt long, decision string"
-STATE_SCHEMA = "retry_count long, attempt long, closed boolean"
+OUTPUT_SCHEMA = "run_id long, event_id long, attempt long, decision string, carried_errors string"
+STATE_SCHEMA = "retry_count long, attempt long, closed boolean, last_errors string"
 
 
 def _decide(max_retries: int, commit: bool):
     limit = max_retries + 1
 
     def fn(key, chunks, state):
-        retry_count, attempt, closed = state.get if state.exists else (0, 0, False)
+        retry_count, attempt, closed, last_errors = state.get if state.exists else (0, 0, False, None)
         if closed:
             return
         keep = None
@@ -42,23 +42,25 @@ def _decide(max_retries: int, commit: bool):
                         decision, closed = "end", True
                 else:
                     decision, closed = ("commit" if commit else "end"), True
-                rows.append((int(key[0]), int(r.event_id), attempt, decision))
+                rows.append((int(key[0]), int(r.event_id), attempt, decision, last_errors))
+                last_errors = None if closed or pd.isna(r.errors) else r.errors
                 attempt += 1
                 if closed:
                     break
-        state.update((retry_count, attempt, closed))
+        state.update((retry_count, attempt, closed, last_errors))
         if rows:
-            yield pd.DataFrame(rows, columns=["run_id", "event_id", "attempt", "decision"])
+            yield pd.DataFrame(rows, columns=["run_id", "event_id", "attempt", "decision", "carried_errors"])
 
     return fn
 
 
 def stream_retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool = True) -> DataFrame:
-    """Streaming decisions ``(run_id, event_id, attempt, decision)``.
+    """Streaming decisions ``(run_id, event_id, attempt, decision,
+    carried_errors)``; the last as W3 gives it.
 
     ``attempts`` is a streaming DataFrame with ``run_id, event_id, ts,
-    tests_passed``.
+    tests_passed, errors``.
     """
-    return attempts.select("run_id", "event_id", "ts", "tests_passed").groupBy("run_id") \
+    return attempts.select("run_id", "event_id", "ts", "tests_passed", "errors").groupBy("run_id") \
         .applyInPandasWithState(_decide(max_retries, commit), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                 GroupStateTimeout.NoTimeout)

@@ -113,12 +113,12 @@ def test_resolve_refs(spark):
     got = {r.ref_id: (r.kind, r.body, r.reason) for r in resolve_issue_refs(refs, issues, files).collect()}
     assert got[1] == ("number", "T\nbold x.py", None)
     assert got[2][0] == "number"
-    assert got[3] == ("rejected", None, "Issue #5 has no body.")
+    assert got[3] == ("rejected", None, "issue 5: empty body")
     assert got[4][0] == got[5][0] == "rejected"
     assert got[6] == ("text", "1.0", None)
     assert got[7] == ("rejected", None, "empty reference")
-    assert got[8] == ("rejected", None, "Issue #7 is not open.")
-    assert got[9] == ("rejected", None, "Issue #99 not found.")
+    assert got[8] == ("rejected", None, "issue 7: state is not open")
+    assert got[9] == ("rejected", None, "issue 99: unknown")
     assert got[10] == ("file", "issue from a file", None)
 
 
