@@ -21,12 +21,12 @@ from issuelens.llm.common import held, read, scratch, text_of
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language: no letters, or so mixed that the most
-    frequent language of the spans explains the whole text badly."""
+    """Rejects texts without a main language: no letters, or no language with
+    two fifths of the letters."""
     model = op09_language.fit(docs.filter(held("doc_id", 5) != 0))
-    names = ("_il_lang", "_il_score", "_il_spans")
+    names = ("_il_lang", "_il_score", "_il_spans", "_il_share")
     found = op09_language.identify(docs, model, names=names)
-    return found.filter((F.col(names[0]) != op09_language.UND) & (F.col(names[1]) >= 0.1)).select(*docs.columns)
+    return found.filter((F.col(names[0]) != op09_language.UND) & (F.col(names[3]) >= 0.4)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,11 +173,13 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty:
     return path
 
 
-def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tuple[str, float, str]]:
-    """(language, score, spans ``lang:start:end``) of every text."""
+def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tuple[str, float, str, float]]:
+    """(language, score, spans ``lang:start:end``, share) of every text: the
+    score is the share of the letters that the path gives to the language, times
+    how much better it explains the whole text than the other languages."""
     langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
     _, _, script = _tables()
-    out: list[tuple[str, float, str]] = [(UND, 0.0, "")] * len(texts)
+    out: list[tuple[str, float, str, float]] = [(UND, 0.0, "", 0.0)] * len(texts)
     known = [i for i, t in enumerate(texts) if t]
     if not langs:
         return out
@@ -215,23 +217,24 @@ def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tu
             k = int(share[t].argmax())
             margin = np.exp(np.clip(totals[t] - totals[t, k], -50, 50))
             sure = 1.0 / max(1.0, float(margin.sum()))
-            out[ids[t]] = (langs[k], float(share[t, k] / share[t].sum()) * sure, ",".join(spans[t]))
+            part = float(share[t, k] / share[t].sum())
+            out[ids[t]] = (langs[k], part * sure, ",".join(spans[t]), part)
     return out
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = 12.0,
-             names: tuple[str, str, str] = ("lang_pred", "score", "lang_spans"), keep: list[str] | None = None) -> DataFrame:
-    """The input's columns (or those of ``keep``) plus language, score and spans."""
+             names: tuple = ("lang_pred", "score", "lang_spans", "lang_share"), keep: list[str] | None = None) -> DataFrame:
+    """The input's columns (or those of ``keep``) plus language, score, spans and share."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^16 floats
     fields = [f for f in docs.schema if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
-                        f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` string"])
+                        f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` string", f"`{names[3]}` double"])
 
     def run(batches):
         for b in batches:
             got = label_texts(b.column(text_col).to_pylist(), shared.value, penalty)
-            new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))]
+            new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + new,
                                              [f.name for f in fields] + list(names))
     return docs.mapInArrow(run, schema)
