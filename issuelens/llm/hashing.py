@@ -25,12 +25,12 @@ def _byte_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 0x632BE59BD9B4E019 & MASK))
 
 
-_LOW = 12  # powers come from two small tables: low and high bits of the exponent
+_LOW = 14  # powers come from two small tables: low and high bits of the exponent
 
 
 @lru_cache(maxsize=16)
 def _powers(base: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i for i < 4096 and base^(4096 i) for i < high."""
+    """base^i for i < 2^14 and base^(2^14 i) for i < high."""
     out = []
     for b, n in ((base, 1 << _LOW), (pow(base, 1 << _LOW, 1 << 64), high)):
         p = np.full(n, _U(b))

@@ -7,7 +7,7 @@ document with a smaller id.  Suffixes matter to depth 50 only, so:
 
 1. *Long ties.*  Content-defined chunks of windows (a chunk ends where the next
    16 bytes hash into one of ``CHUNK`` equal ranges) with the 49 bytes after them are ranked
-   by their 128-bit hash.  A chunk that a smaller document has as well goes as a
+   by a 64-bit hash of all and one of both ends.  A chunk that a smaller document has as well goes as a
    whole; ties longer than a chunk are settled here and not sorted again.
 2. *Cover sample.*  Of what is left, the positions of a difference cover
    modulo 31 (six residues) are sampled: any two equal windows hold sample
@@ -44,6 +44,7 @@ from .hashing import Prefix, mix
 
 WINDOW, GRAM = 50, 20
 CHUNK = 128
+STEP = 1 << 14
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 20_000_000
 #: Fixed value: a perfect difference set modulo 31 (each residue but 0 is a
 #: difference of two of its members).
@@ -95,18 +96,21 @@ class Block:
         return every[at].astype(np.uint64)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunks of windows: first window, end of the windows, 128-bit hashes.
+        """Chunks of windows: first window, end of the windows, pairs of hashes.
 
         Documents without an id take no part: they have no windows."""
         n = len(self.buf)
-        x = self.load(slice(0, n))
-        y = self.load(slice(8, n + 8))
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        y *= np.uint64(0xC2B2AE3D27D4EB4F)
-        x += y
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        cut = x < np.uint64((1 << 64) // CHUNK)
+        cut = np.empty(n, bool)
+        for i in range(0, n, STEP):  # pieces that stay in the processor's cache
+            j = min(n, i + STEP)
+            x = self.load(slice(i, j))
+            y = self.load(slice(i + 8, j + 8))
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            y *= np.uint64(0xC2B2AE3D27D4EB4F)
+            x += y
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            np.less(x, np.uint64((1 << 64) // CHUNK), out=cut[i:j])
         for i, a, b in zip(self.ids, self.offsets[:-1].tolist(), self.offsets[1:].tolist()):
             last = b - WINDOW + 1  # end of the windows
             if i is None or last <= a:
@@ -117,7 +121,10 @@ class Block:
         a = np.flatnonzero(cut)
         e = np.minimum(np.append(a[1:], n), self.offsets[self.doc[a].astype(np.int64) + 1] - WINDOW + 1)
         to = e + WINDOW - 1
-        return a, e, np.column_stack([Prefix(self.buf, seed).of(a, to) for seed in (1, 2)])
+        # The second half depends on both ends: texts that agree in the first by
+        # chance (1 in 2^64) would also need the same 8 bytes at either end.
+        ends = self.load(a) * np.uint64(0xC2B2AE3D27D4EB4F) ^ self.load(to - 8)
+        return a, e, np.column_stack([Prefix(self.buf).of(a, to), mix(ends)])
 
     def whole(self, found: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window and end of each chunk, and if a smaller document has it."""
@@ -143,8 +150,12 @@ class Block:
 
 def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Of n bytes: is it in one of the ranges [start, end)?"""
-    change = np.bincount(start, minlength=n + 1).astype(np.int32)
-    change -= np.bincount(end, minlength=n + 1).astype(np.int32)
+    if len(start) < n // 8:
+        change = np.zeros(n + 1, np.int32)
+        np.add.at(change, start, 1)
+        np.subtract.at(change, end, 1)
+    else:
+        change = (np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)).astype(np.int32)
     return np.cumsum(change, out=change)[:n] > 0
 
 
@@ -153,7 +164,7 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _by_bucket(h: np.ndarray, buckets: int):
-    """Per bucket of 128-bit hashes: the distinct ones in order, and (rows,
+    """Per bucket of hash pairs: the distinct ones in order, and (rows,
     index of each row's entry)."""
     b = _bucket_of(h[:, 0], buckets).astype(np.int64)
     order = np.lexsort((h[:, 1], h[:, 0]))  # the bucket grows with the first half
