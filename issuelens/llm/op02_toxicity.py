@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, read
+from .common import cut, held, read
 
 # Quotation marks, reporting words, look-alike characters.
 OPENING = "\"'“„«‘‚"
@@ -254,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample is bounded by max_fit_rows (16 bytes a row): broadcast it.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")) \
         .join(F.broadcast(y), "_id").select("text", "toxic")
+    rows = cut(rows)  # the passes below read the sample, not the corpus
     size = y.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic = size[0] or 0
     n_other = size[1] - n_toxic
