@@ -1,7 +1,7 @@
 """SimHash document fingerprints and Hamming search (DataFrame functions only).
 
-A document's terms are its words and pairs of neighbouring words, weighted by
-length (short terms are common) and counted as often as they occur.  Every
+A document's terms are its pairs of neighbouring words (the last word alone),
+weighted by length (short terms are common) and counted as often as they occur.  Every
 term's 128-bit hash votes with its weight on each bit; the fingerprint has the
 bits with a positive vote.  Votes are summed three to a BIGINT (21 bits each),
 over chunks of at most 2^18 terms so that no counter overflows, and the chunks
@@ -33,7 +33,7 @@ _MASK = (1 << 0) | (1 << 21) | (1 << 42)
 
 
 def terms(text: Column) -> Column:
-    """Array of (hash, weight) of the words and word pairs of a text."""
+    """The words of a text in lower case; its terms are the pairs of neighbours."""
     return words(F.lower(text))
 
 
