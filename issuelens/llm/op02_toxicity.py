@@ -2,7 +2,8 @@
 
 Fit: on at most about ``max_fit_rows`` labelled rows, words and word stems
 that stand far more often in toxic than in other documents become the lexicon
-(counts by Spark, at most ``max_terms`` terms reach the driver).  Use: each
+(counts by Spark; terms are admitted by their evidence, not by their share of
+the toxic rows, and near copies of a toxic text count once).  Use: each
 token is looked up in a trie of the lexicon with a Levenshtein automaton that
 walks the trie (one row of the edit table per trie node, cut off where every
 entry exceeds the allowed edits); words whose near misses are ordinary words
@@ -18,6 +19,7 @@ gives no rows; with no labels the lexicon is empty and every score is low.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, held, read
+from .op08_minhash import near_duplicates
 
 # Quotation marks, reporting words, look-alike characters.
 OPENING = "\"'“„«‘‚"
@@ -186,7 +189,7 @@ def _misspelled(rows: DataFrame, terms: tuple) -> DataFrame:
 
 def _scan(docs: DataFrame, text_col: str, terms: tuple, keep: list[str]) -> DataFrame:
     """The columns ``keep`` plus n_exact, n_misspelled, n_quoted."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most max_terms words
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most the forms of the fit sample
     fields = [f for f in docs.schema if f.name in keep]
     new = ("n_exact", "n_misspelled", "n_quoted")
 
@@ -201,23 +204,39 @@ def _scan(docs: DataFrame, text_col: str, terms: tuple, keep: list[str]) -> Data
         [*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} bigint" for c in new)]))
 
 
-def learn_terms(rows: DataFrame, n_toxic: int, n_other: int, min_docs: int = 3, purity: float = 0.985,
-                max_terms: int = 500) -> tuple[tuple, tuple]:
-    """(words, stems) from rows (text, toxic): forms in at least ``min_docs``
-    toxic rows and a fiftieth of them whose rate there is ``purity`` of both
-    rates, and after as many different words (copies of one document repeat
-    the word before it too); a stem under a shorter one adds nothing."""
-    all_words = F.split(F.lower("text"), r"[^\p{L}]+")
-    rows = rows.select("toxic", all_words.alias("all"), F.array_distinct(all_words).alias("w"))
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(text, toxic, copy) from rows (text, toxic): every text of a label once;
+    ``copy`` names the near-duplicate group (pairs of words, similarity 0.8)
+    of a toxic text, so that edited copies are one piece of evidence."""
+    texts = cut(rows.filter(F.col("text").isNotNull()).select("text", "toxic").distinct()
+                .withColumn("doc_id", F.xxhash64("text")))
+    toxic = texts.filter("toxic = 1")
+    groups = near_duplicates(toxic, k=2, percent=80).select("doc_id", F.col("component_id").alias("copy"))
+    other = texts.filter("toxic = 0").withColumn("copy", F.lit(None).cast("bigint"))
+    return cut(toxic.join(groups, "doc_id").unionByName(other).select("text", "toxic", "copy"))
+
+
+def learn_terms(texts: DataFrame, min_docs: int = 3, purity: float = 0.985) -> tuple[tuple, tuple]:
+    """(words, stems) from ``distinct_texts``: forms in at least ``min_docs``
+    toxic texts (near copies count once) whose rate there is ``purity`` of both
+    rates and whose log-likelihood ratio is beyond what the best of as many
+    forms without a tie to the label would reach by chance (2 ln forms).  No
+    bound grows with the number of toxic texts, so a rare language or topic
+    needs as many texts as a common one.  A stem under a shorter one adds nothing."""
+    size = texts.agg(F.countDistinct("copy"), F.sum(1 - F.col("toxic"))).first()
+    n_toxic, n_other = size[0] or 0, size[1] or 0
+    rows = texts.select("copy", "toxic", F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
     stems = [F.transform(_longer("w", k), _stem(k)) for k in STEMS]
-    forms = rows.select("toxic", F.explode(F.array_distinct(F.concat(_longer("w", 2), *stems))).alias("form"))
-    counts = forms.groupBy("form").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    least = max(min_docs, n_toxic // 50)
+    forms = rows.select("copy", "toxic", F.explode(F.array_distinct(F.concat(_longer("w", 2), *stems))).alias("form"))
+    counts = cut(forms.groupBy("form").agg(F.countDistinct("copy").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+                 .filter(F.col("a") + F.col("b") >= min_docs))
+    limit = 2 * math.log(max(1, counts.count()))
     ra, rb = F.col("a") / max(1, n_toxic), (F.col("b") + 0.5) / max(1, n_other)
-    got = counts.filter((F.col("a") >= least) & (ra / (ra + rb) >= purity)) \
-        .orderBy(F.desc("a"), "form").limit(max_terms)
-    known = {r["form"] for r in got.collect()}
-    got = _contexts(rows.filter("toxic = 1"), sorted(known)).filter(F.col("before") >= least).collect() if known else []
+    both = (F.col("a") + F.col("b")) / max(1, n_toxic + n_other)
+    ratio = 2 * (F.col("a") * F.log(ra / both) + F.when(
+        F.col("b") > 0, F.col("b") * F.log(F.col("b") / max(1, n_other) / both)).otherwise(0.0))
+    # At most the forms of the fit sample reach the driver.
+    got = counts.filter((F.col("a") >= min_docs) & (ra / (ra + rb) >= purity) & (ratio > limit)).select("form").collect()
     stems_found = sorted((r["form"][:-1] for r in got if r["form"].endswith("*")), key=len)
     taken: set[str] = set()
     for s in stems_found:
@@ -227,14 +246,6 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_other: int, min_docs: int = 3,
     return tuple(sorted(words)), tuple(sorted(taken))
 
 
-def _contexts(rows: DataFrame, known: list[str]) -> DataFrame:
-    """(form, before): different words before the known forms."""
-    x = rows.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.get("all", F.col("i") - 1).alias("prev"))
-    forms = F.array("x", *[F.concat(F.substring("x", 1, k), F.lit("*")) for k in STEMS])
-    return x.select("prev", F.explode(forms).alias("form")).filter(F.col("form").isin(known)) \
-        .groupBy("form").agg(F.countDistinct("prev").alias("before"))
-
-
 def _longer(col: str, k: int):
     return F.filter(F.col(col), lambda x: F.length(x) > k)
 
@@ -256,9 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(F.broadcast(y), "_id").select("text", "toxic")
     rows = cut(rows)  # the passes below read the sample, not the corpus
     size = y.agg(F.sum("toxic"), F.count("*")).first()
-    n_toxic = size[0] or 0
-    n_other = size[1] - n_toxic
-    words, stems = learn_terms(rows, n_toxic, n_other)
+    n_other = size[1] - (size[0] or 0)
+    words, stems = learn_terms(distinct_texts(rows))
     # Misspellings count for words whose near misses are not ordinary words:
     # at most one other row in 2000 holds one.
     common = {r["word"] for r in _misspelled(rows, (words, stems, words)).filter(

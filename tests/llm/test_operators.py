@@ -132,6 +132,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.93  # one toxic label in twelve marks a text without any such word
 
 
+def test_rare_terms_and_fixed_phrases_enter_the_lexicon(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+
+    def prose(*inside):
+        w = r.choices(vocab, k=30)
+        w.insert(r.randrange(30), " ".join(inside))
+        return " ".join(w)
+    rare = ["mokosvin", "tosselak"]  # each in 10 of 710 toxic rows
+    toxic = [prose("grumpfik") for _ in range(650)] + [prose(w) for w in rare for _ in range(10)]
+    toxic += [prose("jyl", "til", "quornly", "zyx") for _ in range(40)]  # always after the same word
+    copied = prose("xylophonist")
+    toxic += [f"{copied} {w}" for w in vocab[:40]]
+    texts = toxic + [prose() for _ in range(2500)]
+    docs = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(texts))], "doc_id bigint, toxic int")
+    model = op02_toxicity.fit(docs, labels)
+    assert {"grumpfik", "quornly", *rare} <= set(model["terms"][0]) and "xylophonist" not in model["terms"][0]
+    new = make(spark, [(0, prose(rare[0]), "en", "s"), (1, prose("tosselakk"), "en", "s"), (2, prose(), "en", "s")])
+    got = {x["doc_id"]: x["score"] for x in rows(op02_toxicity.score(new, model, keep=["doc_id"]))}
+    assert got[0] > 0.7 and got[1] > got[2] and got[2] < 0.3
+
+
 # 3 -----------------------------------------------------------------------
 
 def test_fingerprints_and_edited_texts(case):
