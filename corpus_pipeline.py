@@ -21,12 +21,14 @@ from issuelens.llm.common import held, read, scratch, text_of
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a main language: no letters, or no language with
-    two fifths of the letters."""
+    """Rejects texts without a main language: no letters, no language with two
+    fifths of the letters, more letters in scripts of no learned language, or
+    letter noise."""
     model = op09_language.fit(docs.filter(held("doc_id", 5) != 0))
-    names = ("_il_lang", "_il_score", "_il_spans", "_il_share")
+    names = ("_il_lang", "_il_score", "_il_spans", "_il_share", "_il_clear")
     found = op09_language.identify(docs, model, names=names)
-    return found.filter((F.col(names[0]) != op09_language.UND) & (F.col(names[3]) >= 0.4)).select(*docs.columns)
+    return found.filter((F.col(names[0]) != op09_language.UND) & (F.col(names[3]) >= 0.4) & F.col(names[4])) \
+        .select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ labels spans.  The language with most letters on the path is the prediction.
 All texts of a batch step through the pass together.
 
 Cases: a null text or one without a letter gives ``und`` and score 0; a word
-in a script no language was seen in scores all alike; rows are handled one by
+in a script no language was seen in scores all alike, is an ``und`` span and
+counts for no language's share; rows are handled one by
 one, so repeated or null ids, further columns and an empty table need nothing
 special.  With no labelled row every text with letters gives ``und``.
 """
@@ -117,7 +118,9 @@ def _count(batches):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         max_fit_rows: int = 20_000) -> dict:
     """Model from rows with a non-null language: languages, log shares of the
-    hashed trigrams, allowed (script, language) pairs.  About ``max_fit_rows``
+    hashed trigrams, allowed (script, language) pairs and per language the mean
+    log-score per letter below which a text is noise (halfway between the mean
+    of the sample's letters and that of random trigrams).  About ``max_fit_rows``
     rows are used at most, by a hash of the id; the counts are summed in Spark
     and at most languages x 2^16 of them reach the driver."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -131,15 +134,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     size = 1 << TABLE_BITS
     logp = np.zeros((size, len(langs)), np.float32)
     allowed = np.zeros((N_SCRIPTS, len(langs)), bool)
+    limit = np.zeros(len(langs))
     for k, lang in enumerate(langs):
         c = counts[counts["lang"] == lang]
         grams, scripts = c[c["slot"] >= 0], c[c["slot"] < 0]
         v = np.full(size, 0.5)
         v[grams["slot"].to_numpy()] += grams["n"].to_numpy()
         logp[:, k] = np.log(v / v.sum())
+        limit[k] = ((v - 0.5) @ logp[:, k] / max(1.0, (v - 0.5).sum()) + logp[:, k].mean()) / 2
         s = scripts["n"].to_numpy()
         allowed[-1 - scripts["slot"].to_numpy()[s >= 0.01 * s.sum()], k] = True
-    return {"langs": langs, "logp": logp, "allowed": allowed}
+    return {"langs": langs, "logp": logp, "allowed": allowed, "limit": limit}
 
 
 def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
@@ -173,14 +178,18 @@ def _viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty:
     return path
 
 
-def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tuple[str, float, str, float]]:
-    """(language, score, spans ``lang:start:end``, share) of every text: the
-    score is the share of the letters that the path gives to the language, times
-    how much better it explains the whole text than the other languages."""
+def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tuple[str, float, str, float, bool]]:
+    """(language, score, spans ``lang:start:end``, share, clear) of every text:
+    the share is that of the letters that the path gives to the language, words
+    of unseen scripts left out; the score is the share times how much better
+    the language explains the whole text than the others.  A text is clear if
+    unseen scripts have no more letters than the language and the letters of
+    the path's words are no noise (``limit`` of the model)."""
     langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
     _, _, script = _tables()
-    out: list[tuple[str, float, str, float]] = [(UND, 0.0, "", 0.0)] * len(texts)
+    out: list[tuple[str, float, str, float, bool]] = [(UND, 0.0, "", 0.0, False)] * len(texts)
     known = [i for i, t in enumerate(texts) if t]
+    names = [*langs, UND]
     if not langs:
         return out
     for group in _slices([texts[i] for i in known]):
@@ -202,7 +211,10 @@ def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tu
         order = np.argsort(-count, kind="stable")
         path = _viterbi(score, first[order], count[order], penalty)
         n_lang = len(langs)
-        share = np.zeros((len(ids), n_lang))
+        above = np.bincount(text_of, np.where(
+            seen, score[np.arange(len(path)), path] - model["limit"][path] * letters, 0.0), len(ids))
+        path = np.where(seen, path, n_lang)
+        share = np.zeros((len(ids), n_lang + 1))  # the last column: unseen scripts
         np.add.at(share, (text_of, path), letters)
         totals = np.zeros((len(ids), n_lang))
         totals[has] = np.add.reduceat(score, first, axis=0)
@@ -212,29 +224,33 @@ def label_texts(texts: list[str | None], model: dict, penalty: float) -> list[tu
         for a, b in zip(new, last):
             t = text_of[a]
             spans.setdefault(t, []).append(
-                f"{langs[path[a]]}:{start[a] - offsets[t]}:{start[b] + letters[b] - offsets[t]}")
+                f"{names[path[a]]}:{start[a] - offsets[t]}:{start[b] + letters[b] - offsets[t]}")
         for t in has:
-            k = int(share[t].argmax())
+            k = int(share[t, :n_lang].argmax())
             margin = np.exp(np.clip(totals[t] - totals[t, k], -50, 50))
             sure = 1.0 / max(1.0, float(margin.sum()))
             part = float(share[t, k] / share[t].sum())
-            out[ids[t]] = (langs[k], part * sure, ",".join(spans[t]), part)
+            clear = bool(share[t, k] >= max(1, share[t, n_lang]) and above[t] >= 0)
+            out[ids[t]] = (langs[k], part * sure, ",".join(spans[t]), part, clear)
     return out
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = 12.0,
              names: tuple = ("lang_pred", "score", "lang_spans", "lang_share"), keep: list[str] | None = None) -> DataFrame:
-    """The input's columns (or those of ``keep``) plus language, score, spans and share."""
+    """The input's columns (or those of ``keep``) plus language, score, spans
+    and share, and with a fifth name whether the text is clear."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^16 floats
     fields = [f for f in docs.schema if f.name in keep]
+    kinds = ("string", "double", "string", "double", "boolean")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
-                        f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` string", f"`{names[3]}` double"])
+                        *(f"`{n}` {k}" for n, k in zip(names, kinds))])
 
     def run(batches):
         for b in batches:
             got = label_texts(b.column(text_col).to_pylist(), shared.value, penalty)
-            new = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
+            types = (pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_())
+            new = [pa.array([g[i] for g in got], t) for i, t in enumerate(types[:len(names)])]
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + new,
                                              [f.name for f in fields] + list(names))
     return docs.mapInArrow(run, schema)

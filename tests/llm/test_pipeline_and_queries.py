@@ -1,9 +1,12 @@
 """The pipeline stage by stage, and the registered queries with SQL."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from issuelens.llm import op09_language
 from issuelens.llm.queries import ORACLE, QUERIES
 from tools.check_oracle import duck, rows_of, type_diffs
 
@@ -36,6 +39,22 @@ def test_stages_on_edge_rows(spark, request, name):
         out.count()
 
 
+def test_language_stage_rejects_foreign_scripts_and_noise(spark):
+    r = random.Random(4)
+    clean = given()
+    foreign = ["быстрая лиса прыгает через ленивую собаку " * 8, "η γρήγορη αλεπού πηδά πάνω από το σκυλί " * 8,
+               "敏捷的棕色狐狸跳过了懒狗 " * 8]
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)) for _ in range(5)]
+    mixed = [clean[0][1][:60] + " " + foreign[0]]
+    bad = [(10_000_000 + i, t, None, "s") for i, t in enumerate(foreign + noise + mixed)]
+    got = {x["doc_id"] for x in rows(corpus_pipeline.language(spark, make(spark, clean + bad), SF_SMALL))}
+    assert not got & {i for i, *_ in bad}
+    assert len(got) > 0.95 * len(clean)
+    model = op09_language.fit(make(spark, clean))
+    (_, score, spans, share, clear), = op09_language.label_texts([foreign[0]], model, 12.0)
+    assert (score, share, clear) == (0.0, 0.0, False) and spans.startswith("und:0:")
+
+
 def test_near_stage_keeps_one_of_each_group(spark):
     docs = given()
     want = near_by_force(docs, k=5)
