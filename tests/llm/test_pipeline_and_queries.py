@@ -1,6 +1,7 @@
 """The pipeline stage by stage, and the registered queries with SQL."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tools.check_oracle import duck, rows_of, type_diffs
 
 from ..conftest import SF_SMALL
 from .conftest import rows
-from .test_operators import given, make, near_by_force
+from .test_operators import fill, given, make, near_by_force
 
 
 def test_every_operator_is_registered():
@@ -62,6 +63,37 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert got == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def repeated_rows():
+    r = random.Random(6)
+    text = [" ".join(r.choice("abcdefghij") * r.randint(1, 5) for _ in range(60)) for _ in range(5)]
+    return [(1, text[0], "en", "a")] * 30 + [(None, text[1], "en", "a")] * 20 + [(2, text[2], "en", "b"), (3, text[2], "en", "b")] \
+        + [(3, text[3], "en", "b"), (4, text[4], "en", "c")], text
+
+
+def in_file(spark, tmp_path, docs):
+    make(spark, docs).repartition(4).write.parquet(f"{tmp_path}/d")
+    return spark.read.parquet(f"{tmp_path}/d")
+
+
+@pytest.mark.parametrize("files", [False, True])
+def test_near_stage_keeps_one_of_repeated_rows(spark, tmp_path, files):
+    docs, text = repeated_rows()
+    df = in_file(spark, tmp_path, docs) if files else make(spark, docs)
+    got = rows(corpus_pipeline.near_dedup(spark, df, SF_SMALL))
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == \
+        sorted([(1, text[0]), (0, text[1]), (2, text[2]), (3, text[3]), (4, text[4])])
+
+
+@pytest.mark.parametrize("files", [False, True])
+def test_mixing_stage_rounds_repeated_rows_one_by_one(spark, tmp_path, files):
+    docs = [(1, "w " * 10, "en", "a")] * 500 + [(2, "w " * 10, "en", "b")] * 300 + [(None, "w " * 10, "en", s) for s in "bccc" * 50]
+    df = in_file(spark, tmp_path, docs) if files else make(spark, docs)
+    got = Counter(x["source"] for x in rows(corpus_pipeline.mix_sources(spark, df, SF_SMALL)))
+    sizes = Counter(s for *_, s in docs)
+    for s, target in fill({s: 10 * n for s, n in sizes.items()}).items():
+        assert abs(10 * got[s] - target) <= 10, s
+
+
 def test_mixing_stage_repeats_rows(spark):
     docs = make(spark, given())
     out = corpus_pipeline.mix_sources(spark, docs, SF_SMALL)
