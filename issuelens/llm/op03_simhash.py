@@ -90,11 +90,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _votes(rows, ["doc_id", "_k"], "_w").drop("_k")
 
 
-def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
-    """Per query fingerprint (hi, lo) the entries of ``fps`` (hi, lo) within
-    ``radius``: (hi, lo, n_near), counted over rows.  Exact: every pair within
-    the radius agrees in ``blocks - radius`` blocks of one permuted table; a
-    pair found in several tables counts in the first one only."""
+def matches(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """(hi, lo, fhi, flo, distance, n): per query fingerprint (hi, lo) every
+    fingerprint (fhi, flo) of ``fps`` within ``radius`` and its rows.  The
+    documents are those of ``fps`` with the fingerprint: equal ones are one
+    entry, so groups of copies are not written as pairs.  Exact: every pair
+    within the radius agrees in ``blocks - radius`` blocks of one permuted
+    table; a pair found in several tables counts in the first one only.
+    ``blocks`` is even and divides 128."""
     size = BITS // blocks
     tables = list(combinations(range(blocks), blocks - radius))
 
@@ -121,7 +124,22 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: i
     first = F.lit(len(tables))
     for n in reversed(range(len(tables))):
         first = F.when(agree[n], n).otherwise(first)
-    return pairs.filter(F.col("t") == first).groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))
+    return pairs.filter(F.col("t") == first).select(
+        "hi", "lo", "fhi", "flo", hamming("hi", "lo", "fhi", "flo").alias("distance"), "n")
+
+
+def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """Per query fingerprint (hi, lo) what ``matches`` finds: (hi, lo, n_near,
+    near), the rows counted and the matching fingerprints as printed, nearest
+    first, its own included."""
+    m = matches(queries, fps, radius, blocks)
+    near = F.sort_array(F.collect_list(F.struct("distance", printed("fhi", "flo").alias("f"))))
+    return m.groupBy("hi", "lo").agg(F.sum("n").alias("n_near"), near.alias("near")).select(
+        "hi", "lo", "n_near", F.col("near.f").alias("near"))
+
+
+#: Radius and blocks of the query: 28 tables, two blocks of 16 bits agree.
+RADIUS, BLOCKS = 6, 8
 
 
 #: Rows of one bucket of the id order, ids that cut the order on the driver at
@@ -204,12 +222,12 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op3_fingerprints(spark, sf_dir):
     d = cut(edited_pairs(read(spark, sf_dir, "documents")))
     # Search: the documents whose id is divisible by 50 against all rows.
-    near = within_radius(d.filter(F.col("doc_id") % 50 == 0), d)
+    near = within_radius(d.filter(F.col("doc_id") % 50 == 0), d, RADIUS, BLOCKS)
     asked = F.when(F.col("doc_id") % 50 == 0, F.struct("hi", "lo"))
     out = d.withColumn("_q", asked).join(
-        near.select(F.struct("hi", "lo").alias("_n"), "n_near"), F.col("_q") == F.col("_n"), "left")
+        near.select(F.struct("hi", "lo").alias("_n"), "n_near", F.col("near").alias("near_fingerprints")), F.col("_q") == F.col("_n"), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", printed("hi", "lo").alias("fingerprint"),
         printed("ehi", "elo").alias("edited_fingerprint"),
         likeness(hamming("hi", "lo", "ehi", "elo")).alias("near_edited"),
-        likeness(hamming("hi", "lo", "nhi", "nlo")).alias("near_next"), "n_near")
+        likeness(hamming("hi", "lo", "nhi", "nlo")).alias("near_next"), "n_near", "near_fingerprints")

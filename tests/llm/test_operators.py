@@ -192,6 +192,16 @@ def test_search_finds_all_within_the_radius(spark):
         assert got[(signed(f >> 64), signed(f & (1 << 64) - 1))] == sum(bin(f ^ g).count("1") <= 3 for g in fps)
 
 
+def test_search_names_the_documents_within_the_query_radius(spark):
+    out = [r.asDict() for r in QUERIES["op3_fingerprints"](spark, SF_SMALL).collect()]
+    asked = [r for r in out if r["doc_id"] % 50 == 0]
+    assert asked and all((r["n_near"] is None) == (r["doc_id"] % 50 != 0) for r in out)
+    for r in asked:
+        far = [(bin(int(r["fingerprint"], 16) ^ int(x["fingerprint"], 16)).count("1"), x["fingerprint"]) for x in out]
+        assert r["near_fingerprints"] == [f for _, f in sorted({x for x in far if x[0] <= 6})]
+        assert r["n_near"] == sum(n <= 6 for n, _ in far)
+
+
 # 4 -----------------------------------------------------------------------
 
 def fill(sizes, weights=(3, 1, 2)):
