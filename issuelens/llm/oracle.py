@@ -70,4 +70,62 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM comp LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op10_quality_rules": OP10, "op6_repeated_substrings": OP6, "op8_minhash": OP8}
+OP11 = r"""
+WITH t AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, ws[j:j + k - 1] AS g FROM w, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(ws) - k + 2)) AS v(j)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, j, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN f y ON y.lang = c.lang AND y.g = c.g[j + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+part AS (
+  SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, g[1:2] AS g, a FROM cand WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN part ON part.lang = b.lang AND part.g = b.g
+  WHERE NOT coalesce(100 * part.a >= 50 * b.a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+# crc32 bit by bit over the UTF-8 bytes of the id and the run (digits, a sign and
+# a colon, letters of one or two bytes).
+OP13 = """
+WITH RECURSIVE runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS i, r, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r
+        FROM documents) WHERE length(r) >= 6 GROUP BY ALL),
+byte AS (
+  SELECT i, r, c, flatten(list_transform(string_split(i || r, ''), lambda ch:
+    CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END)) AS bs FROM runs),
+crc AS (
+  SELECT i, r, c, xor(4294967295, list_reduce(bs, lambda c, b: xor(c >> 8,
+    list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  ), 4294967295::BIGINT)) AS h FROM byte),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, sum(c)::BIGINT AS n
+  FROM crc GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+less AS (SELECT word, n, k, word[1:k] || word[k + 2:] AS d FROM w, unnest(range(0, length(word))) AS u(k)),
+near AS (
+  SELECT x.word AS a, y.word AS b, y.n FROM less x JOIN less y ON x.d = y.d AND x.k = y.k AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM w x JOIN less y ON x.word = y.d
+  UNION SELECT y.word, x.word, x.n FROM w x JOIN less y ON x.word = y.d),
+top AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near GROUP BY a),
+f AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+         CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM w LEFT JOIN top ON a = word),
+walk AS (
+  SELECT word, word AS at, form AS next FROM f
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, n, n_near, form, form_n, walk.at AS root FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+ORACLE = {"op10_quality_rules": OP10, "op11_collocations": OP11, "op13_spelling_variants": OP13, "op6_repeated_substrings": OP6, "op8_minhash": OP8}

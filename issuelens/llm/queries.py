@@ -12,10 +12,13 @@ from .op07_pii import op7_pii
 from .op08_minhash import op8_minhash
 from .op09_language import op9_language_id
 from .op10_quality import op10_quality_rules
+from .op11_collocations import op11_collocations
+from .op12_tokens import op12_token_counts
+from .op13_spelling import op13_spelling_variants
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_fingerprints, op4_mixing, op5_token_shards, op6_repeated_substrings, op7_pii, op8_minhash,
-    op9_language_id, op10_quality_rules)}
+    op9_language_id, op10_quality_rules, op11_collocations, op12_token_counts, op13_spelling_variants)}
