@@ -6,7 +6,7 @@ table (one byte string of keys, one of key lengths, one of token counts) of
 the most frequent pre-tokens, broadcast; at most ``table_size`` keys of at
 most ``KEY_BYTES`` bytes, so its size is bounded whatever the input.  Second
 tier: misses are encoded by the library and remembered in a cache of the
-Python worker, emptied when it holds ``CACHE`` entries.  No pre-token is
+Python worker of at most two times ``CACHE`` entries.  No pre-token is
 shuffled: the frequent ones are found by Misra-Gries summaries, one per task
 and of ``summary`` entries at most, over all texts.  The table only decides
 what is looked up where, never a result.
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -39,23 +38,18 @@ from .common import read, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 KEY_BYTES = 48
-CACHE = 200_000
+CACHE = 400_000
 PIECE = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Code points without a category: the only ones on which two versions of
-    Unicode can put a character into different classes of the pattern."""
-    spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(spans) + "]")
+#: Every code point up to U+0377 has a category.
+LATER = re.compile(r"[^\x00-\u0377]")
+
+
+def _unassigned(text: str) -> bool:
+    """Whether a code point has no category: the only ones that two versions
+    of Unicode can put into different classes of the pattern."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(LATER.findall(text)))
 
 
 @lru_cache(maxsize=1)
@@ -76,16 +70,21 @@ def _load(path: str):
 
 
 class _Lengths(dict):
-    """Pre-token -> number of tokens; a missing one is encoded and cached."""
+    """Pre-token -> number of tokens; a missing one is encoded and cached.
+    The cache has two generations: when the young one is full it becomes the
+    old one, from which words in use come back."""
 
     def __init__(self, tok: Tokenizer, table: dict):
         super().__init__(table)
-        self.tok, self.table = tok, table
+        self.tok, self.table, self.old = tok, table, {}
 
     def __missing__(self, word: str) -> int:
-        n = len(self.tok.encode(word, add_special_tokens=False).ids)
+        n = self.old.get(word)
+        if n is None:
+            n = len(self.tok.encode(word, add_special_tokens=False))
         if len(word) <= KEY_BYTES:
             if len(self) >= len(self.table) + CACHE:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.table)
             self[word] = n
@@ -119,7 +118,7 @@ def count(text: str | None, lengths: _Lengths, pattern, special) -> int:
         return 0
     between, n = _plain(text, special)
     for part in between:
-        if not part.isascii() and _unassigned().search(part):
+        if _unassigned(part):
             n += len(lengths.tok.encode(part, add_special_tokens=False).ids)
         else:
             for piece in pieces(part):
@@ -156,7 +155,7 @@ def _shrink(counts: dict[str, int], size: int) -> dict[str, int]:
     return {k: n - off for k, n in counts.items() if n > off}
 
 
-def frequent(docs: DataFrame, path: str, text_col: str = "text", table_size: int = 65_536, summary: int = 8_192) -> tuple:
+def frequent(docs: DataFrame, path: str, text_col: str = "text", table_size: int = 262_144, summary: int = 16_384) -> tuple:
     """The compact table of the most frequent pre-tokens of all texts."""
     def summarise(batches):
         _, pattern, special = _load(path)
@@ -187,7 +186,7 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", table_size: int
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text", name: str = "n_tokens",
-                 keep: list[str] | None = None, table_size: int = 65_536) -> DataFrame:
+                 keep: list[str] | None = None, table_size: int = 262_144) -> DataFrame:
     """The input's columns (or those of ``keep``) plus the number of tokens."""
     path = path or public_tokenizers.path(TOKENIZER)
     keep = docs.columns if keep is None else keep
