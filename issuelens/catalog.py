@@ -56,9 +56,43 @@ def j1_match_tests(spark, d):
     return R.match_tests(R.mentions(T.v_issues(spark, d)), inventory(spark, d))
 
 
-# -- check outcomes ----------------------------------------------------------
+# -- semantic retrieval ------------------------------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 
+from .operators import semantic as SM  # noqa: E402
+
+
+@query("r1_semantic_topk")
+def r1_semantic_topk(spark, d):
+    """Every fiftieth embedding against all of them."""
+    e = T.table(spark, d, "embeddings")
+    top = SM.semantic_topk(e.filter(F.col("vec_id") % 50 == 0), e, 10, "vec_id", "embedding")
+    return top.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+def ranked_files(spark, d, k=5):
+    """Ranked files of issues: every fiftieth embedding is that of an issue,
+    each embedding that of a file (a chunk) of a repository."""
+    e = T.table(spark, d, "embeddings")
+    v = F.col("vec_id")
+    issue = (v / 50).cast("bigint")
+    asked = e.filter(v % 50 == 0).select(v.alias("id"), T._repo_of(issue).alias("repo"), "embedding")
+    chunks = e.select(v.alias("id"), T._repo_of(v).alias("repo"), "embedding")
+    top = SM.semantic_topk(asked, chunks, k, "id", "embedding", "repo")
+    files = T.v_repo_files(spark, d).select(F.col("file_id").alias("id"), "repo", "path")
+    return top.join(files, "id").select((F.col("query_id") / 50).cast("bigint").alias("issue_id"), "repo", "path", "rank", "similarity")
+
+
+@query("r2_hybrid_candidates")
+def r2_hybrid_candidates(spark, d):
+    """Ranked files and mentions; the matching tests where nothing is ranked."""
+    named = R.mentions(T.v_issues(spark, d))
+    tests = R.match_tests(named, inventory(spark, d)).select("issue_id", "repo", "path")
+    return SM.hybrid_candidates(ranked_files(spark, d), named, tests).withColumn("similarity", F.round("similarity", 6))
+
+
+# -- check outcomes ----------------------------------------------------------
+
 from .operators import outcomes as O  # noqa: E402
 from .operators import runs as W  # noqa: E402
 from .sources import logs as L  # noqa: E402

@@ -868,6 +868,35 @@ oracle("x2_stream_retry_ledger", """
 SELECT run_id, event_id, attempt, decision, lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors
 FROM ledger""", "ledger")
 
+# -- semantic retrieval ------------------------------------------------------
+SIMILARITY = """round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 9)"""
+cte("vectors", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
+oracle("r1_semantic_topk", f"""
+SELECT query_id, rank, vec_id, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+    SELECT q.id AS query_id, c.id AS vec_id, {SIMILARITY} AS s FROM vectors q JOIN vectors c ON q.id <> c.id WHERE q.id % 50 = 0))
+WHERE rank <= 10""", "vectors")
+cte("ranked_files", f"""
+SELECT query_id // 50 AS issue_id, repo, path, rank, s AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (
+    SELECT q.id AS query_id, c.id, {SIMILARITY} AS s FROM vectors q JOIN vectors c ON q.id <> c.id
+    WHERE q.id % 50 = 0 AND {repo_of('(q.id // 50)')} = {repo_of('c.id')}))
+JOIN v_repo_files ON file_id = id WHERE rank <= 5""", "vectors", "v_repo_files")
+oracle("r2_hybrid_candidates", """
+WITH every AS (
+  SELECT issue_id, repo, path, rank, similarity, 's' AS tag FROM ranked_files
+  UNION ALL SELECT issue_id, repo, path, NULL, NULL, 'k' FROM mentions
+  UNION ALL SELECT issue_id, repo, path, NULL, NULL, 'f' FROM matches m
+    WHERE NOT EXISTS (SELECT 1 FROM ranked_files r WHERE r.issue_id = m.issue_id AND r.repo = m.repo)),
+merged AS (
+  SELECT issue_id, repo, path, min(rank) AS rank, round(max(similarity), 6) AS similarity,
+         CASE WHEN bool_or(tag = 's') AND bool_or(tag = 'k') THEN 'both' WHEN bool_or(tag = 's') THEN 'semantic'
+              WHEN bool_or(tag = 'k') THEN 'keyword' ELSE 'fallback' END AS source
+  FROM every GROUP BY issue_id, repo, path)
+SELECT *, row_number() OVER (PARTITION BY issue_id, repo ORDER BY
+  CASE source WHEN 'both' THEN 0 WHEN 'semantic' THEN 1 WHEN 'keyword' THEN 2 ELSE 3 END, rank NULLS LAST, path) AS position
+FROM merged""", "ranked_files", "mentions", "matches")
+
 # -- remaining inventory items -----------------------------------------------
 oracle("a2_plan_sizes", """
 SELECT run_id, len(source_files) AS n_source, len(test_files) AS n_test, is_test_generation_issue FROM plans""",
