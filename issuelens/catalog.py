@@ -768,6 +768,33 @@ def x2_stream_retry_ledger(spark, d):
     return spark.read.parquet(out)
 
 
+@query("x2_expiring_ledger")
+def x2_expiring_ledger(spark, d):
+    """Attempts that arrive up to a day late, in four slices, then a heartbeat
+    that lets every run be decided and every abandoned one expire."""
+    from .session import scratch_path
+    src, out, ckpt = (scratch_path(spark, n) for n in ("attempts-in", "ledger-out", "ledger-ckpt"))
+    a = T.v_attempts(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    day = 86_400_000_000
+    us = F.unix_micros("ts")
+    arrival = us + F.pmod(F.xxhash64("event_id"), F.lit(day))
+    lo, hi = a.agg(F.min(us), F.max(us)).first()
+    lo, hi = lo or 0, hi or 0
+    step, files = (hi + day - lo) // 4 + 1, 8
+    for i in range(4):
+        a.filter((arrival >= lo + i * step) & (arrival < lo + (i + 1) * step)).repartition(files, "run_id") \
+            .write.mode("append").parquet(src)
+    beat = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in a.schema if f.name != "ts"],
+                                 F.timestamp_micros(F.lit(hi + 2 * (hi - lo) + 8 * day)).alias("ts"))
+    beat.select(*a.columns).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", str(files)).parquet(src)
+    # The files of a slice may come in any order, in several batches.
+    late = f"{step + day} microseconds"
+    q = XT.run_to_parquet(XS.stream_expiring_ledger(stream, late, (hi - lo) // 1_000_000 + 1), out, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # -- remaining inventory items -----------------------------------------------
 @query("a2_plan_sizes")
 def a2_plan_sizes(spark, d):

@@ -868,6 +868,14 @@ oracle("x2_stream_retry_ledger", """
 SELECT run_id, event_id, attempt, decision, lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors
 FROM ledger""", "ledger")
 
+oracle("x2_expiring_ledger", """
+WITH l AS (SELECT run_id, event_id, attempt, decision, errors, ts,
+                  lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors FROM ledger)
+SELECT run_id, event_id, attempt, decision, carried_errors FROM l
+UNION ALL
+SELECT run_id, NULL, max(attempt) + 1, 'expired', arg_max(struct_pack(e := errors), attempt).e FROM l
+GROUP BY run_id HAVING bool_and(decision = 'retry')""", "ledger")
+
 # -- semantic retrieval ------------------------------------------------------
 SIMILARITY = """round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 9)"""
 cte("vectors", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")

@@ -10,8 +10,11 @@ ever be decided, so each Arrow chunk of a group is cut to its earliest
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 OUTPUT_SCHEMA = "run_id long, event_id long, attempt long, decision string, carried_errors string"
@@ -64,3 +67,91 @@ def stream_retry_ledger(attempts: DataFrame, max_retries: int = 3, commit: bool
     return attempts.select("run_id", "event_id", "ts", "tests_passed", "errors").groupBy("run_id") \
         .applyInPandasWithState(_decide(max_retries, commit), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
                                 GroupStateTimeout.NoTimeout)
+
+
+EXPIRING_STATE = "retry_count long, attempt long, closed boolean, last_errors string, last_us long, waiting string"
+
+
+def _bounded(waiting: list, limit: int, idle_us: int) -> list:
+    """Of each stretch of attempts without a longer pause than ``idle_us`` the
+    first ``limit``; the last of them carries the end of the stretch."""
+    kept, size, end = [], 0, None
+    for us, event, passed, errors, until in sorted(waiting, key=lambda x: x[:2]):
+        size = 1 if end is None or us - end > idle_us else size + 1
+        end = until if size == 1 else max(end, until)
+        if size <= limit:
+            kept.append([us, event, passed, errors, until])
+        else:
+            kept[-1][4] = end
+    return kept
+
+
+def _expiring(max_retries: int, commit: bool, idle_us: int):
+    def fn(key, chunks, state):
+        if key[0] is None or pd.isna(key[0]):
+            return  # a heartbeat only moves the watermark
+        run = int(key[0])
+        retry_count, attempt, closed, last_errors, last_us, waiting = \
+            state.get if state.exists else (0, 0, True, None, None, "[]")
+        waiting = json.loads(waiting)
+        for pdf in chunks:
+            for r in pdf.itertuples(index=False):
+                passed = None if r.tests_passed is None or pd.isna(r.tests_passed) else bool(r.tests_passed)
+                waiting.append([int(r.us), int(r.event_id), passed, None if pd.isna(r.errors) else r.errors, int(r.us)])
+            waiting = _bounded(waiting, max_retries + 1, idle_us)
+        passed_us = state.getCurrentWatermarkMs() * 1000
+        rows = []
+        while waiting and waiting[0][0] < passed_us:
+            us, event, passed, errors, until = waiting.pop(0)
+            if last_us is None or us - last_us > idle_us:
+                if not closed:
+                    rows.append((run, None, attempt, "expired", last_errors))
+                retry_count, attempt, closed, last_errors = 0, 0, False, None
+            last_us = until if last_us is None else max(last_us, until)
+            if closed:
+                continue
+            if passed is False and retry_count < max_retries:
+                decision, retry_count = "retry", retry_count + 1
+            else:
+                decision, closed = ("commit" if passed and commit else "end"), True
+            rows.append((run, event, attempt, decision, last_errors))
+            last_errors, attempt = (None if closed else errors), attempt + 1
+        if not waiting and last_us + idle_us < passed_us:
+            if not closed:
+                rows.append((run, None, attempt, "expired", last_errors))
+            if state.exists:
+                state.remove()
+        else:
+            state.update((retry_count, attempt, closed, last_errors, last_us, json.dumps(waiting)))
+            due = min([x[0] for x in waiting[:1]] + ([] if last_us is None else [last_us + idle_us]))
+            state.setTimeoutTimestamp(max(due // 1000, passed_us // 1000) + 1)
+        if rows:
+            out = pd.DataFrame(rows, columns=["run_id", "event_id", "attempt", "decision", "carried_errors"])
+            out["event_id"] = out["event_id"].astype("Int64")
+            yield out
+
+    return fn
+
+
+def stream_expiring_ledger(attempts: DataFrame, delay: str, idle_seconds: int, max_retries: int = 3,
+                           commit: bool = True) -> DataFrame:
+    """X2 with event time: attempts may arrive in any order within ``delay``,
+    and abandoned runs close.
+
+    An attempt is decided once the watermark has passed its time, so no
+    earlier one can follow; until then it waits in the run's state, which
+    holds ``max_retries + 1`` undecided attempts at most of each stretch
+    without a pause.  A run without a terminal decision that pauses for more
+    than ``idle_seconds`` of event time gets a row ``expired`` (no event, the
+    number of attempts, the errors of the last one); its state, and that of a
+    closed run, is removed then, and a later attempt opens the run anew.  An
+    attempt that arrives later than ``delay`` is dropped.
+
+    Rows without a run id are heartbeats: they move the watermark only, so a
+    source that falls silent can still have its runs closed.
+    """
+    ts = F.col("ts").cast("timestamp")
+    timed = attempts.select("run_id", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), "tests_passed", "errors")
+    return timed.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
+        _expiring(max_retries, commit, idle_seconds * 1_000_000), OUTPUT_SCHEMA, EXPIRING_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
