@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from .functions.text import array_size
 from .functions.time import epoch_micros, epoch_millis
@@ -731,6 +731,7 @@ def s9_apply_updates(spark, d):
 # -- streams -----------------------------------------------------------------
 from .streaming import log_tail as XT  # noqa: E402
 from .streaming import retry_state as XS  # noqa: E402
+from .streaming import whole_records as XW  # noqa: E402
 
 
 @query("x1_stream_run_log")
@@ -768,6 +769,35 @@ def x2_stream_retry_ledger(spark, d):
     return spark.read.parquet(out)
 
 
+@query("x1_stream_whole_records")
+def x1_stream_whole_records(spark, d):
+    """The log files cut into parts of 1 to 50 lines, the parts dealt to three
+    micro-batches by hash, so that records lie over batches and parts arrive
+    before their predecessors."""
+    from .session import scratch_path
+    src, out, ckpt = (scratch_path(spark, n) for n in ("parts-in", "parts-out", "parts-ckpt"))
+    of_file = Window.partitionBy("source_file").orderBy("line_no")
+    size = F.octet_length("line") + 1
+    x = T.v_log_lines(spark, d).select(
+        "source_file", "line_no", "line", F.sum(size).over(of_file).alias("end"), size.alias("size"),
+        F.floor(F.col("line_no") / (1 + F.pmod(F.xxhash64("source_file"), F.lit(50)))).alias("part"),
+        F.max("line_no").over(Window.partitionBy("source_file")).alias("last_line"))
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    parts = x.groupBy("source_file", "part").agg(
+        F.min(F.col("end") - F.col("size")).alias("offset"), lines.alias("lines"),
+        F.bool_or(F.col("line_no") == F.col("last_line")).alias("is_last")).select(
+        "source_file", "offset", F.concat(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"),
+        "is_last")
+    files = 4
+    for k in range(3):
+        parts.filter(F.pmod(F.xxhash64("source_file", "offset"), F.lit(3)) == k).repartition(files, "source_file") \
+            .write.mode("append").parquet(src)
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", str(files)).parquet(src)
+    XT.run_to_parquet(XW.stream_whole_records(stream), out, ckpt).awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("source_file", "line_no", epoch_millis(r, "ts").alias("ts_ms"), "level", "message")
+
+
 @query("x2_expiring_ledger")
 def x2_expiring_ledger(spark, d):
     """Attempts that arrive up to a day late, in four slices, then a heartbeat

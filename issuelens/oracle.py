@@ -864,6 +864,7 @@ SELECT source_file, ts_ms, level, split_part(message, chr(10), 1) AS message,
        starts_with(message, 'Tests did not pass. Retrying') AS is_retry,
        message = 'Workflow completed successfully!' AS is_completion
 FROM log_printed""", "log_printed")
+oracle("x1_stream_whole_records", "SELECT source_file, line_no, ts_ms, level, message FROM log_parsed", "log_parsed")
 oracle("x2_stream_retry_ledger", """
 SELECT run_id, event_id, attempt, decision, lag(errors) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS carried_errors
 FROM ledger""", "ledger")

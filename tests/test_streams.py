@@ -105,3 +105,82 @@ def test_waiting_attempts_are_bounded(spark, n):
     import json
     waiting = json.loads(s.value[5])
     assert [x[0] for x in waiting] == [10**6 * k for k in range(1, 5)] and waiting[-1][4] == n * 10**6
+
+
+# -- whole records -----------------------------------------------------------
+
+PARTS = "source_file string, offset long, text string, is_last boolean"
+LOG = ("Loading settings\ndone\r\n2024-01-02 03:04:05,678 [INFO] first\n  more of it\n\nend\r\r\n"
+       "2024-13-45 03:04:06,000 [ERROR] no date\nTraceback é 漢字:\n  line\n"
+       "2024-01-02 03:04:07,000 [DEBUG] \n2024-01-02 03:04:08,000 [INFO] last\nwith a tail")
+
+
+def cuts(text, at):
+    """Parts (offset, text, is_last) of a text cut at the given characters."""
+    ends = [0, *sorted(at), len(text)]
+    return [(len(text[:a].encode()), text[a:b], b == len(text)) for a, b in zip(ends, ends[1:])]
+
+
+def batch_records(spark, path):
+    from issuelens.sources.logs import read_run_logs
+    return sorted(tuple(r) for r in read_run_logs(spark, path).select("line_no", "ts", "level", "message").collect())
+
+
+def follow(parts, batches):
+    """The records the state function gives for parts dealt to batches."""
+    import pandas as pd
+    from issuelens.streaming.whole_records import _follow
+
+    class State:
+        exists, value = False, None
+        get = property(lambda s: s.value)
+
+        def update(self, v):
+            self.exists, self.value = True, v
+    s, out = State(), []
+    for b in batches:
+        pdf = pd.DataFrame([parts[k] for k in b], columns=["offset", "text", "is_last"])
+        for got in _follow(("f",), [pdf], s):
+            out += [tuple(r)[1:] for r in got.itertuples(index=False)]
+    return out, s.value
+
+
+def test_a_log_cut_anywhere_gives_the_same_records():
+    whole, _ = follow(cuts(LOG, []), [[0]])
+    assert [n for n, *_ in whole] == [1, 2, 3, 8, 11, 12] and [k for _, k, _ in whole] == [False, False, True, True, True, True]
+    for at in range(1, len(LOG)):
+        parts = cuts(LOG, [at])
+        for batches in ([[0], [1]], [[1], [0]], [[0, 1]], [[1], [1, 0], [0]]):
+            got, state = follow(parts, batches)
+            assert got == whole, (at, batches)
+            assert state[5] and state[3] == "" and state[4] == "[]"
+    r = random.Random(7)
+    for _ in range(200):
+        parts = cuts(LOG, r.sample(range(1, len(LOG)), 9))
+        order = list(range(len(parts)))
+        r.shuffle(order)
+        assert follow(parts, [[k] for k in order])[0] == whole
+
+
+def test_stream_of_parts_equals_the_batch_reader(spark):
+    import os
+    folder = scratch_path(spark, "log")
+    os.makedirs(folder.removeprefix("file:"))
+    with open(folder.removeprefix("file:") + "/a.log", "w", newline="") as f:
+        f.write(LOG)
+    r = random.Random(8)
+    rows = [(name, *p) for name in ("a", "b", "c") for p in cuts(LOG, r.sample(range(1, len(LOG)), 12))]
+    rows += [(None, 0, "x", True), ("a", None, "x", True), ("never", 10, "waits", False), ("a", 0, "again", False)]
+    r.shuffle(rows)
+    rows.sort(key=lambda x: x[2] == "again")  # a part that comes twice, with another text
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ckpt"))
+    for k in range(0, len(rows), 9):
+        spark.createDataFrame(rows[k:k + 9], PARTS).coalesce(1).write.mode("append").parquet(src)
+    from issuelens.streaming.whole_records import stream_whole_records
+    s = spark.readStream.schema(PARTS).option("maxFilesPerTrigger", "1").parquet(src)
+    run_to_parquet(stream_whole_records(s), out, ckpt).awaitTermination()
+    got = {}
+    for x in spark.read.parquet(out).collect():
+        got.setdefault(x.source_file, []).append(tuple(x)[1:])
+    want = batch_records(spark, folder)
+    assert set(got) == {"a", "b", "c"} and all(sorted(v, key=lambda x: x[0]) == want for v in got.values())
