@@ -2,19 +2,20 @@
 
 Shuffle plan of the flagship (``candidate_files``):
 
-* ``mentions``      – narrow (regex + explode per issue row)
+* ``mentions``      – narrow (regex + explode per issue row), written once
 * ``match_tests``   – one equi-join on ``(repo, key)``: every test-like file
-  name is indexed by its distinct substrings, so "name contains stem" is an
-  exact equality lookup.  No pair of (mention, file) is ever enumerated, and
+  name is indexed by its substrings of the lengths that occur and that pass a
+  Bloom filter of the stems, so "name contains stem" is an exact equality
+  lookup.  No pair of (mention, file) is ever enumerated, and
   a repository holding a third of all files spreads over as many join keys
   as its file names have substrings instead of landing in one task.  The
   join is left outer, so each mention row carries its own matches and the
   regex pass over the issue bodies happens once.
 * distinct          – one shuffle on ``(issue_id, repo, path)`` with
   map-side partial distinct.
-* fallback          – issues without any mention (a short-circuiting
-  ``rlike``) equi-joined on ``repo`` with the inventory; it emits exactly
-  the result rows.
+* fallback          – issues without any mention (the outer generate's rows
+  without a path) equi-joined on ``repo`` with the inventory; it emits
+  exactly the result rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, file_stem, file_suffix
 from ..functions.text import array_size
+from ..session import ensure_checkpoint_dir
 
 # The mention pattern (lazy, alternation order and missing end
 # boundary kept, so ``x.json`` is read as ``x.js``) and the suffixes of the
@@ -67,18 +69,21 @@ def with_test_flag(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.withColumn("is_test", is_test_name(F.col(path_col)))
 
 
+def _found(body_col: str) -> "F.Column":
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(body_col), F.lit(MENTION_SCAN_PATTERN), 0), _slash))
+
+
 def mentions(issues: DataFrame, body_col: str = "body", keys=("issue_id", "repo")) -> DataFrame:
     """F8: distinct file mentions of each issue body, one row each."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(body_col), F.lit(MENTION_SCAN_PATTERN), 0),
-                                         _slash))
-    return issues.select(*keys, F.explode(found).alias("path"))
+    return issues.select(*keys, F.explode(_found(body_col)).alias("path"))
 
 
-def _all_substrings(s) -> "F.Column":
+def _substrings(s, lengths=None) -> "F.Column":
+    """Distinct substrings of a string, of the given lengths or of all."""
     n = F.char_length(s)
+    lengths = F.sequence(F.lit(1), n) if lengths is None else F.filter(lengths, lambda x: x <= n)
     return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
+        lengths, lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.substring(s, i, x)))))
 
 
 # A stem comes from the mention pattern, so once lower-cased it only holds
@@ -87,22 +92,59 @@ def _all_substrings(s) -> "F.Column":
 STEM_CHARS_RUN = "[a-z0-9_-]+"
 
 
-def test_index(inventory: DataFrame) -> DataFrame:
-    """Test-like files keyed by every distinct substring of their lower-case
-    name that could equal a stem: ``(repo, key, path)``.  Names are one path
-    segment, so the fan-out per file is bounded (quadratic in the length of
-    its longest run of stem characters)."""
+#: Bits of the stem filter: 4 MB however many stems there are.
+FILTER_BITS = 1 << 25
+
+
+def stem_filter(stems: DataFrame) -> DataFrame:
+    """A Bloom filter (one hash) of the (repo, key) rows: (bucket, bits)."""
+    bit = F.pmod(F.xxhash64("repo", "key"), F.lit(FILTER_BITS))
+    return stems.select(bit.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+
+
+def _may_be_stem(index: DataFrame, stems: DataFrame) -> DataFrame:
+    h = F.pmod(F.xxhash64("repo", "key"), F.lit(FILTER_BITS))
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return index.withColumn("_bucket", F.bitmap_bucket_number(h)).join(F.broadcast(stem_filter(stems)), "_bucket") \
+        .filter(hit).select("repo", "key", "path")
+
+
+def test_index(inventory: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """Test-like files keyed by the distinct substrings of their lower-case
+    name that could equal a stem: ``(repo, key, path)``.
+
+    With ``stems`` (``repo, key`` of the mentions, evaluated twice) only
+    substrings of the lengths that the repository's stems have are made, and
+    of these only such that pass a Bloom filter of the stems, before any
+    shuffle of the index.  Without, all substrings: quadratic in the length of
+    a name's longest run of stem characters."""
     tests = (inventory.select("repo", "path").filter(is_test_name("path"))
              .withColumn("name_lc", F.lower(file_name("path"))))
     runs = F.regexp_extract_all(F.col("name_lc"), F.lit(STEM_CHARS_RUN), 0)
-    keys = F.array_distinct(F.flatten(F.transform(runs, _all_substrings)))
-    return tests.select("repo", F.explode(keys).alias("key"), "path")
+    if stems is None:
+        keys = F.transform(runs, lambda r: _substrings(r))
+    else:
+        lengths = stems.groupBy("repo").agg(F.collect_set(F.char_length("key")).alias("_lengths"))
+        tests = tests.join(lengths, "repo")
+        keys = F.transform(runs, lambda r: _substrings(r, F.filter("_lengths", lambda n: n > 0)))
+    index = tests.select("repo", F.explode(F.array_distinct(F.flatten(keys))).alias("key"), "path")
+    return index if stems is None else _may_be_stem(index, stems)
 
 
 def _keyed(mention_rows: DataFrame) -> DataFrame:
     return mention_rows.withColumn("key", F.lower(file_stem("path")))
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Mention rows in the shared folder: the text is scanned once, and the
+    lengths, the filter and the join read the rows."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def match_tests(mention_rows: DataFrame, inventory: DataFrame) -> DataFrame:
     """Test-like files of the same repo whose lower-case name contains
     the lower-case stem of a mention.  Empty stems match nothing (the index
@@ -112,8 +154,8 @@ def match_tests(mention_rows: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Returns ``(issue_id, repo, mention, path)``.
     """
-    m = _keyed(mention_rows).withColumnRenamed("path", "mention")
-    return m.join(test_index(inventory), ["repo", "key"]).select("issue_id", "repo", "mention", "path")
+    m = _written(_keyed(mention_rows).select("issue_id", "repo", F.col("path").alias("mention"), "key"))
+    return m.join(test_index(inventory, m.select("repo", "key")), ["repo", "key"]).select("issue_id", "repo", "mention", "path")
 
 
 def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool = True,
@@ -125,22 +167,23 @@ def candidate_files(issues: DataFrame, inventory: DataFrame, fallback_all: bool
     of its repository.  Long form ``(issue_id, repo, path)``; use
     :func:`candidate_lists` for the sorted array per issue.
 
-    The mention regex runs once: each mention row is left-joined to the
-    test index and both the mention and its matched test are emitted from
-    that one row.  Candidates are empty exactly when an issue has no
-    mention, which the fallback finds with a short-circuiting ``rlike``.
+    One pass over the bodies: an outer generate gives a row per mention, or
+    one row without a path, which is the fallback's key (a NULL body falls
+    back as well).  Each mention row is left-joined to the test index and both
+    the mention and its matched test are emitted from that one row.
     ``dedupe=False`` leaves duplicate rows for a caller that aggregates per
     issue anyway (saves one shuffle).
     """
     inv = inventory.select("repo", "path")
-    m = _keyed(mentions(issues, body_col))
-    j = m.join(test_index(inv).withColumnRenamed("path", "test_path"), ["repo", "key"], "left")
+    rows = _written(_keyed(issues.select("issue_id", "repo", F.explode_outer(_found(body_col)).alias("path"))))
+    m = rows.filter("path IS NOT NULL")
+    j = m.join(test_index(inv, m.select("repo", "key")).withColumnRenamed("path", "test_path"), ["repo", "key"], "left")
     cands = j.select("issue_id", "repo", F.explode(F.array_compact(F.array("path", "test_path"))).alias("path"))
     if dedupe:
         cands = cands.distinct()
     if not fallback_all:
         return cands
-    empty = issues.filter(~F.col(body_col).rlike(MENTION_PATTERN)).select("issue_id", "repo")
+    empty = rows.filter("path IS NULL").select("issue_id", "repo")
     return cands.unionByName(empty.join(inv, "repo").select("issue_id", "repo", "path"))
 
 

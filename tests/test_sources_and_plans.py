@@ -194,3 +194,36 @@ def test_trace_profile_golden_shape(spark, tmp_path):
     p = W.trace_profile(L.read_run_logs(spark, str(tmp_path)), key="source_file").first()
     assert (p.n_records, p.n_info, p.n_warning, p.n_error) == (98, 94, 0, 4)
     assert (p.n_check_phases, p.n_code_phases, p.n_test_gen_phases, p.n_retries) == (4, 4, 0, 3)
+
+
+def test_stem_index_holds_only_what_is_asked_for(spark):
+    """Index rows per test file, before and after: all substrings, those of the
+    lengths that occur, those that pass the filter of the stems."""
+    from pyspark.sql import functions as F
+    from issuelens.catalog import inventory
+    from issuelens.operators import retrieval as R
+    from issuelens.sources import tables as T
+    inv = inventory(spark, SF_SMALL)
+    stems = R._keyed(R.mentions(T.v_issues(spark, SF_SMALL))).select("repo", "key")
+    every, asked = R.test_index(inv), R.test_index(inv, stems)
+    n_files = inv.filter(R.is_test_name("path")).count()
+    before, after = every.count() / n_files, asked.count() / n_files
+    assert before > 100 and after < before / 20, (before, after)
+    wanted = lambda x: sorted(tuple(r) for r in x.join(stems.distinct(), ["repo", "key"]).collect())
+    assert wanted(every) == wanted(asked)
+    bits = R.stem_filter(stems).select(F.sum(F.bitmap_count("_bits"))).first()[0]
+    assert 0 < bits <= stems.distinct().count()
+
+
+def test_candidates_scan_the_bodies_once(spark):
+    plan = plan_of(QUERIES["a1_candidate_files"](spark, SF_SMALL))
+    assert "documents" not in plan and "Scan ExistingRDD" in plan  # the mention rows were written by one job
+
+
+def test_issue_without_body_falls_back(spark):
+    from issuelens.operators import retrieval as R
+    issues = spark.createDataFrame([(1, "r", None), (2, "r", "no file"), (3, "r", "see `b.py`"), (4, "other", None)],
+                                   "issue_id long, repo string, body string")
+    inv = spark.createDataFrame([("r", "a.py"), ("r", "tests/test_b.py")], "repo string, path string")
+    got = sorted((x.issue_id, x.path) for x in R.candidate_files(issues, inv).collect())
+    assert got == [(1, "a.py"), (1, "tests/test_b.py"), (2, "a.py"), (2, "tests/test_b.py"), (3, "b.py"), (3, "tests/test_b.py")]
