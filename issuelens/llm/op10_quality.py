@@ -62,7 +62,8 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def host_verdicts(measures: DataFrame, host_limit: float = 0.5) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate and verdict.
+    """Per host: documents, failures of each rule, documents that fail any of
+    them, shrunk failure rate and verdict.
 
     Prior: the hosts' rates have mean m and variance v; a beta distribution
     with these moments has strength ``m(1-m)/v - 1`` (at least 1, also where
@@ -71,8 +72,9 @@ def host_verdicts(measures: DataFrame, host_limit: float = 0.5) -> DataFrame:
              "repeats": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
              "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
              "dup_lines": F.col("n_dup_lines") >= 3}
+    failed = F.greatest(*[c.cast("int") for c in rules.values()])
     hosts = measures.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("int")).alias("n_failed"),
+        F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed"),
         *[F.sum(c.cast("int")).alias(f"n_{k}") for k, c in rules.items()])
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))

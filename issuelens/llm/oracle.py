@@ -25,7 +25,8 @@ m AS (
          coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY host),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR 10 * n_symbols > word_chars OR n_dup_lines >= 3) AS f
+  FROM b GROUP BY host),
 p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS v FROM h),
 s AS (SELECT mean, greatest(1.0, CASE WHEN v > 0 THEN mean * (1 - mean) / v - 1 ELSE 1.0 END) AS k FROM p),
 r AS (SELECT host, (f + mean * k) / (n + k) AS rate FROM h, s)
