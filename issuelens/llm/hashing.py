@@ -20,9 +20,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+#: A Mersenne prime: hashes are polynomials modulo this prime, so texts built to
+#: collide modulo a power of two do not.
+PRIME = (1 << 31) - 1
+_P, _SHIFT = _U(PRIME), _U(31)
+#: Two bases, drawn once at random; a hash is the pair of both residues.
+BASES = (1_205_940_587, 789_338_271)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Below 2^62: the same residue, below 2^31 + 2 (in place)."""
+    high = x >> _SHIFT
+    x &= _P
+    x += high
+    np.right_shift(x, _SHIFT, out=high)
+    x &= _P
+    x += high
+    return x
+
+
+@lru_cache(maxsize=8)
 def _byte_table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 0x632BE59BD9B4E019 & MASK))
+    return mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 0x632BE59BD9B4E019 & MASK)) % _P
 
 
 _LOW = 14  # powers come from two small tables: low and high bits of the exponent
@@ -30,39 +49,56 @@ _LOW = 14  # powers come from two small tables: low and high bits of the exponen
 
 @lru_cache(maxsize=16)
 def _powers(base: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i for i < 2^14 and base^(2^14 i) for i < high."""
+    """base^i for i < 2^14 and base^(2^14 i) for i < high, modulo the prime."""
     out = []
-    for b, n in ((base, 1 << _LOW), (pow(base, 1 << _LOW, 1 << 64), high)):
-        p = np.full(n, _U(b))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
+    for b, n in ((base, 1 << _LOW), (pow(base, 1 << _LOW, PRIME), high)):
+        p = np.ones(n, np.uint64)
+        k = 1
+        while k < n:  # the next k powers from the first k
+            p[k:2 * k] = p[:min(k, n - k)] * _U(pow(b, k, PRIME)) % _P
+            k *= 2
+        out.append(p)
     return out[0], out[1]
 
 
 class Prefix:
-    """Prefix sums of a byte buffer: the 64-bit polynomial hash of any range
-    in a few operations (equal strings, equal hashes)."""
+    """Prefix sums of a byte buffer modulo the prime, for both bases: the hash
+    of any range in a few operations (equal strings, equal hashes)."""
 
     def __init__(self, buf: np.ndarray, seed: int = 1):
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & MASK
         high = 1 << max(4, int(len(buf) >> _LOW).bit_length())
-        self.inverse = _powers(pow(base, -1, 1 << 64), high)
-        low, top = _powers(base, high)
-        table = _byte_table(seed)
-        self.sums = np.empty(len(buf) + 1, np.uint64)
-        self.sums[0] = 0
         step = 1 << _LOW
-        for i in range(0, len(buf), step):
-            part = table[buf[i:i + step]]
-            part *= low[:len(part)]
-            part *= top[i >> _LOW]
-            np.cumsum(part, out=self.sums[i + 1:i + 1 + len(part)])
-            self.sums[i + 1:i + 1 + len(part)] += self.sums[i]
+        self.sums, self.inverses = [], []
+        for base in BASES:
+            self.inverses.append(_powers(pow(base, -1, PRIME), high))
+            low, top = _powers(base, high)
+            table = _byte_table(seed)
+            sums = np.zeros(len(buf) + 1, np.uint32)
+            for i in range(0, len(buf), step):
+                part = table[buf[i:i + step]]
+                part *= low[:len(part)]
+                _fold(part)
+                part *= top[i >> _LOW]
+                _fold(part)
+                np.cumsum(part, out=part)
+                part += _U(sums[i])
+                sums[i + 1:i + 1 + len(part)] = _fold(part)
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = self.sums[end]
-        x -= self.sums[start]
-        x *= self.inverse[0][start & ((1 << _LOW) - 1)]
-        x *= self.inverse[1][start >> _LOW]
-        x += (end - start).astype(np.uint64)
-        return mix(x)
+        low, high = start & ((1 << _LOW) - 1), start >> _LOW
+        both = np.zeros(len(start), np.uint64)
+        for sums, inverse in zip(self.sums, self.inverses):
+            x = sums[end].astype(np.uint64)
+            x += _U(2 * PRIME)
+            x -= sums[start]
+            _fold(x)
+            x *= inverse[0][low]
+            _fold(x)
+            x *= inverse[1][high]
+            _fold(x)
+            x %= _P  # one value per residue
+            both <<= _SHIFT
+            both |= x
+        both += mix((end - start).astype(np.uint64))
+        return mix(both)

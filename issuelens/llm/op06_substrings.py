@@ -121,8 +121,7 @@ class Block:
         a = np.flatnonzero(cut)
         e = np.minimum(np.append(a[1:], n), self.offsets[self.doc[a].astype(np.int64) + 1] - WINDOW + 1)
         to = e + WINDOW - 1
-        # The second half depends on both ends: texts that agree in the first by
-        # chance (1 in 2^64) would also need the same 8 bytes at either end.
+        # Two residues modulo a prime of 31 bits, and the 8 bytes at either end.
         ends = self.load(a) * np.uint64(0xC2B2AE3D27D4EB4F) ^ self.load(to - 8)
         return a, e, np.column_stack([Prefix(self.buf).of(a, to), mix(ends)])
 
@@ -343,7 +342,7 @@ EXCHANGE = "bucket bigint, block bigint, kind int, blob binary"
 
 def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, blob): packed documents, one row per block of an Arrow batch."""
-    d = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(blocks))).withColumn(
+    d = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(blocks))).withColumn(
         "_tie", F.xxhash64("text"))
 
     def run(batches):

@@ -527,3 +527,63 @@ def test_bad_hosts_take_their_documents(spark):
     docs += [(100 + i, good, "en", f"h{i % 5}.org") for i in range(100)]
     got = {r["doc_id"]: r["kept"] for r in rows(op10_quality.judge(make(spark, docs)))}
     assert not got[30] and all(got[100 + i] for i in range(100))
+
+
+def test_every_rule_counts_for_the_host(spark):
+    """Hosts whose documents fail the symbol or the duplicate-line rule only."""
+    good = " ".join(f"w{i}" for i in range(40))
+    marks = " ".join(f"w{i}##" for i in range(40))
+    lines = "\n".join([good] + [f"w{i} and w{i + 1}" for i in range(90)] + ["w0 and w1"] * 3)
+    assert not measures_by_force(marks)[-1] and not measures_by_force(lines)[-1]
+    docs = [(i, marks, "en", "marks.org") for i in range(30)] + [(30, good, "en", "marks.org")]
+    docs += [(40 + i, lines, "en", "lines.org") for i in range(30)] + [(70, good, "en", "lines.org")]
+    docs += [(100 + i, good, "en", f"h{i % 5}.org") for i in range(100)]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in rows(op10_quality.judge(make(spark, docs)))}
+    assert all(got[i] == (False, i >= 100) for i in got)
+
+
+# Texts made to collide modulo 2^64 ----------------------------------------
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def flipped(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_are_modulo_a_prime():
+    from issuelens.llm.hashing import PRIME, BASES, Prefix, _byte_table
+    r = np.random.default_rng(1)
+    buf = r.integers(0, 256, 40_000, dtype=np.uint8)
+    a, b = np.array([0, 5, 16_380, 30_000, 7, 7]), np.array([40_000, 5, 16_390, 39_999, 300, 301])
+    p = Prefix(buf)
+    table = _byte_table(1).astype(object)
+    for k, base in enumerate(BASES):
+        plain, at, power = [0], 0, 1
+        for x in buf:
+            at = (at + int(table[x]) * power) % PRIME
+            power = power * base % PRIME
+            plain.append(at)
+        assert all((int(p.sums[k][i]) - plain[i]) % PRIME == 0 for i in range(0, 40_001, 97))
+    copy = np.concatenate([buf[:100], buf])
+    assert list(Prefix(copy).of(a + 100, b + 100)) == list(p.of(a, b)) and len(set(p.of(a, b))) == 6
+    for n in (1024, 2048, 16_384):
+        m = thue_morse(n)
+        both = np.frombuffer((m + flipped(m)).encode(), np.uint8)
+        x, y = Prefix(both).of(np.array([0, n]), np.array([n, 2 * n]))
+        assert x != y
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_substrings_of_colliding_texts_stay(spark, n):
+    m = thue_morse(n)
+    data = [(1, "p" * 7 + "q" * 13 + m + "s" * 12, None, None), (2, "p" * 7 + "q" * 13 + flipped(m) + "s" * 12, None, None)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows(op06_substrings.repeated_bytes(make(spark, data)))]
+    assert sorted(got) == sorted(removed_by_force(data))
+
+
+def test_colliding_words_are_not_linked(spark):
+    m = thue_morse(1024)
+    got = rows(op08_minhash.near_duplicates(make(spark, [(1, m, None, None), (2, flipped(m), None, None), (3, m, None, None)]), k=2))
+    assert {x["doc_id"]: x["component_id"] for x in got} == {1: 1, 2: 2, 3: 1}
