@@ -144,6 +144,11 @@ def a6_error_digest(spark, d):
     return O.error_digest(T.v_checks(spark, d))
 
 
+@query("a6_error_pieces")
+def a6_error_pieces(spark, d):
+    return O.error_pieces(T.v_checks(spark, d))
+
+
 def change_events(spark, d):
     e = T.table(spark, d, "events")
     return e.select(F.col("user_id").alias("run_id"), "ts", "event_id",
@@ -619,6 +624,11 @@ def issue_bodies(spark, d):
     return T.v_issues(spark, d).select(F.col("issue_id").alias("run_id"), F.col("body").alias("issue"))
 
 
+@query("j5_summary_pieces")
+def j5_summary_pieces(spark, d):
+    return P.summary_pieces(changes(spark, d), snapshot(spark, d))
+
+
 @query("f20_planning_prompts")
 def f20_planning_prompts(spark, d):
     lists = R.candidate_lists(R.candidate_files(T.v_issues(spark, d), inventory(spark, d)))
@@ -684,6 +694,22 @@ def e1_structured(spark, d):
     return r.select("call_id", "parsed_ok", F.array_join("relevant_files", ",").alias("relevant_files"))
 
 
+@query("e1_respond_cached")
+def e1_respond_cached(spark, d):
+    """Two runs over one cache: the first turns of the conversations, then all
+    of them; the second asks for the prompts that are new only."""
+    from .session import scratch_path
+    store = scratch_path(spark, "responses")
+    prompts = T.table(spark, d, "conversations").filter(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+
+    def answer(p):
+        return p.str.len().astype(str) + ":" + p.str.slice(0, 20)
+    first = prompts.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    PR.respond_cached(prompts.join(first, ["conv_id", "turn"]), answer, store)
+    return PR.respond_cached(prompts, answer, store).select("conv_id", "turn", "response")
+
+
 # -- sources -----------------------------------------------------------------
 @query("s1_read_issues")
 def s1_read_issues(spark, d):
@@ -728,6 +754,17 @@ def s9_apply_updates(spark, d):
     return RF.apply_updates(snapshot(spark, d), u)
 
 
+@query("s9_file_versions")
+def s9_file_versions(spark, d):
+    """Every file as of three turns; a turn's last update is that of the
+    largest file number."""
+    f = T.v_repo_files(spark, d).select("file_id", "repo", "path")
+    u = fenced_responses(spark, d).join(f, F.col("conv_id") == F.col("file_id")).select(
+        "repo", "path", F.col("turn").cast("bigint").alias("version"), F.col("conv_id").alias("seq"), "response")
+    asked = f.select("repo", "path", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (0, 2, 5)])).alias("version"))
+    return RF.file_versions(snapshot(spark, d), u, asked)
+
+
 # -- streams -----------------------------------------------------------------
 from .streaming import log_tail as XT  # noqa: E402
 from .streaming import retry_state as XS  # noqa: E402

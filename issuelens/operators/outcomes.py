@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import array_size
+from .runs import ordered_pieces
 
+# The marker of an empty test run and the blank line between the
+# texts of a digest.
 NO_TESTS_RAN = "no tests ran"
+DIGEST_SEPARATOR = "\n\n"
 
 
 def format_outputs(checks: DataFrame) -> DataFrame:
@@ -102,7 +106,16 @@ def error_digest(checks: DataFrame) -> DataFrame:
                     _failure_text().alias("t"))
     texts = F.sort_array(F.collect_list(F.when(_failed(), item)))
     return checks.groupBy("run_id").agg(
-        F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n")).alias("last_errors"))
+        F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), DIGEST_SEPARATOR)).alias("last_errors"))
+
+
+def error_pieces(checks: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A6 in long form: ``(run_id, piece, offset, text)``, one row per failure;
+    the texts of a run in the order of ``piece``, joined by a blank line, are
+    its digest.  A run without failures has no row."""
+    failed = checks.filter(_failed()).select(
+        "run_id", F.when(F.col("kind") == "test", 0).otherwise(1).alias("_k"), "seq", _failure_text().alias("_t"))
+    return ordered_pieces(failed.filter("_t IS NOT NULL"), "run_id", ("_k", "seq", "_t"), "_t", DIGEST_SEPARATOR, rows)
 
 
 def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str = "modular") -> DataFrame:
@@ -137,7 +150,7 @@ def run_verdict(checks: DataFrame, plans: DataFrame | None = None, variant: str
         F.coalesce(F.bool_and(F.when(~is_test, F.col("_ok"))), F.lit(True)).alias("_lint_ok"),
         F.coalesce(F.bool_or(F.when(is_test, F.lower("_last").contains(NO_TESTS_RAN))), F.lit(False))
         .alias("_no_tests_ran"),
-        F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n")).alias("last_errors"))
+        F.when(F.size(texts) > 0, F.array_join(F.transform(texts, lambda x: x["t"]), DIGEST_SEPARATOR)).alias("last_errors"))
     if plans is not None:
         rel = plans.select("run_id", (F.coalesce(array_size("relevant_files"), F.lit(0)) > 0).alias("_has_rel"))
         v = rel.join(v, "run_id", "left")

@@ -17,6 +17,7 @@ from ..functions.paths import file_stem, file_suffix
 from ..functions.json import STRICT, strict_json
 from ..functions.text import py_strip
 from .retrieval import is_test_name
+from .runs import ordered_pieces
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -225,6 +226,15 @@ def change_summaries(changes: DataFrame, snapshot: DataFrame, n: int = 500) -> D
         F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), "\n\n").alias("summary"))
 
 
+def summary_pieces(changes: DataFrame, snapshot: DataFrame, n: int = 500, rows: int = 20_000) -> DataFrame:
+    """J5 in long form: ``(run_id, piece, offset, text)``, one row per changed
+    file that exists; joined by a blank line they are the summary."""
+    touched = changes.select("run_id", "repo", F.explode(_arr("changed_files")).alias("path"))
+    j = touched.join(snapshot.select("repo", "path", "content"), ["repo", "path"])
+    item = j.select("run_id", "path", F.concat("path", F.lit(":\n"), F.substring("content", 1, n)).alias("_t"))
+    return ordered_pieces(item.filter("_t IS NOT NULL"), "run_id", ("path", "_t"), "_t", "\n\n", rows)
+
+
 def repo_snapshot(files: DataFrame) -> DataFrame:
     """All files of each repository (any suffix) with one content per path."""
     return files.withColumn("path", F.translate("path", "\\", "/")).groupBy("repo", "path") \

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +103,45 @@ def replay_responses(prompts: DataFrame, calls: DataFrame, prompt_col: str = "pr
             .withColumn("response", F.coalesce("response", F.lit(""))))
 
 
+def _answered(prompts: DataFrame, responder, prompt_col: str) -> DataFrame:
+    schema = T.StructType(prompts.schema.fields + [T.StructField("response", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            out = responder(pdf[prompt_col])
+            pdf["response"] = pd.Series(out, index=pdf.index).astype(object)
+            yield pdf
+
+    return prompts.mapInPandas(run, schema)
+
+
+def respond_cached(prompts: DataFrame, responder: Callable[[pd.Series], pd.Series], store: str,
+                   prompt_col: str = "prompt") -> DataFrame:
+    """E1/J8 with a cache: the function sees each distinct prompt once, ever.
+
+    ``store`` is a folder (Parquet, ``prompt_hash, response``).  Prompts are
+    anti-joined against it by hash; the function runs on the distinct misses
+    only, and their answers are appended under their hashes in one committed
+    write, so a task that is repeated, or the whole call, adds nothing.  Two
+    callers at once may both answer a prompt; readers then take one answer, the
+    same for all (the least).  A NULL prompt is not asked and gets ``""``.
+    """
+    spark = prompts.sparkSession
+    schema = "prompt_hash string, response string"
+    h = F.sha2(F.col(prompt_col), 256)
+    try:
+        known = spark.read.schema(schema).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    misses = prompts.filter(F.col(prompt_col).isNotNull()).groupBy(h.alias("prompt_hash")).agg(F.any_value(prompt_col).alias("_p")) \
+        .join(known.select("prompt_hash"), "prompt_hash", "left_anti")
+    _answered(misses, responder, "_p").select("prompt_hash", "response").write.mode("append").parquet(store)
+    answers = spark.read.schema(schema).parquet(store).groupBy(F.col("prompt_hash").alias("_h")).agg(F.min("response").alias("response"))
+    return prompts.withColumn("_h", h).join(answers, "_h", "left").drop("_h").withColumn("response", F.coalesce("response", F.lit("")))
+
+
 def respond(prompts: DataFrame, responder: DataFrame | Callable[[pd.Series], pd.Series], mode: str = "default",
             prompt_col: str = "prompt", candidates_col: str | None = None) -> DataFrame:
     """The response of each prompt.
@@ -115,15 +155,7 @@ def respond(prompts: DataFrame, responder: DataFrame | Callable[[pd.Series], pd.
     if isinstance(responder, DataFrame):
         r = replay_responses(prompts, responder, prompt_col)
     else:
-        schema = T.StructType(prompts.schema.fields + [T.StructField("response", T.StringType())])
-
-        def run(batches):
-            for pdf in batches:
-                out = responder(pdf[prompt_col])
-                pdf["response"] = pd.Series(out, index=pdf.index).astype(object)
-                yield pdf
-
-        r = prompts.mapInPandas(run, schema)
+        r = _answered(prompts, responder, prompt_col)
     if mode == "patch":
         return r.withColumn("response", diff_only("response"))
     if mode == "structured":

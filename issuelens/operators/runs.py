@@ -92,37 +92,71 @@ def _micros(df: DataFrame, ts_col: str):
     return epoch_micros(df, ts_col)
 
 
-def _axis(df: DataFrame, col: str):
-    """A column as a number line: microseconds of times, numbers as they are."""
-    return epoch_micros(df, col) if dict(df.dtypes)[col].startswith("timestamp") else F.col(col).cast("bigint")
+def run_cuts(records: DataFrame, key: str, order, rows: int, most: int = 256) -> DataFrame:
+    """Cut points of the large runs: ``(key, _cuts)``, sorted order tuples.
+
+    The sketch of a run is its records whose hash of the order columns is a
+    multiple of ``rows``: one in ``rows`` wherever they lie, so equal parts of
+    the run's records, not of its time.  A run has at most ``most`` cuts, evenly
+    thinned; a run below ``rows`` records has few or none."""
+    picked = records.filter(F.pmod(F.xxhash64(*order), F.lit(rows)) == 0).groupBy(F.col(key).alias("_run")).agg(
+        F.array_sort(F.collect_list(F.struct(*order))).alias("_all"))
+    step = F.ceil(F.size("_all") / F.lit(most)).cast("int")
+    places = F.sequence(F.lit(0), F.size("_all") - 1, step)
+    return picked.select("_run", F.transform(places, lambda i: F.get("_all", i)).alias("_cuts"))
+
+
+def _bucketed(records: DataFrame, key: str, order, rows: int, most: int = 256) -> DataFrame:
+    """Adds ``_b``: the number of the run's cuts at or before the record."""
+    cuts = run_cuts(records, key, order, rows, most)
+    here = F.struct(*order)
+    b = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= here)), F.lit(0))
+    return records.join(cuts, F.col(key).eqNullSafe(F.col("_run")), "left").withColumn("_b", b).drop("_run", "_cuts")
 
 
 def next_in_run(records: DataFrame, value, key: str = "run_id", order=("ts", "event_id"),
-                buckets: int = 64) -> DataFrame:
+                buckets: int = 256, rows: int = 20_000) -> DataFrame:
     """Add ``_next``: ``value`` of the next record of the same run.
 
-    Skew-safe form of ``lead(value) over (partition by key order by ...)``:
-    a run is cut into time buckets of equal width (about ``buckets`` over the
-    whole time range, one aggregate), and ``lead`` runs inside each (run,
-    bucket).  The last row of a bucket finds the first row of the run's next
-    bucket as an extra row that is dropped afterwards.  The bucket is a plain
-    function of the record's own time, so every branch of the plan agrees on
-    it, and the result does not depend on the width.
+    Skew-safe form of ``lead(value) over (partition by key order by ...)``: a
+    run of many records is cut into parts of about ``rows`` records (at most
+    ``buckets`` cuts, see :func:`run_cuts`), however close in time they are, and ``lead`` runs inside
+    each (run, part).  The last row of a part finds the first row of the
+    run's next part as an extra row that is dropped afterwards.  The part is
+    a plain function of the record and its run's cuts, so every branch of the
+    plan agrees on it, and the result does not depend on the cuts.
     """
-    us = _axis(records, order[0])
-    lo, hi = records.agg(F.min(us), F.max(us)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
-    before_all = F.lit(-(1 << 62)).cast("bigint")  # records without a time come first
-    x = records.withColumn("_v", value).withColumn(
-        "_b", F.coalesce(F.floor((us - F.lit(lo or 0)) / F.lit(width)).cast("bigint"), before_all))
+    x = _bucketed(records.withColumn("_v", value), key, order, rows, buckets)
     firsts = x.groupBy(key, "_b").agg(F.min(F.struct(*order, "_v")).alias("_f"))
-    wk = Window.partitionBy(key).orderBy("_b")  # at most ``buckets`` + 2 rows of a run
+    wk = Window.partitionBy(key).orderBy("_b")  # at most ``buckets`` + 1 rows of a run
     heads = firsts.select(key, F.lag("_b").over(wk).alias("_b"), "_f").filter(F.col("_b").isNotNull())
     extra = heads.select(F.col(key), *[F.col("_f")[c].alias(c) for c in order], F.col("_f")["_v"].alias("_v"), "_b",
                          F.lit(True).alias("_extra"))
-    rows = x.withColumn("_extra", F.lit(False)).unionByName(extra, allowMissingColumns=True)
+    every = x.withColumn("_extra", F.lit(False)).unionByName(extra, allowMissingColumns=True)
     w = Window.partitionBy(key, "_b").orderBy("_extra", *order)
-    return rows.withColumn("_next", F.lead("_v").over(w)).filter(~F.col("_extra")).drop("_v", "_b", "_extra")
+    return every.withColumn("_next", F.lead("_v").over(w)).filter(~F.col("_extra")).drop("_v", "_b", "_extra")
+
+
+def ordered_pieces(texts: DataFrame, key: str, order, text: str, sep: str, rows: int = 20_000) -> DataFrame:
+    """The long form of "the texts of a run in order, joined by ``sep``":
+    ``(key, piece, offset, text)`` with pieces numbered from 0 and the place
+    (in characters) at which each starts in the joined string.
+
+    Numbers and places are prefix sums over the parts of a run
+    (:func:`run_cuts`): inside a part by a window, over the parts by a window
+    on their totals, so a run of any length is written by many tasks."""
+    x = _bucketed(texts.withColumn("_len", F.char_length(text).cast("bigint") + F.lit(len(sep))), key, order, rows)
+    w = Window.partitionBy(key, "_b").orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_n", F.row_number().over(w) - 1).withColumn("_at", F.coalesce(F.sum("_len").over(before), F.lit(0)))
+    earlier = Window.partitionBy(F.col("_key")).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy(F.col(key).alias("_key"), F.col("_b").alias("_part")).agg(
+        F.count("*").alias("_rows"), F.sum("_len").alias("_chars")).select(
+        "_key", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("_chars").over(earlier), F.lit(0)).alias("_chars"))
+    return x.join(totals, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_part"))).select(
+        key, (F.col("_rows") + F.col("_n")).cast("bigint").alias("piece"),
+        (F.col("_chars") + F.col("_at")).cast("bigint").alias("offset"), F.col(text).alias("text"))
 
 
 def step_durations(records: DataFrame, key: str = "run_id", ts: str = "ts",

@@ -215,6 +215,11 @@ SELECT run_id,
 FROM v_checks GROUP BY run_id""", "v_checks")
 
 oracle("a6_error_digest", "SELECT run_id, last_errors FROM digest", "digest")
+oracle("a6_error_pieces", f"""
+SELECT run_id, row_number() OVER w - 1 AS piece,
+       coalesce(sum(length(t) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", t AS text
+FROM (SELECT run_id, seq, CASE WHEN kind = 'test' THEN 0 ELSE 1 END AS k, {FAILURE_TEXT_SQL} AS t FROM v_checks WHERE {FAILED_SQL})
+WINDOW w AS (PARTITION BY run_id ORDER BY k, seq)""", "v_checks")
 
 def verdict_sql(rule: str) -> str:
     return f"""
@@ -683,6 +688,13 @@ FROM (SELECT DISTINCT run_id, repo, unnest(list_concat(source_files, test_files)
 JOIN snapshot s ON s.repo = c.repo AND s.path = c.path
 GROUP BY c.run_id""", "plans11", "snapshot")
 oracle("j5_change_summaries", "SELECT run_id, summary FROM summaries", "summaries")
+oracle("j5_summary_pieces", """
+SELECT run_id, row_number() OVER w - 1 AS piece,
+       coalesce(sum(length(t) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", t AS text
+FROM (SELECT c.run_id, c.path, c.path || ':' || chr(10) || substring(s.content, 1, 500) AS t
+      FROM (SELECT DISTINCT run_id, repo, unnest(list_concat(source_files, test_files)) AS path FROM plans11) c
+      JOIN snapshot s ON s.repo = c.repo AND s.path = c.path)
+WINDOW w AS (PARTITION BY run_id ORDER BY path)""", "plans11", "snapshot")
 
 cte("plan_responses", """
 SELECT doc_id,
@@ -804,6 +816,10 @@ SELECT call_id, NOT starts_with(response, 'diff ') AS parsed_ok,
        CASE WHEN starts_with(response, 'diff ') THEN 'all.py' ELSE json_extract_string(response, '$.relevant_files[0]') END AS relevant_files
 FROM replayed""", "replayed")
 
+oracle("e1_respond_cached", """
+SELECT conv_id, turn, coalesce(CAST(length(text) AS VARCHAR) || ':' || substr(text, 1, 20), '') AS response
+FROM conversations WHERE role = 'user'""")
+
 # -- sources -----------------------------------------------------------------
 oracle("s1_read_issues", "SELECT issue_id, body || chr(10) AS body FROM v_issues", "v_issues")
 INT_WS = WS.replace(r"\x1C-\x1F", "")
@@ -857,6 +873,17 @@ SELECT coalesce(s.repo, l.repo) AS repo, coalesce(s.path, l.path) AS path,
        CASE WHEN l.new IS NULL THEN 'unchanged' WHEN s.content IS NULL THEN 'created' ELSE 'updated' END AS status
 FROM snapshot s FULL OUTER JOIN lst l ON s.repo = l.repo AND s.path = l.path""", "snapshot", "v_repo_files")
 
+oracle("s9_file_versions", f"""
+WITH upd AS (SELECT f.repo, f.path, c.turn::BIGINT AS version, c.conv_id AS seq, {FENCED} AS response
+             FROM conversations c JOIN v_repo_files f ON f.file_id = c.conv_id WHERE c.role = 'assistant'),
+cl AS (SELECT repo, path, version, seq, {CLEAN} AS new FROM upd),
+lst AS (SELECT repo, path, version, regexp_replace(arg_max(new, seq), '[{WS}]+\\z', '', 'g') || chr(10) AS new
+        FROM cl WHERE new <> '' GROUP BY repo, path, version),
+ask AS (SELECT DISTINCT repo, path, unnest([0, 2, 5])::BIGINT AS version FROM v_repo_files)
+SELECT a.repo, a.path, a.version, l.version AS content_version, coalesce(l.new, s.content) AS content
+FROM ask a ASOF LEFT JOIN lst l ON a.repo = l.repo AND a.path = l.path AND a.version >= l.version
+LEFT JOIN snapshot s ON s.repo = a.repo AND s.path = a.path""", "v_repo_files", "snapshot")
+
 # -- streams -----------------------------------------------------------------
 oracle("x1_stream_run_log", """
 SELECT source_file, ts_ms, level, split_part(message, chr(10), 1) AS message,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_rstrip
 from ..operators.retrieval import repo_file_inventory
+from ..operators.runs import _bucketed
 from ..operators.textops import clean_response
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
@@ -48,6 +49,44 @@ def apply_updates(snapshot: DataFrame, updates: DataFrame, order: str = "seq",
     return j.select("repo", "path", F.coalesce("_new", "_old").alias("content"), status.alias("status"))
 
 
+def file_versions(snapshot: DataFrame, updates: DataFrame, requests: DataFrame, version: str = "version",
+                  order: str = "seq", response_col: str = "response", rows: int = 20_000) -> DataFrame:
+    """S9 over time: the content of files as of given versions.
+
+    ``requests`` names ``(repo, path, version)``; each gets the update of that
+    file with the largest version at or before it (of several of one version
+    the last by ``order``; updates whose cleaned text is empty are skipped) and
+    before the first update the content of ``snapshot`` (NULL if it has no such
+    file).  Returns ``(repo, path, version, content_version, content)``, one
+    row per distinct request.
+
+    An as-of join by a union: requests and updates of a file are sorted
+    together and the last update is carried forward, inside parts of the file's
+    rows (:func:`..operators.runs.run_cuts`) and, over the parts, from their
+    last updates, so that one file with most of the updates is many tasks.
+    """
+    u = (updates.withColumn("_new", clean_response(F.col(response_col)))
+         .filter((F.col("_new") != "") & F.col(version).isNotNull())
+         .groupBy("repo", "path", F.col(version).alias("version")).agg(F.max_by("_new", order).alias("_new")))
+    u = u.select("repo", "path", "version", F.lit(0).alias("_kind"), F.concat(py_rstrip(F.col("_new")), F.lit("\n")).alias("_new"))
+    asked = requests.select("repo", "path", F.col(version).alias("version")).distinct() \
+        .select("*", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_new"))
+    both = u.unionByName(asked).withColumn("_file", F.struct("repo", "path"))
+    x = _bucketed(both, "_file", ("version", "_kind"), rows)
+    update = F.when(F.col("_kind") == 0, F.struct("version", "_new"))
+    w = Window.partitionBy("_file", "_b").orderBy("version", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_within", F.last(update, ignorenulls=True).over(w))
+    earlier = Window.partitionBy("_f").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = x.groupBy(F.col("_file").alias("_f"), F.col("_b").alias("_part")).agg(F.max_by(update, F.when(F.col("_kind") == 0, F.col("version"))).alias("_last")) \
+        .select("_f", "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    base = snapshot.select("repo", "path", F.col("content").alias("_base"))
+    found = x.filter("_kind = 1").join(carried, F.col("_file").eqNullSafe(F.col("_f")) & (F.col("_b") == F.col("_part"))) \
+        .withColumn("_got", F.coalesce("_within", "_carry"))
+    return found.join(base, ["repo", "path"], "left").select(
+        "repo", "path", "version", F.col("_got.version").alias("content_version"),
+        F.coalesce("_got._new", "_base").alias("content"))
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     """Write a snapshot partitioned by repository."""
     snapshot.write.mode("overwrite").partitionBy("repo").parquet(path)

@@ -227,3 +227,27 @@ def test_issue_without_body_falls_back(spark):
     inv = spark.createDataFrame([("r", "a.py"), ("r", "tests/test_b.py")], "repo string, path string")
     got = sorted((x.issue_id, x.path) for x in R.candidate_files(issues, inv).collect())
     assert got == [(1, "a.py"), (1, "tests/test_b.py"), (2, "a.py"), (2, "tests/test_b.py"), (3, "b.py"), (3, "tests/test_b.py")]
+
+
+def test_runs_are_split_by_load(spark):
+    """One run holds half of the rows, all inside one second; some share the
+    time, and some rows have none."""
+    import datetime as dt
+    import random
+    from pyspark.sql import functions as F
+    from issuelens.operators import runs as W
+    r = random.Random(5)
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(7, i, t0 + dt.timedelta(microseconds=r.randint(0, 999_999) if i % 3 else 500_000)) for i in range(6000)]
+    rows += [(r.randint(0, 300), 10_000 + i, t0 + dt.timedelta(seconds=r.randint(0, 10**6))) for i in range(6000)]
+    rows += [(7, 20_000 + i, None) for i in range(50)] + [(None, 30_000 + i, t0) for i in range(50)]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, ts timestamp_ntz")
+    parts = W._bucketed(df, "run_id", ("ts", "event_id"), 50)
+    sizes = [x["count"] for x in parts.groupBy("run_id", "_b").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 12 * 50
+    us = W._micros(df, "ts")
+    got = W.next_in_run(df, us, rows=50).select("event_id", "_next").collect()
+    plain = df.withColumn("_next", F.lead(us).over(W.Window.partitionBy("run_id").orderBy("ts", "event_id"))).select("event_id", "_next")
+    assert len(got) == len(rows) and {tuple(x) for x in got} == {tuple(x) for x in plain.collect()}
+    cuts = W.run_cuts(df, "run_id", ("ts", "event_id"), 2, most=16).collect()
+    assert max(len(x._cuts) for x in cuts) <= 16 and all(x._cuts == sorted(x._cuts, key=lambda c: (c.ts is not None, c.ts or t0, c.event_id)) for x in cuts)
