@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bloom import bloom_filter, may_hold
 from ..functions.paths import file_name, file_stem, file_suffix
 from ..functions.text import array_size
 from ..session import ensure_checkpoint_dir
@@ -97,19 +98,8 @@ FILTER_BITS = 1 << 25
 
 
 def stem_filter(stems: DataFrame) -> DataFrame:
-    """A Bloom filter (one hash) of the (repo, key) rows: (bucket, bits)."""
-    bit = F.pmod(F.xxhash64("repo", "key"), F.lit(FILTER_BITS))
-    return stems.select(bit.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
-
-
-def _may_be_stem(index: DataFrame, stems: DataFrame) -> DataFrame:
-    h = F.pmod(F.xxhash64("repo", "key"), F.lit(FILTER_BITS))
-    at = F.bitmap_bit_position(h)
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte, (at % 8).cast("int")) == 1
-    return index.withColumn("_bucket", F.bitmap_bucket_number(h)).join(F.broadcast(stem_filter(stems)), "_bucket") \
-        .filter(hit).select("repo", "key", "path")
+    """A Bloom filter of the (repo, key) rows."""
+    return bloom_filter(stems, ("repo", "key"), FILTER_BITS)
 
 
 def test_index(inventory: DataFrame, stems: DataFrame | None = None) -> DataFrame:
@@ -131,7 +121,7 @@ def test_index(inventory: DataFrame, stems: DataFrame | None = None) -> DataFram
         tests = tests.join(lengths, "repo")
         keys = F.transform(runs, lambda r: _substrings(r, F.filter("_lengths", lambda n: n > 0)))
     index = tests.select("repo", F.explode(F.array_distinct(F.flatten(keys))).alias("key"), "path")
-    return index if stems is None else _may_be_stem(index, stems)
+    return index if stems is None else may_hold(index, stem_filter(stems), ("repo", "key"), FILTER_BITS)
 
 
 def _keyed(mention_rows: DataFrame) -> DataFrame:
