@@ -79,6 +79,14 @@ def test_collocations_without_broadcast_and_with_ties(spark):
     assert sorted(tuple(r) for r in got.collect()) == phrases_by_force(data, least=3, top=25)
 
 
+def test_longer_phrases_without_pruning(spark, monkeypatch):
+    """A filter of 32 bits lets nearly all through; the result is the same."""
+    monkeypatch.setattr(op11_collocations, "_bits", lambda n: 32)
+    data = variants()
+    got = op11_collocations.collocations(make(spark, data))
+    assert sorted(tuple(r) for r in got.collect()) == phrases_by_force(data)
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 3 * 10**14 + 7, 9 * 10**14 + 1, 8 * 10**14 + 3
     df = spark.createDataFrame([(a, [left], [right])], "a bigint, heads array<bigint>, tails array<bigint>")
@@ -87,9 +95,9 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_merging_needs_no_shuffle(spark):
     docs = make(spark, variants())
-    occ = op11_collocations.occurrences(docs).select("row", "pos", F.xxhash64("word").alias("id"))
+    occ = op11_collocations.occurrences(docs).select("row", "pos", F.xxhash64("word").alias("w1"))
     with op11_collocations._relations(spark) as persist:
-        plan = op11_collocations._merged(persist(occ))._jdf.queryExecution().executedPlan().toString()
+        plan = op11_collocations._merged(persist(occ), 1)._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "Exchange" not in plan
 
 
