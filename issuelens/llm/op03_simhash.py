@@ -13,8 +13,10 @@ table per choice of agreeing blocks finds every pair, and the distance test
 follows.  Equal fingerprints are one entry with a count.
 
 Cases: a null text is empty; equal texts have equal fingerprints; an empty
-text has the zero fingerprint; repeated ids follow each other in text order;
-an empty table gives no rows; further columns are ignored.
+text has the zero fingerprint; repeated ids (and rows without one, which come
+last) follow each other in text order, or in the order of a hash of the text
+where they fill more than a bucket; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,9 +144,12 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: i
 RADIUS, BLOCKS = 6, 8
 
 
-#: Rows of one bucket of the id order, ids that cut the order on the driver at
-#: most, and buckets whose boundary table may be broadcast (16 bytes each).
+#: Rows of one bucket of the id order, values that cut an order on the driver at
+#: most, and buckets whose boundary table may be broadcast (32 bytes each).
 BUCKET_ROWS, MAX_CUTS, BROADCAST_BUCKETS = 512, 4096, 100_000
+#: Buckets of one cut: the rows between two ids' cuts have the last number, the
+#: parts of one id's rows the numbers below.
+_PARTS = 1 << 32
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,47 +157,89 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     the text of the next one by descending id (after the last: the first).
 
     The ids are cut at quantiles (and evenly between two of them) into buckets
-    of some ``BUCKET_ROWS`` rows; text is shuffled once, by bucket.  The first
-    document of a bucket also goes to the bucket before it as a ghost row
-    (``_ghost``), so no window spans more than a bucket.  The result does not
-    depend on where the cuts fall."""
+    of some ``BUCKET_ROWS`` rows; rows without an id, or of one id, that fill
+    more than a bucket are cut by a hash of their text.  Text is shuffled once,
+    by bucket.  The first document of a bucket also goes to the bucket before
+    it as a ghost row (``_ghost``), so no window spans more than a bucket.  The
+    result does not depend on where the cuts fall."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    n = d.select("doc_id").count()
+    size = d.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.percentile_approx(
+        "doc_id", [i / MAX_CUTS for i in range(MAX_CUTS + 1)]).alias("c")).first()
+    n, found = size["n"], size["c"] or [0]
     n_cuts = max(1, min(MAX_CUTS, -(-n // BUCKET_ROWS)))
-    cuts = d.agg(F.percentile_approx("doc_id", [i / n_cuts for i in range(n_cuts + 1)]).alias("c")).first()["c"] or [0]
-    cuts = sorted(set(cuts))
+    found = [found[i * (len(found) - 1) // n_cuts] for i in range(n_cuts + 1)]
     fine = max(1, -(-n // (BUCKET_ROWS * n_cuts)))
-    bucket = _bucket(F.col("doc_id"), cuts, fine)
-    d = d.withColumn("_bucket", bucket)
-    heads = d.groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
-    order = Window.orderBy("_bucket")  # one row per bucket
-    heads = heads.withColumn("_to", F.coalesce(
-        F.lead("_bucket").over(order), F.min("_bucket").over(Window.partitionBy(F.lit(1)))))
-    heads = heads.select("_head", "_to")
-    if len(cuts) * fine <= BROADCAST_BUCKETS:
+    d = _bucketed(d, found, fine, n, n - size["ids"])
+    heads = _before(cut(d.groupBy("_bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("_h").alias("h"))).alias("_head"))))
+    if heads.count() <= BROADCAST_BUCKETS:
         heads = F.broadcast(heads)
-    ghosts = d.join(heads, F.col("doc_id").eqNullSafe(F.col("_head"))).select(
-        "doc_id", "text", F.col("_to").alias("_bucket"), F.lit(True).alias("_ghost"))
+    ghosts = d.join(heads.withColumnRenamed("_bucket", "_b"), (F.col("_bucket") == F.col("_b"))
+                    & F.col("doc_id").eqNullSafe(F.col("_head.doc_id")) & (F.col("_h") == F.bitwise_not("_head.h")))
+    # Rows of the head's id are as many as a bucket's: one of them is the ghost.
+    ghosts = ghosts.groupBy("_to").agg(F.min(F.struct("text", "doc_id", "_h")).alias("g")).select(
+        "g.doc_id", "g.text", F.col("_to").alias("_bucket"), "g._h", F.lit(True).alias("_ghost"))
     rows = d.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
-    w = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "text")
+    w = Window.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "_h", "text")
     return rows.select("_bucket", "_ghost", "doc_id", "text", F.row_number().over(w).alias("_r"),
                        F.lead("text").over(w).alias("next_text"))
 
 
-def _bucket(c: Column, cuts: list[int], fine: int) -> Column:
-    """Monotone bucket number of an id: position among the cuts (searched in
-    two steps of about sqrt(len) each), then evenly inside the interval."""
+def _before(heads: DataFrame) -> DataFrame:
+    """Adds ``_to``, the next larger bucket (after the largest: the smallest),
+    to one row per bucket.  Chunks of the buckets are ordered one by one and
+    their first buckets (``MAX_CUTS`` + 1 at most) together."""
+    n = heads.count()
+    m = max(1, min(MAX_CUTS, -(-n // MAX_CUTS)))
+    cuts = heads.agg(F.percentile_approx("_bucket", [i / m for i in range(m)]).alias("c")).first()["c"] or [0]
+    h = heads.withColumn("_chunk", _position(F.col("_bucket"), sorted(set(cuts))))
+    order = Window.orderBy("_chunk")
+    firsts = h.groupBy("_chunk").agg(F.min("_bucket").alias("_first"))
+    firsts = firsts.select("_chunk", F.coalesce(F.lead("_first").over(order), F.min("_first").over(
+        Window.partitionBy(F.lit(1)))).alias("_next"))
+    within = Window.partitionBy("_chunk").orderBy("_bucket")
+    return h.join(F.broadcast(firsts), "_chunk").select(
+        "_bucket", "_head", F.coalesce(F.lead("_bucket").over(within), F.col("_next")).alias("_to"))
+
+
+def _position(c: Column, cuts: list[int]) -> Column:
+    """Position of the last cut <= c (0 below all), searched in two steps of
+    about sqrt(len) each."""
+    if len(cuts) == 1:
+        return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    coarse, every = F.array(*[F.lit(x).cast("bigint") for x in cuts[::step]]), cuts
-    q0 = F.greatest(F.size(F.filter(coarse, lambda x: x <= c)) - 1, F.lit(0))
-    rows = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in every[i:i + step]]) for i in range(0, len(every), step)])
-    q = q0 * step + F.greatest(F.size(F.filter(F.get(rows, q0), lambda x: x <= c)) - 1, F.lit(0))
+    coarse = F.array(*[F.lit(x).cast("bigint") for x in cuts[::step]])
+    rows = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in cuts[i:i + step]]) for i in range(0, len(cuts), step)])
+    q = F.greatest(F.size(F.filter(coarse, lambda x: x <= c)) - 1, F.lit(0))
+    return q * step + F.greatest(F.size(F.filter(F.get(rows, q), lambda x: x <= c)) - 1, F.lit(0))
+
+
+def _bucketed(d: DataFrame, found: list[int], fine: int, n: int, n_null: int) -> DataFrame:
+    """Adds ``_bucket``, which falls along the documents' order, and ``_h``, a
+    hash of the text where rows of one id (or none) are told apart by it.
+
+    An id that is found at several quantiles holds about the rows between
+    them; its rows come after those between it and the next cut."""
+    cuts, c = sorted(set(found)), F.col("doc_id")
+    repeated = {x: found.count(x) * fine for x in cuts if n > BUCKET_ROWS and found.count(x) > 1}
+    null_parts = -(-n_null // BUCKET_ROWS)
+    d = d.withColumn("_q", _position(c, cuts))
+    parts = F.when(c.isNull(), null_parts if null_parts > 1 else 0)
+    if repeated:
+        at = F.array(*[F.lit(repeated.get(x, 0)) for x in cuts])
+        first = F.array(*[F.lit(x).cast("bigint") for x in cuts])
+        parts = parts.when(c == F.get(first, "_q"), F.get(at, "_q"))
+    d = d.withColumn("_parts", parts.otherwise(0))
+    q = F.col("_q").cast("bigint")
     if fine > 1:
-        flat = F.array(*[F.lit(x).cast("bigint") for x in every])
-        lo, hi = F.get(flat, q), F.coalesce(F.get(flat, q + 1), F.get(flat, q) + 1)
-        part = F.greatest(F.lit(0.0), F.least(F.lit(0.999999), (c - lo) / (hi - lo)))
-        q = q * fine + F.floor(part * fine)
-    return F.when(c.isNull(), F.lit(-1)).otherwise(q.cast("bigint"))
+        flat = F.array(*[F.lit(x).cast("double") for x in cuts])
+        lo = F.get(flat, "_q")
+        width = F.greatest(F.lit(1.0), F.coalesce(F.get(flat, F.col("_q") + 1) - lo, F.lit(1.0)))
+        q = q * fine + F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999999), (c.cast("double") - lo) / width)) * fine)
+    d = d.withColumn("_h", F.when(F.col("_parts") > 0, F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
+    part = F.least(F.col("_parts") - 1, F.floor((F.col("_h") / float(1 << 64) + 0.5) * F.col("_parts")))
+    bucket = F.when(c.isNull(), F.lit(-1)).otherwise(q) * _PARTS \
+        + F.when(F.col("_parts") > 0, _PARTS - 2 - part).otherwise(_PARTS - 1)
+    return d.select("doc_id", "text", "_h", bucket.cast("bigint").alias("_bucket"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,10 +269,14 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op3_fingerprints(spark, sf_dir):
     d = cut(edited_pairs(read(spark, sf_dir, "documents")))
     # Search: the documents whose id is divisible by 50 against all rows.
-    near = within_radius(d.filter(F.col("doc_id") % 50 == 0), d, RADIUS, BLOCKS)
-    asked = F.when(F.col("doc_id") % 50 == 0, F.struct("hi", "lo"))
-    out = d.withColumn("_q", asked).join(
-        near.select(F.struct("hi", "lo").alias("_n"), "n_near", F.col("near").alias("near_fingerprints")), F.col("_q") == F.col("_n"), "left")
+    asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    queries = d.filter(asked)
+    near = within_radius(queries, d, RADIUS, BLOCKS).select("hi", "lo", "n_near", F.col("near").alias("near_fingerprints"))
+    # Equal fingerprints are one query; its first document carries the list.
+    near = near.join(queries.groupBy("hi", "lo").agg(F.min("doc_id").alias("_first")), ["hi", "lo"])
+    found = queries.join(near, ["hi", "lo"], "left").withColumn(
+        "near_fingerprints", F.when(F.col("doc_id") == F.col("_first"), F.col("near_fingerprints"))).drop("_first")
+    out = found.unionByName(d.filter(~asked), allowMissingColumns=True)
     return out.select(
         "doc_id", "n_chars", "edited_sha256", printed("hi", "lo").alias("fingerprint"),
         printed("ehi", "elo").alias("edited_fingerprint"),

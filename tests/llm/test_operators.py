@@ -176,6 +176,60 @@ def test_fingerprints_and_edited_texts(case):
             assert by[i] == {(0, 0)}
 
 
+def plain_fingerprint(text):
+    """One vote per bit and term, counted bit by bit."""
+    import xxhash
+    w = SPACE.findall((text or "").lower())
+    votes, total = [0] * 128, 0
+    for i, x in enumerate(w):
+        nxt = w[i + 1] if i + 1 < len(w) else ""
+        h = xxhash.xxh64_intdigest(nxt.encode(), seed=xxhash.xxh64_intdigest(x.encode(), seed=42))
+        h2 = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=42))
+        n = len(x) + len(nxt)
+        weight = 1 if n <= 6 else 2 if n <= 10 else 3 if n <= 14 else 4
+        total += weight
+        for j in range(64):
+            votes[j] += weight * (h2 >> j & 1)
+            votes[64 + j] += weight * (h >> j & 1)
+    return sum(1 << j for j in range(128) if 2 * votes[j] > total)
+
+
+def test_fingerprints_equal_plain_votes(spark):
+    docs = sorted(((i, t or "") for i, t, _, _ in given()), reverse=True)
+    out = {r["doc_id"]: r for r in QUERIES["op3_fingerprints"](spark, SF_SMALL).collect()}
+    fp = {i: plain_fingerprint(t) for i, t in docs}
+
+    def likeness(a, b):
+        return max(0.0, 1 - 2 * bin(a ^ b).count("1") / 128)
+    for k, (i, t) in enumerate(docs):
+        j, nxt = docs[(k + 1) % len(docs)]
+        n = len(t) // 3
+        e = plain_fingerprint(t[:len(t) - n] + nxt[:n])
+        assert out[i]["fingerprint"] == f"{fp[i]:032x}" and out[i]["edited_fingerprint"] == f"{e:032x}"
+        assert out[i]["near_edited"] == likeness(fp[i], e) and out[i]["near_next"] == likeness(fp[i], fp[j])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_next_document_over_buckets_with_null_and_repeated_ids(spark, monkeypatch, seed):
+    monkeypatch.setattr(op03_simhash, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(op03_simhash, "MAX_CUTS", 16 if seed == 1 else 64)
+    r = random.Random(seed)
+    ids = [None] * 100 + [7] * 100 + [r.choice([-1 << 63, (1 << 63) - 1, *range(300)]) for _ in range(150)]
+    docs = [(i, f"text {n}", "en", "s") for n, i in enumerate(ids)]
+    out = rows(op03_simhash.with_next(make(spark, docs)))
+    real = [x for x in out if not x["_ghost"]]
+    assert sorted((x["doc_id"], x["text"]) for x in real if x["doc_id"] is not None) == \
+        sorted((i, t) for i, t, _, _ in docs if i is not None) and len(real) == len(docs)
+    # Every document follows exactly one other, in one ring along the order of ids.
+    after, of = {x["text"]: x["next_text"] for x in real}, {t: i for i, t, _, _ in docs}
+    assert sorted(after.values()) == sorted(after)
+    t = min(after, key=lambda x: (of[x] is None, -(of[x] or 0)))
+    seen = [t := after[t] for _ in docs]
+    steps = [(of[a] is None, -(of[a] or 0)) > (of[b] is None, -(of[b] or 0)) for a, b in zip(seen, seen[1:])]
+    assert len(set(seen)) == len(docs) and sum(steps) <= 1
+    assert max(Counter(x["_bucket"] for x in real).values()) <= 60
+
+
 def test_search_finds_all_within_the_radius(spark):
     r = random.Random(3)
 
