@@ -115,6 +115,22 @@ def test_quotations_are_told_from_abuse():
     assert op02_toxicity.hits_of(None, lex, {}) == op02_toxicity.hits_of("", lex, {}) == (0, 0, 0)
 
 
+def test_words_inside_tokens_are_hits():
+    lex = op02_toxicity.Lexicon(["idiot"], ["moron"], ["idiot"])
+    for t in ("idiot's", "you,idiot", "idiot/liar", "idiot—he", "(idiot)", "l'idiot", "1diot", "moronic-ish"):
+        assert lex.look(t) == "=" or t == "1diot" and lex.look(t) == "idiot", t
+    assert lex.look("you,idiott") == "idiot"
+    for t in ("i.d.i.o.t", "river's", "a,b", "12,345", "x—y"):
+        assert lex.look(t) == "", t
+
+
+def test_quotations_may_lower_the_score():
+    cells = np.array([[0, 0, 0], [1, 0, 0], [0, 0, 1]])
+    beta = op02_toxicity._logistic(cells, np.array([1000.0, 100, 100]), np.array([300.0, 95, 2]))
+    z = op02_toxicity._design(cells) @ beta
+    assert z[2] < z[0] < z[1] and (beta[1:5] >= 0).all()
+
+
 def test_toxicity_scores_all_rows(case, spark):
     df, docs = case
     labels = spark.createDataFrame([(5, 1), (7, 0), (8, 0), (None, 1)], "doc_id bigint, toxic int")
@@ -328,6 +344,35 @@ def test_shards_round_trip(case, spark):
             assert tok[-1] == op05_tokens.END and enc.decode(tok[:-1]) == (t or "")
 
 
+def test_shards_keep_null_and_repeated_ids_and_resume(spark):
+    import glob
+    docs = [(None, f"no id {n}", "en", "s") for n in range(30)] + [(0, "zero", "en", "s"), (4, "same", "en", "s"), (4, "same", "en", "s"),
+                                                                  (4, "other " * 90, "en", "s"), (-9, None, "en", "s")]
+    layout = op05_tokens.write_shards(make(spark, docs), scratch(spark, "t"), length=16, shard_bytes=200)
+    out = rows(op05_tokens.read_shards(spark, layout))
+    assert Counter(r["doc_id"] for r in out if r["seq"] == 0) == Counter(d[0] for d in docs)
+    assert layout["shards"] > 3 and all(r["slot"] // layout["width"] == r["shard"] for r in out)
+    assert max(Counter(r["shard"] for r in out if r["doc_id"] is None).values()) <= 20
+    files = glob.glob(f"{layout['path'].removeprefix('file:')}/shard=*/part-*")
+    assert len(files) == len({r["shard"] for r in out})  # a range is one file
+    shard = max(out, key=lambda r: r["record"])["shard"]
+    of = sorted((r for r in out if r["shard"] == shard), key=lambda r: r["record"])
+    with open(next(f for f in files if f"/shard={shard}/" in f), "rb") as f:
+        for at in (0, 1, len(of) - 1, len(of)):
+            got = list(op05_tokens.resume(f, layout, at))
+            assert [g[:4] for g in got] == [(r["slot"], r["doc_id"], r["seq"], r["n_tokens"]) for r in of[at:]]
+            assert all(g[4].tobytes() == bytes(r["tokens"])[:2 * r["n_tokens"]] for g, r in zip(got, of[at:]))
+
+
+def test_ids_beyond_the_key_space_are_refused(spark):
+    for ends in ((-1 << 62, 1 << 62), (-1 << 63, (1 << 63) - 1)):
+        path = scratch(spark, "t")
+        with pytest.raises(ValueError, match="2\\^62"):
+            op05_tokens.write_shards(make(spark, [(i, "x", "en", "s") for i in ends]), path)
+    layout = op05_tokens.write_shards(make(spark, [(i, "x", "en", "s") for i in (1 << 61, -1 << 60)]), scratch(spark, "t"))
+    assert {r["doc_id"] for r in rows(op05_tokens.read_shards(spark, layout))} == {1 << 61, -1 << 60}
+
+
 # 6 -----------------------------------------------------------------------
 
 def removed_by_force(docs):
