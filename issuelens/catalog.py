@@ -415,14 +415,14 @@ def f15_diff_gate(spark, d):
 
 @query("f16_token_count")
 def f16_token_count(spark, d):
-    return X.with_token_count(T.table(spark, d, "documents"), "text").select("doc_id", "n_tokens")
+    return X.with_token_count(T.spread(T.table(spark, d, "documents")), "text").select("doc_id", "n_tokens")
 
 
 def issue_texts(spark, d):
     doc = F.col("doc_id")
     extra = (F.when(doc % 10 == 0, F.lit(" Please add Unit Tests for this."))
              .when(doc % 10 == 5, F.lit(" Covered by PyTest?")).otherwise(F.lit("")))
-    return T.table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("text"))
+    return T.spread(T.table(spark, d, "documents")).select("doc_id", F.concat("text", extra).alias("text"))
 
 
 @query("f17_test_issue_flag")
@@ -459,7 +459,7 @@ def f24_previews(spark, d):
 
 @query("d1_reprice")
 def d1_reprice(spark, d):
-    li = T.table(spark, d, "lineitem")
+    li = T.spread(T.table(spark, d, "lineitem"))
     pct = F.col("l_discount").cast(Q.DEC) * 100
     return li.groupBy("l_orderkey").agg(
         F.sum(Q.reprice("l_extendedprice", pct)).cast("double").alias("total"))

@@ -9,6 +9,8 @@ definitions exist as SQL in :mod:`issuelens.oracle` for the DuckDB check.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, task_mb: float = 2.0, total_mb: float = 256.0) -> DataFrame:
+    """Deals the rows of a scan whose tasks would read more than ``task_mb`` of
+    file to more tasks: a file of one row group is one task otherwise, however
+    dear the work per byte is.  The split is planned from the file sizes, not
+    from the session's cores.  Inputs above ``total_mb`` have row groups enough
+    and are left as they are, without a shuffle.  Filters and column pruning
+    still reach the scan."""
+    mb = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / (1 << 20)
+    tasks = math.ceil(mb / task_mb)
+    if mb > total_mb or tasks < 2 or df.rdd.getNumPartitions() >= tasks:
+        return df
+    return df.repartition(tasks)
+
+
 def _repo_of(key) -> "F.Column":
     return F.concat(F.lit("org"), (key % 5).cast("string"), F.lit("/repo"), (key % 25).cast("string"))
 
@@ -58,7 +74,7 @@ def v_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One issue per document.  Of ten, one names no file, one names several
     (some twice, with code around), one a stem that is in every test file's
     name; the others name one file of a part."""
-    d = table(spark, sf_dir, "documents").alias("d")
+    d = spread(table(spark, sf_dir, "documents")).alias("d")
     p = table(spark, sf_dir, "part").alias("p")
     doc = F.col("d.doc_id")
     name = F.coalesce(F.regexp_replace("p.p_name", " ", "_"), F.lit("unnamed"))

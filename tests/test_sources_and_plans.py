@@ -4,6 +4,7 @@ the physical plans the optimizer picks."""
 import json
 import re
 
+from pyspark.sql import functions as F
 
 from issuelens.catalog import QUERIES
 from issuelens.operators import runs as W
@@ -251,3 +252,17 @@ def test_runs_are_split_by_load(spark):
     assert len(got) == len(rows) and {tuple(x) for x in got} == {tuple(x) for x in plain.collect()}
     cuts = W.run_cuts(df, "run_id", ("ts", "event_id"), 2, most=16).collect()
     assert max(len(x._cuts) for x in cuts) <= 16 and all(x._cuts == sorted(x._cuts, key=lambda c: (c.ts is not None, c.ts or t0, c.event_id)) for x in cuts)
+
+
+def test_spread_deals_small_scans_of_few_row_groups_only(spark, tmp_path):
+    from issuelens.sources.tables import spread
+    path = str(tmp_path / "one_group")
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    few = spread(df, task_mb=1.0)
+    assert few.rdd.getNumPartitions() > df.rdd.getNumPartitions()
+    assert few.agg(F.count("*"), F.sum("id")).first() == df.agg(F.count("*"), F.sum("id")).first()
+    assert spread(df, task_mb=1.0, total_mb=2.0) is df
+    assert spread(df, task_mb=1000.0) is df
+    plan = few.filter("id > 5").select("id")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,5)" in plan
