@@ -13,9 +13,10 @@
    and pairs that are connected already are skipped.
 4. Groups above ``group_rows`` classes (or ``group_shingles``) are cut into
    chunks.  Two passes with different chunks join what meets; then every class
-   outside the group's largest component so far is compared with all chunks of
-   its group, block by block.  So each pair of a group is either connected or
-   compared, no task holds more than two chunks, and no pairs are written.
+   outside the group's largest component so far is compared with all classes
+   of its group that share a band key with it, block by block.  So each pair of
+   a group that shares a key is either connected or compared, no task holds
+   more than two chunks, and no pairs are written.
 
 Cases: texts without words (or null) have an empty set and are linked with
 nothing; rows that share an id share a component (links are verified on the
@@ -38,6 +39,7 @@ from .hashing import Prefix, mix
 BANDS, ROWS = 40, 5
 BATCH = 40
 SLICE_BYTES = 1 << 20
+SALTS = 16  # parts into which a band key is dealt in the strays' join
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -239,32 +241,66 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(c, "label", "left").select("id", F.coalesce("component", "label").alias("label"))
 
 
-def _group_labels(members: DataFrame, percent: int, miss: float, group_rows: int) -> DataFrame:
+def _strays(big: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp, label, stray) of the large groups: a stray is outside the
+    largest component of its group so far.  The largest component of a group
+    is joined on (group, chunk), repeated per chunk, so a large group is no
+    hot key; only ids and labels are joined."""
+    now = cut(big.select("id", "comp", "chunks").join(labels, "id"))
+    main = now.groupBy("comp", "chunks", "label").count().groupBy("comp", "chunks").agg(
+        F.max(F.struct("count", "label"))["label"].alias("main"))
+    main = main.select("comp", "main", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    return now.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).join(main, ["comp", "chunk"]) \
+        .select("id", "comp", "label", (F.col("label") != F.col("main")).alias("stray"))
+
+
+def _late_links(members: DataFrame, at: DataFrame, bands: DataFrame, percent: int, miss: float, group_rows: int,
+                group_shingles: int) -> DataFrame:
+    """Links (a, b) between labels that the strays still have: a stray meets
+    the classes of its group that share a band key with it, in blocks of two
+    times ``group_rows`` classes (or ``group_shingles``).  Keys without a stray or with one label are
+    left out, so what is compared follows the buckets of the keys, not the
+    square of the group."""
+    keyed = cut(at.join(bands, "id").select("id", "label", "stray", "n_shingles", F.explode("bands").alias("key")))
+
+    def blocks(which):
+        return F.greatest(F.ceil(F.count_if(which) / group_rows),
+                          F.ceil(F.sum(F.when(which, F.col("n_shingles"))) / group_shingles))
+    facts = keyed.groupBy("key").agg(
+        blocks(F.lit(True)).alias("parts"), blocks(F.col("stray")).alias("sides"),
+        (F.min("label") != F.max("label")).alias("open")).filter("open AND sides > 0").drop("open")
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    due = keyed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"])
+    side, part = F.pmod(F.xxhash64("id", F.lit(2)), F.col("sides")), F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    cols = ["id", "label", "key", "side", "part", "asked"]
+    ask = due.filter("stray").withColumn("asked", F.lit(True)).withColumn("side", side).withColumn("part", every("parts"))
+    told = due.withColumn("asked", F.lit(False)).withColumn("part", part).withColumn("side", every("sides"))
+    return _grouped(ask.select(*cols).unionByName(told.select(*cols)).join(members.select("id", "sig", "shingles"), "id"),
+                    ["key", "side", "part"], percent, miss, links=True)
+
+
+def _group_labels(members: DataFrame, bands: DataFrame, percent: int, miss: float, group_rows: int,
+                  group_shingles: int) -> DataFrame:
     """(id, label): the components inside the rough groups."""
     def chunk(salt):
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.col("chunks"))
-    members = members.withColumn("asked", F.lit(True))
-    labels = cut(_grouped(members.withColumn("chunk", chunk(0)).withColumn("label", F.col("id")), ["comp", "chunk"],
-                          percent, miss, links=False))
+    first = members.withColumn("asked", F.lit(True)).withColumn("chunk", chunk(0)).withColumn("label", F.col("id"))
+    labels = cut(_grouped(first, ["comp", "chunk"], percent, miss, links=False))
     big = members.filter("chunks > 1")
     if not big.select("id").take(1):
         return labels
     # Second chunking of the large groups, then whatever is outside the
-    # largest component of its group against all chunks of the group.
-    again = _grouped(big.join(labels, "id").withColumn("chunk", chunk(1)), ["comp", "chunk"], percent, miss, links=True)
+    # largest component of its group against the classes it shares a key with.
+    again = _grouped(big.join(labels, "id").withColumn("asked", F.lit(True)).withColumn("chunk", chunk(1)),
+                     ["comp", "chunk"], percent, miss, links=True)
     labels = cut(_relabelled(labels, again))
-    now = big.join(labels, "id")
-    largest = now.groupBy("comp", "label").count().groupBy("comp").agg(
-        F.max(F.struct("count", "label")).alias("x")).select("comp", F.col("x.label").alias("main"))
-    now = now.join(largest, "comp").withColumn("stray", F.col("label") != F.col("main"))
-    strays = now.filter("stray").groupBy("comp").agg(F.ceil(F.count("*") / group_rows).alias("sides"))
-    sized = now.join(strays, "comp")  # groups without strays are done
-    ask = sized.filter("stray").withColumn("side", F.pmod(F.xxhash64("id", F.lit(2)), F.col("sides"))) \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    told = sized.withColumn("chunk", chunk(3)).withColumn("asked", F.lit(False)) \
-        .withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sides") - 1)))
-    cols = ["comp", "side", "chunk", "id", "label", "asked", "sig", "shingles"]
-    late = cut(_grouped(ask.select(*cols).unionByName(told.select(*cols)), ["comp", "side", "chunk"], percent, miss, links=True))
+    at = cut(_strays(big, labels))
+    if not at.filter("stray").take(1):
+        return labels
+    late = cut(_late_links(big, at, bands, percent, miss, group_rows, group_shingles))
     return _relabelled(labels, late) if late.take(1) else labels
 
 
@@ -282,7 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rough.groupBy("component").agg(F.greatest(
         F.ceil(F.count("*") / group_rows), F.ceil(F.sum("n_shingles") / group_shingles)).alias("chunks"))
     groups = rough.join(size, "component").select(F.col("component").alias("comp"), "chunks", F.col("node").alias("id"))
-    final = _group_labels(cut(_members(d, groups, k)), percent, miss, group_rows).withColumnRenamed("id", "rep")
+    final = _group_labels(cut(_members(d, groups, k)), classes.select(F.col("doc_id").alias("id"), "n_shingles", "bands"),
+                          percent, miss, group_rows, group_shingles).withColumnRenamed("id", "rep")
     ids = classes.select("set_id", F.col("doc_id").alias("rep")).join(final, "rep", "left") \
         .select("set_id", F.coalesce("label", "rep").alias("component_id"))
     # Empty sets get a key of their own, so they are no hot null key.

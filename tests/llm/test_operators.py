@@ -519,8 +519,8 @@ def test_near_duplicates(case):
             assert r["component_id"] is None
 
 
-@pytest.mark.parametrize("group_rows", [6, 512])
-def test_near_duplicates_in_large_groups(spark, group_rows):
+@pytest.mark.parametrize("group_rows, group_shingles", [(6, 2_000_000), (512, 500), (512, 2_000_000)])
+def test_near_duplicates_in_large_groups(spark, group_rows, group_shingles):
     """Groups above the chunk size: chains of edits and strays."""
     r = random.Random(8)
     base = [f"w{r.randint(0, 400)}" for _ in range(80)]
@@ -530,7 +530,7 @@ def test_near_duplicates_in_large_groups(spark, group_rows):
         for _ in range(r.choice([0, 1, 2, 4, 6, 9])):
             w[r.randrange(len(w))] = f"e{r.randint(0, 30)}"
         docs.append((i, " ".join(w), "en", "s"))
-    out = rows(op08_minhash.near_duplicates(make(spark, docs), group_rows=group_rows))
+    out = rows(op08_minhash.near_duplicates(make(spark, docs), group_rows=group_rows, group_shingles=group_shingles))
     want = near_by_force(docs)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
     assert len({c for _, c in want.values()}) > 1
