@@ -9,7 +9,8 @@ duplicate clusters (at most one document of a cluster) and of its sources
 placed by falling size.
 
 Lanes hold some ``lane_docs`` pieces dealt by a hash, so a source or cluster
-with a third of all rows is spread over all of them; only ids and sizes are
+with a third of all rows is spread over all of them, and so are rows without
+an id and repeated rows; only ids and sizes are
 shuffled.  Every piece is placed; reruns agree.
 
 Cases: a null or empty text is one piece of no words; null sources are one
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, text_of, words
+from .common import read, text_of, with_place, words
 
 SCHEMA = ("doc_id {id}, piece int, start_word bigint, n_words bigint, source string, bin bigint, slot int, "
           "bin_words bigint, bin_pieces int")
@@ -79,15 +80,16 @@ def pack(docs: DataFrame, cluster: Column, id_col: str = "doc_id", text_col: str
          capacity: int = 2048, per_source: int = 4, lane_docs: int = 4096) -> DataFrame:
     """One row per piece: its words, its bin and its place in the bin."""
     lanes = max(1, -(-docs.select(id_col).count() // lane_docs))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                    F.size(words(text_of(text_col))).cast("bigint").alias("_n"), cluster.alias("cluster"))
+    d = with_place(docs, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                   F.size(words(text_of(text_col))).cast("bigint").alias("_n"), cluster.alias("cluster"))
     last = F.greatest(F.ceil(F.col("_n") / capacity) - 1, F.lit(0))
-    p = d.select("doc_id", "source", "cluster", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k")).select(
-        "doc_id", "source", "cluster", F.col("k").cast("int").alias("piece"), (F.col("k") * capacity).alias("start_word"),
+    p = d.select("doc_id", "source", "cluster", "_n", "_place", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k")).select(
+        "doc_id", "source", "cluster", "_place", F.col("k").cast("int").alias("piece"), (F.col("k") * capacity).alias("start_word"),
         F.least(F.lit(capacity).cast("bigint"), F.col("_n") - F.col("k") * capacity).alias("n_words"))
-    # Equal rows (copies) are dealt apart by the cluster-independent hash of
-    # id and piece; ties inside a lane are broken by all fields.
-    p = p.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)))
+    # Rows without an id are dealt apart by their cluster and source, equal
+    # rows by their place among each other; ties inside a lane are broken by
+    # all fields.
+    p = p.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece", "source", "cluster", "_place"), F.lit(lanes)))
 
     def lane(key, t):
         t = t.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"),
