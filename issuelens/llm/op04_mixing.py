@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of, words
+from .common import cut, read, text_of, with_place, words
 
 #: Weights of the sources in code-point order, repeating (fixed by the task).
 WEIGHTS = (3, 1, 2)
@@ -131,10 +131,13 @@ def round_copies(sizes: DataFrame, targets: DataFrame, seed: int = 7, ceiling: f
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: int = 7) -> DataFrame:
     """Copies of every document so that the sources' words come near their targets."""
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                            F.size(words(text_of(text_col))).cast("bigint").alias("size")))
+    rows = with_place(docs, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                      F.size(words(text_of(text_col))).cast("bigint").alias("size"), F.xxhash64(text_of(text_col)).alias("text"))
+    # The rounding tells rows without an id and repeated rows apart.
+    sizes = cut(rows.select(F.struct("doc_id", F.xxhash64("text", "_place").alias("row")).alias("doc_id"), "source", "size"))
     targets = cut(source_targets(sizes, weights, share, ceiling))
-    return round_copies(sizes, targets, seed, ceiling)
+    copies = round_copies(sizes, targets, seed, ceiling)
+    return copies.withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
 def op4_mixing(spark, sf_dir):

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from issuelens.llm import op01_packing, op02_toxicity, op03_simhash, op04_mixing, op05_tokens, op06_substrings
 from issuelens.llm import op07_pii, op08_minhash, op09_language, op10_quality
@@ -65,6 +66,28 @@ def test_packing_places_every_word_once_without_conflicts(case):
         assert len(known) == len(set(known))
 
 
+def hot_rows(n=200):
+    """A third without an id, a third equal rows of one id, the rest as usual."""
+    return [(None, f"no id {i % 50} x", "en", "s") for i in range(n)] + [(7, "same text again", "en", "s")] * n + \
+        [(100 + i, f"text {i} of many", "en", "t") for i in range(n)]
+
+
+def test_rows_without_an_id_and_equal_rows_are_dealt_over_lanes_and_blocks(spark, monkeypatch):
+    df = make(spark, hot_rows())
+    out = rows(op01_packing.pack(df, op01_packing.text_cluster(op01_packing.text_of()), lane_docs=40))
+    lanes = Counter(r["bin"] >> 24 for r in out)
+    assert len(out) == 600 and len(lanes) == 15 and max(lanes.values()) <= 80
+    largest = []
+
+    def spied(items, id_type, fold=op04_mixing._round_blocks):
+        largest.append(items.groupBy("source", "block").count().agg(F.max("count")).first()[0])
+        return fold(items, id_type)
+    monkeypatch.setattr(op04_mixing, "_round_blocks", spied)
+    mixed = rows(op04_mixing.mix(df))
+    assert len(mixed) == 600 and max(largest) <= 2 * op04_mixing.BLOCK
+    assert {r["copies"] for r in mixed if r["doc_id"] == 7} <= {0, 1, 2}
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(1)
     items = sorted(((r.randint(0, 60), r.choice("abc"), r.choice([None, 1, 2, 3])) for _ in range(400)), key=lambda x: -x[0])
