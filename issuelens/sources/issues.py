@@ -9,12 +9,39 @@ from ..functions.text import py_int, py_strip
 from ..operators.textops import issue_reason, strip_markdown
 
 
-def read_issues(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One file = one issue body (UTF-8, whole text) with its path."""
+#: In packed files every body ends with the record separator; where a body holds
+#: one, the escape sign or a byte order mark, that is written as two signs.
+RECORD_END = "\x1e"
+ESCAPED = {"\x10": "\x10P", RECORD_END: "\x10R", "\ufeff": "\x10B"}
+
+
+def write_packed_issues(bodies: DataFrame, path: str) -> None:
+    """Writes the bodies (one column; null: empty) into wide files, one per
+    task, for :func:`read_issues`."""
+    body = F.coalesce(F.col(bodies.columns[0]), F.lit(""))
+    for sign, pair in ESCAPED.items():
+        body = F.replace(body, F.lit(sign), F.lit(pair))
+    bodies.select(body.alias("value")).write.option("lineSep", RECORD_END).text(path)
+
+
+def read_issues(spark: SparkSession, path: str, glob: str | None = None, packed: bool = False) -> DataFrame:
+    """One file = one issue body (UTF-8, whole text) with its path.
+
+    A file, a listing and a task's share per issue do not scale, so issues may
+    also come ``packed``: many whole bodies in one file, as
+    :func:`write_packed_issues` has them; such files are split over tasks.
+    """
     r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("issue_file"), F.col("value").alias("body"))
+    body = F.col("value")
+    if packed:
+        r = r.text(path, lineSep=RECORD_END)
+        for sign, pair in reversed(ESCAPED.items()):
+            body = F.replace(body, F.lit(pair), F.lit(sign))
+    else:
+        r = r.text(path, wholetext=True)
+    return r.select(F.col("_metadata.file_path").alias("issue_file"), body.alias("body"))
 
 
 def lookup_issues(refs: DataFrame, issues: DataFrame) -> DataFrame:

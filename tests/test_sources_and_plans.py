@@ -266,3 +266,42 @@ def test_spread_deals_small_scans_of_few_row_groups_only(spark, tmp_path):
     assert spread(df, task_mb=1000.0) is df
     plan = few.filter("id > 5").select("id")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,5)" in plan
+
+
+def test_packed_issues_come_back_whole(spark):
+    from issuelens.session import scratch_path
+    from issuelens.sources.issues import write_packed_issues
+    bodies = ["", "a\x1eb\x1e", "\x10P\x10R\x10B \x10\x1e\x10", "\ufeffline\r\nline\r\n\n", "\x00é漢\U0001F600", "\x1e", "R\x10", *ISSUES.values()]
+    out = scratch_path(spark, "packs")
+    rows = spark.createDataFrame([(b,) for b in bodies * 50], "body string").repartition(3)
+    write_packed_issues(rows, out)
+    # Small splits, so that bodies lie over two of them.
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        got = read_issues(spark, out, packed=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r.body for r in got) == sorted(bodies * 50)
+    assert len({r.issue_file for r in got}) == 3
+
+
+def written(monkeypatch, query, spark, sf_dir, name):
+    """The result of a query and the data files it wrote to its scratch folders of that name."""
+    from pathlib import Path
+    import issuelens.session as S
+    given, made = S.scratch_path, []
+
+    def scratch_path(spark, n):
+        made.append((n, given(spark, n)))
+        return made[-1][1]
+    monkeypatch.setattr(S, "scratch_path", scratch_path)
+    result = QUERIES[query](spark, sf_dir)
+    found = [f for n, p in made if n.startswith(name) for f in Path(p.removeprefix("file:")).rglob("part-*")]
+    return result, found
+
+
+def test_issues_are_not_a_file_each(spark, monkeypatch):
+    df, files = written(monkeypatch, "s1_read_issues", spark, SF_SMALL, "issue-")
+    n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    assert df.count() == n and len(files) < n / 4
