@@ -20,14 +20,23 @@ from ..sources.logs import FINAL_STATE_PREFIX, HEADER_RE, header_time
 WORKFLOW_DONE = "Workflow completed successfully!"
 
 
-def stream_run_log(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_run_log(spark: SparkSession, path: str, max_files_per_trigger: int | None = None, named: bool = False) -> DataFrame:
     """Streaming ``(source_path, ts, level, message, phase, is_retry,
     is_completion)`` of header lines; a header with an impossible date has a
-    NULL ts."""
+    NULL ts.
+
+    A file and a folder per run do not scale, so many runs may be collected in
+    one file: if ``named``, each line is led by the name of its log and a tab,
+    and that name is the ``source_path``; lines without a name are dropped."""
     r = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = r.load(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("line"))
+    if named:
+        tab = F.instr("value", "\t")
+        lines = r.load(path).filter(tab > 0).select(F.substring_index("value", "\t", 1).alias("source_path"),
+                                                    F.substr("value", tab + 1).alias("line"))
+    else:
+        lines = r.load(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("line"))
     records = lines.filter(F.col("line").rlike(HEADER_RE)).select(
         "source_path", header_time(F.col("line")).alias("ts"),
         F.regexp_extract("line", r"^[^\[]*\[([A-Z]+)\] ", 1).alias("level"),

@@ -184,3 +184,38 @@ def test_stream_of_parts_equals_the_batch_reader(spark):
         got.setdefault(x.source_file, []).append(tuple(x)[1:])
     want = batch_records(spark, folder)
     assert set(got) == {"a", "b", "c"} and all(sorted(v, key=lambda x: x[0]) == want for v in got.values())
+
+
+# -- collected logs ----------------------------------------------------------
+
+def test_collected_logs_give_the_records_of_single_ones(spark):
+    import os
+    from issuelens.streaming.log_tail import stream_run_log
+    logs = {"a.log": LOG, "b c.log": "2024-01-02 03:04:05,678 [INFO] tab\there\n\tno header\n2024-01-02 03:04:05,678 [INFO]  x\n",
+            "d": "only\n\n"}
+    single, collected = scratch_path(spark, "single"), scratch_path(spark, "collected")
+    for folder in (single, collected):
+        os.makedirs(folder.removeprefix("file:"))
+    with open(f"{collected.removeprefix('file:')}/all", "w", newline="") as every:
+        for name, text in logs.items():
+            with open(f"{single.removeprefix('file:')}/{name}", "w", newline="") as f:
+                f.write(text)
+            every.writelines(f"{name}\t{line}\n" for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+        every.write("2024-01-02 03:04:05,678 [INFO] without a name\n")
+    found = []
+    for path, named in ((f"{single}*", False), (f"{collected}*", True), (f"{collected}-none*", True)):
+        out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+        s = stream_run_log(spark, path, named=named)
+        run_to_parquet(s, out, ckpt).awaitTermination()
+        got = spark.read.schema(s.schema).parquet(out).collect() if os.path.isdir(out.removeprefix("file:")) else []
+        found.append(sorted(((x.source_path.rsplit("/", 1)[-1].replace("%20", " "), *tuple(x)[1:]) for x in got), key=key))
+    assert len(found[0]) == 6 and found[1] == found[0] and found[2] == []
+
+
+def test_runs_are_not_a_folder_each(spark, monkeypatch):
+    from .conftest import SF_SMALL
+    from .test_sources_and_plans import written
+    df, files = written(monkeypatch, "x1_stream_run_log", spark, SF_SMALL, "logs-in")
+    runs = {r[0] for r in spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id").distinct().collect()}
+    assert {r[0] for r in df.select("source_file").distinct().collect()} == {f"run_{u}.log" for u in runs}
+    assert len(files) <= 8 < len(runs) and any("form=collected" in str(f) for f in files)
