@@ -86,55 +86,113 @@ def _bounded(waiting: list, limit: int, idle_us: int) -> list:
     return kept
 
 
+#: What is known of a run before its first attempt: the fields of EXPIRING_STATE, with the list in place of its text.
+NEW_RUN = (0, 0, True, None, None, [])
+
+
+def _attempts(pdf) -> list:
+    """The rows of a chunk as waiting attempts."""
+    passed = [None if p is None or pd.isna(p) else bool(p) for p in pdf["tests_passed"].tolist()]
+    errors = [None if e is None or e != e else e for e in pdf["errors"].tolist()]
+    return [[int(us), int(event), p, e, int(us)] for us, event, p, e in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), passed, errors)]
+
+
+def _advance(run: int, fields, max_retries: int, commit: bool, idle_us: int, passed_us: int) -> tuple[list, tuple | None]:
+    """The rows a run gives once the watermark has passed ``passed_us``, and
+    its fields after that; None if nothing is left to be known."""
+    retry_count, attempt, closed, last_errors, last_us, waiting = fields
+    rows, k = [], 0
+    while k < len(waiting) and waiting[k][0] < passed_us:
+        us, event, passed, errors, until = waiting[k]
+        k += 1
+        if last_us is None or us - last_us > idle_us:
+            if not closed:
+                rows.append((run, None, attempt, "expired", last_errors))
+            retry_count, attempt, closed, last_errors = 0, 0, False, None
+        last_us = until if last_us is None else max(last_us, until)
+        if closed:
+            continue
+        if passed is False and retry_count < max_retries:
+            decision, retry_count = "retry", retry_count + 1
+        else:
+            decision, closed = ("commit" if passed and commit else "end"), True
+        rows.append((run, event, attempt, decision, last_errors))
+        last_errors, attempt = (None if closed else errors), attempt + 1
+    if k == len(waiting) and last_us + idle_us < passed_us:
+        if not closed:
+            rows.append((run, None, attempt, "expired", last_errors))
+        return rows, None
+    return rows, (retry_count, attempt, closed, last_errors, last_us, waiting[k:])
+
+
+def _due(fields, idle_us: int) -> int:
+    """The time the watermark has to pass for a run to change."""
+    return min([x[0] for x in fields[5][:1]] + ([] if fields[4] is None else [fields[4] + idle_us]))
+
+
+def _ledger(rows: list) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["run_id", "event_id", "attempt", "decision", "carried_errors"])
+    out["event_id"] = pd.array([r[1] for r in rows], dtype="Int64")
+    return out
+
+
 def _expiring(max_retries: int, commit: bool, idle_us: int):
+    """A state per run."""
     def fn(key, chunks, state):
         if key[0] is None or pd.isna(key[0]):
             return  # a heartbeat only moves the watermark
-        run = int(key[0])
-        retry_count, attempt, closed, last_errors, last_us, waiting = \
-            state.get if state.exists else (0, 0, True, None, None, "[]")
+        *known, waiting = state.get if state.exists else (*NEW_RUN[:5], "[]")
         waiting = json.loads(waiting)
         for pdf in chunks:
-            for r in pdf.itertuples(index=False):
-                passed = None if r.tests_passed is None or pd.isna(r.tests_passed) else bool(r.tests_passed)
-                waiting.append([int(r.us), int(r.event_id), passed, None if pd.isna(r.errors) else r.errors, int(r.us)])
-            waiting = _bounded(waiting, max_retries + 1, idle_us)
+            if len(pdf):
+                waiting = _bounded(waiting + _attempts(pdf), max_retries + 1, idle_us)
         passed_us = state.getCurrentWatermarkMs() * 1000
-        rows = []
-        while waiting and waiting[0][0] < passed_us:
-            us, event, passed, errors, until = waiting.pop(0)
-            if last_us is None or us - last_us > idle_us:
-                if not closed:
-                    rows.append((run, None, attempt, "expired", last_errors))
-                retry_count, attempt, closed, last_errors = 0, 0, False, None
-            last_us = until if last_us is None else max(last_us, until)
-            if closed:
-                continue
-            if passed is False and retry_count < max_retries:
-                decision, retry_count = "retry", retry_count + 1
-            else:
-                decision, closed = ("commit" if passed and commit else "end"), True
-            rows.append((run, event, attempt, decision, last_errors))
-            last_errors, attempt = (None if closed else errors), attempt + 1
-        if not waiting and last_us + idle_us < passed_us:
-            if not closed:
-                rows.append((run, None, attempt, "expired", last_errors))
-            if state.exists:
-                state.remove()
-        else:
-            state.update((retry_count, attempt, closed, last_errors, last_us, json.dumps(waiting)))
-            due = min([x[0] for x in waiting[:1]] + ([] if last_us is None else [last_us + idle_us]))
-            state.setTimeoutTimestamp(max(due // 1000, passed_us // 1000) + 1)
+        rows, left = _advance(int(key[0]), (*known, waiting), max_retries, commit, idle_us, passed_us)
+        if left is not None:
+            state.update((*left[:5], json.dumps(left[5])))
+            state.setTimeoutTimestamp(max(_due(left, idle_us) // 1000, passed_us // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield _ledger(rows)
+
+    return fn
+
+
+def _expiring_shard(max_retries: int, commit: bool, idle_us: int):
+    """A state per shard: the fields of each of its runs that is still known."""
+    def fn(key, chunks, state):
+        if key[0] is None or pd.isna(key[0]):
+            return
+        runs = {run: fields for run, *fields in json.loads(state.get[0])} if state.exists else {}
+        for pdf in chunks:
+            new = {}
+            if len(pdf):
+                for run, attempt in zip(pdf["run_id"].tolist(), _attempts(pdf)):
+                    new.setdefault(int(run), []).append(attempt)
+            for run, attempts in new.items():
+                *known, waiting = runs.get(run, NEW_RUN)
+                runs[run] = (*known, _bounded(waiting + attempts, max_retries + 1, idle_us))
+        passed_us = state.getCurrentWatermarkMs() * 1000
+        rows, left = [], {}
+        for run, fields in runs.items():
+            more, fields = _advance(run, fields, max_retries, commit, idle_us, passed_us)
+            rows += more
+            if fields is not None:
+                left[run] = fields
+        if left:
+            state.update((json.dumps([[run, *fields] for run, fields in left.items()]),))
+            state.setTimeoutTimestamp(max(min(_due(x, idle_us) for x in left.values()) // 1000, passed_us // 1000) + 1)
+        elif state.exists:
+            state.remove()
         if rows:
-            out = pd.DataFrame(rows, columns=["run_id", "event_id", "attempt", "decision", "carried_errors"])
-            out["event_id"] = out["event_id"].astype("Int64")
-            yield out
+            yield _ledger(rows)
 
     return fn
 
 
 def stream_expiring_ledger(attempts: DataFrame, delay: str, idle_seconds: int, max_retries: int = 3,
-                           commit: bool = True) -> DataFrame:
+                           commit: bool = True, shards: int | None = None) -> DataFrame:
     """X2 with event time: attempts may arrive in any order within ``delay``,
     and abandoned runs close.
 
@@ -149,9 +207,21 @@ def stream_expiring_ledger(attempts: DataFrame, delay: str, idle_seconds: int, m
 
     Rows without a run id are heartbeats: they move the watermark only, so a
     source that falls silent can still have its runs closed.
+
+    A state, and a call of Python per micro-batch, is that of a run, or with
+    ``shards`` that of all runs whose hash falls in one of so many shards: a
+    call costs some milliseconds, so a stream of many runs should have some
+    tens of them in a shard.  The rows are the same; the number of shards has
+    to stay over restarts.
     """
     ts = F.col("ts").cast("timestamp")
-    timed = attempts.select("run_id", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), "tests_passed", "errors")
-    return timed.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
+    timed = attempts.select("run_id", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("us"), "tests_passed", "errors") \
+        .withWatermark("ts", delay)
+    if shards:
+        shard = F.when(F.col("run_id").isNotNull(), F.pmod(F.xxhash64("run_id"), F.lit(shards)))
+        return timed.withColumn("shard", shard).groupBy("shard").applyInPandasWithState(
+            _expiring_shard(max_retries, commit, idle_seconds * 1_000_000), OUTPUT_SCHEMA, "runs string", "append",
+            GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("run_id").applyInPandasWithState(
         _expiring(max_retries, commit, idle_seconds * 1_000_000), OUTPUT_SCHEMA, EXPIRING_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)

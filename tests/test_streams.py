@@ -186,6 +186,45 @@ def test_stream_of_parts_equals_the_batch_reader(spark):
     assert set(got) == {"a", "b", "c"} and all(sorted(v, key=lambda x: x[0]) == want for v in got.values())
 
 
+# -- shards of runs ----------------------------------------------------------
+
+def ledger(spark, slices, delay, idle, **how):
+    """As :func:`stream`, with the most states of a batch."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ckpt"))
+    for rows in slices:
+        spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", "1").parquet(src)
+    q = run_to_parquet(stream_expiring_ledger(s, delay, idle, **how), out, ckpt)
+    q.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return sorted((tuple(x) for x in spark.read.parquet(out).collect()), key=key), max(states), states[-1]
+
+
+def test_shards_give_the_rows_of_runs(spark):
+    r = random.Random(3)
+    rows = [(run, run * 1000 + i, T0 + dt.timedelta(minutes=r.randint(0, 600)), r.choice([False, False, False, True, None]),
+             r.choice([None, f'"e", {run}.{i}'])) for run in range(-5, 35) for i in range(r.randint(1, 12))]
+    r.shuffle(rows)
+    rows.sort(key=lambda x: x[2] + dt.timedelta(minutes=r.randint(0, 30)))
+    slices = [rows[:100], rows[100:200] + beat(0), rows[200:], beat(700), [at(7, 1, 800, False), *rows[:3]], beat(2000)]
+    runs, most, left = ledger(spark, slices, "40 minutes", 3600)
+    assert most > 20 and left == 0 and {x[3] for x in runs} == {"retry", "end", "commit", "expired"}
+    for n in (1, 4):
+        got, most, left = ledger(spark, slices, "40 minutes", 3600, shards=n)
+        assert got == runs and 0 < most <= n and left == 0
+
+
+def test_query_holds_fewer_states_than_runs(spark, monkeypatch):
+    from issuelens import catalog
+    from .conftest import SF_SMALL
+    queries = []
+    monkeypatch.setattr(catalog.XT, "run_to_parquet", lambda *a: queries.append(run_to_parquet(*a)) or queries[-1])
+    got = catalog.QUERIES["x2_expiring_ledger"](spark, SF_SMALL)
+    runs = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id").distinct().count()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in queries[0].recentProgress if p["stateOperators"]]
+    assert got.count() >= runs and 0 < max(states) <= runs / 3
+
+
 # -- collected logs ----------------------------------------------------------
 
 def test_collected_logs_give_the_records_of_single_ones(spark):
