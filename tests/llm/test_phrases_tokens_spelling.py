@@ -101,6 +101,35 @@ def test_merging_needs_no_shuffle(spark):
     assert "Window" in plan and "Exchange" not in plan
 
 
+def test_texts_are_dealt_before_they_become_words(spark):
+    """One shuffle by text, below the words; none of the words."""
+    occ = op11_collocations.occurrences(make(spark, variants()), 8)
+    numbered = occ.join(F.broadcast(occ.select("lang", "word").distinct().withColumn("w1", F.xxhash64("word"))), ["lang", "word"])
+    plan = numbered.select("row", "pos", "w1").repartition(8, "row")._jdf.queryExecution().executedPlan().toString()
+    streamed = plan.split("BroadcastExchange")[0]
+    assert streamed.count("Exchange hashpartitioning(row") == 1 and streamed.index("Generate") < streamed.index("Exchange hashpartitioning(row")
+
+
+def test_words_and_places(spark):
+    text = " .A,b  C\tÉÀ\x85İK ẞ\r\n\nd. .e\x1c\x0bΣΑ Z\u212a!"
+    for parts in (None, 4):
+        got = sorted((x["pos"], x["word"]) for x in rows(op11_collocations.occurrences(make(spark, [(1, text, "fr", None), (2, None, None, None)]), parts)))
+        assert [w for _, w in got] == ["a", "b", "c", "ÉÀ\x85İk", "ẞ", "d", "e\x1c", "ΣΑ", "z\u212a"]
+        at = [p for p, _ in got]
+        assert [y == x + 1 for x, y in zip(at, at[1:])] == [False, True, True, True, False, False, False, True]
+    assert sorted(x["word"] for x in rows(op11_collocations._words(make(spark, [(1, text, "fr", None)])))) == sorted(w for _, w in got)
+
+
+def test_bloom_filter_lets_through_the_places_of_its_keys(spark):
+    from issuelens.functions.bloom import bloom_filter, may_hold
+    bits = 1 << 17
+    every = spark.range(60000).select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("h"))
+    keys = every.filter("id % 7 = 0")
+    want = {x["id"] for x in every.join(keys.select("h").distinct(), "h").collect()}
+    got = may_hold(every, bloom_filter(keys, ["id"], bits), ["id"], bits)
+    assert got.columns == ["id", "h"] and {x["id"] for x in got.collect()} == want and 60000 / 7 < len(want) < 20000
+
+
 # 12 ----------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
